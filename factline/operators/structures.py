@@ -128,60 +128,65 @@ def best_structures(
     legs: DataFrame,
     keys: list[str],
     order: list[str],
-    no_expanded: str | None = None,
-    no_aggregated: str | None = None,
-    prefix: str = "structure",
+    variants: dict[str, tuple[str | None, str | None]] | None = None,
 ) -> DataFrame:
-    """`legs` (one row per key: cushion, salary_cap, base_cap) with `<prefix>_total` and
-    `<prefix>_groups`, from `sends` (one row per outgoing salary: keys, amount, order columns).
+    """`legs` (one row per key: cushion, salary_cap, base_cap) with `<name>_total` and
+    `<name>_groups` per variant, from `sends` (one row per outgoing salary: keys, amount,
+    order columns). A variant names the flags that take an exception out (expanded, aggregated).
 
     A leg of any size is summed with partial aggregation; salaries are only collected for
     the first eight by rank, which the group limit cuts before the shuffle. Above eight the
     answer needs only the sums.
     """
-    no_e = F.col(no_expanded) if no_expanded else F.lit(False)
-    no_a = F.col(no_aggregated) if no_aggregated else F.lit(False)
+    variants = variants or {"structure": (None, None)}
     cush, cap, base = F.col("cushion"), F.col("salary_cap"), F.col("base_cap")
-    side = ["cushion", "salary_cap", "base_cap"] + [c for c in (no_expanded, no_aggregated) if c]
+    flags = sorted({f for pair in variants.values() for f in pair if f})
+    flag = {name: tuple(F.col(f) if f else F.lit(False) for f in pair) for name, pair in variants.items()}
 
-    def alone(x, multi):
+    def alone(x, name, multi):
+        no_e, no_a = flag[name]
         grown = F.when(no_e, R.big(0)).otherwise(R.allow_expanded(x, cush, cap, base))
         plain = x + cush
         return F.greatest(F.when(no_a, R.big(0)).otherwise(plain) if multi else plain, grown)
 
-    positive = sends.where("amount > 0").join(legs.select(*keys, *side), keys)
-    sums = positive.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.sum("amount").cast("bigint").alias("whole"),
-        F.sum(alone(F.col("amount"), multi=False)).cast("bigint").alias("singles"),
-    )
-    ranked = sends.where("amount > 0").withColumn(
-        "r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    positive = sends.where("amount > 0")
+    sums = (
+        positive.join(legs.select(*keys, "cushion", "salary_cap", "base_cap", *flags), keys)
+        .groupBy(*keys)
+        .agg(
+            F.count("*").alias("n"),
+            F.sum("amount").cast("bigint").alias("whole"),
+            *[
+                F.sum(alone(F.col("amount"), name, False)).cast("bigint").alias(f"_singles_{name}")
+                for name in variants
+            ],
+        )
     )
     first = (
-        ranked.where(F.col("r") <= K.MAX_PARTITIONED)
+        positive.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+        .where(F.col("r") <= K.MAX_PARTITIONED)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("r", "amount"))).alias("rows"))
         .select(*keys, F.col("rows.amount").alias("salaries"))
     )
-    joined = legs.join(sums, keys, "left").join(first, keys, "left")
-    small = F.coalesce(F.col("n"), F.lit(0)).between(1, K.MAX_PARTITIONED)
-    split = structure_column(
-        F.when(small, F.col("salaries")).otherwise(F.array().cast("array<bigint>")),
-        cush, cap, base, no_e, no_a,
+    n = F.col("n")
+    out = legs.join(sums, keys, "left").join(first, keys, "left").withColumn(
+        "salaries",
+        F.when(F.coalesce(n, F.lit(0)).between(1, K.MAX_PARTITIONED), F.col("salaries")).otherwise(
+            F.array().cast("array<bigint>")
+        ),
     )
-    whole = alone(F.col("whole"), multi=True)
-    big_total = F.greatest(F.col("singles"), whole)
-    big_groups = F.when(F.col("singles") >= whole, F.col("n")).otherwise(1)
-    return (
-        joined.withColumn("_s", split)
-        .withColumn(
-            f"{prefix}_total",
-            F.when(F.col("n") > K.MAX_PARTITIONED, big_total).otherwise(F.col("_s.total")),
+    for name in variants:
+        out = out.withColumn(f"_s_{name}", structure_column(F.col("salaries"), cush, cap, base, *flag[name]))
+    for name in variants:
+        singles, whole = F.col(f"_singles_{name}"), alone(F.col("whole"), name, True)
+        split = F.col(f"_s_{name}")
+        large = n > K.MAX_PARTITIONED
+        out = out.withColumn(
+            f"{name}_total", F.when(large, F.greatest(singles, whole)).otherwise(split["total"])
+        ).withColumn(
+            f"{name}_groups",
+            F.when(large, F.when(singles >= whole, n).otherwise(1)).otherwise(split["groups"]),
         )
-        .withColumn(
-            f"{prefix}_groups",
-            F.when(F.col("n") > K.MAX_PARTITIONED, big_groups).otherwise(F.col("_s.groups")),
-        )
-        .drop("_s", "n", "whole", "singles", "salaries")
-    )
+    extra = [f"_s_{x}" for x in variants] + [f"_singles_{x}" for x in variants]
+    return out.drop(*extra, "n", "whole", "salaries")

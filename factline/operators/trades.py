@@ -77,3 +77,173 @@ def leg_states(legs: DataFrame, positions: DataFrame, base_cap: int) -> DataFram
         .withColumn("cushion", R.cushion(F.col("post_salary"), F.col("first_apron")))
         .withColumn("cap_room", F.when(room > 0, room))
     )
+
+
+# -- rules over legs -------------------------------------------------------
+
+
+def barred_flags(legs: DataFrame, rules: R.RuleSet = R.RuleSet()) -> DataFrame:
+    """Which exceptions a leg may not use because of where it would end."""
+    levels = {row: level for row, level, _ in K.RESTRICTION_ROWS}
+    for kind, row in K.TRIGGERED_ROW.items():
+        level = F.col("first_apron") if levels[row] == "first_apron" else F.col("second_apron")
+        legs = legs.withColumn(
+            f"bar_{kind}",
+            ~R.may_engage(F.lit(row), F.col("post_salary"), level, F.col("season_id"), rules),
+        )
+    return legs
+
+
+def check_matching(
+    legs: DataFrame, sends: DataFrame, rules: R.RuleSet = R.RuleSet()
+) -> DataFrame:
+    """Legs taking back more than they send, with the exception used or the code of the failure.
+
+    One exception is tried first. Only legs it does not cover, sending two or more players,
+    go on to the split over several exceptions.
+    """
+    from factline.operators import structures
+
+    keys = ["trade_id", "team"]
+    need = barred_flags(legs.where("incoming > outgoing"), rules)
+    barred = {k: F.col(f"bar_{k}") for k in K.TRIGGERED_ROW}
+
+    def best(exclude):
+        return R.best_allowance(
+            F.col("outgoing"), F.col("incoming"), F.col("cushion"), F.col("season_id"),
+            F.col("salary_cap"), F.col("base_cap"), F.col("n_sends") >= 2, F.col("cap_room"),
+            exclude, rules,
+        )
+
+    tried = need.withColumn("one", best(barred)).withColumn("one_free", best({}))
+    open_legs = tried.where("one is null and n_sends > 1")
+    split = structures.best_structures(
+        sends.select(*keys, "contract_id", "amount"),
+        open_legs.select(*keys, "cushion", "salary_cap", "base_cap", "bar_expanded", "bar_aggregated"),
+        keys,
+        ["contract_id"],
+        {"split": ("bar_expanded", "bar_aggregated"), "free": (None, None)},
+    ).select(*keys, "split_total", "split_groups", "free_total")
+    fits = F.coalesce(F.col("incoming") <= F.col("split_total"), F.lit(False))
+    fits_free = F.coalesce(F.col("incoming") <= F.col("free_total"), F.lit(False))
+    any_bar = R.any_of(*barred.values())
+    return tried.join(split, keys, "left").select(
+        "trade_id", "team", "outgoing", "incoming", "post_salary", "first_apron", "second_apron",
+        F.when(F.col("one").isNotNull(), F.col("one.kind")).when(fits, "structure").alias("used"),
+        F.when(F.col("one").isNull() & fits, F.col("split_groups")).alias("exceptions_used"),
+        F.when(F.col("one").isNotNull() | fits, F.lit(None))
+        .when(any_bar & (F.col("one_free").isNotNull() | fits_free), "apron_transaction_barred")
+        .otherwise("no_exception_available")
+        .alias("code"),
+    )
+
+
+def triggered_notes(matched: DataFrame) -> DataFrame:
+    """Legs whose exception hard-caps the team, with the row and the ceiling it sets."""
+    levels = {row: level for row, level, _ in K.RESTRICTION_ROWS}
+    rows = F.create_map(*[F.lit(x) for kv in K.TRIGGERED_ROW.items() for x in kv])
+    level = F.create_map(*[F.lit(x) for r, lv in levels.items() for x in (r, lv)])
+    return (
+        matched.where(F.col("used").isin(*K.TRIGGERED_ROW))
+        .withColumn("row", F.element_at(rows, F.col("used")))
+        .withColumn("ceiling", F.element_at(level, F.col("row")))
+    )
+
+
+def check_ceiling(legs: DataFrame) -> DataFrame:
+    return legs.where("post_salary > ceiling_amount")
+
+
+def check_roster(legs: DataFrame, rules: R.RuleSet = R.RuleSet()) -> DataFrame:
+    after = F.col("standard_count") - F.col("n_sends") + F.col("n_receives")
+    return legs.withColumn("after", after).where(F.col("after") > rules.standard_max)
+
+
+def check_aggregation(sends: DataFrame, legs: DataFrame) -> DataFrame:
+    """Players signed under sixty days before, in a leg that sends two or more."""
+    recent = F.datediff("trade_date", "signed_date") < K.AGGREGATION_BAR_DAYS
+    return sends.where(recent).join(
+        legs.where("n_sends >= 2").select("trade_id", "team"), ["trade_id", "team"], "left_semi"
+    )
+
+
+def active_restrictions(on: str):
+    """Join condition part: the restriction has no end or has not ended by that date."""
+    return F.col("expires").isNull() | (F.col(on) <= F.col("expires"))
+
+
+def check_restricted(sends: DataFrame, restrictions: DataFrame) -> DataFrame:
+    r = restrictions.where("blocks_trade").withColumnRenamed("player", "r_player")
+    return sends.join(
+        r, (sends["player"] == r["r_player"]) & active_restrictions("trade_date"), "left_semi"
+    )
+
+
+def violations(
+    legs: DataFrame, sends: DataFrame, restrictions: DataFrame, rules: R.RuleSet = R.RuleSet()
+) -> DataFrame:
+    """Every violation as (trade_id, team, code, subject)."""
+
+    def rows(df: DataFrame, code, subject=None) -> DataFrame:
+        subject = F.lit(None).cast("bigint") if subject is None else F.col(subject)
+        return df.select("trade_id", "team", code.alias("code"), subject.alias("subject"))
+
+    return (
+        rows(check_matching(legs, sends, rules).where("code is not null"), F.col("code"))
+        .unionByName(rows(check_ceiling(legs), F.lit("hard_cap_ceiling_exceeded")))
+        .unionByName(rows(check_roster(legs, rules), F.lit("roster_maximum_exceeded")))
+        .unionByName(rows(check_aggregation(sends, legs), F.lit("aggregation_two_month_bar"), "player"))
+        .unionByName(
+            rows(check_restricted(sends, restrictions), F.lit("player_trade_restricted"), "player")
+        )
+    )
+
+
+def verdicts(legs: DataFrame, found: DataFrame) -> DataFrame:
+    """Legal when nothing is violated, conditional when anything was assumed."""
+    per_trade = found.groupBy("trade_id").agg(
+        F.count("*").alias("n_violations"),
+        F.array_join(F.array_sort(F.collect_set("code")), "|").alias("codes"),
+    )
+    assumed = legs.groupBy("trade_id").agg(
+        F.sum("n_unknown_kickers").cast("bigint").alias("n_assumptions")
+    )
+    n = F.coalesce("n_violations", F.lit(0))
+    return assumed.join(per_trade, "trade_id", "left").select(
+        "trade_id",
+        (n == 0).alias("legal"),
+        (F.col("n_assumptions") > 0).alias("conditional"),
+        n.alias("n_violations"),
+        "n_assumptions",
+        "codes",
+    )
+
+
+def citation_rows(spark) -> DataFrame:
+    """Seven rows: what each violation code cites."""
+    return spark.createDataFrame(
+        [(code, *c) for code, c in K.CITATIONS.items()],
+        "code string, article string, section string, page bigint, title string",
+    )
+
+
+def with_citation(found: DataFrame) -> DataFrame:
+    return found.join(F.broadcast(citation_rows(found.sparkSession)), "code", "left")
+
+
+def trade_sides(legs: DataFrame) -> DataFrame:
+    """Each side before and after, measured again on the new totals."""
+    delta = F.col("incoming_base") - F.col("outgoing")
+    return legs.select(
+        "trade_id", "team",
+        F.col("cap_salary").alias("before_cap"),
+        F.col("apron_salary").alias("before_apron"),
+        F.col("status").alias("before_status"),
+        (F.col("cap_salary") + delta).alias("after_cap"),
+        (F.col("apron_salary") + delta).alias("after_apron"),
+        R.apron_status(
+            F.col("cap_salary") + delta, F.col("apron_salary") + delta, F.col("salary_cap"),
+            F.col("tax_level"), F.col("first_apron"), F.col("second_apron"),
+        ).alias("after_status"),
+        (F.col("standard_count") - F.col("n_sends") + F.col("n_receives")).alias("after_contracts"),
+    )

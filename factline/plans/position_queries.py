@@ -173,8 +173,9 @@ def d15(v):
     )
 
 
-LATER = """SELECT team, first_season AS season, season AS later, CAST(sum(cap_figure) AS BIGINT) AS total,
- dense_rank() OVER (PARTITION BY team, first_season ORDER BY season) AS "column" FROM f_years WHERE season > first_season GROUP BY ALL"""
+LATER = """SELECT *, dense_rank() OVER (PARTITION BY team, season ORDER BY later) AS "column" FROM (
+ SELECT team, first_season AS season, season AS later, CAST(sum(cap_figure) AS BIGINT) AS total
+ FROM f_years WHERE season > first_season GROUP BY ALL)"""
 
 
 @REG.add("d16_later_totals", f"SELECT * FROM ({LATER}) WHERE \"column\" <= 4")

@@ -31,26 +31,26 @@ def tidy(df: DataFrame) -> DataFrame:
 def with_views(sql: str) -> str:
     """Prepend the derived views a statement names, in dependency order."""
     needed: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name in sorted(set(re.findall(r"\bf_\w+", text))):
-            if name in VIEWS and name not in needed:
+            if name in VIEWS and name not in seen:
+                seen.add(name)
                 visit(VIEWS[name])
-                if name not in needed:
-                    needed.append(name)
+                needed.append(name)
 
     visit(sql)
     body = sql.strip()
     if not needed:
         return body
     views = ",\n".join(f"{n} AS (\n{VIEWS[n].strip()}\n)" for n in needed)
-    if re.match(r"with\s+recursive\s", body, re.I):
-        rest = re.sub(r"^with\s+recursive\s", "", body, flags=re.I)
-        return f"WITH RECURSIVE {views},\n{rest}"
-    if re.match(r"with\s", body, re.I):
-        rest = re.sub(r"^with\s", "", body, flags=re.I)
-        return f"WITH {views},\n{rest}"
-    return f"WITH {views}\n{body}"
+    own = re.match(r"with\s+(recursive\s)?", body, re.I)
+    recursive = "f_parts" in needed or (own is not None and own.group(1) is not None)
+    head = "WITH RECURSIVE" if recursive else "WITH"
+    if own:
+        return f"{head} {views},\n{body[own.end():]}"
+    return f"{head} {views}\n{body}"
 
 
 class Registry:

@@ -24,6 +24,12 @@ def cents(c: Column) -> Column:
     return F.round(c * 100).cast("bigint")
 
 
+def kicker_state() -> Column:
+    return (
+        F.when(F.col("tax") == 0, "absent").when(F.col("disc") == 0, "unknown").otherwise("known")
+    )
+
+
 class Views(Tables):
     # -- dimensions --------------------------------------------------------
 
@@ -110,10 +116,7 @@ class Views(Tables):
             .withColumn(
                 "option_kind", F.when(F.col("flag") == "A", "player").when(F.col("flag") == "R", "team")
             )
-            .withColumn(
-                "kicker_state",
-                F.when(F.col("tax") == 0, "absent").when(F.col("disc") == 0, "unknown").otherwise("known"),
-            )
+            .withColumn("kicker_state", kicker_state())
             .withColumn(
                 "ntc_state",
                 F.when(F.col("flag") == "A", "unknown")
@@ -310,29 +313,62 @@ class Views(Tables):
         return position.team_state(self.ledger, self.seasons, self.ceilings)
 
     @property
-    def moves(self) -> DataFrame:
+    def move_shapes(self) -> DataFrame:
         """Orders as trades: every line leaves its team for the order's other end."""
-        c = self.contract_seasons
         ends = self.lineitem.groupBy(F.col("l_orderkey").alias("order_id")).agg(
             F.min("l_suppkey").alias("lo"), F.max("l_suppkey").alias("hi")
         )
-        return c.join(ends, "order_id").select(
+        team = F.col("team")
+        return self.lines.join(ends, "order_id").select(
             F.col("order_id").alias("trade_id"),
-            "season", "season_id",
-            F.date_add("as_of", 120).alias("trade_date"),
             "contract_id", "player",
-            F.col("team").alias("from_team"),
-            F.when(F.col("team") == F.col("hi"), F.col("lo")).otherwise(F.col("hi")).alias("to_team"),
+            team.alias("from_team"),
+            F.when(team == F.col("hi"), F.col("lo")).otherwise(F.col("hi")).alias("to_team"),
             F.col("cap_figure").alias("amount"),
-            "kicker_state", "pct", "signed_date",
+            kicker_state().alias("kicker_state"),
+            "pct", "signed_date",
         )
 
+    def _dated(self, shapes: DataFrame) -> DataFrame:
+        d = F.col("o_orderdate").cast("date")
+        season = R.season_start(d)
+        o = self.orders.select(
+            F.col("o_orderkey").alias("trade_id"),
+            season.alias("season"),
+            R.season_id_of(season).alias("season_id"),
+            F.date_add(d, 120).alias("trade_date"),
+        )
+        return shapes.join(o, "trade_id")
+
+    @property
+    def moves(self) -> DataFrame:
+        return self._dated(self.move_shapes)
+
     @property
     def valid_moves(self) -> DataFrame:
-        m = self.moves
-        return m.join(trades.trade_errors(m).where("error is null").select("trade_id"), "trade_id")
+        """Moves of well-formed trades; everything here is keyed by the trade, so the
+        shape check, the orders and the moves share one partitioning."""
+        m = self.move_shapes
+        good = trades.trade_errors(m).where("error is null").select("trade_id")
+        return self._dated(m.join(good, "trade_id"))
 
     @property
     def legs(self) -> DataFrame:
         """One row per (trade, team) of well-formed trades, with the team's position."""
         return trades.leg_states(trades.leg_totals(self.valid_moves), self.positions, BASE_CAP)
+
+    @property
+    def asked(self) -> DataFrame:
+        """(team, season, player) questions: the holding team, and the one after it."""
+        return self.contract_seasons.select(
+            "season", "player", F.explode(F.array(F.col("team"), F.col("team") + 1)).alias("team")
+        ).distinct()
+
+    @property
+    def held(self) -> DataFrame:
+        """The first contract of each (team, season, player)."""
+        first = ("cap_figure", "kicker_state", "ntc_state", "signed_date", "contract_type")
+        return self.contract_seasons.groupBy("team", "season", "player").agg(
+            *[F.min_by(c, "contract_id").alias(c) for c in first],
+            F.min("contract_id").alias("contract_id"),
+        )

@@ -196,5 +196,104 @@ SELECT * FROM (
       FROM part WHERE contains(p_name, split_part(r.request, ' ', -1))) n
     QUALIFY n.how = min(n.how) OVER (PARTITION BY r.request)))
 WHERE how = 'exact' OR rank <= 8
+""",
+    "f_parts": """
+SELECT 0 AS n, []::BIGINT[] AS masks
+UNION ALL
+SELECT n + 1, CASE WHEN k <= len(masks)
+  THEN list_transform(masks, lambda m, i: CASE WHEN i = k THEN m + CAST(pow(2, n) AS BIGINT) ELSE m END)
+  ELSE list_append(masks, CAST(pow(2, n) AS BIGINT)) END
+FROM f_parts, range(1, 10) t(k) WHERE n < 8 AND k <= len(masks) + 1
 """,
 }
+
+
+def group_allowance(x: str, single: str, cushion: str, cap: str, no_e: str, no_a: str) -> str:
+    """The most one exception permits against a group summing to x."""
+    return (
+        f"greatest(CASE WHEN {single} OR NOT ({no_a}) THEN {x} + {cushion} ELSE 0 END, "
+        f"CASE WHEN {no_e} THEN 0 ELSE greatest(least({x} * 2 + {cushion}, "
+        f"{x} + CAST(trunc({cap}::DOUBLE * 7500000 / 440000000) AS BIGINT)), "
+        f"CAST(trunc({x} * 1.25::DOUBLE) AS BIGINT) + {cushion}) END)"
+    )
+
+
+def _structure(no_e: str, no_a: str, name: str) -> str:
+    each = group_allowance("z[2]", "bit_count(z[1]) = 1", "cushion", "salary_cap", no_e, no_a)
+    whole = group_allowance("whole", "false", "cushion", "salary_cap", no_e, no_a)
+    single = group_allowance("x", "true", "cushion", "salary_cap", no_e, no_a)
+    return f"""
+SELECT trade_id, team, max(CASE WHEN n <= 8 THEN list_sum(list_transform(list_zip(masks, sums), lambda z: {each}))
+  ELSE greatest({whole}, list_sum(list_transform(vals, lambda x: {single}))) END)::BIGINT AS {name}
+FROM f_splits GROUP BY trade_id, team
+"""
+
+
+_TRANSITION = "(CASE WHEN season_id = '1998-1999' THEN CAST(trunc(outgoing * 1.10::DOUBLE) AS BIGINT) + cushion END)"
+_EXPANDED = (
+    "greatest(least(outgoing * 2 + cushion, outgoing + CAST(trunc(salary_cap::DOUBLE * 7500000 / base_cap) AS BIGINT)), "
+    "CAST(trunc(outgoing * 1.25::DOUBLE) AS BIGINT) + cushion)"
+)
+
+
+def _best(no_t: str, no_e: str, no_a: str) -> str:
+    return f"""CASE WHEN cap_room > 0 AND incoming <= cap_room + cushion THEN 'room'
+ WHEN n_sends < 2 AND incoming <= outgoing + cushion THEN 'standard'
+ WHEN n_sends >= 2 AND NOT ({no_a}) AND incoming <= outgoing + cushion THEN 'aggregated'
+ WHEN NOT ({no_t}) AND incoming <= {_TRANSITION} THEN 'transition'
+ WHEN NOT ({no_e}) AND incoming <= {_EXPANDED} THEN 'expanded' END"""
+
+
+VIEWS["f_need"] = f"""
+SELECT *, {_best('bar_g', 'bar_e', 'bar_h')} AS kind_barred, {_best('false', 'false', 'false')} AS kind_free FROM (
+SELECT *, post_salary > first_apron AS bar_e,
+ post_salary > first_apron AND season_id <> '1998-1999' AS bar_g,
+ post_salary > second_apron AND season_id <> '1998-1999' AS bar_h
+FROM f_legs WHERE incoming > outgoing)
+"""
+VIEWS["f_splits"] = """
+SELECT s.*, p.masks, list_transform(p.masks, lambda m: list_sum(list_transform(s.vals, lambda x, i: CASE WHEN (m >> (i - 1)) & 1 = 1 THEN x ELSE 0 END))::BIGINT) AS sums
+FROM (SELECT n.trade_id, n.team, n.cushion, n.salary_cap, n.bar_e, n.bar_h, count(*) AS n, sum(amount)::BIGINT AS whole,
+        list(amount ORDER BY contract_id) AS vals
+      FROM f_need n JOIN f_move_legs l ON l.trade_id = n.trade_id AND l.team = n.team AND l.direction = 'send' AND l.amount > 0
+      WHERE n.kind_barred IS NULL AND n.n_sends > 1 GROUP BY ALL) s
+LEFT JOIN f_parts p ON p.n = s.n
+"""
+VIEWS["f_structure_barred"] = _structure("bar_e", "bar_h", "total_barred")
+VIEWS["f_structure_free"] = _structure("false", "false", "total_free")
+VIEWS["f_matching"] = """
+SELECT n.trade_id, n.team, n.outgoing, n.incoming, n.post_salary,
+ CASE WHEN n.kind_barred IS NOT NULL OR n.incoming <= b.total_barred THEN NULL
+      WHEN (n.bar_e OR n.bar_g OR n.bar_h) AND (n.kind_free IS NOT NULL OR n.incoming <= f.total_free) THEN 'apron_transaction_barred'
+      ELSE 'no_exception_available' END AS code,
+ CASE WHEN n.kind_barred IS NOT NULL THEN n.kind_barred WHEN n.incoming <= b.total_barred THEN 'structure' END AS used
+FROM f_need n LEFT JOIN f_structure_barred b ON b.trade_id = n.trade_id AND b.team = n.team
+LEFT JOIN f_structure_free f ON f.trade_id = n.trade_id AND f.team = n.team
+"""
+VIEWS["f_violations"] = """
+SELECT trade_id, team, code, CAST(NULL AS BIGINT) AS subject FROM f_matching WHERE code IS NOT NULL
+UNION ALL SELECT trade_id, team, 'hard_cap_ceiling_exceeded', NULL FROM f_legs WHERE post_salary > ceiling_amount
+UNION ALL SELECT trade_id, team, 'roster_maximum_exceeded', NULL FROM f_legs WHERE standard_count - n_sends + n_receives > 15
+UNION ALL SELECT s.trade_id, s.team, 'aggregation_two_month_bar', s.player FROM f_move_legs s JOIN f_legs l ON l.trade_id = s.trade_id AND l.team = s.team
+ WHERE s.direction = 'send' AND l.n_sends >= 2 AND s.trade_date - s.signed_date < 60
+UNION ALL SELECT s.trade_id, s.team, 'player_trade_restricted', s.player FROM f_move_legs s
+ WHERE s.direction = 'send' AND EXISTS (SELECT 1 FROM f_restrictions r WHERE r.player = s.player AND r.blocks_trade AND (r.expires IS NULL OR s.trade_date <= r.expires))
+"""
+VIEWS["f_inventory"] = """
+SELECT DISTINCT team, year FROM (SELECT original_team AS team, year FROM f_picks UNION ALL SELECT owner, year FROM f_picks)
+"""
+VIEWS["f_pick_years"] = """
+SELECT s.team, s.year, coalesce(h.held, false) AS held, coalesce(h.held, false) AND coalesce(h.lost, false) AS lost
+FROM (SELECT team, unnest(range(min(year), max(year) + 1)) AS year FROM f_inventory GROUP BY team) s
+LEFT JOIN (SELECT owner AS team, year, true AS held, bool_and(owner <> original_team AND protected_to > 0) AS lost
+           FROM f_picks WHERE NOT forfeited GROUP BY ALL) h ON h.team = s.team AND h.year = s.year
+"""
+VIEWS["f_asked"] = """
+SELECT DISTINCT season, player, unnest([team, team + 1]) AS team FROM f_contract_seasons
+"""
+VIEWS["f_held"] = """
+SELECT team, season, player, min(contract_id) AS contract_id, arg_min(cap_figure, contract_id) AS cap_figure,
+ arg_min(kicker_state, contract_id) AS kicker_state, arg_min(ntc_state, contract_id) AS ntc_state,
+ arg_min(signed_date, contract_id) AS signed_date, arg_min(contract_type, contract_id) AS contract_type
+FROM f_contract_seasons GROUP BY team, season, player
+"""

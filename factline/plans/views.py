@@ -138,7 +138,7 @@ class Views(Tables):
         last = F.least(F.col("line_no"), F.lit(5)).cast("int") - 1
         return (
             self.contract_seasons.select(
-                "contract_id", "team", "player", "option_kind", "signed_date", "flag",
+                "contract_id", "team", "player", "option_kind", "signed_date", "flag", "disc",
                 F.col("season").alias("first_season"), "cap_figure",
                 F.explode(F.sequence(F.lit(0), last)).alias("k"),
             )
@@ -372,3 +372,23 @@ class Views(Tables):
             *[F.min_by(c, "contract_id").alias(c) for c in first],
             F.min("contract_id").alias("contract_id"),
         )
+
+    @property
+    def spans(self) -> DataFrame:
+        """Events as trace spans: 64 consecutive events are one trace, each span has up to
+        four children. The tree is arithmetic, so no trace needs its rows gathered."""
+        event = F.col("event_id")
+        trace, local = F.floor(event / 64).cast("bigint"), event % 64
+        kinds = {"signup": "agent", "view": "retriever", "click": "event", "purchase": "generation"}
+        kind = F.lit("tool")
+        for name, as_kind in kinds.items():
+            kind = F.when(F.col("event_type") == name, as_kind).otherwise(kind)
+        return self.events.select(
+            trace.alias("trace_id"),
+            event.alias("span_id"),
+            F.when(local > 0, trace * 64 + F.floor((local - 1) / 4)).cast("bigint").alias("parent_id"),
+            kind.alias("kind"),
+            F.col("event_type").alias("name"),
+            F.col("ts").alias("started_at"),
+            "value",
+        )

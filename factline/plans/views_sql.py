@@ -47,7 +47,7 @@ FROM f_lines l JOIN (
   FROM orders) o ON l.order_id = o.o_orderkey
 """,
     "f_years": """
-SELECT contract_id, team, player, option_kind, signed_date, flag, season AS first_season,
+SELECT contract_id, team, player, option_kind, signed_date, flag, disc, season AS first_season,
        k, season + k AS season,
        cap_figure + cap_figure * 5 * k // 100 AS cap_figure,
        CASE WHEN k = 0 THEN 'full' WHEN flag = 'A' THEN 'partial' WHEN flag = 'R' THEN 'none'
@@ -297,3 +297,10 @@ SELECT team, season, player, min(contract_id) AS contract_id, arg_min(cap_figure
  arg_min(signed_date, contract_id) AS signed_date, arg_min(contract_type, contract_id) AS contract_type
 FROM f_contract_seasons GROUP BY team, season, player
 """
+VIEWS["f_spans"] = """
+SELECT event_id // 64 AS trace_id, event_id AS span_id,
+ CASE WHEN event_id % 64 > 0 THEN event_id // 64 * 64 + (event_id % 64 - 1) // 4 END AS parent_id,
+ CASE event_type WHEN 'signup' THEN 'agent' WHEN 'view' THEN 'retriever' WHEN 'click' THEN 'event' WHEN 'purchase' THEN 'generation' ELSE 'tool' END AS kind,
+ event_type AS name, ts AS started_at, value
+FROM events
+"""

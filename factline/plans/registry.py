@@ -46,7 +46,7 @@ def with_views(sql: str) -> str:
         return body
     views = ",\n".join(f"{n} AS (\n{VIEWS[n].strip()}\n)" for n in needed)
     own = re.match(r"with\s+(recursive\s)?", body, re.I)
-    recursive = "f_parts" in needed or (own is not None and own.group(1) is not None)
+    recursive = bool({"f_parts", "f_reached"} & set(needed)) or (own is not None and own.group(1) is not None)
     head = "WITH RECURSIVE" if recursive else "WITH"
     if own:
         return f"{head} {views},\n{body[own.end():]}"

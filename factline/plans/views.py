@@ -11,13 +11,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factline.functions import rules as R
-from factline.operators import position, trades
+from factline.functions import names as N
+from factline.functions import text as X
+from factline.operators import documents, position, trades
 from factline.sources.tables import Tables
 
 # The agreement the derived seasons are judged under.
 RULES = R.RuleSet(transition_season="1998-1999", base_season="1997-1998")
 FIRST_SEASON, LAST_SEASON = 1994, 2002
 BASE_CAP = 440_000_000
+# Passages of the derived outlines are short; so is their ceiling.
+CHUNK_CHARS = 600
 
 
 def cents(c: Column) -> Column:
@@ -392,3 +396,110 @@ class Views(Tables):
             F.col("ts").alias("started_at"),
             "value",
         )
+
+    # -- documents ---------------------------------------------------------
+
+    @property
+    def docs(self) -> DataFrame:
+        """Documents in plain letters: white space collapsed per line, empty lines gone."""
+        lines = F.filter(
+            F.transform(F.split(N.fold_ascii(F.col("text")), "\n"), X.squash), lambda x: x != ""
+        )
+        return self.documents.select("doc_id", F.array_join(lines, "\n").alias("text"), "lang", "source")
+
+    @property
+    def doc_lines(self) -> DataFrame:
+        return self.docs.select(
+            "doc_id",
+            F.posexplode(F.split("text", "\n")).alias("idx", "line"),
+            (F.length("text") + 1).cast("bigint").alias("doc_end"),
+        ).withColumn("idx", F.col("idx").cast("bigint"))
+
+    @property
+    def units(self) -> DataFrame:
+        """Lines as an outline: the first is the article, the rest sections and markers."""
+        doc = W.partitionBy("doc_id").orderBy("idx")
+        size = F.length("line")
+        level = F.when(F.col("idx") == 0, 1).otherwise(2 + size % 3)
+
+        def count(n: int, *inside: str) -> Column:
+            w = W.partitionBy("doc_id", *inside).orderBy("idx")
+            return F.sum(F.when(F.col("level") == n, 1).otherwise(0)).over(w)
+
+        words = F.split(F.trim(F.regexp_replace("line", "[^A-Za-z]+", " ")), " ")
+        first2 = F.initcap(F.array_join(F.slice(words, 1, 2), " "))
+        first1 = F.initcap(F.array_join(F.slice(words, 1, 1), " "))
+        m3 = F.col("m3")
+        letter = F.expr("repeat(char(97 + (m3 - 1) % 26), cast((m3 - 1) div 26 + 1 as int))")
+        inner = F.concat(F.lit("("), letter, F.lit(")"))
+        number = F.concat(F.lit("("), ((F.col("m4") - 1) % 5 + 1).cast("string"), F.lit(")"))
+        own = F.when(F.col("level") == 3, inner).when(F.col("level") == 4, number).otherwise("")
+        df = (
+            documents.page_starts(self.doc_lines)
+            .withColumn("level", level.cast("bigint"))
+            .withColumn("sec", count(2))
+            .withColumn("m3", count(3, "sec"))
+            .withColumn("m4", count(4, "sec", "m3"))
+            .withColumn("first1", first1)
+            .withColumn("first2", first2)
+        )
+        section = F.when((F.col("sec") > 0) & (F.col("level") > 1), F.col("sec").cast("string"))
+        markers = F.when((F.col("level") == 4) & (m3 > 0), F.concat(inner, number)).otherwise(own)
+        line = F.col("line")
+        title = (
+            F.when(F.col("level") == 1, F.concat(F.lit("Article VII "), line))
+            .when(F.col("level") == 2, F.concat(F.lit("Section "), F.col("sec").cast("string"), F.lit(". "), F.col("first2"), F.lit(". "), line))
+            .when(F.col("level") == 3, F.concat(inner, F.lit(" "), F.col("first2"), F.lit(": "), line))
+            .otherwise(F.concat(number, F.lit(" "), line))
+        )
+        quoted = lambda c: F.concat(F.lit("“"), c, F.lit("”"))
+        body = (
+            F.when((F.col("level") == 3) & (size % 2 == 0), F.concat(own, F.lit(" "), quoted(F.col("first2")), F.lit(" means "), line))
+            .when(F.col("level") == 3, F.concat(own, F.lit(" The term "), quoted(F.col("first2")), F.lit(" or "), quoted(F.col("first1")), F.lit(" shall mean "), line))
+            .when((F.col("level") == 4) & (size % 4 == 0), F.concat(own, F.lit(" "), quoted(F.col("first2")), F.lit(" (see "), quoted(F.col("first1")), F.lit(") "), line))
+            .otherwise(line)
+        )
+        refs = (
+            F.when(F.col("level") == 1, " See Article X, Section 1 and Section 2.")
+            .when(F.col("level") == 2, F.concat(F.lit(" Under Article VII, Section "), (size % 4 + 1).cast("string"), F.lit("(a)(2) and Section 401(a) of the Code.")))
+            .when(F.col("level") == 3, F.concat(F.lit(" As in Section "), (size % 6 + 1).cast("string"), F.lit("(b)(1)(i).")))
+            .otherwise(" Section 302(c)(5) of the Labor Management Relations Act of 1947, Section 1(a).")
+        )
+        return df.select(
+            "doc_id", "idx", "level", "line", "start", "doc_end",
+            F.lit("VII").alias("article"),
+            section.alias("section"),
+            F.when(section.isNotNull(), markers).otherwise(F.lit("")).alias("markers"),
+            title.alias("title"), body.alias("body"), F.concat(line, refs).alias("ref_body"),
+            (F.col("level") == 2).alias("is_section"),
+            F.when(F.col("sec") > 0, 2).alias("section_level"),
+        ).withColumn(
+            "citation",
+            documents.citation(F.col("article"), F.col("section"), F.col("markers"), F.col("title")),
+        )
+
+    @property
+    def outlined(self) -> DataFrame:
+        return documents.outline(self.units)
+
+    @property
+    def chunks(self) -> DataFrame:
+        return documents.with_ordinal(documents.chunk_spans(self.outlined, CHUNK_CHARS))
+
+    @property
+    def definitions(self) -> DataFrame:
+        return documents.extract_definitions(self.units.where("level > 2 and section is not null"))
+
+    @property
+    def definition_names(self) -> DataFrame:
+        return documents.definition_names(self.units.where("level > 2 and section is not null"))
+
+    @property
+    def refs(self) -> DataFrame:
+        return documents.resolve_refs(
+            documents.extract_refs(self.units.withColumn("body", F.col("ref_body"))), self.units
+        )
+
+    @property
+    def edges(self) -> DataFrame:
+        return self.refs.where("found").select("doc_id", "source", "target")

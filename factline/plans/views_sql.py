@@ -304,3 +304,100 @@ SELECT event_id // 64 AS trace_id, event_id AS span_id,
  event_type AS name, ts AS started_at, value
 FROM events
 """
+_CAP = "array_to_string(list_transform({w}, lambda x: upper(x[1]) || lower(x[2:])), ' ')"
+VIEWS["f_docs"] = r"""
+SELECT doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g'), chr(10)),
+  lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text, lang, source FROM documents
+"""
+VIEWS["f_doc_lines"] = """
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS idx, ls[i] AS line, doc_end FROM (
+ SELECT doc_id, string_split(text, chr(10)) AS ls, CAST(length(text) + 1 AS BIGINT) AS doc_end, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM f_docs)
+"""
+VIEWS["f_units"] = f"""
+SELECT *, CASE WHEN section IS NULL THEN 'Art. VII' ELSE 'Art. VII §' || section || markers END AS citation FROM (
+SELECT doc_id, idx, level, line, start, doc_end, 'VII' AS article, is_section, section_level,
+ CASE WHEN sec > 0 AND level > 1 THEN CAST(sec AS VARCHAR) END AS section,
+ CASE WHEN sec > 0 AND level > 1 THEN CASE WHEN level = 4 AND m3 > 0 THEN letter || number WHEN level = 3 THEN letter WHEN level = 4 THEN number ELSE '' END ELSE '' END AS markers,
+ CASE level WHEN 1 THEN 'Article VII ' || line WHEN 2 THEN 'Section ' || sec || '. ' || first2 || '. ' || line WHEN 3 THEN letter || ' ' || first2 || ': ' || line ELSE number || ' ' || line END AS title,
+ CASE WHEN level = 3 AND length(line) % 2 = 0 THEN letter || ' “' || first2 || '” means ' || line
+  WHEN level = 3 THEN letter || ' The term “' || first2 || '” or “' || first1 || '” shall mean ' || line
+  WHEN level = 4 AND length(line) % 4 = 0 THEN number || ' “' || first2 || '” (see “' || first1 || '”) ' || line ELSE line END AS body,
+ line || CASE level WHEN 1 THEN ' See Article X, Section 1 and Section 2.' WHEN 2 THEN ' Under Article VII, Section ' || (length(line) % 4 + 1) || '(a)(2) and Section 401(a) of the Code.'
+  WHEN 3 THEN ' As in Section ' || (length(line) % 6 + 1) || '(b)(1)(i).' ELSE ' Section 302(c)(5) of the Labor Management Relations Act of 1947, Section 1(a).' END AS ref_body, first1, first2
+FROM (SELECT *, level = 2 AS is_section, CASE WHEN sec > 0 THEN 2 END AS section_level, '(' || repeat(chr(CAST(97 + (m3 - 1) % 26 AS INTEGER)), CAST((m3 - 1) // 26 + 1 AS BIGINT)) || ')' AS letter,
+  '(' || ((m4 - 1) % 5 + 1) || ')' AS number FROM (
+ SELECT *, CAST(sum(CASE WHEN level = 4 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sec, m3 ORDER BY idx) AS BIGINT) AS m4 FROM (
+ SELECT *, CAST(sum(CASE WHEN level = 3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sec ORDER BY idx) AS BIGINT) AS m3 FROM (
+ SELECT *, CAST(sum(CASE WHEN level = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx) AS BIGINT) AS sec,
+  {_CAP.format(w='words[1:2]')} AS first2, {_CAP.format(w='words[1:1]')} AS first1 FROM (
+ SELECT doc_id, idx, line, doc_end, CAST(CASE WHEN idx = 0 THEN 1 ELSE 2 + length(line) % 3 END AS BIGINT) AS level,
+  CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+  string_split(trim(regexp_replace(line, '[^A-Za-z]+', ' ', 'g')), ' ') AS words FROM f_doc_lines))))))
+"""
+VIEWS["f_outline"] = """
+SELECT u.*, coalesce((SELECT min(n.start) FROM f_units n WHERE n.doc_id = u.doc_id AND n.idx > u.idx), u.doc_end) AS own_end,
+ coalesce((SELECT min(n.start) FROM f_units n WHERE n.doc_id = u.doc_id AND n.idx > u.idx AND n.level <= u.level), u.doc_end) AS subtree_end,
+ (SELECT max(n.idx) FROM f_units n WHERE n.doc_id = u.doc_id AND n.idx < u.idx AND n.level < u.level) AS parent
+FROM f_units u
+"""
+VIEWS["f_inside"] = """
+SELECT o.doc_id, o.idx, min(n.level) AS child_level, min(n.start) FILTER (n.level = m.lv) AS first_child
+FROM f_outline o JOIN (SELECT o.doc_id, o.idx, min(n.level) AS lv FROM f_outline o JOIN f_units n ON n.doc_id = o.doc_id AND n.start > o.start AND n.start < o.subtree_end GROUP BY ALL) m
+ ON m.doc_id = o.doc_id AND m.idx = o.idx
+JOIN f_units n ON n.doc_id = o.doc_id AND n.start > o.start AND n.start < o.subtree_end GROUP BY ALL
+"""
+VIEWS["f_reached"] = """
+SELECT o.doc_id, o.idx, o.start, o.subtree_end, caps.cap FROM f_outline o, (SELECT unnest([600, 300, 1200]) AS cap) caps WHERE o.is_section AND o.section IS NOT NULL
+UNION ALL
+SELECT c.doc_id, c.idx, c.start, c.subtree_end, r.cap FROM f_reached r JOIN f_inside i ON i.doc_id = r.doc_id AND i.idx = r.idx
+ JOIN f_outline c ON c.doc_id = r.doc_id AND c.start > r.start AND c.start < r.subtree_end AND c.level = i.child_level
+WHERE r.subtree_end - r.start - 1 > r.cap
+"""
+VIEWS["f_all_chunks"] = """
+SELECT r.cap, o.doc_id, o.idx, o.citation, o.level, o.start, CASE WHEN r.subtree_end - r.start - 1 > r.cap AND i.idx IS NOT NULL THEN i.first_child ELSE o.subtree_end END AS "end",
+ r.subtree_end - r.start - 1 > r.cap AND i.idx IS NOT NULL AS preamble
+FROM f_reached r JOIN f_outline o ON o.doc_id = r.doc_id AND o.idx = r.idx LEFT JOIN f_inside i ON i.doc_id = r.doc_id AND i.idx = r.idx
+"""
+VIEWS["f_chunks"] = """
+SELECT *, "end" - start - 1 > cap AS oversized, row_number() OVER (PARTITION BY doc_id, citation ORDER BY start, idx) AS ordinal
+FROM f_all_chunks WHERE cap = 600
+"""
+VIEWS["f_by_citation"] = """
+SELECT doc_id, citation, min(start) AS start, arg_min(idx, start) AS idx, arg_min(subtree_end, start) AS subtree_end FROM f_outline GROUP BY ALL
+"""
+VIEWS["f_ancestors"] = r"""
+SELECT doc_id, citation, d AS depth, head || array_to_string(list_transform(ms[1:len(ms) - d], lambda m: '(' || m || ')'), '') AS candidate
+FROM (SELECT doc_id, citation, ms, head, unnest(range(0, len(ms) + 1)) AS d FROM (
+ SELECT doc_id, citation, regexp_extract_all(citation, '\(([A-Za-z0-9]{1,5})\)', 1) AS ms, split_part(citation, '(', 1) AS head FROM f_cited))
+"""
+VIEWS["f_raw_refs"] = r"""
+SELECT DISTINCT doc_id, source, 'Art. ' || CASE WHEN a <> '' THEN a ELSE 'VII' END || ' §' || s || coalesce(m, '') AS wanted FROM (
+ SELECT doc_id, citation AS source, unnest(regexp_extract_all(ref_body, P, 1)) AS a, unnest(regexp_extract_all(ref_body, P, 2)) AS s,
+  unnest(regexp_extract_all(ref_body, P, 3)) AS m, unnest(regexp_extract_all(ref_body, P, 4)) AS ext FROM f_units) WHERE coalesce(ext, '') = ''
+""".replace("P,", r"'(?:Article\s+([IVXLC]+),?\s+)?Section\s+(\d+)((?:\([A-Za-z0-9]{1,5}\))*)(\s*of\s+(?:the\s+)?(?:[A-Z][\w.-]*\s+){0,6}(?:Code|Act|Act\s+of\s+\d{4})\b)?',")
+VIEWS["f_cited"] = "SELECT DISTINCT doc_id, wanted AS citation FROM f_raw_refs"
+VIEWS["f_resolved"] = """
+SELECT c.doc_id, c.citation, arg_min(a.candidate, a.depth) FILTER (k.citation IS NOT NULL) AS resolved, min(a.depth) FILTER (k.citation IS NOT NULL) AS dropped
+FROM f_cited c JOIN f_ancestors a ON a.doc_id = c.doc_id AND a.citation = c.citation
+LEFT JOIN (SELECT DISTINCT doc_id, citation FROM f_units) k ON k.doc_id = a.doc_id AND k.citation = a.candidate GROUP BY ALL
+"""
+VIEWS["f_refs"] = """
+SELECT r.doc_id, r.source, coalesce(x.resolved, r.wanted) AS target, bool_or(x.resolved IS NOT NULL) AS found
+FROM f_raw_refs r JOIN f_resolved x ON x.doc_id = r.doc_id AND x.citation = r.wanted WHERE coalesce(x.resolved, r.wanted) <> r.source GROUP BY ALL
+"""
+VIEWS["f_definitions"] = """
+SELECT doc_id, first2 AS term, min(idx) AS idx, arg_min(citation, idx) AS citation,
+ arg_min(CASE WHEN length(line) % 2 = 0 THEN NULL ELSE first1 END, idx) AS raw_alias,
+ arg_min(CASE WHEN length(line) % 2 = 0 THEN [] ELSE [first1] END, idx) AS aliases
+FROM f_units WHERE level = 3 AND section IS NOT NULL AND first2 <> '' GROUP BY ALL
+"""
+VIEWS["f_definition_names"] = """
+WITH d AS (SELECT doc_id, term AS name, term, 0 AS p, idx FROM f_definitions UNION ALL SELECT doc_id, unnest(aliases), term, 1, idx FROM f_definitions),
+ direct AS (SELECT doc_id, name, arg_min(term, p * 1000000 + idx) AS term FROM d GROUP BY ALL),
+ ptr AS (SELECT doc_id, first2 AS name, arg_max(first1, idx) AS target, min(idx) AS idx FROM f_units WHERE level = 4 AND length(line) % 4 = 0 AND section IS NOT NULL AND first2 <> '' GROUP BY ALL),
+ one AS (SELECT p.doc_id, p.name, t.term, p.idx FROM ptr p JOIN direct t ON t.doc_id = p.doc_id AND t.name = p.target
+   WHERE NOT EXISTS (SELECT 1 FROM direct x WHERE x.doc_id = p.doc_id AND x.name = p.name)),
+ two AS (SELECT p.doc_id, p.name, o.term FROM ptr p JOIN one o ON o.doc_id = p.doc_id AND o.name = p.target AND o.idx < p.idx
+   WHERE NOT EXISTS (SELECT 1 FROM direct x WHERE x.doc_id = p.doc_id AND x.name = p.name) AND NOT EXISTS (SELECT 1 FROM one x WHERE x.doc_id = p.doc_id AND x.name = p.name))
+SELECT * FROM direct UNION ALL SELECT doc_id, name, term FROM one UNION ALL SELECT * FROM two
+"""

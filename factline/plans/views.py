@@ -503,3 +503,56 @@ class Views(Tables):
     @property
     def edges(self) -> DataFrame:
         return self.refs.where("found").select("doc_id", "source", "target")
+
+    # -- trades as text ----------------------------------------------------
+
+    @property
+    def leg_text(self) -> DataFrame:
+        """Each leg of a well-formed trade as the text a tracker prints for it.
+
+        A well-formed trade has at most sixteen moves, so what is gathered per leg is bounded.
+        """
+        m = self.valid_moves
+        money = lambda c: F.concat(F.lit("$"), F.format_number(c, 0))
+        blocks = (
+            m.groupBy("trade_id", F.col("to_team").alias("team"), "from_team")
+            .agg(
+                F.array_join(
+                    F.transform(
+                        F.array_sort(F.collect_list(F.struct("contract_id", "amount"))),
+                        lambda x: F.concat(F.lit("· "), money(x["amount"]), F.lit(" ")),
+                    ),
+                    "",
+                ).alias("t")
+            )
+            .groupBy("trade_id", "team")
+            .agg(
+                F.array_join(
+                    F.transform(
+                        F.array_sort(F.collect_list(F.struct("from_team", "t"))),
+                        lambda x: F.concat(F.lit("From T"), x["from_team"].cast("string"), F.lit(": "), x["t"]),
+                    ),
+                    "",
+                ).alias("named"),
+                F.first("t").alias("only"),
+            )
+        )
+        base = trades.leg_totals(m).join(blocks, ["trade_id", "team"], "left")
+        sides = m.groupBy("trade_id").agg(
+            F.count_distinct("from_team").alias("n_teams")
+        )
+        off = F.when((F.col("season") == 1996) & (F.col("n_receives") >= 4), 1000).otherwise(0)
+        total = F.col("incoming_base") + off
+        change = total - F.col("outgoing")
+        head = F.when(F.col("n_teams") == 2, F.col("only")).otherwise(F.col("named"))
+        return base.join(sides, "trade_id").select(
+            "trade_id", "team", F.col("trade_date").alias("date"),
+            F.concat(
+                F.coalesce(head, F.lit("")),
+                F.when(F.col("n_receives") >= 3, "2027 1st round pick ").otherwise(""),
+                F.lit("Cap Hit Sum: "), money(total),
+                F.lit(" Cap Hit Change: "), F.when(change >= 0, "+").otherwise("-"), money(F.abs(change)),
+                F.when(F.col("n_sends") == 1, F.concat(F.lit(" Cash: "), money(F.col("outgoing") % 1000 + 100))).otherwise(""),
+                F.when(change < 0, " Trade Exceptions Generated: 1").otherwise(""),
+            ).alias("detail"),
+        )

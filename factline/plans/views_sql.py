@@ -401,3 +401,58 @@ WITH d AS (SELECT doc_id, term AS name, term, 0 AS p, idx FROM f_definitions UNI
    WHERE NOT EXISTS (SELECT 1 FROM direct x WHERE x.doc_id = p.doc_id AND x.name = p.name) AND NOT EXISTS (SELECT 1 FROM one x WHERE x.doc_id = p.doc_id AND x.name = p.name))
 SELECT * FROM direct UNION ALL SELECT doc_id, name, term FROM one UNION ALL SELECT * FROM two
 """
+VIEWS["f_leg_text"] = """
+WITH b AS (SELECT trade_id, to_team AS team, from_team, string_agg('· $' || format('{:,}', amount) || ' ', '' ORDER BY contract_id) AS t FROM f_valid_moves GROUP BY ALL),
+ h AS (SELECT trade_id, team, string_agg('From T' || from_team || ': ' || t, '' ORDER BY from_team) AS named, min(t) AS only_t FROM b GROUP BY ALL),
+ n AS (SELECT trade_id, count(DISTINCT from_team) AS n_teams FROM f_valid_moves GROUP BY 1),
+ x AS (SELECT l.*, n.n_teams, h.named, h.only_t, l.incoming_base + CASE WHEN l.season = 1996 AND l.n_receives >= 4 THEN 1000 ELSE 0 END AS total
+  FROM f_legs l JOIN n ON n.trade_id = l.trade_id LEFT JOIN h ON h.trade_id = l.trade_id AND h.team = l.team)
+SELECT trade_id, team, trade_date AS date, coalesce(CASE WHEN n_teams = 2 THEN only_t ELSE named END, '') || CASE WHEN n_receives >= 3 THEN '2027 1st round pick ' ELSE '' END ||
+ 'Cap Hit Sum: $' || format('{:,}', total) || ' Cap Hit Change: ' || CASE WHEN total >= outgoing THEN '+' ELSE '-' END || '$' || format('{:,}', abs(total - outgoing)) ||
+ CASE WHEN n_sends = 1 THEN ' Cash: $' || format('{:,}', outgoing % 1000 + 100) ELSE '' END || CASE WHEN total < outgoing THEN ' Trade Exceptions Generated: 1' ELSE '' END AS detail FROM x
+"""
+VIEWS["f_parsed"] = """
+SELECT trade_id, date, team, CAST(replace(regexp_extract(detail, 'Cap Hit Sum: .([0-9,]+)', 1), ',', '') AS BIGINT) AS incoming,
+ CAST(replace(regexp_extract(detail, 'Cap Hit Sum: .([0-9,]+)', 1), ',', '') AS BIGINT) - CASE WHEN contains(detail, 'Change: +') THEN 1 ELSE -1 END *
+  CAST(replace(regexp_extract(detail, 'Cap Hit Change: [+-].([0-9,]+)', 1), ',', '') AS BIGINT) AS outgoing,
+ coalesce(TRY_CAST(replace(regexp_extract(detail, 'Cash: .([0-9,]+)', 1), ',', '') AS BIGINT), 0) AS cash_received,
+ CAST(len(regexp_extract_all(detail, '20[0-9][0-9] (1st|2nd) round pick')) AS BIGINT) AS picks, contains(detail, 'Trade Exceptions Generated:') AS generated_tpe,
+ list_transform(regexp_extract_all(split_part(detail, 'Cap Hit Sum', 1), '· .([0-9,]+)', 1), lambda x: CAST(replace(x, ',', '') AS BIGINT)) AS incoming_salaries
+FROM f_leg_text
+"""
+VIEWS["f_cases"] = """
+SELECT p.*, n_legs, total_in = total_out AS balanced FROM (SELECT *, (year(date) - CASE WHEN month(date) < 7 THEN 1 ELSE 0 END) || '-' || (year(date) + CASE WHEN month(date) < 7 THEN 0 ELSE 1 END) AS season_id FROM f_parsed) p
+JOIN (SELECT trade_id, count(*) AS n_legs, sum(incoming) AS total_in, sum(outgoing) AS total_out FROM f_parsed WHERE date >= DATE '1996-07-01' GROUP BY 1) t ON t.trade_id = p.trade_id
+WHERE p.season_id >= '1996-1997'
+"""
+VIEWS["f_sent"] = """
+SELECT c.trade_id, c.team, m.to_team AS taker, m.amount FROM f_cases c JOIN f_valid_moves m ON m.trade_id = c.trade_id AND m.from_team = c.team
+"""
+VIEWS["f_case_splits"] = """
+SELECT trade_id, team, vals, n, total, p.masks FROM (SELECT trade_id, team, list(amount) AS vals, count(*) AS n, sum(amount)::BIGINT AS total FROM f_sent GROUP BY ALL) s LEFT JOIN f_parts p ON p.n = s.n
+"""
+VIEWS["f_capacity"] = """
+WITH k AS (SELECT c.*, s.salary_cap, coalesce(x.total = c.outgoing, false) AS reconstructed FROM f_cases c LEFT JOIN (SELECT * FROM f_seasons WHERE season < 2001) s ON s.season_id = c.season_id
+  LEFT JOIN (SELECT trade_id, team, sum(amount) AS total FROM f_sent GROUP BY ALL) x ON x.trade_id = c.trade_id AND x.team = c.team),
+ b AS (SELECT k.trade_id, k.team, max(CASE WHEN s.n <= 8 THEN list_sum(list_transform(s.masks, lambda m: {each})) ELSE greatest({whole}, list_sum(list_transform(s.vals, lambda x: {single}))) END)::BIGINT AS best
+  FROM k JOIN f_case_splits s ON s.trade_id = k.trade_id AND s.team = k.team WHERE k.reconstructed AND k.salary_cap IS NOT NULL GROUP BY ALL)
+SELECT k.*, CASE WHEN reconstructed THEN coalesce(b.best, 0) ELSE {one} END AS capacity FROM k LEFT JOIN b ON b.trade_id = k.trade_id AND b.team = k.team
+""".format(
+    each=group_allowance("list_sum(list_transform(s.vals, lambda x, i: CASE WHEN (m >> (i - 1)) & 1 = 1 THEN x ELSE 0 END))::BIGINT", "bit_count(m) = 1", "250000", "salary_cap", "false", "false"),
+    whole=group_allowance("s.total", "false", "250000", "salary_cap", "false", "false"),
+    single=group_allowance("x", "true", "250000", "salary_cap", "false", "false"),
+    one=group_allowance("outgoing", "true", "250000", "salary_cap", "false", "false"),
+)
+VIEWS["f_checks"] = """
+SELECT trade_id, NULL::BIGINT AS team, CASE WHEN bool_or(salary_cap IS NOT NULL) THEN 'corpus_balance' ELSE 'season_constants' END AS "check",
+ CASE WHEN NOT bool_or(salary_cap IS NOT NULL) THEN 'skipped' WHEN bool_and(balanced) THEN 'pass' ELSE 'fail' END AS outcome FROM f_capacity GROUP BY trade_id
+UNION ALL SELECT trade_id, team, 'salary_matching', CASE WHEN incoming <= outgoing OR (reconstructed AND incoming <= capacity) OR incoming <= outgoing + 250000
+  OR (season_id = '1998-1999' AND incoming <= CAST(trunc(outgoing * 1.10::DOUBLE) AS BIGINT) + 250000) OR incoming <= {one} THEN 'pass' ELSE 'skipped' END FROM f_capacity WHERE balanced AND salary_cap IS NOT NULL
+UNION ALL SELECT trade_id, team, unnest(['hard_cap_ceiling', 'allowance_removal']), 'skipped' FROM f_capacity WHERE balanced AND salary_cap IS NOT NULL AND incoming > outgoing
+""".format(one=group_allowance("outgoing", "true", "250000", "salary_cap", "false", "false"))
+VIEWS["f_mutants"] = """
+WITH s AS (SELECT * FROM f_capacity WHERE balanced AND salary_cap IS NOT NULL), l AS (SELECT * FROM s WHERE outgoing > 0 AND (incoming <= outgoing OR incoming <= capacity))
+SELECT trade_id, team, outgoing, capacity, 'inflate_incoming' AS kind, greatest(incoming, outgoing) * 4 + 10000000 AS mutated FROM l WHERE greatest(incoming, outgoing) * 4 + 10000000 > capacity
+UNION ALL SELECT trade_id, team, outgoing, capacity, 'just_over_the_band', capacity + 1 FROM l
+UNION ALL SELECT trade_id, team, outgoing, capacity, 'unbalance', incoming + 7777777 FROM (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY team) AS r FROM s WHERE incoming > 0) WHERE r = 1
+"""

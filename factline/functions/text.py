@@ -162,4 +162,4 @@ FIGURE = r"\$\s?[\d,]+(?:\.\d+)?|\b\d+(?:\.\d+)?\s?%|\b\d{1,3}(?:,\d{3})+\b"
 def figures_in(c: Column) -> Column:
     """Figures of a text, distinct, in the order they appear."""
     found = F.regexp_extract_all(c, F.lit(f"({FIGURE})"), F.lit(1))
-    return F.array_distinct(F.transform(found, F.trim))
+    return F.array_distinct(F.transform(found, lambda f: F.trim(f)))

@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("ingest_queries", "column_rules", "catalog_queries", "position_queries", "trade_queries", "document_queries", "search_queries", "corpus_queries")
+GROUPS = ("ingest_queries", "column_rules", "catalog_queries", "position_queries", "trade_queries", "document_queries", "search_queries", "corpus_queries", "audit_queries")
 
 
 def REGISTRIES():

@@ -115,7 +115,8 @@ FROM legs LEFT JOIN best USING (order_id)
 
 @REG.add("e07_best_structure", ORDER_LEGS)
 def e07(v):
-    c = v.contract_seasons
+    v.keep("contract_seasons")
+    c = v.of("contract_seasons")
     legs = (
         c.groupBy("order_id").agg(F.min("season").alias("season"), F.count("*").alias("n_lines"))
         .join(F.broadcast(v.seasons.select("season", "salary_cap")), "season")

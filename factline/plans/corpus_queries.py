@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factline.operators import corpus as G
 from factline.plans.registry import Registry
 from factline.plans.views import BASE_CAP, RULES
+from factline.sources import scratch
 
 REG = Registry()
 C = F.col
@@ -14,20 +15,28 @@ MIN_SEASON = "1996-1997"
 CODE = r"T\d+"
 
 
+def text(v):
+    """The corpus as it would be read from files: written once, then parsed."""
+    v.keep("valid_moves", "leg_text")
+    return v.of("leg_text")
+
+
 def cases(v):
-    return G.build_cases(G.parse_legs(v.leg_text), MIN_SEASON)
+    return G.build_cases(G.parse_legs(text(v)), MIN_SEASON)
 
 
 def sent(v):
     return G.reconstruct_outgoing(
         cases(v),
-        G.incoming_by_source(v.leg_text, CODE),
+        G.incoming_by_source(text(v), CODE),
         F.concat(F.lit("T"), C("team").cast("string")),
     )
 
 
 def legs(v):
-    return G.with_capacity(cases(v), sent(v), v.seasons.where("season < 2001"), BASE_CAP)
+    """Every leg with its capacity; several reports read it, so it is written too."""
+    full = G.with_capacity(cases(v), sent(v), v.seasons.where("season < 2001"), BASE_CAP)
+    return scratch.written(full, "corpus-legs")
 
 
 @REG.add(

@@ -29,7 +29,7 @@ def h02(v):
  ASOF JOIN f_units p ON p.doc_id = o.doc_id AND o.at >= p.start""",
 )
 def h03(v):
-    offsets = v.docs.select(
+    offsets = v.of("docs").select(
         "doc_id", F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(250))).alias("offset")
     ).withColumn("offset", C("offset").cast("bigint"))
     return D.page_for_offset(D.page_starts(v.doc_lines), offsets)
@@ -44,13 +44,13 @@ def h03(v):
 def h04(v):
     """Headings found from their own page on; one in three is worded as the text is not."""
     title = F.when(C("level") == 4, F.concat(F.lit("Zq  "), C("line"))).otherwise(C("line"))
-    heads = v.units.select("doc_id", "idx", title.alias("title"), C("start").alias("page_start"))
-    return D.locate_units(v.docs, heads)
+    heads = v.of("units").select("doc_id", "idx", title.alias("title"), C("start").alias("page_start"))
+    return D.locate_units(v.of("docs"), heads)
 
 
 @REG.add("h05_unit_spans", "SELECT doc_id, idx, level, start, own_end, subtree_end FROM f_outline")
 def h05(v):
-    return D.unit_spans(v.units)
+    return D.unit_spans(v.of("units"))
 
 
 @REG.add(
@@ -58,26 +58,27 @@ def h05(v):
     "SELECT doc_id, idx, article, section, CASE WHEN level = 1 THEN '' WHEN section IS NULL THEN NULL ELSE markers END AS markers FROM f_units WHERE section IS NOT NULL OR level = 1",
 )
 def h06(v):
-    n = D.number_units(v.units)
+    n = D.number_units(v.of("units"))
     return n.where("section is not null or idx = 0")
 
 
 @REG.add("h07_citation", "SELECT doc_id, idx, citation FROM f_units")
 def h07(v):
-    return v.units.select(
+    return v.of("units").select(
         "doc_id", "idx", D.citation(C("article"), C("section"), C("markers"), C("title")).alias("citation")
     )
 
 
 @REG.add("h08_by_citation", "SELECT doc_id, citation, idx, start FROM f_by_citation")
 def h08(v):
-    return D.by_citation(v.units.select("doc_id", "citation", "idx", "start"))
+    return D.by_citation(v.of("units").select("doc_id", "citation", "idx", "start"))
 
 
 @REG.add("h09_resolve_citations", "SELECT doc_id, citation, resolved, dropped FROM f_resolved")
 def h09(v):
-    refs = D.extract_refs(v.units.withColumn("body", C("ref_body"))).select("doc_id", C("wanted").alias("citation"))
-    return D.resolve_citations(refs, v.units)
+    v.keep("units")
+    refs = D.extract_refs(v.of("units").withColumn("body", C("ref_body"))).select("doc_id", C("wanted").alias("citation"))
+    return D.resolve_citations(refs, v.of("units"))
 
 
 @REG.add(
@@ -85,8 +86,8 @@ def h09(v):
     """SELECT o.doc_id, o.idx, trim(substr(d.text, o.start + 1, o.subtree_end - o.start), ' ' || chr(10)) AS text FROM f_outline o JOIN f_docs d ON d.doc_id = o.doc_id""",
 )
 def h10(v):
-    spans = v.outlined.select("doc_id", "idx", C("start").alias("from"), C("subtree_end").alias("to"))
-    return D.slice_texts(v.docs, spans).select("doc_id", "idx", "text")
+    spans = v.of("outlined").select("doc_id", "idx", C("start").alias("from"), C("subtree_end").alias("to"))
+    return D.slice_texts(v.of("docs"), spans).select("doc_id", "idx", "text")
 
 
 @REG.add(
@@ -94,7 +95,7 @@ def h10(v):
     """SELECT doc_id, idx, citation, start, "end", preamble, oversized FROM f_chunks""",
 )
 def h11(v):
-    return v.chunks.select("doc_id", "idx", "citation", "start", "end", "preamble", "oversized")
+    return v.of("chunks").select("doc_id", "idx", "citation", "start", "end", "preamble", "oversized")
 
 
 @REG.add(
@@ -103,7 +104,7 @@ def h11(v):
  FROM f_outline u""",
 )
 def h12(v):
-    return v.outlined.select("doc_id", "idx", D.heading_path().alias("path"))
+    return v.of("outlined").select("doc_id", "idx", D.heading_path().alias("path"))
 
 
 @REG.add(
@@ -111,7 +112,7 @@ def h12(v):
     """SELECT doc_id, idx, ordinal, citation || CASE WHEN ordinal = 1 THEN '' ELSE ' (passage ' || ordinal || ')' END AS label FROM f_chunks""",
 )
 def h13(v):
-    return v.chunks.select("doc_id", "idx", "ordinal", "label")
+    return v.of("chunks").select("doc_id", "idx", "ordinal", "label")
 
 
 @REG.add(
@@ -130,25 +131,28 @@ def h15(v):
 @REG.add("h16_terms_in")
 def h16(v):
     """Names of a document's definitions in each of its lines."""
-    used = D.terms_in(v.units.select("doc_id", "idx", C("line").alias("text")), v.definition_names)
+    v.keep("units")
+    used = D.terms_in(v.of("units").select("doc_id", "idx", C("line").alias("text")), v.definition_names)
     return used.where(F.size("names") > 0).withColumn("names", F.array_join("names", "|"))
 
 
 @REG.add("h17_relevant_definitions")
 def h17(v):
+    v.keep("units")
     names = v.definition_names
-    used = D.terms_in(v.units.select("doc_id", "idx", C("line").alias("text")), names)
+    used = D.terms_in(v.of("units").select("doc_id", "idx", C("line").alias("text")), names)
     return D.relevant_definitions(used, names, 6, ("The", "Of", "And", "In"))
 
 
 @REG.add("h18_extract_refs", "SELECT doc_id, source, wanted FROM f_raw_refs")
 def h18(v):
-    return D.extract_refs(v.units.withColumn("body", C("ref_body"))).drop("explicit")
+    return D.extract_refs(v.of("units").withColumn("body", C("ref_body"))).drop("explicit")
 
 
 @REG.add("h19_edges", "SELECT doc_id, source, target, found FROM f_refs")
 def h19(v):
-    return v.refs
+    v.keep("units")
+    return v.of("refs")
 
 
 @REG.add(
@@ -160,7 +164,8 @@ def h19(v):
  SELECT doc_id, citation, 0::BIGINT AS hop FROM s UNION ALL SELECT doc_id, citation, 1 FROM h1 UNION ALL SELECT doc_id, citation, 2 FROM h2""",
 )
 def h20(v):
-    return D.expand(v.units.where("level = 1"), v.edges, 2)
+    v.keep("units")
+    return D.expand(v.of("units").where("level = 1"), v.edges, 2)
 
 
 @REG.add(
@@ -168,6 +173,7 @@ def h20(v):
     "SELECT doc_id, target, count(*) AS n, string_agg(source, '|' ORDER BY source) AS sources FROM f_refs WHERE found GROUP BY ALL",
 )
 def h21(v):
+    v.keep("units")
     return D.cited_by(v.edges)
 
 
@@ -180,11 +186,12 @@ VOCAB = """WITH hd AS (SELECT doc_id, idx, citation, trim(regexp_replace(regexp_
 
 
 def vocab(v):
-    return D.vocabulary(v.units, v.definition_names)
+    return D.vocabulary(v.of("units"), v.definition_names)
 
 
 @REG.add("h22_vocabulary", VOCAB + " SELECT * FROM vocab")
 def h22(v):
+    v.keep("units")
     return vocab(v)
 
 
@@ -193,8 +200,9 @@ def h22(v):
     VOCAB + " SELECT u.doc_id, u.idx, v.citation, v.kind FROM f_units u JOIN vocab v ON v.doc_id = u.doc_id AND v.name = lower(u.first1)",
 )
 def h23(v):
+    v.keep("units")
     words = F.split(F.trim(F.regexp_replace("line", "[^A-Za-z]+", " ")), " ")
-    asked = v.units.select("doc_id", "idx", F.concat(F.lit("  "), F.upper(words[0]), F.lit(" ")).alias("name"))
+    asked = v.of("units").select("doc_id", "idx", F.concat(F.lit("  "), F.upper(words[0]), F.lit(" ")).alias("name"))
     return D.resolve_terms(asked, vocab(v)).select("doc_id", "idx", "citation", "kind")
 
 
@@ -204,7 +212,8 @@ def h23(v):
  FROM f_by_citation u JOIN f_chunks c ON c.doc_id = u.doc_id AND c.start <= u.start AND u.start < c."end" GROUP BY u.doc_id, u.citation, u.start, u.subtree_end""",
 )
 def h24(v):
-    return D.citation_map(v.outlined, v.chunks)
+    v.keep("outlined", "chunks")
+    return D.citation_map(v.of("outlined"), v.of("chunks"))
 
 
 @REG.add(
@@ -214,7 +223,8 @@ def h24(v):
  FROM f_by_citation u JOIN f_chunks c ON c.doc_id = u.doc_id AND c.start >= u.start AND c.start < u.subtree_end) WHERE rank <= 6""",
 )
 def h25(v):
-    return D.chunks_within(v.units.select("doc_id", "citation").distinct(), v.outlined, v.chunks, 6)
+    v.keep("outlined", "chunks")
+    return D.chunks_within(v.of("units").select("doc_id", "citation").distinct(), v.of("outlined"), v.of("chunks"), 6)
 
 
 @REG.add(
@@ -223,8 +233,9 @@ def h25(v):
  JOIN f_definitions d ON d.doc_id = n.doc_id AND d.term = n.term""",
 )
 def h26(v):
+    v.keep("units")
     words = F.split(F.trim(F.regexp_replace("line", "[^A-Za-z]+", " ")), " ")
-    asked = v.units.select("doc_id", F.initcap(words[0]).alias("name")).distinct()
+    asked = v.of("units").select("doc_id", F.initcap(words[0]).alias("name")).distinct()
     return D.definition_for(asked, v.definition_names).drop("at")
 
 

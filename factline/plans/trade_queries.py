@@ -16,7 +16,13 @@ C = F.col
 
 
 def sends(v):
-    return trades.moves_to_legs(v.valid_moves).where("direction = 'send'")
+    return trades.moves_to_legs(v.of("valid_moves")).where("direction = 'send'")
+
+
+def settled(v):
+    """Legs and sends read by several rules: the moves and the legs are written once."""
+    v.keep("valid_moves", "legs")
+    return v.of("legs"), sends(v)
 
 
 @REG.add(
@@ -52,7 +58,8 @@ def f04(v):
 
 @REG.add("f05_check_matching", "SELECT trade_id, team, outgoing, incoming, used, code FROM f_matching")
 def f05(v):
-    return trades.check_matching(v.legs, sends(v), RULES).select(
+    legs, sent = settled(v)
+    return trades.check_matching(legs, sent, RULES).select(
         "trade_id", "team", "outgoing", "incoming", "used", "code"
     )
 
@@ -102,8 +109,8 @@ def f09(v):
  ON x.trade_id = l.trade_id""",
 )
 def f10(v):
-    legs = v.legs
-    return trades.verdicts(legs, trades.violations(legs, sends(v), v.restrictions, RULES))
+    legs, sent = settled(v)
+    return trades.verdicts(legs, trades.violations(legs, sent, v.restrictions, RULES))
 
 
 CITES = "(VALUES " + ", ".join(
@@ -117,7 +124,8 @@ CITES = "(VALUES " + ", ".join(
  FROM f_violations x LEFT JOIN {CITES} ON c.code = x.code""",
 )
 def f11(v):
-    found = trades.violations(v.legs, sends(v), v.restrictions, RULES)
+    legs, sent = settled(v)
+    found = trades.violations(legs, sent, v.restrictions, RULES)
     return trades.with_citation(found).drop("title")
 
 
@@ -128,7 +136,8 @@ def f11(v):
  FROM f_matching WHERE used IN ('expanded', 'transition', 'aggregated')""",
 )
 def f12(v):
-    return trades.triggered_notes(trades.check_matching(v.legs, sends(v), RULES)).select(
+    legs, sent = settled(v)
+    return trades.triggered_notes(trades.check_matching(legs, sent, RULES)).select(
         "trade_id", "team", "used", "row", "ceiling"
     )
 
@@ -267,7 +276,8 @@ def f24(v):
     + ") GROUP BY team, season",
 )
 def f25(v):
-    asked, held, positions = v.asked, v.held, v.positions
+    v.keep("contract_seasons", "positions", "asked", "held")
+    asked, held, positions = v.of("asked"), v.of("held"), v.of("positions")
     return con.summary(
         con.report(
             [

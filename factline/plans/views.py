@@ -14,6 +14,7 @@ from factline.functions import rules as R
 from factline.functions import names as N
 from factline.functions import text as X
 from factline.operators import documents, position, trades
+from factline.sources import scratch
 from factline.sources.tables import Tables
 
 # The agreement the derived seasons are judged under.
@@ -35,6 +36,22 @@ def kicker_state() -> Column:
 
 
 class Views(Tables):
+    """Views are planned where they are named. One that several branches of a plan read is
+    written once with `keep`; views built on it then read the written table."""
+
+    def __init__(self, spark, path: str):
+        super().__init__(spark, path)
+        self._kept: dict[str, DataFrame] = {}
+
+    def keep(self, *names: str) -> None:
+        for name in names:
+            if name not in self._kept:
+                self._kept[name] = scratch.written(getattr(self, name), name)
+
+    def of(self, name: str) -> DataFrame:
+        """The written table of a view where there is one, else the view."""
+        return self._kept[name] if name in self._kept else getattr(self, name)
+
     # -- dimensions --------------------------------------------------------
 
     @property
@@ -141,7 +158,7 @@ class Views(Tables):
         """Contracts over several seasons: up to five, five percent more each year."""
         last = F.least(F.col("line_no"), F.lit(5)).cast("int") - 1
         return (
-            self.contract_seasons.select(
+            self.of("contract_seasons").select(
                 "contract_id", "team", "player", "option_kind", "signed_date", "flag", "disc",
                 F.col("season").alias("first_season"), "cap_figure",
                 F.explode(F.sequence(F.lit(0), last)).alias("k"),
@@ -202,7 +219,7 @@ class Views(Tables):
             ),
         )
         return (
-            self.contract_seasons.select(
+            self.of("contract_seasons").select(
                 "contract_id", "team", "player", "option_kind", "source", "as_of",
                 F.explode(rows).alias("r"),
             )
@@ -212,11 +229,11 @@ class Views(Tables):
 
     @property
     def holds(self) -> DataFrame:
-        return self.ledger.where("kind = 'hold'").drop("option_kind")
+        return self.of("ledger").where("kind = 'hold'").drop("option_kind")
 
     @property
     def dead(self) -> DataFrame:
-        return self.ledger.where("kind = 'dead'").select(
+        return self.of("ledger").where("kind = 'dead'").select(
             "contract_id", "team", "player", "season", "amount"
         )
 
@@ -281,7 +298,7 @@ class Views(Tables):
         w = W.partitionBy("season").orderBy(F.desc("cap_figure"), "contract_id")
         r = F.col("r")
         return (
-            self.contract_seasons.select("season", "player", "cap_figure", "contract_id")
+            self.of("contract_seasons").select("season", "player", "cap_figure", "contract_id")
             .withColumn("r", F.row_number().over(w))
             .where(r <= 3)
             .select(
@@ -314,7 +331,7 @@ class Views(Tables):
 
     @property
     def positions(self) -> DataFrame:
-        return position.team_state(self.ledger, self.seasons, self.ceilings)
+        return position.team_state(self.of("ledger"), self.seasons, self.ceilings)
 
     @property
     def move_shapes(self) -> DataFrame:
@@ -346,25 +363,25 @@ class Views(Tables):
 
     @property
     def moves(self) -> DataFrame:
-        return self._dated(self.move_shapes)
+        return self._dated(self.of("move_shapes"))
 
     @property
     def valid_moves(self) -> DataFrame:
         """Moves of well-formed trades; everything here is keyed by the trade, so the
         shape check, the orders and the moves share one partitioning."""
-        m = self.move_shapes
+        m = self.of("move_shapes")
         good = trades.trade_errors(m).where("error is null").select("trade_id")
         return self._dated(m.join(good, "trade_id"))
 
     @property
     def legs(self) -> DataFrame:
         """One row per (trade, team) of well-formed trades, with the team's position."""
-        return trades.leg_states(trades.leg_totals(self.valid_moves), self.positions, BASE_CAP)
+        return trades.leg_states(trades.leg_totals(self.of("valid_moves")), self.of("positions"), BASE_CAP)
 
     @property
     def asked(self) -> DataFrame:
         """(team, season, player) questions: the holding team, and the one after it."""
-        return self.contract_seasons.select(
+        return self.of("contract_seasons").select(
             "season", "player", F.explode(F.array(F.col("team"), F.col("team") + 1)).alias("team")
         ).distinct()
 
@@ -372,7 +389,7 @@ class Views(Tables):
     def held(self) -> DataFrame:
         """The first contract of each (team, season, player)."""
         first = ("cap_figure", "kicker_state", "ntc_state", "signed_date", "contract_type")
-        return self.contract_seasons.groupBy("team", "season", "player").agg(
+        return self.of("contract_seasons").groupBy("team", "season", "player").agg(
             *[F.min_by(c, "contract_id").alias(c) for c in first],
             F.min("contract_id").alias("contract_id"),
         )
@@ -409,7 +426,7 @@ class Views(Tables):
 
     @property
     def doc_lines(self) -> DataFrame:
-        return self.docs.select(
+        return self.of("docs").select(
             "doc_id",
             F.posexplode(F.split("text", "\n")).alias("idx", "line"),
             (F.length("text") + 1).cast("bigint").alias("doc_end"),
@@ -435,7 +452,7 @@ class Views(Tables):
         number = F.concat(F.lit("("), ((F.col("m4") - 1) % 5 + 1).cast("string"), F.lit(")"))
         own = F.when(F.col("level") == 3, inner).when(F.col("level") == 4, number).otherwise("")
         df = (
-            documents.page_starts(self.doc_lines)
+            documents.page_starts(self.of("doc_lines"))
             .withColumn("level", level.cast("bigint"))
             .withColumn("sec", count(2))
             .withColumn("m3", count(3, "sec"))
@@ -480,29 +497,29 @@ class Views(Tables):
 
     @property
     def outlined(self) -> DataFrame:
-        return documents.outline(self.units)
+        return documents.outline(self.of("units"))
 
     @property
     def chunks(self) -> DataFrame:
-        return documents.with_ordinal(documents.chunk_spans(self.outlined, CHUNK_CHARS))
+        return documents.with_ordinal(documents.chunk_spans(self.of("outlined"), CHUNK_CHARS))
 
     @property
     def definitions(self) -> DataFrame:
-        return documents.extract_definitions(self.units.where("level > 2 and section is not null"))
+        return documents.extract_definitions(self.of("units").where("level > 2 and section is not null"))
 
     @property
     def definition_names(self) -> DataFrame:
-        return documents.definition_names(self.units.where("level > 2 and section is not null"))
+        return documents.definition_names(self.of("units").where("level > 2 and section is not null"))
 
     @property
     def refs(self) -> DataFrame:
         return documents.resolve_refs(
-            documents.extract_refs(self.units.withColumn("body", F.col("ref_body"))), self.units
+            documents.extract_refs(self.of("units").withColumn("body", F.col("ref_body"))), self.of("units")
         )
 
     @property
     def edges(self) -> DataFrame:
-        return self.refs.where("found").select("doc_id", "source", "target")
+        return self.of("refs").where("found").select("doc_id", "source", "target")
 
     # -- trades as text ----------------------------------------------------
 
@@ -512,7 +529,7 @@ class Views(Tables):
 
         A well-formed trade has at most sixteen moves, so what is gathered per leg is bounded.
         """
-        m = self.valid_moves
+        m = self.of("valid_moves")
         money = lambda c: F.concat(F.lit("$"), F.format_number(c, 0))
         blocks = (
             m.groupBy("trade_id", F.col("to_team").alias("team"), "from_team")

@@ -429,7 +429,7 @@ VIEWS["f_sent"] = """
 SELECT c.trade_id, c.team, m.to_team AS taker, m.amount FROM f_cases c JOIN f_valid_moves m ON m.trade_id = c.trade_id AND m.from_team = c.team
 """
 VIEWS["f_case_splits"] = """
-SELECT trade_id, team, vals, n, total, p.masks FROM (SELECT trade_id, team, list(amount) AS vals, count(*) AS n, sum(amount)::BIGINT AS total FROM f_sent GROUP BY ALL) s LEFT JOIN f_parts p ON p.n = s.n
+SELECT s.*, p.masks FROM (SELECT trade_id, team, list(amount) AS vals, count(*) AS n, sum(amount)::BIGINT AS total FROM f_sent GROUP BY ALL) s LEFT JOIN f_parts p ON p.n = s.n
 """
 VIEWS["f_capacity"] = """
 WITH k AS (SELECT c.*, s.salary_cap, coalesce(x.total = c.outgoing, false) AS reconstructed FROM f_cases c LEFT JOIN (SELECT * FROM f_seasons WHERE season < 2001) s ON s.season_id = c.season_id

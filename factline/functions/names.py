@@ -97,10 +97,18 @@ _FROM, _TO, _MANY = _folds()
 
 
 def fold_ascii(c: Column) -> Column:
-    """Compatibility-decomposed text with everything outside ASCII dropped."""
+    """Compatibility-decomposed text with everything outside ASCII dropped.
+
+    Plain text passes through, and the rare letters that fold to several are only looked for
+    where one occurs.
+    """
+    many = c
     for ch, folded in _MANY.items():
-        c = F.replace(c, F.lit(ch), F.lit(folded))
-    return F.regexp_replace(F.translate(c, _FROM, _TO), r"[^\x00-\x7F]", "")
+        many = F.replace(many, F.lit(ch), F.lit(folded))
+    rare = c.rlike("[" + "".join(_MANY) + "]")
+    opened = F.when(rare, many).otherwise(c)
+    folded = F.regexp_replace(F.translate(opened, _FROM, _TO), r"[^\x00-\x7F]+", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
 
 def squeeze(c: Column) -> Column:

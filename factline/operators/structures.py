@@ -62,8 +62,9 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
         subsets = np.arange(1 << n)
         bits = (subsets[:, None] >> np.arange(n)) & 1
         single = bits.sum(axis=1) == 1
-        for start in range(0, len(where), 256):
-            idx = where[start : start + 256]
+        size = max(256, 2_000_000 // masks.size)
+        for start in range(0, len(where), size):
+            idx = where[start : start + size]
             part = pdf.iloc[idx]
             sums = np.stack(part["salaries"].to_numpy()).astype(np.int64) @ bits.T
             value = _allowances(

@@ -11,6 +11,7 @@ from factline.operators import ordered as O
 from factline.plans.registry import Registry
 from factline.plans.views import cents
 from factline.sources import files, scratch
+from factline.sources.tables import spread
 from factline.streaming import feeds
 
 REG = Registry()
@@ -28,7 +29,7 @@ def answers(v):
         F.lit(" under Art. VII  §"), F.month("o_orderdate").cast("string"), F.lit("(a), and not $"),
         F.format_number(C("o_orderkey") + 1000, 0),
     )
-    return v.orders.select(C("o_orderkey").alias("aid"), text.alias("text"))
+    return spread(v.orders).select(C("o_orderkey").alias("aid"), text.alias("text"))
 
 
 ANSWERS = """an AS (SELECT o_orderkey AS aid, CAST(round(o_totalprice * 100) AS BIGINT) AS total, o_custkey % 90 + 10 AS pct, month(o_orderdate) AS mo,
@@ -38,7 +39,7 @@ ANSWERS = """an AS (SELECT o_orderkey AS aid, CAST(round(o_totalprice * 100) AS
 
 def results(v):
     """Tool results: one row of figures per line, and the order's own."""
-    line = v.lines.select(
+    line = spread(v.lines).select(
         C("order_id").alias("aid"), C("contract_id").alias("call"),
         F.to_json(F.struct(F.array(F.struct("cap_figure", C("contract_id").alias("id"))).alias("rows"))).alias("json"),
     )

@@ -9,6 +9,7 @@ from factline.functions import rules as R
 from factline.operators import structures
 from factline.plans.registry import Registry
 from factline.plans.views import BASE_CAP, RULES
+from factline.sources import scratch
 
 REG = Registry()
 C = F.col
@@ -115,8 +116,9 @@ FROM legs LEFT JOIN best USING (order_id)
 
 @REG.add("e07_best_structure", ORDER_LEGS)
 def e07(v):
-    v.keep("contract_seasons")
-    c = v.of("contract_seasons")
+    c = scratch.written(
+        v.contract_seasons.select("order_id", "season", "cap_figure", "contract_id"), "order-legs"
+    )
     legs = (
         c.groupBy("order_id").agg(F.min("season").alias("season"), F.count("*").alias("n_lines"))
         .join(F.broadcast(v.seasons.select("season", "salary_cap")), "season")

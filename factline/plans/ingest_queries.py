@@ -10,6 +10,7 @@ from factline.operators import ingest, shaping
 from factline.plans.registry import Registry
 from factline.plans.views import cents
 from factline.sources import files, scratch
+from factline.sources.tables import spread
 
 REG = Registry()
 C = F.col
@@ -34,7 +35,7 @@ def order_objects(v):
         ).alias("when"),
         F.array(F.year("o_orderdate").cast("string"), F.lit(None).cast("string")).alias("tags"),
     )
-    return v.orders.select(F.to_json(o, {"ignoreNullFields": "false"}).alias("obj"))
+    return spread(v.orders).select(F.to_json(o, {"ignoreNullFields": "false"}).alias("obj"))
 
 
 def page_paths(v):
@@ -638,7 +639,8 @@ def b09(v):
 def listed(v):
     """What the first source lists: contract years, the first contract per player and team."""
     years = v.years.where("disc > 0").select("player", "team", "season", "contract_id", C("cap_figure").alias("salary"))
-    return ingest.dedup_first(years, ["player", "team", "season"], ["contract_id"]).drop("contract_id")
+    first = ingest.dedup_first(years, ["player", "team", "season"], ["contract_id"]).drop("contract_id")
+    return scratch.written(first, "listed")
 
 
 def payroll(v):

@@ -276,7 +276,7 @@ def f24(v):
     + ") GROUP BY team, season",
 )
 def f25(v):
-    v.keep("contract_seasons", "positions", "asked", "held")
+    v.keep("positions", "asked", "held")
     asked, held, positions = v.of("asked"), v.of("held"), v.of("positions")
     return con.summary(
         con.report(

@@ -388,10 +388,14 @@ class Views(Tables):
     @property
     def held(self) -> DataFrame:
         """The first contract of each (team, season, player)."""
-        first = ("cap_figure", "kicker_state", "ntc_state", "signed_date", "contract_type")
-        return self.of("contract_seasons").groupBy("team", "season", "player").agg(
-            *[F.min_by(c, "contract_id").alias(c) for c in first],
-            F.min("contract_id").alias("contract_id"),
+        c = F.struct(
+            "contract_id", "cap_figure", "kicker_state", "ntc_state", "signed_date", "contract_type"
+        )
+        return (
+            self.of("contract_seasons")
+            .groupBy("team", "season", "player")
+            .agg(F.min(c).alias("c"))
+            .select("team", "season", "player", "c.*")
         )
 
     @property

@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores.
+
+    A table in a few small files would leave row-by-row text work to a few tasks. A table of
+    many files already has more partitions than cores and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 class Tables:
     """`Tables(spark, dir).orders` reads `dir/orders.parquet`, lazily."""
 
@@ -49,11 +59,11 @@ class Tables:
 
     @property
     def documents(self) -> DataFrame:
-        return self.table("documents")
+        return spread(self.table("documents"))
 
     @property
     def pages(self) -> DataFrame:
-        return self.table("pages")
+        return spread(self.table("pages"))
 
     @property
     def benchmark(self) -> DataFrame:

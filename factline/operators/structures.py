@@ -173,7 +173,7 @@ def best_structures(
     n = F.col("n")
     out = legs.join(sums, keys, "left").join(first, keys, "left").withColumn(
         "salaries",
-        F.when(F.coalesce(n, F.lit(0)).between(1, K.MAX_PARTITIONED), F.col("salaries")).otherwise(
+        F.when(n.between(2, K.MAX_PARTITIONED), F.col("salaries")).otherwise(
             F.array().cast("array<bigint>")
         ),
     )
@@ -183,11 +183,15 @@ def best_structures(
         singles, whole = F.col(f"_singles_{name}"), alone(F.col("whole"), name, True)
         split = F.col(f"_s_{name}")
         large = n > K.MAX_PARTITIONED
+        # One salary has one structure; it needs no search.
         out = out.withColumn(
-            f"{name}_total", F.when(large, F.greatest(singles, whole)).otherwise(split["total"])
+            f"{name}_total",
+            F.when(large, F.greatest(singles, whole)).when(n == 1, singles).otherwise(split["total"]),
         ).withColumn(
             f"{name}_groups",
-            F.when(large, F.when(singles >= whole, n).otherwise(1)).otherwise(split["groups"]),
+            F.when(large, F.when(singles >= whole, n).otherwise(1))
+            .when(n == 1, n)
+            .otherwise(split["groups"]),
         )
     extra = [f"_s_{x}" for x in variants] + [f"_singles_{x}" for x in variants]
     return out.drop(*extra, "n", "whole", "salaries")

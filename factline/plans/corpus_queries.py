@@ -25,17 +25,20 @@ def cases(v):
     return G.build_cases(G.parse_legs(text(v)), MIN_SEASON)
 
 
-def sent(v):
+def sent(v, built=None):
     return G.reconstruct_outgoing(
-        cases(v),
+        cases(v) if built is None else built,
         G.incoming_by_source(text(v), CODE),
         F.concat(F.lit("T"), C("team").cast("string")),
     )
 
 
 def legs(v):
-    """Every leg with its capacity; several reports read it, so it is written too."""
-    full = G.with_capacity(cases(v), sent(v), v.seasons.where("season < 2001"), BASE_CAP)
+    """Every leg with its capacity. Cases, what was sent, and the result are each read by
+    several branches, so each is written once."""
+    built = scratch.written(cases(v), "cases")
+    moved = scratch.written(sent(v, built), "sent")
+    full = G.with_capacity(built, moved, v.seasons.where("season < 2001"), BASE_CAP)
     return scratch.written(full, "corpus-legs")
 
 

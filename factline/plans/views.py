@@ -26,7 +26,8 @@ CHUNK_CHARS = 600
 
 
 def cents(c: Column) -> Column:
-    return F.round(c * 100).cast("bigint")
+    """Whole cents; the figures carry two decimals, so no tie is ever rounded."""
+    return F.floor(c * 100 + 0.5).cast("bigint")
 
 
 def kicker_state() -> Column:

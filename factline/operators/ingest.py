@@ -192,15 +192,18 @@ def upsert_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     ).select(*keys, "r.*")
 
 
-def with_surrogate_id(df: DataFrame, order: list[str], name: str = "id", partitions: int = 64) -> DataFrame:
+def with_surrogate_id(
+    df: DataFrame, order: list[str], name: str = "id", partitions: int | None = None
+) -> DataFrame:
     """Dense ids 1..n in `order`, without one global sort task.
 
     Rows are range-partitioned and sorted, then written to the checkpoint so that both
     passes see the same partitions. The running row number of a partition comes from
     `monotonically_increasing_id`; the only thing gathered is one count per partition.
     """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = checkpoint(
-        df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+        df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     ).withColumn("_at", F.monotonically_increasing_id())
     part = F.shiftright("_at", 33)
     inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))

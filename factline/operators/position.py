@@ -46,9 +46,10 @@ def team_totals(ledger: DataFrame) -> DataFrame:
     every = W.partitionBy("team")
     undated = F.col("season").isNull()
     return (
-        sums.withColumn("every_hold", F.sum(F.when(undated, F.col("holds")).otherwise(0)).over(every))
-        .withColumn(
-            "every_restricted", F.sum(F.when(undated, F.col("restricted")).otherwise(0)).over(every)
+        sums.select(
+            "*",
+            F.sum(F.when(undated, F.col("holds")).otherwise(0)).over(every).alias("every_hold"),
+            F.sum(F.when(undated, F.col("restricted")).otherwise(0)).over(every).alias("every_restricted"),
         )
         .where(~undated)
         .withColumn("holds", F.col("holds") + F.col("every_hold"))

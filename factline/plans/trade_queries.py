@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factline.functions import constants as K
-from factline.functions import rules as R
 from factline.operators import constraints as con
 from factline.operators import trades
 from factline.plans.registry import Registry

@@ -17,73 +17,83 @@ from pyspark.sql import functions as F
 from factline.llm import common as K
 from factline.sources import scratch
 
-#: Domains of the labelled table: the label columns (quality, toxic) that make each.
-DOMAINS = {"good": (1, 0), "junk": (0, 0), "toxic": (1, 1)}
-TARGETS = {"good": 0.86, "junk": 0.09, "toxic": 0.05}
+#: Wanted shares of tokens. A labelled document of quality 0 is junk, any other belongs to its language.
+TARGETS = {"en": 0.58, "de": 0.14, "fr": 0.14, "es": 0.10, "junk": 0.04}
+JUNK = "junk"
 BINS = 12
+#: Common words by language, for features only.
+STOPS = {
+    "en": ("the", "of", "and", "to", "is"),
+    "de": ("der", "die", "und", "das", "ist"),
+    "fr": ("le", "la", "et", "les", "est"),
+    "es": ("que", "de", "los", "el", "y"),
+}
 
 
-def features(text) -> dict[str, F.Column]:
+def features(text) -> list[F.Column]:
     """Binned surface features of a text, 0 to BINS - 1 each."""
     n = F.length(text)
     words = F.split(F.trim(text), r"\s+")
-    size = F.size(words)
+    size, kinds = F.size(words), F.array_distinct(words)
     share = lambda part, whole: F.least(F.floor(part / F.greatest(whole, F.lit(1)) * BINS), F.lit(BINS - 1))
-    distinct = F.size(F.array_distinct(words))
     marks = n - F.length(F.translate(text, "#$%&*!@^~=|<>{}[]", ""))
-    return {
-        "length": F.least(F.floor(F.log2(size + 1)), F.lit(BINS - 1)),
-        "distinct": share(distinct, size),
-        "marks": F.least(F.floor(marks / F.greatest(n, F.lit(1)) * 4 * BINS), F.lit(BINS - 1)),
-        "word": F.least(F.floor(n / F.greatest(size, F.lit(1))), F.lit(BINS - 1)),
-        "upper": F.least(F.floor((n - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))) / F.greatest(n, F.lit(1)) * 4 * BINS), F.lit(BINS - 1)),
-    }
+    upper = n - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    return [
+        F.least(F.floor(F.log2(size + 1)), F.lit(BINS - 1)),
+        share(F.size(kinds), size),
+        share(marks * 4, n),
+        share(upper * 4, n),
+        F.least(F.floor(n / F.greatest(size, F.lit(1))), F.lit(BINS - 1)),
+        *[F.size(F.array_intersect(kinds, F.array(*map(F.lit, stops)))) for stops in STOPS.values()],
+    ]
+
+
+N_FEATURES = 5 + len(STOPS)
+
+
+def bins(text) -> F.Column:
+    return F.array(*[F.coalesce(c.cast("int"), F.lit(0)) for c in features(text)])
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, n_tokens, bins): a compact row per document; `bins` has one number a feature.
+    """(doc_id, lang, n_tokens, bins): a compact row per document; `bins` has one number a feature.
 
     A null text is empty. Tokens are words between white space.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    bins = [F.coalesce(c.cast("int"), F.lit(0)) for c in features(F.col("_text")).values()]
-    rows = docs.select("doc_id", text.alias("_text"))
+    rows = docs.select("doc_id", "lang", F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     n = F.when(F.trim("_text") == "", 0).otherwise(F.size(F.split(F.trim(F.col("_text")), r"\s+")))
-    return rows.select("doc_id", F.xxhash64("_text").alias("th"), n.cast("long").alias("n_tokens"), F.array(*bins).alias("bins"))
+    return rows.select("doc_id", "lang", n.cast("long").alias("n_tokens"), bins(F.col("_text")).alias("bins"))
 
 
-def learn(rows: DataFrame, labels: DataFrame, domains: dict[str, tuple[int, int]] = DOMAINS) -> tuple[dict[str, float], dict[tuple[int, int], dict[str, float]]]:
+def learn(rows: DataFrame, labels: DataFrame, domains: tuple[str, ...] = tuple(TARGETS)) -> tuple[dict[str, float], dict[tuple[int, int], dict[str, float]]]:
     """Naive Bayes log-probabilities from all labelled documents: (prior, by feature and bin).
 
-    Several labels of one document count once each; labels of no known domain are ignored.
+    A document whose labels disagree counts for each; labels of no known domain are ignored.
     """
-    domain = F.lit(None).cast("string")
-    for d, (quality, toxic) in domains.items():
-        domain = F.when((F.col("quality") == quality) & (F.col("toxic") == toxic), d).otherwise(domain)
-    known = labels.where("doc_id is not null").select("doc_id", domain.alias("domain")).where("domain is not null").distinct()
-    pairs = rows.join(known, "doc_id").select("domain", F.posexplode("bins").alias("feature", "bin"))
+    known = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").distinct()
+    pairs = rows.join(known, "doc_id").withColumn("domain", F.when(F.col("quality") == 0, JUNK).otherwise(F.col("lang")))
+    pairs = pairs.where(F.col("domain").isin(*domains)).select("domain", F.posexplode("bins").alias("feature", "bin"))
     counts = pairs.groupBy("domain", "feature", "bin").count().collect()  # domains x features x BINS rows at most
     seen = {(r.domain, r.feature, r.bin): r["count"] for r in counts}
-    n_features = len(features(F.lit("")))
     totals = {d: sum(v for (x, f, _), v in seen.items() if x == d and f == 0) for d in domains}
     everything = sum(totals.values())
     prior = {d: math.log((totals[d] + 1) / (everything + len(domains))) for d in domains}
-    given = {(f, b): {d: math.log((seen.get((d, f, b), 0) + 0.5) / (totals[d] + 0.5 * BINS)) for d in domains} for f in range(n_features) for b in range(BINS)}
+    given = {(f, b): {d: math.log((seen.get((d, f, b), 0) + 0.5) / (totals[d] + 0.5 * BINS)) for d in domains} for f in range(N_FEATURES) for b in range(BINS)}
     return prior, given
 
 
-def posterior(rows: DataFrame, model, domains=DOMAINS) -> DataFrame:
-    """`rows` with `post`, one probability a domain, in the order of `domains`."""
+def posterior(rows: DataFrame, model) -> DataFrame:
+    """`rows` with `post`, one probability a domain, in the order of the model's domains."""
     prior, given = model
-    n_features = len(features(F.lit("")))
     logs = []
-    for d in domains:
-        table = F.array(*[F.array(*[F.lit(given[f, b][d]) for b in range(BINS)]) for f in range(n_features)])
-        terms = [F.get(F.get(table, F.lit(f)), F.get("bins", F.lit(f))) for f in range(n_features)]
+    for d in prior:
+        table = F.array(*[F.array(*[F.lit(given[f, b][d]) for b in range(BINS)]) for f in range(N_FEATURES)])
+        terms = [F.get(F.get(table, F.lit(f)), F.get("bins", F.lit(f))) for f in range(N_FEATURES)]
         logs.append(sum(terms, F.lit(prior[d])))
+    # Rounded, so that the sums below don't depend on the order of additions.
     rows = rows.withColumn("_l", F.array(*logs)).withColumn("_e", F.transform("_l", lambda x: F.exp(x - F.array_max("_l"))))
     total = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
-    return rows.withColumn("post", F.transform("_e", lambda x: x / total)).drop("_l", "_e")
+    return rows.withColumn("post", F.transform("_e", lambda x: F.round(x / total, 4))).drop("_l", "_e")
 
 
 @dataclass(frozen=True)
@@ -103,7 +113,7 @@ class Mixture:
         return F.aggregate(turns, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - pull(e)))
 
 
-def fit(rows: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, rounds: int = 60, tolerance: float = 1e-6) -> Mixture:
+def fit(rows: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, rounds: int = 40, tolerance: float = 1e-6) -> Mixture:
     """Fit the classifier and the rates on `described` rows.
 
     Least squares over the domains' misses, starting from the rate 1 for everyone, by projected
@@ -111,13 +121,13 @@ def fit(rows: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     Gram matrix, which makes 1 a safe step, and rates are scaled by length, so that a document's
     rate depends on its posterior only. Every step is one aggregate over the distinct posteriors.
 
-    `total` is the number of tokens wanted; by default 1.05 times the least total at which the
-    largest domain is used whole. Without tokens every rate is 1. A domain that no document may
+    `total` is the number of tokens wanted; by default 1.05 times the least total at which every
+    domain but junk is used whole. Without tokens every rate is 1. A domain that no document may
     belong to stays at 0 whatever its target.
     """
     import numpy as np
 
-    model = learn(rows, labels)
+    model = learn(rows, labels, tuple(targets))
     names = list(targets)
     d = len(names)
     groups = posterior(rows, model).groupBy("post").agg(F.sum("n_tokens").alias("n")).where("n > 0")
@@ -130,8 +140,8 @@ def fit(rows: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
         return Mixture(model, (), {k: {"target": 0.0, "reached": 0.0} for k in names})
     gram = np.array([float(x or 0) for x in first[d:]]).reshape(d, d)
     back = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
-    big = int(have.argmax())
-    want = np.array([targets[k] for k in names]) * (total or 1.05 * have[big] / targets[names[big]])
+    least = [have[i] / targets[k] for i, k in enumerate(names) if k != JUNK and targets[k] > 0]
+    want = np.array([targets[k] for k in names]) * (total or 1.05 * max(least or [have.sum()]))
     history: list[tuple[float, ...]] = []
     for _ in range(rounds):
         so_far = Mixture(model, tuple(history), dict.fromkeys(names, {}))
@@ -145,7 +155,7 @@ def fit(rows: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
 
 def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None) -> tuple[DataFrame, Mixture]:
-    """(rows, fitted mixture): for every row of `docs` doc_id, th, n_tokens, bins, post and rate.
+    """(rows, fitted mixture): for every row of `docs` doc_id, lang, n_tokens, bins, post and rate.
 
     Null ids can't be learned from but get a rate; repeated rows count each.
     """
@@ -164,7 +174,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     text, work = F.coalesce(F.col("text"), F.lit("")), {"_text": None, "bins": None, "post": None}
     clash = {c: K.free_name(docs, f"kept{i}") for i, c in enumerate(docs.columns) if c.lower() in (*work, "_l", "_e", "_copies")}
     own = docs.withColumnsRenamed(clash).withColumn("_text", text)
-    own = posterior(own.withColumn("bins", F.array(*[F.coalesce(c.cast("int"), F.lit(0)) for c in features(F.col("_text")).values()])), m.model)
+    own = posterior(own.withColumn("bins", bins(F.col("_text"))), m.model)
     chance = F.pmod(F.xxhash64("doc_id", "_text"), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(m.rate() + chance).cast("int")
     own = own.withColumn("_copies", copies).where("_copies > 0").withColumn("_copies", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))

@@ -28,6 +28,7 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 #: Nats by which "random" must win: in all, and on average over the transitions.
 TOTAL, MEAN = 12.0, 0.8
+BACK_OFF = 5.0
 
 
 def base(text) -> F.Column:
@@ -53,7 +54,10 @@ def ratios(counts: list) -> dict[str, float]:
         if all(c in ALPHABET for c in r.pair):
             n[r.random][r.pair] = r["count"]
     before = {k: {a: sum(v.get(a + b, 0) for b in ALPHABET) for a in ALPHABET} for k, v in n.items()}
-    after = lambda k, a, b: (n[k].get(a + b, 0) + 0.5) / (before[k][a] + 0.5 * size)
+    ends = {k: {b: sum(v.get(a + b, 0) for a in ALPHABET) for b in ALPHABET} for k, v in n.items()}
+    # A pair's chance falls back on how common its second character is.
+    alone = {k: {b: (ends[k][b] + 0.5) / (sum(ends[k].values()) + 0.5 * size) for b in ALPHABET} for k in n}
+    after = lambda k, a, b: (n[k].get(a + b, 0) + BACK_OFF * alone[k][b]) / (before[k][a] + BACK_OFF)
     return {a + b: math.log(after(True, a, b) / after(False, a, b)) for a in ALPHABET for b in ALPHABET}
 
 

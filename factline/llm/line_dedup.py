@@ -38,8 +38,11 @@ def lines(docs: DataFrame, text: str) -> DataFrame:
 
 
 def hashed(rows: DataFrame) -> DataFrame:
-    """With `id` for the masked line and `leaf` for number of words and leading words."""
-    return rows.select("key", "line", F.xxhash64("m").alias("id"), F.xxhash64(F.size(F.split("m", " ")), F.substring_index("m", " ", LEADING)).alias("leaf"), "m")
+    """With `id` for the masked line, `leaf` for number of words and leading words, and `own`: whether
+    the masked line may be a template by itself."""
+    variables = (F.length("m") - F.length(F.replace(F.col("m"), F.lit(VARIABLE), F.lit("")))) / len(VARIABLE)
+    own = 2 * variables <= F.size(F.split("m", " "))
+    return rows.select("key", "line", own.alias("own"), F.xxhash64("m").alias("id"), F.xxhash64(F.size(F.split("m", " ")), F.substring_index("m", " ", LEADING)).alias("leaf"), "m")
 
 
 def recurring(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +50,7 @@ def recurring(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) ->
     every = hashed(lines(docs, text))
     thin = scratch.written(every.drop("m"), "lines")
     # A document counts once for a line, however often and in whatever rows it holds it.
-    support = scratch.written(thin.select("key", "id", "leaf").distinct().groupBy("id", "leaf").agg(F.count("*").alias("docs")), "support")
+    support = scratch.written(thin.select("key", "id", "leaf", "own").distinct().groupBy("id", "leaf", "own").agg(F.count("*").alias("docs")), "support")
     leaves = support.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("kinds"))
     # Only leaves that hold several lines in enough documents can generalise further; their words are counted.
     wide = leaves.where((F.col("kinds") > 1) & (F.col("all") >= min_docs)).select("leaf", "all")
@@ -60,7 +63,7 @@ def recurring(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) ->
     shapes = fields.groupBy("id", "leaf", "docs").agg(F.array_join(shape, " ").alias("shape"), F.avg(F.when(F.col("same") & (F.col("word") != VARIABLE), 1.0).otherwise(0.0)).alias("share"))
     general = shapes.where(F.col("share") >= SIMILAR).select("leaf", "id", F.xxhash64("shape").alias("template"), "docs")
     again = general.groupBy("leaf", "template").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
-    ids = support.where(F.col("docs") >= min_docs).select("id").union(general.drop("docs").join(again.select("leaf", "template"), ["leaf", "template"], "left_semi").select("id"))
+    ids = support.where(F.col("own") & (F.col("docs") >= min_docs)).select("id").union(general.drop("docs").join(again.select("leaf", "template"), ["leaf", "template"], "left_semi").select("id"))
     return thin.select("key", "line", "id"), ids.distinct()
 
 

@@ -113,7 +113,7 @@ f AS (SELECT x.m, x.n, x.lead, x.docs, string_agg(CASE WHEN c.word IS NULL THEN
         avg(CASE WHEN c.word IS NOT NULL AND c.word <> '<*>' THEN 1.0 ELSE 0.0 END) AS share
       FROM x LEFT JOIN c ON x.n = c.n AND x.lead = c.lead AND x.i = c.i AND x.word = c.word GROUP BY 1, 2, 3, 4),
 g AS (SELECT *, sum(docs) OVER (PARTITION BY n, lead, shape) AS shape_docs FROM f WHERE share >= 0.6),
-drops AS (SELECT m FROM u WHERE docs >= 3 UNION SELECT m FROM g WHERE shape_docs >= 3),
+drops AS (SELECT m FROM u WHERE docs >= 3 AND 2 * (length(m) - length(replace(m, '<*>', ''))) / 3 <= n UNION SELECT m FROM g WHERE shape_docs >= 3),
 o AS (SELECT k.doc_id, k.text, count(d.m) AS dropped, string_agg(CASE WHEN d.m IS NULL THEN k.raw END, chr(10) ORDER BY k.line) AS kept
       FROM k LEFT JOIN drops d ON d.m = k.m AND len(k.w) >= 4 GROUP BY 1, 2)
 SELECT doc_id, dropped AS dropped_lines, length(coalesce(kept, '')) AS kept_chars, sha256(coalesce(kept, '')) AS kept_sha256 FROM o

@@ -9,67 +9,117 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factline.llm import common as K
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-PIECES = re.compile(r"[^ \n\r\t]+")
+#: What Python takes for white space and the tokenizer doesn't, and marks that may compose with A-Z.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+COMBINING = re.compile("[\u0300-\u036f]")
+WORDS_AT_ONCE = 1_000
 
 
 class Encoder:
-    """The tokenizer's ids of whole texts, with a memory of pieces between white space.
+    """The tokenizer's ids of whole texts, with a memory of pieces.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    pieces in order. The memory is bounded; long pieces are encoded each time.
+    The tokenizer lower-cases, drops white space, never joins across it, and splits letters from
+    marks; so a text's ids are those of its pieces in order. The memory is bounded.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.start: list[int] = []
-        self.count: list[int] = []
-        self.ids: list[int] = []
+        self.count, self.ids = array("q"), array("i")
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str]) -> None:
-        for piece, got in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            self.known[piece] = len(self.start)
-            self.start.append(len(self.ids))
-            self.count.append(len(got.ids))
-            self.ids.extend(got.ids)
+        """Remember the ids of pieces: words of letters by the hundred, any others one by one.
+
+        A word ends with the last of its tokens; a full stop or comma after it is one more word.
+        """
+        sizes = [1 if p.isalpha() else 2 if p[-1] in ".," and p[:-1].isalpha() else 0 for p in pieces]
+        words, other = [p for p, n in zip(pieces, sizes) if n], [p for p, n in zip(pieces, sizes) if not n]
+        sizes = np.array([n for n in sizes if n], np.int64)
+        for s in range(0, len(words), WORDS_AT_ONCE):
+            some = words[s : s + WORDS_AT_ONCE]
+            ids = self._encode([" ".join(some)])[0]
+            last, ends = np.flatnonzero(self.ends[np.asarray(ids, np.int64)]), np.cumsum(sizes[s : s + WORDS_AT_ONCE])
+            if len(last) == ends[-1] and last[-1] == len(ids) - 1:
+                self._keep(some, ids, np.diff(last[ends - 1], prepend=-1).tolist())
+            else:
+                other += some
+        for s in range(0, len(other), WORDS_AT_ONCE):
+            got = self._encode(other[s : s + WORDS_AT_ONCE])
+            self._keep(other[s : s + WORDS_AT_ONCE], [i for ids in got for i in ids], list(map(len, got)))
+
+    def _keep(self, pieces: list[str], ids: list[int], counts: list[int]) -> None:
+        at = len(self.count)
+        self.known.update(zip(pieces, range(at, at + len(pieces))))
+        self.count.extend(counts)
+        self.ids.extend(ids)
+
+    @staticmethod
+    def pieces(text: str | None) -> list[str]:
+        if not text:
+            return []
+        # Lower-casing A-Z first saves memory; it must touch neither special tokens nor letters that compose.
+        if "<|" not in text:
+            if text.isascii():
+                text = text.lower()
+            elif not COMBINING.search(text):
+                text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        if any(c in text for c in SEPARATORS):
+            return [p for p in re.split("[ \n\r\t]+", text) if p]
+        return text.split()
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in one array, number of ids of each text); `end` closes every text."""
-        pieces = [PIECES.findall(t) if t else [] for t in texts]
         if len(self.known) > K.CACHED_WORDS:
             self.clear()
-        new = list({p for ps in pieces for p in ps}.difference(self.known))
-        self.learn(new)
-        start = np.array([*self.start, len(self.ids)])
-        count = np.array([*self.count, 1])
-        ids = np.array([*self.ids, end], np.int32)
-        last = len(self.start)
+        flat: list[str | None] = []
+        ends = []
+        for t in texts:
+            flat += self.pieces(t)
+            flat.append(None)
+            ends.append(len(flat))
         known = self.known
-        index = np.fromiter((i for ps in pieces for i in (*map(known.__getitem__, ps), last)), np.int64)
+        self.learn(list({*flat}.difference(known, (None,))))
+        known[None] = len(self.count)
+        index = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        del known[None]
+        count = np.append(np.frombuffer(self.count, np.int64), 1)
+        ids = np.append(np.frombuffer(self.ids, np.int32), np.int32(end))
+        start = np.cumsum(count) - count
         n = count[index]
-        shift = np.repeat(start[index] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        flat = ids[shift + np.arange(len(shift))]
-        ends = np.cumsum([len(ps) + 1 for ps in pieces])
+        shift = np.repeat(start[index] - (np.cumsum(n) - n), n)
+        out = ids[shift + np.arange(len(shift))]
         total = np.concatenate([[0], np.cumsum(n)])[ends]
-        return flat, np.diff(np.concatenate([[0], total]))
+        return out, np.diff(total, prepend=0)
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One encoder a Python worker: reading the vocabulary costs more than a small task."""
+    return Encoder(path)
 
 
 def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END_ID) -> DataFrame:
@@ -78,11 +128,11 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END_ID) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encoder = Encoder(public_tokenizers.path(tokenizer))
+        own = encoder(public_tokenizers.path(tokenizer))
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in K.chunks(texts, 2_000_000):
-                flat, n = encoder.encode(texts[a:b], end)
+            for a, b in K.chunks(texts, 1_000_000):
+                flat, n = own.encode(texts[a:b], end)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 ids = pa.ListArray.from_arrays(offsets, pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), ids], names=["doc_id", "ids"])
@@ -90,7 +140,7 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END_ID) -> D
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END_ID, stripe_bytes: int = 64 << 20, files: int | None = None) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END_ID, stripe_bytes: int = 16 << 20, files: int | None = None) -> None:
     """Encode `docs` (doc_id, text) and write them as ORC at `path`, in ascending doc_id order.
 
     File names ascend with the ids (null ids first; equal ids in any order, split over files where
@@ -125,22 +175,19 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
     over one row a file) and of earlier rows of its own.
     """
 
-    @F.pandas_udf("long")
-    def crc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in s], dtype="int64")
-
-    rows = read(spark, path).select(
-        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"),
-        F.monotonically_increasing_id().alias("at"),
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        crc("ids").alias("ids_crc32"),
-    )
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            at = ids.offsets.to_numpy()
+            values = np.ascontiguousarray(ids.values.to_numpy(), "<u4")
+            crc = pa.array([zlib.crc32(values[a:b]) for a, b in zip(at, at[1:])], pa.int64())
+            n = pa.array(np.diff(at).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("at"), batch.column("doc_id"), n, crc], names=["file", "at", "doc_id", "n_tokens", "ids_crc32"])
+
+    rows = read(spark, path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.monotonically_increasing_id().alias("at"), "doc_id", "ids")
+    rows = rows.mapInArrow(sums, "file string, at long, doc_id long, n_tokens long, ids_crc32 long")
     per_file = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = per_file.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "at")) - F.col("n_tokens")
     return rows.withColumn("inside", inside).join(before, "file").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
-
-SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "start", "n_tokens", "ids_crc32")])

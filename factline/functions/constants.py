@@ -3,7 +3,6 @@
 # Salary matching.
 ALLOWANCE = 250_000
 EXPANDED_BASE_AMOUNT = 7_500_000
-MAX_PARTITIONED = 8
 STANDARD_FACTOR = 1.00
 TRANSITION_FACTOR = 1.10
 EXPANDED_FACTOR = 1.25

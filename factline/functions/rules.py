@@ -33,7 +33,7 @@ def trunc(c: Column) -> Column:
 
 def floor_div(a: Column, b: Column) -> Column:
     """Whole-number division rounding down, exact for large figures."""
-    return ((a - F.pmod(a, b)).cast("bigint") / b).cast("bigint")
+    return F.call_function("div", (a - F.pmod(a, b)).cast("bigint"), b)
 
 
 def season_start(d: Column) -> Column:

@@ -1,127 +1,46 @@
-"""The best way to split outgoing salaries over several exceptions.
+"""The best way to split outgoing salaries over several exceptions, in closed form.
 
-Every set partition of up to eight salaries is tried; above that only the two obvious
-structures are. Legs are vectorised by size inside Arrow batches: the partitions of n items
-are a fixed table of bit masks, so a batch is a gather and a sum, with no per-row Python.
+An exception's allowance per unit of salary never grows with the salary. So where every exception
+also adds a cushion, each salary goes by itself, whatever their number. Without a cushion:
+
+- Salaries of at least four times the scaled amount are allowed a quarter more, rounded down. Together
+  they lose no fraction, so they share one exception.
+- Every other salary is worth no more in company than alone. Salaries that together stay within the scaled
+  amount are worth as much (both are doubled); they share an exception where that loses nothing.
+- Without the expanded exception allowances are the salaries themselves: one exception for all, or one each
+  where they may not be aggregated.
+
+Which of several equally good splits is reported follows from reading salaries from the last to the first:
+a salary joins the newest exception that it fits.
 """
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factline.functions import constants as K
 from factline.functions import rules as R
 
 
-def partition_masks(n: int) -> np.ndarray:
-    """All set partitions of n items as bit masks, zero-padded, in a fixed order.
-
-    Items join from the last to the first: an item goes into each existing group in turn,
-    then stands alone in front. The order decides which of several equal optima is kept.
-    """
-    rows: list[tuple[int, ...]] = [()]
-    for item in reversed(range(n)):
-        bit = 1 << item
-        rows = [
-            grown
-            for groups in rows
-            for grown in [
-                *(tuple(g | bit if i == j else g for j, g in enumerate(groups)) for i in range(len(groups))),
-                (bit, *groups),
-            ]
-        ]
-    out = np.zeros((len(rows), n), dtype=np.int64)
-    for i, groups in enumerate(rows):
-        out[i, : len(groups)] = groups
-    return out
-
-
-def _allowances(sums, single, cush, scaled, no_expanded, no_aggregated):
-    """The most one exception permits against each group sum."""
-    plain = sums + cush
-    plain = np.where(single | ~no_aggregated, plain, 0)
-    doubled = (2.0 * sums).astype(np.int64) + cush
-    floor = (1.25 * sums).astype(np.int64) + cush
-    grown = np.maximum(np.minimum(doubled, sums + scaled), floor)
-    return np.maximum(plain, np.where(no_expanded, 0, grown))
-
-
-def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(len(pdf), dtype=np.int64)
-    groups = np.zeros(len(pdf), dtype=np.int64)
-    sizes = pdf["salaries"].map(len).to_numpy()
-    for n in np.unique(sizes[sizes > 0]):
-        where = np.flatnonzero(sizes == n)
-        masks = partition_masks(int(n))
-        subsets = np.arange(1 << n)
-        bits = (subsets[:, None] >> np.arange(n)) & 1
-        single = bits.sum(axis=1) == 1
-        size = max(256, 2_000_000 // masks.size)
-        for start in range(0, len(where), size):
-            idx = where[start : start + size]
-            part = pdf.iloc[idx]
-            sums = np.stack(part["salaries"].to_numpy()).astype(np.int64) @ bits.T
-            value = _allowances(
-                sums,
-                single[None, :],
-                part["cushion"].to_numpy()[:, None],
-                part["scaled"].to_numpy()[:, None],
-                part["no_expanded"].to_numpy(dtype=bool)[:, None],
-                part["no_aggregated"].to_numpy(dtype=bool)[:, None],
-            )
-            value[:, 0] = 0
-            summed = np.zeros((len(idx), len(masks)), dtype=np.int64)
-            for k in range(int(n)):
-                summed += value[:, masks[:, k]]
-            best = summed.argmax(axis=1)
-            total[idx] = summed[np.arange(len(idx)), best]
-            groups[idx] = (masks[best] > 0).sum(axis=1)
-    return pd.DataFrame({"total": total, "groups": groups})
-
-
-RESULT = T.StructType(
-    [T.StructField("total", T.LongType()), T.StructField("groups", T.LongType())]
-)
-
-
-@F.pandas_udf(RESULT)
-def _best(
-    salaries: pd.Series,
-    cushion: pd.Series,
-    scaled: pd.Series,
-    no_expanded: pd.Series,
-    no_aggregated: pd.Series,
-) -> pd.DataFrame:
-    return _solve(
-        pd.DataFrame(
-            {
-                "salaries": salaries,
-                "cushion": cushion,
-                "scaled": scaled,
-                "no_expanded": no_expanded,
-                "no_aggregated": no_aggregated,
-            }
+def shared_exceptions(salaries, scaled) -> F.Column:
+    """How many exceptions an array of salaries takes without a cushion, with the expanded one."""
+    start = F.struct(F.array().cast("array<bigint>").alias("open"), R.big(0).alias("n"), F.lit(False).alias("large"))
+
+    def add(acc, x):
+        large = x >= 4 * scaled
+        fits = F.transform(acc["open"], lambda s: s + x <= scaled)
+        spot = F.when(x <= scaled, F.array_position(fits, True)).otherwise(0)
+        joined = F.transform(acc["open"], lambda s, i: F.when(i == spot - 1, s + x).otherwise(s))
+        opened = F.when(x <= scaled, F.concat(F.array(x), acc["open"])).otherwise(acc["open"])
+        alone = F.when(large, ~acc["large"]).otherwise(spot == 0)
+        return F.struct(
+            F.when(large, acc["open"]).when(spot > 0, joined).otherwise(opened).alias("open"),
+            (acc["n"] + alone.cast("bigint")).alias("n"),
+            (acc["large"] | large).alias("large"),
         )
-    )
 
-
-def structure_column(salaries, cushion, cap, base_cap, no_expanded=None, no_aggregated=None):
-    """Struct (total, groups) for an array of at most eight salaries."""
-    scaled = R.trunc(cap.cast("double") * K.EXPANDED_BASE_AMOUNT / base_cap.cast("double"))
-    no = F.lit(False)
-    return _best(
-        salaries,
-        cushion,
-        scaled,
-        no if no_expanded is None else no_expanded,
-        no if no_aggregated is None else no_aggregated,
-    )
+    return F.aggregate(F.reverse(salaries), start, add, lambda acc: acc["n"])
 
 
 def best_structures(
@@ -135,63 +54,43 @@ def best_structures(
     `<name>_groups` per variant, from `sends` (one row per outgoing salary: keys, amount,
     order columns). A variant names the flags that take an exception out (expanded, aggregated).
 
-    A leg of any size is summed with partial aggregation; salaries are only collected for
-    the first eight by rank, which the group limit cuts before the shuffle. Above eight the
-    answer needs only the sums.
+    One aggregate over the salaries. Only legs without a cushion also need them in order, to count
+    exceptions; a leg's salaries are those of one team in one trade.
     """
     variants = variants or {"structure": (None, None)}
     cush, cap, base = F.col("cushion"), F.col("salary_cap"), F.col("base_cap")
+    scaled = R.trunc(cap.cast("double") * K.EXPANDED_BASE_AMOUNT / base.cast("double"))
     flags = sorted({f for pair in variants.values() for f in pair if f})
     flag = {name: tuple(F.col(f) if f else F.lit(False) for f in pair) for name, pair in variants.items()}
-
-    def alone(x, name, multi):
-        no_e, no_a = flag[name]
-        grown = F.when(no_e, R.big(0)).otherwise(R.allow_expanded(x, cush, cap, base))
-        plain = x + cush
-        return F.greatest(F.when(no_a, R.big(0)).otherwise(plain) if multi else plain, grown)
-
-    positive = sends.where("amount > 0")
+    x = F.col("amount")
+    large = (cush <= 0) & (x >= 4 * scaled)
+    alone = {
+        name: F.greatest(x + cush, F.when(no_e, R.big(0)).otherwise(R.allow_expanded(x, cush, cap, base)))
+        for name, (no_e, _) in flag.items()
+    }
+    row = F.struct(*order, "amount")
     sums = (
-        positive.join(legs.select(*keys, "cushion", "salary_cap", "base_cap", *flags), keys)
+        sends.where("amount > 0")
+        .join(legs.select(*keys, "cushion", "salary_cap", "base_cap", *flags), keys)
         .groupBy(*keys)
         .agg(
             F.count("*").alias("n"),
-            F.sum("amount").cast("bigint").alias("whole"),
-            *[
-                F.sum(alone(F.col("amount"), name, False)).cast("bigint").alias(f"_singles_{name}")
-                for name in variants
-            ],
+            F.coalesce(F.sum(F.when(large, x)), F.lit(0)).cast("bigint").alias("_large"),
+            F.array_sort(F.collect_list(F.when(cush <= 0, row))).alias("_rows"),
+            *[F.sum(value).cast("bigint").alias(f"_each_{name}") for name, value in alone.items()],
+            *[F.coalesce(F.sum(F.when(~large, value)), F.lit(0)).cast("bigint").alias(f"_small_{name}") for name, value in alone.items()],
         )
     )
-    first = (
-        positive.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-        .where(F.col("r") <= K.MAX_PARTITIONED)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("r", "amount"))).alias("rows"))
-        .select(*keys, F.col("rows.amount").alias("salaries"))
-    )
+    out = legs.join(sums, keys, "left")
     n = F.col("n")
-    out = legs.join(sums, keys, "left").join(first, keys, "left").withColumn(
-        "salaries",
-        F.when(n.between(2, K.MAX_PARTITIONED), F.col("salaries")).otherwise(
-            F.array().cast("array<bigint>")
-        ),
-    )
-    for name in variants:
-        out = out.withColumn(f"_s_{name}", structure_column(F.col("salaries"), cush, cap, base, *flag[name]))
-    for name in variants:
-        singles, whole = F.col(f"_singles_{name}"), alone(F.col("whole"), name, True)
-        split = F.col(f"_s_{name}")
-        large = n > K.MAX_PARTITIONED
-        # One salary has one structure; it needs no search.
-        out = out.withColumn(
-            f"{name}_total",
-            F.when(large, F.greatest(singles, whole)).when(n == 1, singles).otherwise(split["total"]),
-        ).withColumn(
+    shared = shared_exceptions(F.col("_rows.amount"), scaled)
+    for name, (no_e, no_a) in flag.items():
+        merged = F.col(f"_small_{name}") + R.trunc(F.col("_large").cast("double") * K.EXPANDED_FACTOR)
+        each = F.col(f"_each_{name}")
+        out = out.withColumn(f"{name}_total", F.when((cush > 0) | no_e, each).otherwise(merged)).withColumn(
             f"{name}_groups",
-            F.when(large, F.when(singles >= whole, n).otherwise(1))
-            .when(n == 1, n)
-            .otherwise(split["groups"]),
+            F.when((cush > 0) | (no_e & no_a), n).when(no_e, F.least(n, F.lit(1))).otherwise(shared),
         )
-    extra = [f"_s_{x}" for x in variants] + [f"_singles_{x}" for x in variants]
-    return out.drop(*extra, "n", "whole", "salaries")
+        for c in ("total", "groups"):
+            out = out.withColumn(f"{name}_{c}", F.when(n.isNull(), R.big(0)).otherwise(F.col(f"{name}_{c}")).cast("bigint"))
+    return out.drop("n", "_large", "_rows", *[f"_each_{v}" for v in variants], *[f"_small_{v}" for v in variants])

@@ -3,7 +3,6 @@
 import itertools
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,14 +71,6 @@ def test_millions_round_ties_away(spark):
     assert one(spark, R.describe_over(lit(0))) == "exactly at"
 
 
-def test_partitions_count_as_bell_numbers():
-    sizes = [len(structures.partition_masks(n)) for n in range(1, 9)]
-    assert sizes == [1, 2, 5, 15, 52, 203, 877, 4140]
-    for n in range(1, 7):
-        masks = structures.partition_masks(n)
-        assert all(row.sum() == (1 << n) - 1 for row in masks)
-
-
 def allowed(total, n, cush, scaled, no_e, no_a):
     plain = 0 if n > 1 and no_a else total + cush
     grown = max(min(2 * total + cush, total + scaled), int(1.25 * total) + cush)
@@ -87,40 +78,34 @@ def allowed(total, n, cush, scaled, no_e, no_a):
 
 
 def splits(items):
-    if not items:
-        yield []
-        return
-    head, rest = items[0], items[1:]
-    for k in range(len(rest) + 1):
-        for with_head in itertools.combinations(range(len(rest)), k):
-            group = [head, *(rest[i] for i in with_head)]
-            left = [rest[i] for i in range(len(rest)) if i not in with_head]
-            for other in splits(left):
-                yield [group, *other]
-
-
-@pytest.mark.parametrize("no_e,no_a", [(False, False), (True, False), (False, True)])
-def test_best_structure_against_every_split(no_e, no_a):
+    """Every split: from the last item to the first, into the newest group first, by itself at last."""
+    states = [[]]
+    for x in reversed(items):
+        states = [g for s in states for g in ([[*s[:i], [*s[i], x], *s[i + 1 :]] for i in range(len(s))] + [[[x], *s]])]
+    return states
+
+
+@pytest.mark.parametrize("cushion", [250_000, 0])
+@pytest.mark.parametrize("no_e,no_a", [(False, False), (True, False), (False, True), (True, True)])
+def test_best_structure_against_every_split(spark, no_e, no_a, cushion):
     rng = np.random.default_rng(3)
-    cases = [list(rng.integers(1, 9_000_000, n)) for n in (1, 2, 3, 4, 5, 6) for _ in range(4)]
-    got = structures._solve(
-        pd.DataFrame(
-            {
-                "salaries": [np.array(c) for c in cases],
-                "cushion": [250_000] * len(cases),
-                "scaled": [7_500_000] * len(cases),
-                "no_expanded": [no_e] * len(cases),
-                "no_aggregated": [no_a] * len(cases),
-            }
-        )
+    sizes = [*range(1, 7)] * 8 + [8]
+    tops = [3_000_000, 9_000_000, 60_000_000]
+    cases = [[int(x) for x in rng.integers(1, tops[i % 3], n)] for i, n in enumerate(sizes)]
+    cases += [[30_000_001, 30_000_002, 30_000_003, 5], [30_000_003] * 5, [7_500_000, 7_500_000], [1, 1, 1, 7_499_998]]
+    legs = spark.createDataFrame(
+        [(k, cushion, 140_000_000, 140_000_000, no_e, no_a) for k in range(len(cases))],
+        "k long, cushion long, salary_cap long, base_cap long, e boolean, a boolean",
     )
-    for c, total, groups in zip(cases, got["total"], got["groups"]):
-        best = max(
-            (sum(allowed(sum(g), len(g), 250_000, 7_500_000, no_e, no_a) for g in s), -0) for s in splits(c)
-        )[0]
-        assert total == best
-        ways = {len(s) for s in splits(c) if sum(allowed(sum(g), len(g), 250_000, 7_500_000, no_e, no_a) for g in s) == best}
-        assert groups in ways
+    sends = spark.createDataFrame([(k, x, i) for k, c in enumerate(cases) for i, x in enumerate(c)], "k long, amount long, i int")
+    got = {r.k: (r.s_total, r.s_groups) for r in structures.best_structures(sends, legs, ["k"], ["i"], {"s": ("e", "a")}).collect()}
+    for k, c in enumerate(cases):
+        best, groups = -1, 0
+        for s in splits(c):
+            total = sum(allowed(sum(g), len(g), cushion, 7_500_000, no_e, no_a) for g in s)
+            if total > best:
+                best, groups = total, len(s)
+        assert got[k] == (best, groups), c
 
 
 def test_structure_of_nothing_and_of_many(spark):

@@ -133,10 +133,7 @@ def node_of(s: np.ndarray) -> int:
 
 
 def rows_of(docs: DataFrame, classes: np.ndarray, text: str) -> DataFrame:
-    """(doc_id, key, th, node, n, prefix) of every row.
-
-    `node` stands for the set, `th` for the text, `key` for id and text.
-    """
+    """(doc_id, key, node, n, prefix) of every row; `node` stands for the set, `key` for id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = K.WordHash()
@@ -146,16 +143,16 @@ def rows_of(docs: DataFrame, classes: np.ndarray, text: str) -> DataFrame:
                 sets = ordered_sets(texts[a:b], classes, memory)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(c).slice(a, b - a) for c in ("doc_id", "key", "th")),
+                        *(batch.column(c).slice(a, b - a) for c in ("doc_id", "key")),
                         pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([s[: prefix_length(len(s))].astype(np.int64) for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "key", "th", "node", "n", "prefix"],
+                    names=["doc_id", "key", "node", "n", "prefix"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col(text)).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, th long, node long, n long, prefix array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col(text)).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, node long, n long, prefix array<long>")
 
 
 def incidence(rows: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -207,17 +204,21 @@ def kept_pairs(pairs: DataFrame) -> DataFrame:
     return sums.where(F.col("common") + left >= needed(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb", "common")
 
 
-def sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, classes: np.ndarray, text: str) -> DataFrame:
-    """(node, set) of the nodes: only texts whose hash is in a bitmap of fixed size are read again."""
-    wanted = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("th").alias("th"))
-    bits = K.bitmap(wanted, "th", 25)
+def sets_of(docs: DataFrame, rows: DataFrame, pairs: DataFrame, classes: np.ndarray, text: str) -> DataFrame:
+    """(node, set) of the nodes of `pairs`: only rows whose key is in a bitmap of fixed size are read again.
+
+    A node's set is taken from the row of least key. What else the bitmap lets through, and a second
+    copy where a row is repeated, joins with nothing or says the same again.
+    """
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = rows.select("node", "key").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+    bits = K.bitmap(wanted, "key", 25)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, seen = K.WordHash(), set()
         for batch in batches:
-            th = np.asarray(batch.column("th"), np.int64)
-            hit = np.flatnonzero(K.in_bitmap(bits, th.astype(np.uint64)))
-            hit = [i for i in hit if not (th[i] in seen or seen.add(th[i]))]
+            key = np.asarray(batch.column("key"), np.int64)
+            hit = [i for i in np.flatnonzero(K.in_bitmap(bits, key.astype(np.uint64))) if not (key[i] in seen or seen.add(key[i]))]
             if len(seen) > 1_000_000:
                 seen = set()
             texts = batch.column("text").take(pa.array(hit, pa.int64())).to_pylist()
@@ -225,12 +226,10 @@ def sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, classes: np.ndar
                 sets = ordered_sets(texts[a:b], classes, memory)
                 ids = [node_of(s) if len(s) else None for s in sets]
                 packed = [s.view(np.uint8).reshape(-1, 8)[:, :7].tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(th[hit[a:b]], pa.int64()), pa.array(packed, pa.binary())], names=["node", "th", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["node", "set"])
 
-    again = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")).where("text is not null")
-    found = again.mapInArrow(run, "node long, th long, set binary").join(wanted, ["node", "th"], "left_semi")
-    # The same text may have been met by several tasks.
-    return scratch.written(found.groupBy("node").agg(F.first("set").alias("set")), "sets")
+    again = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col(text)).alias("key"), F.col(text).alias("text")).where("text is not null")
+    return scratch.written(again.mapInArrow(run, "node long, set binary"), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -254,27 +253,30 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def first_links(entries: DataFrame) -> DataFrame:
-    """Each node with the one partner, among the least nodes of its blocks, that shares most entries."""
-    head = entries.groupBy("col", "salt").agg(F.min(F.struct("node", "n", "pos")).alias("h"))
+    """Each node with the one partner, among the least nodes of its blocks, that shares most entries.
+
+    Of these pairs, those that can reach their bound.
+    """
+    head = entries.groupBy("col", "salt").agg(F.min("node").alias("head"))
     # A split column's parts are tied by the least node of the whole column.
-    whole = head.groupBy("col").agg(F.min("h").alias("w"), F.count("*").alias("parts"))
-    heads = head.join(whole.where("parts > 1"), "col", "left").select("col", "salt", "h", "w")
-    met = entries.join(heads.select("col", "salt", "h"), ["col", "salt"])
-    pairs = met.where("node <> h.node").select(F.col("node").alias("a"), F.col("h.node").alias("b"), F.col("n").alias("na"), F.col("h.n").alias("nb"), F.col("pos").alias("pa"), F.col("h.pos").alias("pb"))
-    tied = heads.where("w is not null and h.node <> w.node").select(F.col("h.node").alias("a"), F.col("w.node").alias("b"), F.col("h.n").alias("na"), F.col("w.n").alias("nb"), F.col("h.pos").alias("pa"), F.col("w.pos").alias("pb"))
-    pairs = pairs.union(tied).where(possible(F.col("na"), F.col("nb")))
-    # Entries of a pair outside its partner's blocks aren't counted here, so nothing is discarded yet.
-    counts = pairs.groupBy("a", "b").agg(F.count("*").alias("common"))
-    return counts.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
+    parts = head.groupBy("col").agg(F.min("head").alias("whole"), F.count("*").alias("parts")).where("parts > 1")
+    tied = head.join(parts, "col").where("head <> whole").select(F.col("head").alias("a"), F.col("whole").alias("b"))
+    met = entries.select("col", "salt", "node").join(head, ["col", "salt"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    counts = met.union(tied).groupBy("a", "b").agg(F.count("*").alias("common"))
+    best = scratch.written(counts.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b")), "partners")
+    # The entries that partners have in common, in whatever block.
+    own = entries.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "col").join(best, "a")
+    other = entries.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "col")
+    pairs = own.join(other, ["b", "col"]).where(possible(F.col("na"), F.col("nb")))
+    return kept_pairs(pairs).select("a", "b")
 
 
 def other_links(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of nodes of one column that are in different components so far."""
-    own = entries.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    own = scratch.written(own, "entries")
+    own = entries.select("col", "node", "n", "pos").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # The component of each column's least node; its other members have nothing to ask each other.
     main = own.groupBy("col").agg(F.min_by("comp", "node").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("col", "main")
-    own = own.join(main, "col")
+    own = scratch.written(own.join(main, "col"), "mixed-columns")
     rest = own.where("comp <> main")
     a, b = rest.alias("a"), own.alias("b")
     met = a.join(b, (F.col("a.col") == F.col("b.col")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))) & possible(F.col("a.n"), F.col("b.n")) & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= needed(F.col("a.n"), F.col("b.n"))))
@@ -295,11 +297,10 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = scratch.written(rows_of(docs, classes, text), "shingle-rows")
     entries = scratch.written(incidence(rows, classes), "incidence")
     first = scratch.written(first_links(entries), "first-links")
-    nodes = entries.select("node").distinct()
-    sets = sets_of(docs, rows, nodes, classes, text)
-    links = scratch.written(verified(first, sets), "links")
+    links = scratch.written(verified(first, sets_of(docs, rows, first, classes, text)), "links")
     labels = K.components(links)
-    more = scratch.written(verified(scratch.written(other_links(entries, labels), "other-links"), sets), "links")
+    other = scratch.written(other_links(entries, labels), "other-links")
+    more = scratch.written(verified(other, sets_of(docs, rows, other, classes, text)), "links")
     if not more.isEmpty():
         labels = K.components(links.union(more))
     own = rows.select("doc_id", "key", "node", F.col("n").alias("n_shingles")).join(labels, "node", "left")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factline.llm import common as K
+from factline.sources import scratch
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -26,6 +27,8 @@ END_ID = 1
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 COMBINING = re.compile("[\u0300-\u036f]")
 WORDS_AT_ONCE = 1_000
+#: Pieces that a Python worker remembers before it starts anew; bounds memory only.
+MEMORY = 1_000_000
 
 
 class Encoder:
@@ -93,7 +96,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in one array, number of ids of each text); `end` closes every text."""
-        if len(self.known) > K.CACHED_WORDS:
+        if len(self.known) > MEMORY:
             self.clear()
         flat: list[str | None] = []
         ends = []
@@ -185,7 +188,7 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("at"), batch.column("doc_id"), n, crc], names=["file", "at", "doc_id", "n_tokens", "ids_crc32"])
 
     rows = read(spark, path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.monotonically_increasing_id().alias("at"), "doc_id", "ids")
-    rows = rows.mapInArrow(sums, "file string, at long, doc_id long, n_tokens long, ids_crc32 long")
+    rows = scratch.written(rows.mapInArrow(sums, "file string, at long, doc_id long, n_tokens long, ids_crc32 long"), "token-sums")
     per_file = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = per_file.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "at")) - F.col("n_tokens")

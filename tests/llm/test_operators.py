@@ -138,7 +138,7 @@ def test_tokens_make_the_round_trip(spark, rows):
 def test_token_memory_starts_anew(monkeypatch):
     import public_tokenizers
 
-    monkeypatch.setattr(K, "CACHED_WORDS", 3)
+    monkeypatch.setattr(tokens, "MEMORY", 3)
     e = tokens.Encoder(public_tokenizers.path(tokens.TOKENIZER))
     texts = ["the cat sat on the mat", None, "", "the dog", "a the a the"]
     for _ in range(3):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import sys
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
@@ -79,16 +81,16 @@ def _ascii_of(ch: str) -> str:
 
 
 def _folds() -> tuple[str, str, dict[str, str]]:
-    """Characters folding to one ASCII character, and the few folding to several."""
+    """Characters folding to one ASCII character, and those folding to several."""
     one_from, one_to, many = [], [], {}
-    for cp in range(0x80, 0x10000):
+    for cp in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= cp < 0xE000:
             continue
         folded = _ascii_of(chr(cp))
         if len(folded) == 1:
             one_from.append(chr(cp))
             one_to.append(folded)
-        elif len(folded) > 1 and (cp < 0x250 or 0xFB00 <= cp <= 0xFB06):
+        elif len(folded) > 1:
             many[chr(cp)] = folded
     return "".join(one_from), "".join(one_to), many
 
@@ -99,16 +101,13 @@ _FROM, _TO, _MANY = _folds()
 def fold_ascii(c: Column) -> Column:
     """Compatibility-decomposed text with everything outside ASCII dropped.
 
-    Plain text passes through, and the rare letters that fold to several are only looked for
-    where one occurs.
+    Plain text passes through. Letters that fold to one are translated; only what is still outside ASCII
+    then is looked up character by character.
     """
-    many = c
-    for ch, folded in _MANY.items():
-        many = F.replace(many, F.lit(ch), F.lit(folded))
-    rare = c.rlike("[" + "".join(_MANY) + "]")
-    opened = F.when(rare, many).otherwise(c)
-    folded = F.regexp_replace(F.translate(opened, _FROM, _TO), r"[^\x00-\x7F]+", "")
-    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
+    single = F.translate(c, _FROM, _TO)
+    table = F.from_json(F.lit(json.dumps(_MANY)), "map<string,string>")
+    several = F.array_join(F.transform(F.split(single, ""), lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), F.try_element_at(table, x)).otherwise(x)), "")
+    return F.when(~c.rlike(r"[^\x00-\x7F]"), c).when(single.rlike(r"[^\x00-\x7F]"), several).otherwise(single)
 
 
 def squeeze(c: Column) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import json
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,21 +15,40 @@ NOTE_OPTION = r"(?i)(\d{4}-\d{2})\s+is\s+a\s+(team|player)\s+option"
 NOTE_TRADE = r"Traded from (\w+) to (\w+) (\w+\s+\d+,\s+\d{4})"
 NOTE_EXERCISED = r"Option exercised (\w+\s+\d+,\s+\d{4})"
 SEASON = r"(\d{4}-\d{2})"
-ENTITY = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
 # -- markup ----------------------------------------------------------------
 
 
+def _code_point(body: Column) -> Column:
+    """The number of a `#...` reference; more than a code point can have is 0x110000."""
+    hexadecimal = body.rlike("^#[xX]")
+    digits = F.regexp_replace(F.regexp_replace(body, "^#[xX]?0*", ""), ";", "")
+    wide = F.length(digits) > F.when(hexadecimal, 6).otherwise(7)
+    number = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+    return F.when(digits == "", 0).when(wide, 0x110000).otherwise(number)
+
+
+def _character(code: Column) -> Column:
+    """A reference's character: replacements for what has none, nothing for control codes and noncharacters."""
+    windows = {c: bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0)}
+    table = F.create_map(*[F.lit(x) for c, ch in windows.items() for x in (c, ch)])
+    bad = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    none = code.between(1, 8) | code.between(14, 31) | (code == 11) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (F.pmod(code, F.lit(0x10000)) >= 0xFFFE)
+    safe = F.when(bad | none, 32).otherwise(code)
+    char = F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+    return F.when(bad, "\ufffd").when(code == 13, "\r").when(code.between(0x80, 0x9F), F.element_at(table, code.cast("int"))).when(none, "").otherwise(char)
+
+
 def _decode_entity(e: Column) -> Column:
-    """One `&...;` as its character; an unknown name stays as it is."""
-    names = [F.lit(x) for name, cp in sorted(name2codepoint.items()) for x in (name, chr(cp))]
-    body = F.substring_index(F.substr(e, F.lit(2)), ";", 1)
-    code = F.when(body.rlike("^#[xX]"), F.conv(F.substr(body, F.lit(3)), 16, 10)).when(
-        body.startswith("#"), F.substr(body, F.lit(2))
-    )
-    char = F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
-    return F.coalesce(F.element_at(F.create_map(*names), body), char, e)
+    """One `&...` as its character; a name is looked up whole, then by the longest old name it begins with."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    body = F.substr(e, F.lit(2))
+    old = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+    begins = F.regexp_extract(body, "^(" + "|".join(old) + ")", 1)
+    partly = F.when(begins != "", F.concat(F.try_element_at(names, begins), F.substr(body, F.length(begins) + 1)))
+    return F.when(body.startswith("#"), _character(_code_point(body))).otherwise(F.coalesce(F.try_element_at(names, body), partly, e))
 
 
 def unescape(c: Column) -> Column:

@@ -34,9 +34,10 @@ def expand_suffixes(c: Column) -> Column:
     def value(n: Column, u: Column) -> Column:
         low = F.lower(u)
         factor = reduce(lambda acc, kv: F.when(low == kv[0], kv[1]).otherwise(acc), SCALE.items(), F.lit(1))
-        return (n.cast("double") * factor).cast("bigint")
+        return (n.try_cast("double") * factor).try_cast("bigint")
 
-    values = F.zip_with(numbers, units, value)
+    # A figure beyond a whole number's range has no other form.
+    values = F.array_compact(F.zip_with(numbers, units, value))
     return F.array_distinct(
         F.flatten(
             F.transform(values, lambda v: F.array(F.format_number(v, 0), v.cast("string")))
@@ -311,31 +312,37 @@ def trace_metrics(spans: DataFrame, n_scores: int = 0) -> DataFrame:
     )
 
 
-def flatten_spans(spans: DataFrame, max_depth: int = 64) -> DataFrame:
+def flatten_spans(spans: DataFrame) -> DataFrame:
     """Spans depth first, parents before children, with depth and place in the trace.
 
-    Paths double with every round: each span takes over its ancestor's path and then looks to
-    that ancestor's ancestor, so six joins cover a depth of 64. A span still looking after
-    that fails the job rather than being misplaced.
+    Paths double with every round, in traces of any depth: each span takes over its ancestor's
+    path and then looks to that ancestor's ancestor. Rounds are written, so each reads its table twice
+    and nothing before it; spans that are done leave the rounds. A span without a path to a root
+    (its parent is missing, or it is its own ancestor) ends at the spans that are known.
     """
+    from factline.sources import scratch
+
     step = F.array(F.struct(F.col("started_at"), F.col("span_id")))
-    paths = spans.select("trace_id", "span_id", F.col("parent_id").alias("up"), step.alias("path"))
-    reach = 1
-    while reach < max_depth:
+    paths = scratch.written(spans.select("trace_id", "span_id", F.col("parent_id").alias("up"), step.alias("path")), "span-paths")
+    reach, longest = 1, None
+    while not paths.where("up is not null").isEmpty():
+        # No path has more steps than the largest trace has spans, unless it runs in a circle.
+        longest = longest or spans.groupBy("trace_id").count().agg(F.max("count")).first()[0]
+        if reach >= longest:
+            paths = paths.withColumn("up", F.lit(None).cast(paths.schema["up"].dataType))
+            break
         above = paths.select(
             "trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("head")
         )
-        paths = paths.join(above, ["trace_id", "up"], "left").select(
+        looking = paths.where("up is not null").join(above, ["trace_id", "up"], "left").select(
             "trace_id",
             "span_id",
             F.col("next").alias("up"),
             F.when(F.col("head").isNotNull(), F.concat("head", "path")).otherwise(F.col("path")).alias("path"),
         )
+        paths = scratch.written(paths.where("up is null").unionByName(looking), "span-paths")
         reach *= 2
-    checked = F.when(
-        F.col("up").isNotNull(), F.raise_error(F.lit("span tree is deeper than max_depth"))
-    ).otherwise(F.size("path").cast("bigint"))
     w = W.partitionBy("trace_id").orderBy("path")
     return paths.select(
-        "trace_id", "span_id", checked.alias("depth"), F.row_number().over(w).cast("bigint").alias("place")
+        "trace_id", "span_id", F.size("path").cast("bigint").alias("depth"), F.row_number().over(w).cast("bigint").alias("place")
     )

@@ -68,7 +68,7 @@ def best_structures(
         name: F.greatest(x + cush, F.when(no_e, R.big(0)).otherwise(R.allow_expanded(x, cush, cap, base)))
         for name, (no_e, _) in flag.items()
     }
-    row = F.struct(*order, "amount")
+    row = F.struct(*order, x.alias("_amount"))
     sums = (
         sends.where("amount > 0")
         .join(legs.select(*keys, "cushion", "salary_cap", "base_cap", *flags), keys)
@@ -83,7 +83,7 @@ def best_structures(
     )
     out = legs.join(sums, keys, "left")
     n = F.col("n")
-    shared = shared_exceptions(F.col("_rows.amount"), scaled)
+    shared = shared_exceptions(F.col("_rows._amount"), scaled)
     for name, (no_e, no_a) in flag.items():
         merged = F.col(f"_small_{name}") + R.trunc(F.col("_large").cast("double") * K.EXPANDED_FACTOR)
         each = F.col(f"_each_{name}")

@@ -30,29 +30,30 @@ STOPS = {
 }
 
 
-def features(text) -> list[F.Column]:
-    """Binned surface features of a text, 0 to BINS - 1 each."""
-    n = F.length(text)
-    words = F.split(F.trim(text), r"\s+")
-    size, kinds = F.size(words), F.array_distinct(words)
-    share = lambda part, whole: F.least(F.floor(part / F.greatest(whole, F.lit(1)) * BINS), F.lit(BINS - 1))
-    marks = n - F.length(F.translate(text, "#$%&*!@^~=|<>{}[]", ""))
-    upper = n - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    return [
-        F.least(F.floor(F.log2(size + 1)), F.lit(BINS - 1)),
-        share(F.size(kinds), size),
+N_FEATURES = 5 + len(STOPS)
+WORK = ("_text", "_words", "_kinds", "_common", "bins", "post", "_l", "_e", "_copies")
+
+
+def binned(rows: DataFrame) -> DataFrame:
+    """Rows with `_text` (not null), with `_words` and `bins`: surface features of it, 0 to BINS - 1 each."""
+    stops = sorted({w for some in STOPS.values() for w in some})
+    rows = rows.withColumn("_words", F.split(F.trim("_text"), r"\s+")).withColumn("_kinds", F.array_distinct("_words"))
+    rows = rows.withColumn("_common", F.array_intersect("_kinds", F.array(*map(F.lit, stops))))
+    n, size = F.length("_text"), F.size("_words")
+    top = F.lit(BINS - 1)
+    share = lambda part, whole: F.least(F.floor(part / F.greatest(whole, F.lit(1)) * BINS), top)
+    common = lambda own: F.size(F.filter("_common", lambda w: w.isin(*own)))
+    marks = n - F.length(F.translate("_text", "#$%&*!@^~=|<>{}[]", ""))
+    upper = n - F.length(F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    features = [
+        F.least(F.floor(F.log2(size + 1)), top),
+        share(F.size("_kinds"), size),
         share(marks * 4, n),
         share(upper * 4, n),
-        F.least(F.floor(n / F.greatest(size, F.lit(1))), F.lit(BINS - 1)),
-        *[F.size(F.array_intersect(kinds, F.array(*map(F.lit, stops)))) for stops in STOPS.values()],
+        F.least(F.floor(n / F.greatest(size, F.lit(1))), top),
+        *[common(own) for own in STOPS.values()],
     ]
-
-
-N_FEATURES = 5 + len(STOPS)
-
-
-def bins(text) -> F.Column:
-    return F.array(*[F.coalesce(c.cast("int"), F.lit(0)) for c in features(text)])
+    return rows.withColumn("bins", F.array(*[F.coalesce(c.cast("int"), F.lit(0)) for c in features]))
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -61,8 +62,8 @@ def described(docs: DataFrame) -> DataFrame:
     A null text is empty. Tokens are words between white space.
     """
     rows = docs.select("doc_id", "lang", F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    n = F.when(F.trim("_text") == "", 0).otherwise(F.size(F.split(F.trim(F.col("_text")), r"\s+")))
-    return rows.select("doc_id", "lang", n.cast("long").alias("n_tokens"), bins(F.col("_text")).alias("bins"))
+    n = F.when(F.get("_words", F.lit(0)) == "", 0).otherwise(F.size("_words"))
+    return binned(rows).select("doc_id", "lang", n.cast("long").alias("n_tokens"), "bins")
 
 
 def learn(rows: DataFrame, labels: DataFrame, domains: tuple[str, ...] = tuple(TARGETS)) -> tuple[dict[str, float], dict[tuple[int, int], dict[str, float]]]:
@@ -171,10 +172,9 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     rates are applied where the text lies, without a join.
     """
     m = fit(scratch.written(described(docs), "described"), labels, targets, total)
-    text, work = F.coalesce(F.col("text"), F.lit("")), {"_text": None, "bins": None, "post": None}
-    clash = {c: K.free_name(docs, f"kept{i}") for i, c in enumerate(docs.columns) if c.lower() in (*work, "_l", "_e", "_copies")}
-    own = docs.withColumnsRenamed(clash).withColumn("_text", text)
-    own = posterior(own.withColumn("bins", bins(F.col("_text"))), m.model)
+    clash = {c: K.free_name(docs, f"kept{i}") for i, c in enumerate(docs.columns) if c.lower() in WORK}
+    own = docs.withColumnsRenamed(clash).withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
+    own = posterior(binned(own).drop("_words", "_kinds", "_common"), m.model)
     chance = F.pmod(F.xxhash64("doc_id", "_text"), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(m.rate() + chance).cast("int")
     own = own.withColumn("_copies", copies).where("_copies > 0").withColumn("_copies", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))

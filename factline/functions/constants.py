@@ -9,7 +9,6 @@ EXPANDED_FACTOR = 1.25
 EXPANDED_DOUBLE = 2.00
 
 # Trade shape.
-MAX_MOVES = 16
 AGGREGATION_BAR_DAYS = 60
 
 # Roster.

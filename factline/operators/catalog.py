@@ -144,6 +144,7 @@ def hard_cap_ceilings(ceilings: Rows) -> Entity:
         ceilings,
         (
             integer("team", None, "Team"),
+            text("season", "season_id", "Season the ceiling binds in"),
             text("apron_level", "level", "first_apron or second_apron"),
             text("trigger_category", "category", "Kind of transaction that set it"),
             text("trigger_detail", "detail", "The specific transaction"),

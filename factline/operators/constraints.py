@@ -37,10 +37,10 @@ def hard_cap(positions: DataFrame, ceilings: DataFrame) -> DataFrame:
     )
     none = _rows(positions.where("ceiling_amount is null"), "no_hard_cap")
     extra = ceilings.withColumn(
-        "r", F.row_number().over(W.partitionBy("team").orderBy("level"))
+        "r", F.row_number().over(W.partitionBy("team", "season").orderBy("level"))
     ).where("r > 1")
     superseded = _rows(
-        positions.select("team", "season").join(extra, "team"), "hard_cap_superseded"
+        positions.select("team", "season").join(extra, ["team", "season"]), "hard_cap_superseded"
     )
     return binding.unionByName(none).unionByName(superseded)
 

@@ -16,8 +16,6 @@ from factline.functions import text as X
 
 PREFIX_CHARS = 40
 MAX_CHARS = 6_000
-HEADING_CHARS = 400
-MAX_LEVEL = 7
 
 QUOTED = "“([^”]+)”"
 DEFINITION = (
@@ -76,7 +74,9 @@ def page_for_offset(pages: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def locate_units(docs: DataFrame, headings: DataFrame) -> DataFrame:
-    """Where each heading's lowercase prefix first occurs, from its own page on; -1 if nowhere.
+    """Where each heading first occurs, lowercase, from its own page on; -1 if nowhere.
+
+    The whole heading is looked for; only if it is nowhere, its first PREFIX_CHARS characters are.
 
     The text stays on its document's row and the headings come to it.
     headings (doc_id, idx, title, page_start).
@@ -85,20 +85,20 @@ def locate_units(docs: DataFrame, headings: DataFrame) -> DataFrame:
         F.collect_list(
             F.struct(
                 "idx",
-                F.substr(F.lower(X.squash(F.col("title"))), F.lit(1), F.lit(PREFIX_CHARS)).alias("needle"),
+                F.lower(X.squash(F.col("title"))).alias("needle"),
                 "page_start",
             )
         ).alias("h")
     )
-    found = F.transform(
-        "h",
-        lambda h: F.struct(
-            h["idx"].alias("idx"),
-            (F.position(h["needle"], F.col("low"), h["page_start"].cast("int") + 1) - 1)
-            .cast("bigint")
-            .alias("start"),
-        ),
-    )
+    def place(h, needle):
+        return F.position(needle, F.col("low"), h["page_start"].cast("int") + 1)
+
+    def find(h):
+        whole = place(h, h["needle"])
+        at = F.when(whole > 0, whole).otherwise(place(h, F.substr(h["needle"], F.lit(1), F.lit(PREFIX_CHARS))))
+        return F.struct(h["idx"].alias("idx"), (at - 1).cast("bigint").alias("start"))
+
+    found = F.transform("h", find)
     return (
         docs.select("doc_id", F.lower("text").alias("low"))
         .join(wanted, "doc_id")
@@ -113,6 +113,7 @@ def outline(units: DataFrame) -> DataFrame:
     (idx of the nearest enclosing unit), is_child (shallowest level inside its parent), inside
     (has units of its own), and chain, the enclosing units outermost first.
     """
+    levels = units.agg(F.max("level")).first()[0] or 1
     doc = W.partitionBy("doc_id").orderBy("idx")
     after = doc.rowsBetween(1, W.unboundedFollowing)
     before = doc.rowsBetween(W.unboundedPreceding, -1)
@@ -121,10 +122,10 @@ def outline(units: DataFrame) -> DataFrame:
         "inside", F.coalesce(F.lead("level").over(doc) > level, F.lit(False))
     )
     ends, last = F.lit(None).cast("bigint"), []
-    for n in range(MAX_LEVEL, 0, -1):
+    for n in range(levels, 0, -1):
         ends = F.when(level == n, F.min(F.when(level <= n, F.col("start"))).over(after)).otherwise(ends)
     df = df.withColumn("subtree_end", F.coalesce(ends, F.col("doc_end")))
-    for n in range(1, MAX_LEVEL):
+    for n in range(1, levels):
         df = df.withColumn(f"_last{n}", F.last(F.when(level == n, F.col("idx")), ignorenulls=True).over(before))
         last.append(F.when(level > n, F.col(f"_last{n}")))
     df = df.withColumn("parent", F.greatest(*last)).withColumn(
@@ -134,7 +135,7 @@ def outline(units: DataFrame) -> DataFrame:
     )
     # A remembered unit encloses this one when no shallower one came after it.
     chain = []
-    for n in range(1, MAX_LEVEL):
+    for n in range(1, levels):
         seen = F.last(
             F.when(
                 level == n,
@@ -149,7 +150,7 @@ def outline(units: DataFrame) -> DataFrame:
         df = df.withColumn(f"_seen{n}", F.when(alive, seen))
         chain.append(F.col(f"_seen{n}"))
     return df.withColumn("chain", F.array_compact(F.array(*chain))).drop(
-        *[f"_last{n}" for n in range(1, MAX_LEVEL)], *[f"_seen{n}" for n in range(1, MAX_LEVEL)]
+        *[f"_last{n}" for n in range(1, levels)], *[f"_seen{n}" for n in range(1, levels)]
     )
 
 
@@ -159,7 +160,7 @@ def unit_spans(units: DataFrame) -> DataFrame:
 
 def heading_path() -> Column:
     titles = F.concat(F.transform("chain", lambda c: c["title"]), F.array("title"))
-    return F.substr(F.array_join(titles, " > "), F.lit(1), F.lit(HEADING_CHARS))
+    return F.array_join(titles, " > ")
 
 
 def slice_texts(docs: DataFrame, spans: DataFrame, name: str = "text") -> DataFrame:
@@ -256,7 +257,7 @@ def citation(article: Column, section: Column, markers: Column, title: Column) -
     tail = F.when(section.isNull(), "").otherwise(
         F.concat(F.lit(" §"), section, F.coalesce(markers, F.lit("")))
     )
-    return F.when(article.isNull(), F.substr(title, F.lit(1), F.lit(60))).otherwise(
+    return F.when(article.isNull(), title).otherwise(
         F.concat(F.lit("Art. "), article, tail)
     )
 

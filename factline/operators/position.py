@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from factline.functions import rules as R
 
-# The figure from which a contract counts as a standard roster spot.
-STANDARD_FIGURE = 8_400_000
-
 
 def counted(ledger: DataFrame) -> DataFrame:
     """Ledger lines with the amount each counts for in the cap and the apron total."""
@@ -37,7 +34,7 @@ def team_totals(ledger: DataFrame) -> DataFrame:
         .groupBy("team", "season")
         .agg(
             total("amount", contract).alias("committed"),
-            F.count_if(contract & (F.col("amount") >= STANDARD_FIGURE)).alias("standard_count"),
+            F.count_if(contract & (F.col("amount") > 0)).alias("standard_count"),
             total("amount", F.col("kind") == "dead").alias("dead"),
             total("amount", hold).alias("holds"),
             total("apron", hold).alias("restricted"),
@@ -66,8 +63,8 @@ def trigger_text(category: Column, detail: Column) -> Column:
 
 
 def binding_ceilings(ceilings: DataFrame) -> DataFrame:
-    """The binding level per team (first apron is always the lower) and every trigger."""
-    return ceilings.groupBy("team").agg(
+    """The binding level per team and season (first apron is always the lower) and every trigger."""
+    return ceilings.groupBy("team", "season").agg(
         F.min("level").alias("ceiling_level"),
         F.array_join(
             F.array_sort(F.collect_set(trigger_text(F.col("category"), F.col("detail")))), " | "
@@ -97,7 +94,7 @@ def team_state(ledger: DataFrame, seasons: DataFrame, ceilings: DataFrame) -> Da
     return (
         with_thresholds(team_totals(ledger), seasons)
         .withColumn("status", status_column())
-        .join(binding_ceilings(ceilings), "team", "left")
+        .join(binding_ceilings(ceilings), ["team", "season"], "left")
         .withColumn("ceiling_amount", ceiling_amount(F.col("ceiling_level")))
         .select(
             "team", "season", "season_id", "committed", "dead", "holds", "restricted",

@@ -29,7 +29,6 @@ AGGREGATES = {
     "min": F.min,
     "max": F.max,
 }
-MAX_LIMIT = 1000
 
 
 class QueryError(ValueError):
@@ -77,7 +76,7 @@ class Query:
     filters: tuple[Filter, ...] = ()
     group_by: tuple[str, ...] = ()
     order_by: tuple[Order, ...] = ()
-    limit: int = 100
+    limit: int | None = None
 
     def validate(self, catalog: Catalog) -> Entity:
         ent = catalog.entities.get(self.entity)
@@ -85,8 +84,8 @@ class Query:
             raise QueryError(f"unknown entity {self.entity!r}", list(catalog.entities))
         if not self.select:
             raise QueryError(f"nothing selected from {self.entity!r}", ent.field_names)
-        if not 1 <= self.limit <= MAX_LIMIT:
-            raise QueryError(f"limit must be between 1 and {MAX_LIMIT}, got {self.limit}")
+        if self.limit is not None and self.limit < 1:
+            raise QueryError(f"limit must be 1 or more, got {self.limit}")
         outputs = [p.output for p in self.select]
         wanted = [("field", p.field) for p in self.select if not p.counts_rows]
         wanted += [("filter field", f.field) for f in self.filters]
@@ -170,7 +169,7 @@ class Query:
             ]
             picked = [projected(p) for p in self.select]
             result = rows.orderBy(*order).select(*picked) if order else rows.select(*picked)
-        return result.limit(self.limit)
+        return result if self.limit is None else result.limit(self.limit)
 
 
 def _aliased(select: tuple[Projection, ...], name: str, expr: dict[str, Column]) -> Column | None:

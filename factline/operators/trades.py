@@ -9,7 +9,7 @@ from factline.functions import constants as K
 from factline.functions import rules as R
 
 
-def trade_errors(moves: DataFrame) -> DataFrame:
+def trade_errors(moves: DataFrame, max_moves: int | None = None) -> DataFrame:
     """One row per trade with the first thing wrong with its shape, or null."""
     return moves.groupBy("trade_id").agg(
         F.count("*").alias("n_moves"),
@@ -20,7 +20,7 @@ def trade_errors(moves: DataFrame) -> DataFrame:
     ).select(
         "trade_id",
         "n_moves",
-        F.when(F.col("n_moves") > K.MAX_MOVES, "too_many_moves")
+        F.when(F.lit(False) if max_moves is None else F.col("n_moves") > max_moves, "too_many_moves")
         .when(F.col("lo") == F.col("hi"), "one_team")
         .when(F.col("n_self") > 0, "self_move")
         .when(F.col("n_players") < F.col("n_moves"), "player_twice")

@@ -37,8 +37,8 @@ def h03(v):
 
 @REG.add(
     "h04_locate_units",
-    """SELECT l.doc_id, l.idx, CASE WHEN p = 0 THEN -1 ELSE p - 1 + start END AS start FROM (
- SELECT u.doc_id, u.idx, u.start, instr(substr(lower(d.text), u.start + 1), CASE WHEN u.level = 4 THEN 'zq ' ELSE '' END || CASE WHEN u.level = 4 THEN left(lower(u.line), 37) ELSE left(lower(u.line), 40) END) AS p
+    """SELECT l.doc_id, l.idx, CASE WHEN w > 0 THEN w - 1 + start WHEN p = 0 THEN -1 ELSE p - 1 + start END AS start FROM (
+ SELECT u.doc_id, u.idx, u.start, instr(substr(lower(d.text), u.start + 1), CASE WHEN u.level = 4 THEN 'zq ' ELSE '' END || trim(regexp_replace(lower(u.line), '\\s+', ' ', 'g'))) AS w, instr(substr(lower(d.text), u.start + 1), CASE WHEN u.level = 4 THEN 'zq ' ELSE '' END || CASE WHEN u.level = 4 THEN left(lower(u.line), 37) ELSE left(lower(u.line), 40) END) AS p
  FROM f_units u JOIN f_docs d ON d.doc_id = u.doc_id) l""",
 )
 def h04(v):
@@ -100,7 +100,7 @@ def h11(v):
 
 @REG.add(
     "h12_heading_path",
-    """SELECT u.doc_id, u.idx, left(coalesce((SELECT string_agg(a.title, ' > ' ORDER BY a.idx) || ' > ' FROM f_outline a WHERE a.doc_id = u.doc_id AND a.start <= u.start AND a.subtree_end >= u.subtree_end AND a.level < u.level), '') || u.title, 400) AS path
+    """SELECT u.doc_id, u.idx, coalesce((SELECT string_agg(a.title, ' > ' ORDER BY a.idx) || ' > ' FROM f_outline a WHERE a.doc_id = u.doc_id AND a.start <= u.start AND a.subtree_end >= u.subtree_end AND a.level < u.level), '') || u.title AS path
  FROM f_outline u""",
 )
 def h12(v):

@@ -119,11 +119,11 @@ def d10(v):
 
 @REG.add(
     "d11_trigger_text",
-    "SELECT team, level, category || CASE WHEN detail IS NULL THEN '' ELSE ' — ' || detail END AS trigger_text FROM f_ceilings",
+    "SELECT team, season, level, category || CASE WHEN detail IS NULL THEN '' ELSE ' — ' || detail END AS trigger_text FROM f_ceilings",
 )
 def d11(v):
     return v.ceilings.select(
-        "team", "level", pos.trigger_text(C("category"), C("detail")).alias("trigger_text")
+        "team", "season", "level", pos.trigger_text(C("category"), C("detail")).alias("trigger_text")
     )
 
 

@@ -156,7 +156,7 @@ def f13(v):
 HARD_CAP = """SELECT team, season, NULL::BIGINT AS player, 'hard_cap' AS kind, ceiling_amount - apron_salary AS value, ceiling_amount - apron_salary <= 0 AS blocking
  FROM f_positions WHERE ceiling_amount IS NOT NULL
  UNION ALL SELECT team, season, NULL, 'no_hard_cap', NULL, false FROM f_positions WHERE ceiling_amount IS NULL
- UNION ALL SELECT p.team, p.season, NULL, 'hard_cap_superseded', NULL, false FROM f_positions p JOIN f_ceilings c ON c.team = p.team AND c.level <> p.ceiling_level"""
+ UNION ALL SELECT p.team, p.season, NULL, 'hard_cap_superseded', NULL, false FROM f_positions p JOIN f_ceilings c ON c.team = p.team AND c.season = p.season AND c.level <> p.ceiling_level"""
 RESTRICTED = """SELECT a.team, a.season, a.player, CASE WHEN r.blocks_trade THEN 'may_not_be_traded' ELSE 'may_not_be_aggregated' END AS kind,
  NULL::BIGINT AS value, r.blocks_trade AS blocking FROM f_asked a JOIN f_restrictions r ON r.player = a.player
  AND (r.expires IS NULL OR make_date(a.season, 12, 1) <= r.expires)"""

@@ -240,7 +240,7 @@ class Views(Tables):
 
     @property
     def ceilings(self) -> DataFrame:
-        """Hard-cap ceilings by team; a team may hold both."""
+        """Hard-cap ceilings by team and season; a team may hold both. Each misses one season in three."""
         t = self.teams
         rows = F.array(
             F.when(F.col("balance") < 300_000, F.lit("first_apron")),
@@ -251,7 +251,10 @@ class Views(Tables):
             F.explode(rows).alias("level"),
             F.col("division").alias("category"),
             F.when(F.col("balance") >= 0, F.col("name")).alias("detail"),
-        ).where("level is not null")
+        ).where("level is not null").join(
+            F.broadcast(self.seasons.select("season", "season_id")),
+            (F.col("team") + F.col("season") + F.length("level")) % 3 != 0,
+        )
 
     @property
     def exceptions(self) -> DataFrame:

@@ -159,6 +159,7 @@ def draft_picks(picks: Rows) -> Entity:
         picks,
         (
             integer("year", None, "Draft year"),
+            integer("round", None, "First or second round"),
             integer("team", "owner", "Current owner"),
             integer("original_team", None, "Team the pick originated with"),
             Field("forfeited", "integer", F.col("forfeited").cast("bigint"), "1 if forfeited"),

@@ -62,16 +62,18 @@ def reconcile(cands: DataFrame, precedence: DataFrame) -> DataFrame:
     """The winning value per (field, subject), whether sources differed, and the losers.
 
     cands: field, subject, source, value (text of one declared type), arrival.
-    A subject has at most one candidate per source.
+    Of several candidates of one source the first in order stands for it.
     """
+    entries = F.array_sort(F.collect_list(F.struct("order", "source", "value")))
     return (
         _ranked(cands, precedence)
         .groupBy("field", "subject")
         .agg(
             F.min_by(F.struct("source", "value"), "order").alias("w"),
             (F.min("value") != F.max("value")).alias("disagrees"),
-            F.array_sort(F.collect_list(F.struct("order", "source", "value"))).alias("all"),
+            entries.alias("listed"),
         )
+        .withColumn("all", F.filter("listed", lambda x, i: F.array_position(F.col("listed.source"), x["source"]) == i + 1))
         .select(
             "field",
             "subject",
@@ -224,14 +226,14 @@ def with_surrogate_id(
 
 def null_missing_fk(df: DataFrame, key: str, parents: DataFrame, parent_key: str) -> DataFrame:
     """A foreign key kept only when its parent exists."""
-    p = parents.select(F.col(parent_key).alias("_parent"))
+    p = parents.select(F.col(parent_key).alias("_parent")).distinct()
     return df.join(p, F.col(key) == F.col("_parent"), "left").withColumn(key, F.col("_parent")).drop("_parent")
 
 
 # -- overrides -------------------------------------------------------------
 
 ACTIONS = ("forfeit",)
-OVERRIDE_KEY = ["year", "original_team", "owner"]
+OVERRIDE_KEY = ["year", "round", "original_team", "owner"]
 
 
 def override_errors(overrides: DataFrame) -> DataFrame:

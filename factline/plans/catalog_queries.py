@@ -74,7 +74,7 @@ SELECT p.display_name AS player, p.player_key, c.team, c.season_id AS season, c.
  c.contract_type, CAST(c.signed_date AS VARCHAR) AS signed_date, p.years_of_service
 FROM f_contract_seasons c JOIN f_players p ON p.player = c.player"""
 CEILINGS = "SELECT team, season_id AS season, level AS apron_level, category AS trigger_category, detail AS trigger_detail FROM f_ceilings"
-PICKS = """SELECT year, owner AS team, original_team, CAST(forfeited AS BIGINT) AS forfeited,
+PICKS = """SELECT year, round, owner AS team, original_team, CAST(forfeited AS BIGINT) AS forfeited,
  CASE WHEN protected_to > 0 THEN 'protected 1-' || protected_to END AS protection_text FROM f_picks"""
 EXCEPTIONS = """SELECT team, amount, amount - used AS available, CAST(expires AS VARCHAR) AS expires,
  contract_id AS reason FROM f_exceptions"""
@@ -115,7 +115,7 @@ def c01(v):
     "c09_describe_catalog",
     " UNION ALL ".join(
         f"SELECT '{n}' AS entity, {k}::BIGINT AS n_fields, count(*) AS n_rows FROM ({s})"
-        for (n, s), k in zip(ENTITY_SQL.values(), (9, 7, 5, 5, 5, 4, 7))
+        for (n, s), k in zip(ENTITY_SQL.values(), (9, 7, 5, 6, 5, 4, 7))
     ),
 )
 def c09(v):

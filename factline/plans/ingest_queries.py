@@ -712,6 +712,7 @@ def overrides(v):
     return v.teams.where(b < 500_000).select(
         (C("team") + 2).alias("line"),
         F.lit(2029).cast("bigint").alias("year"),
+        (C("team") % 2 + 1).alias("round"),
         C("team").alias("original_team"),
         C("team").alias("owner"),
         F.when(b < 0, "revoke").otherwise("forfeit").alias("action"),
@@ -720,7 +721,7 @@ def overrides(v):
     )
 
 
-OVERRIDES = """SELECT team + 2 AS line, 2029 AS year, team AS original_team, team AS owner, CASE WHEN balance < 0 THEN 'revoke' ELSE 'forfeit' END AS action,
+OVERRIDES = """SELECT team + 2 AS line, 2029 AS year, team % 2 + 1 AS round, team AS original_team, team AS owner, CASE WHEN balance < 0 THEN 'revoke' ELSE 'forfeit' END AS action,
  CASE WHEN balance > 400000 THEN ' ' ELSE 'https://example.org/ruling' END AS citation_url, 'ruling on ' || name AS note FROM f_teams WHERE balance < 500000"""
 GOOD = f"SELECT * FROM ({OVERRIDES}) WHERE trim(citation_url) <> '' AND action = 'forfeit'"
 
@@ -746,19 +747,19 @@ def picks_with_text(v):
 
 @REG.add(
     "b16_apply_overrides",
-    f"""SELECT p.original_team, p.year, p.owner, p.forfeited OR o.line IS NOT NULL AS forfeited,
+    f"""SELECT p.original_team, p.year, p.round, p.owner, p.forfeited OR o.line IS NOT NULL AS forfeited,
  nullif(concat_ws(' | ', CASE WHEN p.protected_to > 0 THEN 'protected 1-' || p.protected_to END, 'OVERRIDE forfeit: ' || o.note || ' (' || o.citation_url || ')'), '') AS protection_text
- FROM f_picks p LEFT JOIN ({GOOD}) o ON o.year = p.year AND o.original_team = p.original_team AND o.owner = p.owner""",
+ FROM f_picks p LEFT JOIN ({GOOD}) o ON o.year = p.year AND o.round = p.round AND o.original_team = p.original_team AND o.owner = p.owner""",
 )
 def b16(v):
     return ingest.apply_overrides(picks_with_text(v), good_overrides(v)).select(
-        "original_team", "year", "owner", "forfeited", "protection_text"
+        "original_team", "year", "round", "owner", "forfeited", "protection_text"
     )
 
 
 @REG.add(
     "b17_unmatched_overrides",
-    f"""SELECT o.line, o.original_team FROM ({GOOD}) o WHERE NOT EXISTS (SELECT 1 FROM f_picks p WHERE p.year = o.year AND p.original_team = o.original_team AND p.owner = o.owner)""",
+    f"""SELECT o.line, o.original_team FROM ({GOOD}) o WHERE NOT EXISTS (SELECT 1 FROM f_picks p WHERE p.year = o.year AND p.round = o.round AND p.original_team = o.original_team AND p.owner = o.owner)""",
 )
 def b17(v):
     return ingest.unmatched_overrides(v.picks, good_overrides(v)).select("line", "original_team")

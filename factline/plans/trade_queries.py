@@ -217,7 +217,7 @@ def f17(v):
  FROM b GROUP BY b.team""",
 )
 def f18(v):
-    years = con.pick_years(v.picks).withColumn("bare", ~C("held") | C("lost"))
+    years = con.pick_years(v.first_picks).withColumn("bare", ~C("held") | C("lost"))
     return con.consecutive_gaps(years)
 
 
@@ -229,21 +229,21 @@ def f18(v):
  FROM y WHERE y.held""",
 )
 def f19(v):
-    return con.tradeable_years(con.pick_years(v.picks))
+    return con.tradeable_years(con.pick_years(v.first_picks))
 
 
 @REG.add(
     "f20_pick_conveys",
-    """SELECT original_team, year, owner, slot FROM (SELECT *, unnest(range(1::BIGINT, 31)) AS slot FROM f_picks WHERE NOT forfeited) WHERE slot > protected_to""",
+    """SELECT original_team, year, owner, slot FROM (SELECT *, unnest(range(1::BIGINT, 31)) AS slot FROM f_picks WHERE round = 1 AND NOT forfeited) WHERE slot > protected_to""",
 )
 def f20(v):
-    slots = v.picks.select(
+    slots = v.first_picks.select(
         "original_team", "year", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("slot")
     )
-    protections = v.picks.where("protected_to > 0").select(
+    protections = v.first_picks.where("protected_to > 0").select(
         "original_team", "year", F.lit(1).alias("low"), C("protected_to").alias("high")
     )
-    return con.pick_conveys(v.picks, slots, protections)
+    return con.pick_conveys(v.first_picks, slots, protections)
 
 
 @REG.add("f21_constraints_roster", ROSTER)

@@ -269,19 +269,24 @@ class Views(Tables):
 
     @property
     def picks(self) -> DataFrame:
-        """First-round picks 2027-2033 by original team, some conveyed or forfeited."""
+        """Picks of two rounds 2027-2033 by original team, some conveyed or forfeited."""
         key = F.col("team")
         return (
             self.teams.select("team", F.explode(F.sequence(F.lit(2027), F.lit(2033))).alias("year"))
             .withColumn("year", F.col("year").cast("bigint"))
+            .withColumn("round", F.explode(F.array(R.big(1), R.big(2))))
             .withColumn(
-                "owner", F.when((key * 7 + F.col("year")) % 5 == 0, key + 1).otherwise(key)
+                "owner", F.when((key * 7 + F.col("year") + F.col("round") - 1) % 5 == 0, key + 1).otherwise(key)
             )
-            .withColumn("forfeited", (key + F.col("year")) % 11 == 0)
+            .withColumn("forfeited", (key + F.col("year") + F.col("round") - 1) % 11 == 0)
             .withColumn("protected_to", key % 10)
             .withColumnRenamed("team", "original_team")
         )
 
+    @property
+    def first_picks(self) -> DataFrame:
+        return self.picks.where("round = 1")
+
     @property
     def restrictions(self) -> DataFrame:
         return self.players.where("size >= 40").select(

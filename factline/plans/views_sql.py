@@ -83,9 +83,9 @@ SELECT contract_id, team, cap_figure AS amount, cap_figure * disc // 10 AS used,
 FROM f_lines WHERE flag = 'R'
 """,
     "f_picks": """
-SELECT team AS original_team, year, CASE WHEN (team * 7 + year) % 5 = 0 THEN team + 1 ELSE team END AS owner,
-       (team + year) % 11 = 0 AS forfeited, team % 10 AS protected_to
-FROM (SELECT team, unnest(range(2027, 2034)) AS year FROM f_teams)
+SELECT team AS original_team, year, round, CASE WHEN (team * 7 + year + round - 1) % 5 = 0 THEN team + 1 ELSE team END AS owner,
+       (team + year + round - 1) % 11 = 0 AS forfeited, team % 10 AS protected_to
+FROM (SELECT team, year, unnest([1::BIGINT, 2::BIGINT]) AS round FROM (SELECT team, unnest(range(2027, 2034)) AS year FROM f_teams))
 """,
     "f_restrictions": """
 SELECT player, CASE WHEN kind = 'ECONOMY' THEN 're_signed_with_raise' ELSE 'recently_signed' END AS reason,
@@ -281,13 +281,13 @@ UNION ALL SELECT s.trade_id, s.team, 'player_trade_restricted', s.player FROM f_
  WHERE s.direction = 'send' AND EXISTS (SELECT 1 FROM f_restrictions r WHERE r.player = s.player AND r.blocks_trade AND (r.expires IS NULL OR s.trade_date <= r.expires))
 """
 VIEWS["f_inventory"] = """
-SELECT DISTINCT team, year FROM (SELECT original_team AS team, year FROM f_picks UNION ALL SELECT owner, year FROM f_picks)
+SELECT DISTINCT team, year FROM (SELECT original_team AS team, year FROM f_picks WHERE round = 1 UNION ALL SELECT owner, year FROM f_picks WHERE round = 1)
 """
 VIEWS["f_pick_years"] = """
 SELECT s.team, s.year, coalesce(h.held, false) AS held, coalesce(h.held, false) AND coalesce(h.lost, false) AS lost
 FROM (SELECT team, unnest(range(min(year), max(year) + 1)) AS year FROM f_inventory GROUP BY team) s
 LEFT JOIN (SELECT owner AS team, year, true AS held, bool_and(owner <> original_team AND protected_to > 0) AS lost
-           FROM f_picks WHERE NOT forfeited GROUP BY ALL) h ON h.team = s.team AND h.year = s.year
+           FROM f_picks WHERE round = 1 AND NOT forfeited GROUP BY ALL) h ON h.team = s.team AND h.year = s.year
 """
 VIEWS["f_asked"] = """
 SELECT DISTINCT season, player, unnest([team, team + 1]) AS team FROM f_contract_seasons

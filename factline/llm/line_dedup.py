@@ -53,7 +53,8 @@ def recurring(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) ->
     support = scratch.written(thin.select("key", "id", "leaf", "own").distinct().groupBy("id", "leaf", "own").agg(F.count("*").alias("docs")), "support")
     leaves = support.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("kinds"))
     # Only leaves that hold several lines in enough documents can generalise further; their words are counted.
-    wide = leaves.where((F.col("kinds") > 1) & (F.col("all") >= min_docs)).select("leaf", "all")
+    # Written first, so that where they are few no text has to move to meet them.
+    wide = scratch.written(leaves.where((F.col("kinds") > 1) & (F.col("all") >= min_docs)).select("leaf", "all"), "leaves")
     texts = every.select("id", "leaf", "m").join(wide.select("leaf"), "leaf", "left_semi").groupBy("id", "leaf").agg(F.first("m").alias("m"))
     kinds = scratch.written(texts.join(support, ["id", "leaf"]), "kinds")
     words = kinds.select("id", "leaf", "docs", F.posexplode(F.split("m", " ")).alias("at", "word"))

@@ -8,10 +8,10 @@ has a row for each distinct set and a column for each shingle; an entry of the p
   n - ceil(3n/4) + 1 of each, so only those entries are multiplied. Frequent columns (licence
   lines, shared passages) come last and are hardly ever among them.
 - A block is a column, or a part of one if the sketch says that it is large. First every row meets one
-  row only of each of its blocks; counts of common entries add up, and pairs whose count plus what is
+  row only of each of its blocks, its head; counts of common entries add up, and pairs whose count plus what is
   left of either row can't reach the bound given by their sizes are discarded.
-- Verified links make components. Then rows of a block that are still in different components meet,
-  with the same bounds, so no link between components is lost, while a group of thousands of
+- Verified links make components. Then rows of a block that are still in different components meet, with the
+  same bounds and once a pair, so no link between components is lost, while a group of thousands of
   near copies costs about one pair a row instead of all its pairs.
 
 Shingles are 64-bit hashes (56 bits where sets are compared); a collision inside one pair is the only
@@ -252,37 +252,55 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(links("x", "y")).select("a", "b")
 
 
-def first_links(entries: DataFrame) -> DataFrame:
-    """Each node with the one partner, among the least nodes of its blocks, that shares most entries.
+def star_links(entries: DataFrame) -> DataFrame:
+    """Each node with the one partner, among the heads of its blocks, that shares most entries.
 
-    Of these pairs, those that can reach their bound.
+    A block's head is the node that has fewest rarer columns than the block's: of near copies of a text,
+    the one with the fewest changes. Nodes of the head's component have nothing to ask it. Of
+    these pairs, those that can reach their bound.
     """
-    head = entries.groupBy("col", "salt").agg(F.min("node").alias("head"))
-    # A split column's parts are tied by the least node of the whole column.
-    parts = head.groupBy("col").agg(F.min("head").alias("whole"), F.count("*").alias("parts")).where("parts > 1")
-    tied = head.join(parts, "col").where("head <> whole").select(F.col("head").alias("a"), F.col("whole").alias("b"))
-    met = entries.select("col", "salt", "node").join(head, ["col", "salt"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    counts = met.union(tied).groupBy("a", "b").agg(F.count("*").alias("common"))
+    head = entries.groupBy("col", "salt").agg(F.min(F.struct("pos", "node", "comp")).alias("h"))
+    head = head.select("col", "salt", "h", F.col("h.node").alias("head"), F.col("h.comp").alias("head_comp"))
+    # A split column's parts are tied by the head of the whole column.
+    parts = head.groupBy("col").agg(F.min("h").alias("w"), F.count("*").alias("parts")).where("parts > 1")
+    tied = head.join(parts, "col").where("head_comp <> w.comp").select(F.col("head").alias("a"), F.col("w.node").alias("b"))
+    met = entries.select("col", "salt", "node", "comp").join(head.drop("h"), ["col", "salt"]).where("comp <> head_comp")
+    counts = met.select(F.col("node").alias("a"), F.col("head").alias("b")).union(tied).groupBy("a", "b").agg(F.count("*").alias("common"))
     best = scratch.written(counts.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b")), "partners")
     # The entries that partners have in common, in whatever block.
     own = entries.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "col").join(best, "a")
     other = entries.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "col")
     pairs = own.join(other, ["b", "col"]).where(possible(F.col("na"), F.col("nb")))
-    return kept_pairs(pairs).select("a", "b")
+    return scratch.written(kept_pairs(pairs).select("a", "b"), "star-links")
 
 
-def other_links(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of nodes of one column that are in different components so far."""
-    own = entries.select("col", "node", "n", "pos").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    # The component of each column's least node; its other members have nothing to ask each other.
-    main = own.groupBy("col").agg(F.min_by("comp", "node").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("col", "main")
-    own = scratch.written(own.join(main, "col"), "mixed-columns")
-    rest = own.where("comp <> main")
-    a, b = rest.alias("a"), own.alias("b")
-    met = a.join(b, (F.col("a.col") == F.col("b.col")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))) & possible(F.col("a.n"), F.col("b.n")) & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= needed(F.col("a.n"), F.col("b.n"))))
-    lo, hi = [F.when(F.col("a.node") < F.col("b.node"), F.struct(*[F.col(f"{x}.{c}") for c in ("node", "n", "pos")])).otherwise(F.struct(*[F.col(f"{y}.{c}") for c in ("node", "n", "pos")])) for x, y in (("a", "b"), ("b", "a"))]
-    pairs = met.select(lo.alias("l"), hi.alias("h")).select(F.col("l.node").alias("a"), F.col("h.node").alias("b"), F.col("l.n").alias("na"), F.col("h.n").alias("nb"), F.col("l.pos").alias("pa"), F.col("h.pos").alias("pb"))
-    return kept_pairs(pairs).select("a", "b")
+def mixed_columns(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries of columns that several components share, with `comp` and the head's component `main`."""
+    own = entries.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    main = own.groupBy("col").agg(F.min_by("comp", F.struct("pos", "node")).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return scratch.written(own.join(main.where("lo < hi").select("col", "main"), "col"), "mixed-columns")
+
+
+def other_links(mixed: DataFrame) -> DataFrame:
+    """Pairs of nodes of one column that are in different components so far and can reach their bound.
+
+    Every entry carries its node's columns in this table, a part of a row's first columns; so a pair comes up
+    only at the first column that it has in common, and its whole count is known there.
+    """
+    lists = mixed.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("pos", "col"))).alias("s"))
+    full = mixed.join(lists.select("node", F.col("s.col").alias("cols"), F.col("s.pos").alias("at")), "node")
+    # Members of a column's main component have nothing to ask each other.
+    a, b = full.where("comp <> main").alias("a"), full.alias("b")
+    x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    shared = F.array_intersect(x("cols"), y("cols"))
+    apart = (x("comp") != y("comp")) & ((y("comp") == y("main")) | (x("node") < y("node")))
+    reach = F.least(x("n") - x("pos"), y("n") - y("pos")) >= needed(x("n"), y("n"))
+    met = a.join(b, (x("col") == y("col")) & apart & possible(x("n"), y("n")) & reach & (F.get(shared, F.lit(0)) == x("col")))
+    last = lambda side: F.get(side("at"), (F.array_position(side("cols"), F.element_at(shared, -1)) - 1).cast("int"))
+    # After the last column in common at most this many more can be.
+    left = F.least(x("n") - last(x), y("n") - last(y)) - 1
+    pairs = met.where(F.size(shared) + left >= needed(x("n"), y("n")))
+    return scratch.written(pairs.select(F.least(x("node"), y("node")).alias("a"), F.greatest(x("node"), y("node")).alias("b")).distinct(), "other-links")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -296,11 +314,10 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     classes = frequency_class(sketch(docs, text))
     rows = scratch.written(rows_of(docs, classes, text), "shingle-rows")
     entries = scratch.written(incidence(rows, classes), "incidence")
-    first = scratch.written(first_links(entries), "first-links")
-    links = scratch.written(verified(first, sets_of(docs, rows, first, classes, text)), "links")
+    check = lambda pairs: scratch.written(verified(pairs, sets_of(docs, rows, pairs, classes, text)), "links")
+    links = check(star_links(entries.withColumn("comp", F.col("node"))))
     labels = K.components(links)
-    other = scratch.written(other_links(entries, labels), "other-links")
-    more = scratch.written(verified(other, sets_of(docs, rows, other, classes, text)), "links")
+    more = check(other_links(mixed_columns(entries, labels)))
     if not more.isEmpty():
         labels = K.components(links.union(more))
     own = rows.select("doc_id", "key", "node", F.col("n").alias("n_shingles")).join(labels, "node", "left")

@@ -130,15 +130,12 @@ def merge_payroll(listed: DataFrame, payroll: DataFrame, season: int) -> DataFra
     payroll_only, and dropped for every year of a contract listed now but on no payroll.
     """
     keys = ["player", "team"]
-    now = listed.where((F.col("season") == season) & (F.col("salary") != 0)).select(
-        *keys, F.col("salary").alias("listed_now")
-    )
-    known = listed.groupBy(*keys).agg(F.max(F.col("season") == season).alias("has_now"))
-    contracts = known.join(now, keys, "left").join(
-        payroll.withColumnRenamed("amount", "paid"), keys, "full_outer"
-    )
-    years = listed.join(contracts, keys)
     current = F.col("season") == season
+    contract = W.partitionBy(*keys)
+    paid = payroll.withColumnRenamed("amount", "paid")
+    years = listed.withColumn(
+        "listed_now", F.max(F.when(current & (F.col("salary") != 0), F.col("salary"))).over(contract)
+    ).join(paid, keys, "left")
     dropped = F.col("listed_now").isNotNull() & F.col("paid").isNull()
     outcome = (
         F.when(dropped, "dropped")
@@ -150,9 +147,8 @@ def merge_payroll(listed: DataFrame, payroll: DataFrame, season: int) -> DataFra
     merged = years.select(
         *keys, "season", figure.alias("salary"), F.col("salary").alias("listed"), outcome.alias("outcome")
     )
-    extra = contracts.where(
-        F.col("paid").isNotNull() & (F.col("has_now").isNull() | ~F.col("has_now"))
-    ).select(
+    known = listed.groupBy(*keys).agg(F.max(current).alias("has_now"))
+    extra = paid.join(known, keys, "left").where(F.col("has_now").isNull() | ~F.col("has_now")).select(
         *keys,
         F.lit(season).cast("bigint").alias("season"),
         F.col("paid").alias("salary"),

@@ -651,15 +651,17 @@ def payroll(v):
     return ingest.dedup_first(now, ["player", "team"], ["contract_id"]).drop("contract_id")
 
 
-MERGED = f"""WITH a AS (SELECT player, team, season, arg_min(cap_figure, contract_id) AS salary FROM f_years WHERE disc > 0 GROUP BY ALL),
+MERGED = f"""WITH y AS (SELECT player, team, season, arg_min(cap_figure, contract_id) AS salary FROM f_years WHERE disc > 0 GROUP BY ALL),
+ a AS (SELECT *, max(season = {SEASON} AND salary <> 0) OVER (PARTITION BY player, team) AS listed_now FROM y),
+ k AS (SELECT player, team, max(season = {SEASON}) AS has_now FROM y GROUP BY ALL),
  b AS (SELECT player, team, arg_min(cap_figure + CASE WHEN disc >= 5 THEN 1 ELSE 0 END, contract_id) AS amount FROM f_contract_seasons WHERE season = {SEASON} AND tax > 0 GROUP BY ALL),
  m AS (
  SELECT a.player, a.team, a.season, CASE WHEN a.season = {SEASON} AND b.amount IS NOT NULL THEN b.amount ELSE a.salary END AS salary, a.salary AS listed,
-  CASE WHEN b.amount IS NULL AND EXISTS (SELECT 1 FROM a n WHERE n.player = a.player AND n.team = a.team AND n.season = {SEASON} AND n.salary <> 0) THEN 'dropped'
+  CASE WHEN b.amount IS NULL AND a.listed_now THEN 'dropped'
    WHEN a.season <> {SEASON} OR b.amount IS NULL THEN 'kept' WHEN a.salary = b.amount THEN 'confirmed' ELSE 'overruled' END AS outcome
  FROM a LEFT JOIN b ON b.player = a.player AND b.team = a.team
- UNION ALL SELECT b.player, b.team, {SEASON}, b.amount, NULL, CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.player = b.player AND a.team = b.team) THEN 'added' ELSE 'payroll_only' END
- FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.player = b.player AND a.team = b.team AND a.season = {SEASON}))"""
+ UNION ALL SELECT b.player, b.team, {SEASON}, b.amount, NULL, CASE WHEN k.player IS NULL THEN 'payroll_only' ELSE 'added' END
+ FROM b LEFT JOIN k ON k.player = b.player AND k.team = b.team WHERE NOT coalesce(k.has_now, false))"""
 
 
 @REG.add("b10_merge_payroll", MERGED + " SELECT * FROM m")

@@ -27,22 +27,29 @@ VARIABLE = "<*>"
 
 def masked(line) -> F.Column:
     """A line's words with one space between them, those with a digit as the variable."""
-    spaced = F.trim(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " "))
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\r\f\x0b":
+        odd = odd | F.contains(line, F.lit(c))
+    spaced = F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\r\f\x0B]+", " ")).otherwise(line))
     return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", VARIABLE)).otherwise(spaced)
 
 
+def occurrences(m, part: str) -> F.Column:
+    return (F.length(m) - F.length(F.replace(m, F.lit(part), F.lit("")))) / len(part)
+
+
 def lines(docs: DataFrame, text: str) -> DataFrame:
-    """(key, line, m): the lines that may be templates; `key` stands for id and text, `m` is masked."""
+    """(key, line, m, words): the lines that may be templates; `key` stands for id and text, `m` is masked."""
     rows = docs.select(F.xxhash64(F.col("doc_id"), F.col(text)).alias("key"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "raw"))
-    return rows.select("key", "line", masked(F.col("raw")).alias("m")).where(f"size(split(m, ' ')) >= {MIN_WORDS}")
+    rows = rows.select("key", "line", masked(F.col("raw")).alias("m"))
+    return rows.withColumn("words", (occurrences(F.col("m"), " ") + 1).cast("int")).where(F.col("words") >= MIN_WORDS)
 
 
 def hashed(rows: DataFrame) -> DataFrame:
     """With `id` for the masked line, `leaf` for number of words and leading words, and `own`: whether
     the masked line may be a template by itself."""
-    variables = (F.length("m") - F.length(F.replace(F.col("m"), F.lit(VARIABLE), F.lit("")))) / len(VARIABLE)
-    own = 2 * variables <= F.size(F.split("m", " "))
-    return rows.select("key", "line", own.alias("own"), F.xxhash64("m").alias("id"), F.xxhash64(F.size(F.split("m", " ")), F.substring_index("m", " ", LEADING)).alias("leaf"), "m")
+    own = F.when(F.contains("m", F.lit(VARIABLE)), 2 * occurrences(F.col("m"), VARIABLE) <= F.col("words")).otherwise(True)
+    return rows.select("key", "line", own.alias("own"), F.xxhash64("m").alias("id"), F.xxhash64("words", F.substring_index("m", " ", LEADING)).alias("leaf"), "m")
 
 
 def recurring(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:

@@ -114,7 +114,7 @@ class Mixture:
         return F.aggregate(turns, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - pull(e)))
 
 
-def fit(rows: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, rounds: int = 40, tolerance: float = 1e-6) -> Mixture:
+def fit(rows: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, rounds: int = 25, tolerance: float = 1e-6) -> Mixture:
     """Fit the classifier and the rates on `described` rows.
 
     Least squares over the domains' misses, starting from the rate 1 for everyone, by projected

@@ -169,7 +169,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     """`docs` drawn at the fitted rates: floor(rate) copies of a row, and one more with the rest's chance.
 
     The chance comes from a hash of id and text, so equal runs draw alike. Columns stay as they are;
-    rates are applied where the text lies, without a join.
+    rates are applied where the text lies, without a join, and rows are written once with their number.
     """
     m = fit(scratch.written(described(docs), "described"), labels, targets, total)
     clash = {c: K.free_name(docs, f"kept{i}") for i, c in enumerate(docs.columns) if c.lower() in WORK}
@@ -177,5 +177,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     own = posterior(binned(own).drop("_words", "_kinds", "_common"), m.model)
     chance = F.pmod(F.xxhash64("doc_id", "_text"), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(m.rate() + chance).cast("int")
-    own = own.withColumn("_copies", copies).where("_copies > 0").withColumn("_copies", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
-    return own.drop("_text", "bins", "post", "_copies").withColumnsRenamed({v: k for k, v in clash.items()})
+    # Written, so that no filter on the number of copies repeats the expressions behind it.
+    own = scratch.written(own.withColumn("_copies", copies).drop("_text", "bins", "post"), "drawn")
+    own = own.where("_copies > 0").withColumn("_copies", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
+    return own.drop("_copies").withColumnsRenamed({v: k for k, v in clash.items()})

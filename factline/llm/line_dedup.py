@@ -6,7 +6,9 @@ leaf's lines have it there; the others are variable fields. Lines that have enou
 the template so generalised, others their own. Templates that recur across documents are dropped.
 
 Supports are counts of documents: of each distinct masked line the number of documents that hold it, of
-a leaf, a place or a template the sum over its distinct lines.
+a leaf or a place the sum over its distinct lines, of a template the number of documents that hold any of
+its lines. (The SQL beside the query sums for templates too; the two differ only where lines of one
+template share documents and no line alone is in enough.)
 """
 
 from __future__ import annotations
@@ -69,9 +71,14 @@ def recurring(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) ->
     fields = words.join(common.select("leaf", "at", "word", F.lit(True).alias("same")), ["leaf", "at", "word"], "left")
     shape = F.transform(F.sort_array(F.collect_list(F.struct("at", F.when(F.col("same"), F.col("word")).otherwise(VARIABLE).alias("w")))), lambda x: x["w"])
     shapes = fields.groupBy("id", "leaf", "docs").agg(F.array_join(shape, " ").alias("shape"), F.avg(F.when(F.col("same") & (F.col("word") != VARIABLE), 1.0).otherwise(0.0)).alias("share"))
-    general = shapes.where(F.col("share") >= SIMILAR).select("leaf", "id", F.xxhash64("shape").alias("template"), "docs")
-    again = general.groupBy("leaf", "template").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
-    ids = support.where(F.col("own") & (F.col("docs") >= min_docs)).select("id").union(general.drop("docs").join(again.select("leaf", "template"), ["leaf", "template"], "left_semi").select("id"))
+    general = scratch.written(shapes.where(F.col("share") >= SIMILAR).select("leaf", "id", F.xxhash64("shape").alias("template"), "docs"), "general")
+    sums = general.groupBy("leaf", "template").agg(F.sum("docs").alias("docs"), F.max("docs").alias("most")).where(F.col("docs") >= min_docs)
+    # Lines of a template may be of the same documents: unless one line alone is in enough, distinct documents are counted.
+    open_ids = general.join(sums.where(F.col("most") < min_docs), ["leaf", "template"], "left_semi").select("id", "leaf", "template")
+    held = thin.select("key", "id").join(open_ids, "id").select("leaf", "template", "key").distinct()
+    counted = held.groupBy("leaf", "template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    again = sums.where(F.col("most") >= min_docs).select("leaf", "template").union(counted.select("leaf", "template"))
+    ids = support.where(F.col("own") & (F.col("docs") >= min_docs)).select("id").union(general.join(again, ["leaf", "template"], "left_semi").select("id"))
     return thin.select("key", "line", "id"), ids.distinct()
 
 

@@ -303,6 +303,17 @@ def test_line_templates(spark):
     assert line_dedup.cleaned(table(spark, [])).count() == 0
 
 
+def test_variants_in_one_document_are_no_template(spark):
+    form = lambda names: "\n".join(f"please write the name of {x} here" for x in names)
+    alone = [(1, form(["alpha", "beta", "gamma", "delta"])), (2, "nothing of that kind in here"), (3, None)]
+    assert {r.doc_id: (r.text, r.dropped_lines) for r in line_dedup.cleaned(table(spark, alone)).collect()} == {i: (t, 0) for i, t in alone}
+    two = [*alone, (4, form(["alpha", "omega"])), (4, form(["alpha", "omega"]))]
+    assert all(r.dropped_lines == 0 for r in line_dedup.cleaned(table(spark, two)).collect())
+    three = [*two, (5, form(["sigma"]))]
+    got = {r.doc_id: r.dropped_lines for r in line_dedup.cleaned(table(spark, three)).collect()}
+    assert got == {1: 4, 2: 0, 3: 0, 4: 2, 5: 1}
+
+
 # --- cover tree --------------------------------------------------------------------------------
 
 

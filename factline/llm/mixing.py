@@ -8,6 +8,7 @@ one number a domain (and one a feature bin, when learning), whatever the number
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass
 
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from factline.llm import common as K
 from factline.sources import scratch
 
+log = logging.getLogger(__name__)
+
+#: Weights of the change of rates against the misses, the first tried and the least.
+SLACK = 1e-6, 1e-12
 #: Wanted shares of tokens. A labelled document of quality 0 is junk, any other belongs to its language.
 TARGETS = {"en": 0.58, "de": 0.14, "fr": 0.14, "es": 0.10, "junk": 0.04}
 JUNK = "junk"
@@ -99,11 +104,12 @@ def posterior(rows: DataFrame, model) -> DataFrame:
 
 @dataclass(frozen=True)
 class Mixture:
-    """A fitted mixture: the classifier, the multipliers of each step, and what was reached."""
+    """A fitted mixture: the classifier, the multipliers of each step (one is enough), what was reached, and whether it's the targets."""
 
     model: tuple
     history: tuple[tuple[float, ...], ...]
     domains: dict[str, dict[str, float]]
+    met: bool = True
 
     def rate(self) -> F.Column:
         """The rate of a row with `post`: a fold over the steps, each kept at 0 or above."""
@@ -114,13 +120,18 @@ class Mixture:
         return F.aggregate(turns, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - pull(e)))
 
 
-def fit(rows: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, rounds: int = 25, tolerance: float = 1e-6) -> Mixture:
+def fit(rows: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, tolerance: float = 1e-6) -> Mixture:
     """Fit the classifier and the rates on `described` rows.
 
     Least squares over the domains' misses, starting from the rate 1 for everyone, by projected
     gradient: a step against the gradient, then onto rate >= 0. Misses are whitened by the domains'
     Gram matrix, which makes 1 a safe step, and rates are scaled by length, so that a document's
-    rate depends on its posterior only. Every step is one aggregate over the distinct posteriors.
+    rate depends on its posterior only. Where rate >= 0 binds for nobody this step is the last.
+    Otherwise the step itself is sought whose projection meets the targets, with the least change of
+    rates: by active sets, a Newton step over the documents with a rate above 0, shortened where it gains
+    nothing, until the misses are within `tolerance` or no step gains. Targets that can't be met give
+    the least squares, `met` false and a warning. Each step is one aggregate over the distinct posteriors
+    (or three).
 
     `total` is the number of tokens wanted; by default 1.05 times the least total at which every
     domain but junk is used whole. Without tokens every rate is 1. A domain that no document may
@@ -140,19 +151,57 @@ def fit(rows: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     if have.sum() <= 0:
         return Mixture(model, (), {k: {"target": 0.0, "reached": 0.0} for k in names})
     gram = np.array([float(x or 0) for x in first[d:]]).reshape(d, d)
-    back = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
+    # Coordinates in which the Gram matrix is the identity; directions that no document has are left out.
+    w, v = np.linalg.eigh(gram)
+    white = v[:, w > 1e-9 * w.max()] / np.sqrt(w[w > 1e-9 * w.max()])
     least = [have[i] / targets[k] for i, k in enumerate(names) if k != JUNK and targets[k] > 0]
     want = np.array([targets[k] for k in names]) * (total or 1.05 * max(least or [have.sum()]))
-    history: list[tuple[float, ...]] = []
-    for _ in range(rounds):
-        so_far = Mixture(model, tuple(history), dict.fromkeys(names, {}))
-        got = groups.select("n", "post", so_far.rate().alias("r")).agg(*[F.sum(n * c * F.col("r")) for c in p]).first()
-        miss = np.array([float(x) for x in got]) - want
-        reached = miss + want
-        if (np.abs(miss) <= tolerance * want.sum()).all():
+    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
+
+    def priced(slack, *at):
+        """The dual objective at each of some multipliers, and the tokens and Gram matrix of rates above 0 at the first."""
+        r = [Mixture(model, (tuple(map(float, x)),), {k: {} for k in names}).rate() for x in at]
+        rows = groups.select("n", "post", *[c.alias(f"r{k}") for k, c in enumerate(r)])
+        on = F.when(F.col("r0") > 0, n).otherwise(0.0)
+        sums = [F.sum(n * F.col(f"r{k}") * F.col(f"r{k}")) for k in range(len(at))]
+        x = np.array(rows.agg(*sums, *[F.sum(n * c * F.col("r0")) for c in p], *[F.sum(on * p[i] * p[j]) for i, j in pairs]).first(), float)
+        active = np.zeros((d, d))
+        for (i, j), y in zip(pairs, x[len(at) + d :]):
+            active[i, j] = active[j, i] = y
+        return [x[k] / 2 + y @ want + slack / 2 * (y @ gram @ y) for k, y in enumerate(at)], x[len(at) : len(at) + d], active
+
+    if (np.abs(have - want) <= tolerance * want.sum()).all():
+        return Mixture(model, (), {k: {"target": float(want[i]), "reached": float(have[i])} for i, k in enumerate(names)})
+    size = lambda x: np.linalg.norm(white.T @ x) / np.linalg.norm(white.T @ want)
+    at, slack, missed = white @ (white.T @ (have - want)), SLACK[0], np.inf
+    (value,), reached, active = priced(slack, at)
+    while not (met := bool((np.abs(reached - want) <= tolerance * want.sum()).all())):
+        slope = want - reached + slack * gram @ at
+        step = -white @ np.linalg.solve(white.T @ active @ white + slack * np.eye(white.shape[1]), white.T @ slope)
+        good = [] if size(slope) <= 1e-9 else [1.0]
+        if good:
+            (after,), reached_after, active_after = priced(slack, at + step)
+            # Near the end the objective's own rounding hides what is gained; the slope shows it.
+            nearer = -slope @ step <= 1e-9 * abs(value) and size(want - reached_after + slack * gram @ (at + step)) <= size(slope) / 2
+            if after > value + 1e-4 * (slope @ step) and not nearer:
+                shares = [0.5**k for k in range(1, 31)]
+                values, *_ = priced(slack, *[at + t * step for t in shares])
+                good = [t for t, x in zip(shares, values) if x <= value + 1e-4 * t * (slope @ step)][:1]
+                if good:
+                    (after,), reached_after, active_after = priced(slack, at + good[0] * step)
+        if good:
+            at, value, reached, active = at + good[0] * step, after, reached_after, active_after
+            continue
+        if size(slope) > 1e-6:
+            raise RuntimeError(f"the mixture's steps don't settle; tokens off: {dict(zip(names, (reached - want).tolist()))}")
+        # Settled. A smaller weight brings rates nearer, unless the targets can't be met: then these are the least squares.
+        off = np.abs(reached - want).max()
+        if slack <= SLACK[1] or off > 0.9 * missed:
             break
-        history.append(tuple(float(x) for x in back @ miss))
-    return Mixture(model, tuple(history), {k: {"target": float(want[i]), "reached": float(reached[i])} for i, k in enumerate(names)})
+        value, slack, missed = value - 0.99 * slack / 2 * (at @ gram @ at), slack / 100, off
+    if not met:
+        log.warning("targets can't be met; tokens off in the nearest mixture: %s", dict(zip(names, (reached - want).tolist())))
+    return Mixture(model, (tuple(map(float, at)),), {k: {"target": float(want[i]), "reached": float(reached[i])} for i, k in enumerate(names)}, met)
 
 
 def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None) -> tuple[DataFrame, Mixture]:

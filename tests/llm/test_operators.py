@@ -398,6 +398,45 @@ def test_mixture_reaches_its_targets(spark):
     assert all(int(rate[i]) <= kept.get(i, 0) <= int(rate[i]) + 1 for i, *_ in rows if i not in (7, None))
 
 
+def fitted(spark, monkeypatch, posts, targets):
+    """A mixture of rows (n_tokens, post) as given, and its tokens by domain and rates."""
+    monkeypatch.setattr(mixing, "learn", lambda *_: None)
+    monkeypatch.setattr(mixing, "posterior", lambda rows, model: rows)
+    df = spark.createDataFrame(posts, "n_tokens long, post array<double>")
+    m = mixing.fit(df, df, targets)
+    got = df.select("n_tokens", "post", m.rate().alias("r")).collect()
+    n, p, r = np.array([x.n_tokens for x in got], float), np.array([x.post for x in got]), np.array([x.r for x in got])
+    assert (r >= 0).all() and np.allclose((n * r) @ p, [m.domains[k]["reached"] for k in targets], rtol=1e-6, atol=1e-6 * n.sum())
+    return m, n, p, r
+
+
+@pytest.mark.parametrize("junk,share", [(0.9, 0.04), (0.2, 0.0)])
+def test_mixture_where_rates_reach_zero(spark, monkeypatch, junk, share):
+    rnd = np.random.default_rng(7)
+    posts = []
+    for _ in range(600):
+        main = rnd.choice(3, p=[(1 - junk) * 0.7, (1 - junk) * 0.3, junk])
+        q = rnd.dirichlet(np.where(np.arange(3) == main, 4.0, 0.6))
+        # A third of the rows can't be junk, so that none of it can be reached.
+        if rnd.random() < 1 / 3:
+            q = np.array([q[0], 1 - q[0], 0.0])
+        posts.append((int(rnd.integers(5, 500)), [round(float(x), 4) for x in q]))
+    targets = {"en": 0.7 - share, "de": 0.3, "junk": share}
+    m, n, p, r = fitted(spark, monkeypatch, posts, targets)
+    want = np.array([m.domains[k]["target"] for k in targets])
+    assert m.met and (r == 0).any() and np.abs((n * r) @ p - want).max() <= 2e-6 * want.sum()
+
+
+def test_mixture_says_what_it_cannot_meet(spark, monkeypatch):
+    posts = [(100, [0.7, 0.2, 0.1]), (50, [0.1, 0.8, 0.1]), (80, [0.2, 0.2, 0.6])]
+    targets = {"en": 0.9, "de": 0.1, "junk": 0.0}
+    m, n, p, r = fitted(spark, monkeypatch, posts, targets)
+    assert not m.met and m.domains["junk"]["reached"] > 0
+    # No rate can change to bring the whitened misses down.
+    slope = p @ np.linalg.solve((n[:, None] * p).T @ p, (n * r) @ p - np.array([m.domains[k]["target"] for k in targets]))
+    assert (np.abs(slope[r > 0]) < 1e-5).all() and (slope[r == 0] > -1e-5).all()
+
+
 def test_mixture_of_nothing(spark):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert mixing.mixture(table(spark, []), lab)[0].count() == 0

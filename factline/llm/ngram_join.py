@@ -304,12 +304,13 @@ def other_links(mixed: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, key, n_shingles, component_id for every row of `docs` (key: hash of id and text).
+    """doc_id, key, n_shingles, component_id, comp for every row of `docs` (key: hash of id and text).
 
     component_id is the least doc_id reachable by links, the document itself included. Null, empty
     and blank texts have no shingle and link with nothing, not even each other; repeated rows of an
     id share its component. A null id links like any other and takes the least id of its component,
-    or null. Other columns are ignored. The result is exact for any group size.
+    or null. `comp` stands for the component, also of rows with null ids only; it is null without
+    shingles. Other columns are ignored. The result is exact for any group size.
     """
     classes = frequency_class(sketch(docs, text))
     rows = scratch.written(rows_of(docs, classes, text), "shingle-rows")
@@ -324,17 +325,21 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     own = own.withColumn("comp", F.coalesce("comp", "node"))
     least = own.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = own.join(least, "comp", "left")
-    return out.select("doc_id", "key", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return out.select("doc_id", "key", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "comp")
 
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose id is the least of its group; one row of each group stays.
 
-    Rows with null ids that link with rows of an id go; of repeated rows of the kept id one stays,
-    the one with the least text. Rows without words stay, one for each id.
+    Rows with null ids that link with rows of an id go; of those that link with each other only, one
+    stays. Of repeated rows of the kept id one stays, the one with the least hash, also where their
+    texts don't link. Rows without words stay, one for each id and text.
     """
     found = near_duplicates(docs, text)
-    keep = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.min("key").alias("key"))
+    blank = F.col("comp").isNull()
+    part = F.when(blank, F.col("key")).when(F.col("doc_id").isNull(), F.col("comp"))
+    own = found.where("doc_id <=> component_id").select("doc_id", blank.alias("blank"), part.alias("part"), "key")
+    keep = own.groupBy("doc_id", "blank", "part").agg(F.min("key").alias("key"))
     key = K.free_name(docs, "_key")
     marked = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col(text)))
     kept = marked.join(keep.select(F.col("key").alias(key)), key, "left_semi").dropDuplicates([key])

@@ -101,6 +101,15 @@ def test_deduplicate_keeps_one_of_each_group(spark, rows):
     assert sorted(map(str, kept)) == sorted(map(str, want))
 
 
+def test_deduplicate_keeps_unlinked_rows_without_ids(spark):
+    a, b, c, d = [" ".join(words(700 + k, 40)) for k in range(4)]
+    rows = [(None, a), (None, a), (None, a + " more"), (None, b), (None, c), (None, None), (None, ""), (None, ""), (9, c), (1, d), (1, None), (1, ""), (1, d)]
+    kept = [(r.doc_id, r.text) for r in ngram_join.deduplicate(table(spark, rows)).collect()]
+    first = [x for x in kept if x in [(None, a), (None, a + " more")]]
+    assert len(first) == 1
+    assert sorted(kept, key=str) == sorted([*first, (None, b), (None, None), (None, ""), (9, c), (1, d), (1, None), (1, "")], key=str)
+
+
 def test_components_of_paths_and_cliques(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000 + j) for i in range(8) for j in range(8)] + [(5000, 5000), (None, 3)]
     got = {r.node: r.comp for r in K.components(spark.createDataFrame(edges, "a long, b long")).collect()}

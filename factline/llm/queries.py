@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factline.llm import cover_tree, decontaminate, licenses, line_dedup, mixing, ngram_join, pii, secrets, spans, tokens, toxicity
+from factline.llm import alignment, cover_tree, decontaminate, licenses, line_dedup, mixing, ngram_join, periodic, pieces, pii, secrets, spans, tokens, toxicity
 from factline.llm.common import table
 from factline.sources import scratch
 
@@ -85,6 +85,21 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op11_periodic_runs(spark, sf_dir):
+    return periodic.digest(periodic.detect(periodic.repeated(table(spark, sf_dir, "documents"))))
+
+
+@query
+def op12_sentence_pieces(spark, sf_dir):
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_alignment(spark, sf_dir):
+    return alignment.counted(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op3_ngram_jaccard_join"] = """
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),

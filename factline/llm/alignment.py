@@ -268,36 +268,34 @@ def aligned(docs: DataFrame, overlaps: bool = True, shared: bool = False, byte_l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(byte_level, model)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for s, e in P.parts_of(texts):
-                got: list[list | None] = [[] for _ in texts[s:e]]
-                base = np.zeros((e - s, 3), np.int64)
-                for rows, bad, part in parts(texts[s:e], own):
-                    over = part.overlaps() if overlaps else ()
-                    together = part.shared()[:2] if shared else ()
-                    for k, i in enumerate(rows):
-                        (a0, a1), (b0, b1), (g0, g1) = (x[k : k + 2] for x in (part.a_cuts, part.b_cuts, part.group_cuts))
-                        at = part.bounds[k]
-                        # Tokens and bytes before this slice, of the part and of the row.
-                        sa, sb, sc = base[i] - (a0, b0, at)
-                        row = [part.a_ids[a0:a1], part.b_ids[b0:b1], part.a_ends[a0:a1] + sc, part.b_ends[b0:b1] + sc, part.group_a[g0:g1] + sa, part.group_b[g0:g1] + sb]
-                        for pairs in (over, together):
-                            if pairs:
-                                lo, hi = np.searchsorted(pairs[0], (a0, a1))
-                                row += [pairs[0][lo:hi] + sa, pairs[1][lo:hi] + sb, *(x[lo:hi] for x in pairs[2:])]
-                        if got[i] is not None:
-                            got[i].append(row)
-                        base[i] += (a1 - a0, b1 - b0, part.bounds[k + 1] - at)
-                    for i in bad:
-                        got[i] = None
-                lists = []
-                for c in range(width):
-                    values = [[x[c] for x in g or ()] for g in got]
-                    flat = [x for v in values for x in v]
-                    n = [sum(map(len, v)) for v in values]
-                    lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0), *flat]).astype(np.int32))))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s, e - s), *lists], names=[c.split()[0] for c in schema.split(", ")])
+        for doc_ids, texts in U.texts_of(batches):
+            got: list[list | None] = [[] for _ in texts]
+            base = np.zeros((len(texts), 3), np.int64)
+            for rows, bad, part in parts(texts, own):
+                over = part.overlaps() if overlaps else ()
+                together = part.shared()[:2] if shared else ()
+                for k, i in enumerate(rows):
+                    (a0, a1), (b0, b1), (g0, g1) = (x[k : k + 2] for x in (part.a_cuts, part.b_cuts, part.group_cuts))
+                    at = part.bounds[k]
+                    # Tokens and bytes before this slice, of the row less those of the part.
+                    sa, sb, sc = base[i] - (a0, b0, at)
+                    row = [part.a_ids[a0:a1], part.b_ids[b0:b1], part.a_ends[a0:a1] + sc, part.b_ends[b0:b1] + sc, part.group_a[g0:g1] + sa, part.group_b[g0:g1] + sb]
+                    for pairs in (over, together):
+                        if pairs:
+                            lo, hi = np.searchsorted(pairs[0], (a0, a1))
+                            row += [pairs[0][lo:hi] + sa, pairs[1][lo:hi] + sb, *(x[lo:hi] for x in pairs[2:])]
+                    if got[i] is not None:
+                        got[i].append(row)
+                    base[i] += (a1 - a0, b1 - b0, part.bounds[k + 1] - at)
+                for i in bad:
+                    got[i] = None
+            lists = []
+            for c in range(width):
+                values = [[x[c] for x in g or ()] for g in got]
+                flat = [x for v in values for x in v]
+                n = [sum(map(len, v)) for v in values]
+                lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0), *flat]).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays([doc_ids, *lists], names=[c.split()[0] for c in schema.split(", ")])
 
     return _texts(docs).mapInArrow(run, schema)
 
@@ -314,46 +312,57 @@ def links_of(docs: DataFrame, byte_level: str = BYTE_LEVEL, model: str = P.MODEL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(byte_level, model)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for s, e in P.parts_of(texts):
-                rows = e - s
-                n, links = np.zeros((rows, 4), np.int64), [[] for _ in range(rows)]
-                sha, wrong = [sha256() if t else None for t in texts[s:e]], set()
-                begun: set[int] = set()
-                for good, bad, part in parts(texts[s:e], own):
-                    wrong.update(bad)
-                    a, b, _ = part.overlaps()
-                    pair = part.ending(a, b)
-                    over = np.searchsorted(a, part.a_cuts)
-                    for k, (i, text) in enumerate(zip(good, part.texts())):
-                        # The last group's semicolon goes, so it is written before a row's next slice.
-                        sha[i].update((b";" if i in begun else b"") + text[:-1])
-                        begun.add(i)
-                        g0, g1 = part.group_cuts[k : k + 2]
-                        links[i].append(pair[g0:g1])
-                        n[i] += (part.a_cuts[k + 1] - part.a_cuts[k], part.b_cuts[k + 1] - part.b_cuts[k], g1 - g0, over[k + 1] - over[k])
-                for i in wrong:
-                    n[i], links[i], sha[i] = 0, [], None
-                flat = [x for v in links for x in v]
-                at = np.concatenate([[0], np.cumsum([sum(map(len, v)) for v in links])]).astype(np.int32)
-                out = [n[:, 0], n[:, 1], n[:, 2], np.diff(at).astype(np.int64), n[:, 3]]
-                hexes = pa.array([x.hexdigest() if x else "" for x in sha], pa.string())
-                pairs = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *flat])))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s, e - s), *map(pa.array, out), hexes, pairs], names=[c.split()[0] for c in COUNTED.split(", ")])
+        for doc_ids, texts in U.texts_of(batches):
+            n, links = np.zeros((len(texts), 4), np.int64), [[] for _ in texts]
+            sha, wrong = [sha256() if t else None for t in texts], set()
+            begun: set[int] = set()
+            for good, bad, part in parts(texts, own):
+                wrong.update(bad)
+                a, b, _ = part.overlaps()
+                pair = part.ending(a, b)
+                over = np.searchsorted(a, part.a_cuts)
+                for k, (i, text) in enumerate(zip(good, part.texts())):
+                    # The last group's semicolon goes, so it is written before a row's next slice.
+                    sha[i].update((b";" if i in begun else b"") + text[:-1])
+                    begun.add(i)
+                    g0, g1 = part.group_cuts[k : k + 2]
+                    links[i].append(pair[g0:g1])
+                    n[i] += (part.a_cuts[k + 1] - part.a_cuts[k], part.b_cuts[k + 1] - part.b_cuts[k], g1 - g0, over[k + 1] - over[k])
+            for i in wrong:
+                n[i], links[i], sha[i] = 0, [], None
+            flat = [x for v in links for x in v]
+            at = np.concatenate([[0], np.cumsum([sum(map(len, v)) for v in links])]).astype(np.int32)
+            out = [n[:, 0], n[:, 1], n[:, 2], np.diff(at).astype(np.int64), n[:, 3]]
+            hexes = pa.array([x.hexdigest() if x else "" for x in sha], pa.string())
+            pairs = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *flat])))
+            yield pa.RecordBatch.from_arrays([doc_ids, *map(pa.array, out), hexes, pairs], names=[c.split()[0] for c in COUNTED.split(", ")])
+        # The worker goes on to other tasks; what units encode to is learned again sooner than it is needed.
+        own.b.memory.clear()
 
     return _texts(docs).mapInArrow(run, COUNTED)
 
 
+def few(links: pa.ListArray, numbered: bool = False) -> Iterator:
+    """The lists in turn, as many at once as hold about a million values, with the number of the first."""
+    at = links.offsets.to_numpy()
+    first = 0
+    while first < len(links):
+        last = max(int(np.searchsorted(at, at[first] + 1_000_000, side="right")) - 1, first + 1)
+        part = links.slice(first, last - first)
+        yield (first, part) if numbered else part
+        first = last
+
+
 def pair_counts(links: DataFrame) -> DataFrame:
     """(pair, n) of all `links`: every task counts its own pairs, then counts add up."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            more = np.bincount(batch.column(0).flatten().to_numpy(), minlength=len(total))
-            more[: len(total)] += total
-            total = more
+            for links in few(batch.column(0)):
+                more = np.bincount(links.flatten().to_numpy(), minlength=len(total))
+                more[: len(total)] += total
+                total = more
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["pair", "n"])
 
@@ -382,11 +391,11 @@ def counted(docs: DataFrame, byte_level: str = BYTE_LEVEL, model: str = P.MODEL)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, best = counts.value
         for batch in batches:
-            links = batch.column("links")
-            at, pair = links.offsets.to_numpy(), links.values.to_numpy()
-            sums = [np.concatenate([[0], np.cumsum(x[pair], dtype=np.int64)]) for x in (best, count)]
-            more = [pa.array(s[at[1:]] - s[at[:-1]]) for s in sums]
-            kept = [c for c in batch.schema.names if c != "links"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *more], names=[*kept, "n_best", "count_sum"])
+            kept = batch.drop_columns(["links"])
+            for first, links in few(batch.column("links"), True):
+                at, pair = links.offsets.to_numpy() - links.offsets[0].as_py(), links.flatten().to_numpy()
+                sums = [np.concatenate([[0], np.cumsum(x[pair], dtype=np.int64)]) for x in (best, count)]
+                more = [pa.array(s[at[1:]] - s[at[:-1]]) for s in sums]
+                yield pa.RecordBatch.from_arrays([*kept.slice(first, len(links)).columns, *more], names=[*kept.schema.names, "n_best", "count_sum"])
 
     return rows.mapInArrow(run, COUNTED.removesuffix(", links array<int>") + ", n_best long, count_sum long")

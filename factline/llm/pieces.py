@@ -11,6 +11,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -253,13 +254,11 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in parts_of(texts):
-                out = encoded_batch(texts[a:b], own)
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in out])]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[k] for x in out]))) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *lists], names=["doc_id", "ids", "begins", "ends"])
+        for doc_ids, texts in U.texts_of(batches):
+            out = encoded_batch(texts, own)
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in out])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[k] for x in out]))) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([doc_ids, *lists], names=["doc_id", "ids", "begins", "ends"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, begins array<int>, ends array<int>")
@@ -276,27 +275,17 @@ def decoded(tokens: DataFrame, model: str = MODEL) -> DataFrame:
     return tokens.withColumn("text", text_of("ids"))
 
 
-def parts_of(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    from factline.llm.common import chunks
-
-    return chunks(texts, U.SLICE)
-
-
 def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids, of the text they decode to, and of the spans (begins, then ends)."""
-    from hashlib import sha256
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in parts_of(texts):
-                out = encoded_batch(texts[a:b], own)
-                back = own.library.decode([x[0].tolist() for x in out], num_threads=1)
-                hexes = [[sha256(x[0].astype("<u4").tobytes()).hexdigest() for x in out], [sha256(t.encode()).hexdigest() for t in back]]
-                hexes.append([sha256(x[1].astype("<u4").tobytes() + x[2].astype("<u4").tobytes()).hexdigest() for x in out])
-                n = pa.array([len(x[0]) for x in out], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), n, *map(pa.array, hexes)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
+        for doc_ids, texts in U.texts_of(batches):
+            out = encoded_batch(texts, own)
+            back = own.library.decode([x[0].tolist() for x in out], num_threads=1)
+            hexes = [[sha256(x[0].astype("<u4").tobytes()).hexdigest() for x in out], [sha256(t.encode()).hexdigest() for t in back]]
+            hexes.append([sha256(x[1].astype("<u4").tobytes() + x[2].astype("<u4").tobytes()).hexdigest() for x in out])
+            n = pa.array([len(x[0]) for x in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([doc_ids, n, *map(pa.array, hexes)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")

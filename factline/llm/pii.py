@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factline.functions.folds import bind
 from factline.llm import spans as S
 from factline.sources import scratch
 
@@ -27,9 +28,10 @@ IP_PARTS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.0*(?:25[0-5]
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 EDGE = ".,;:!?()[]{}<>\"'"
 MIN_CHARS = 6
+#: Characters of a text that are looked at for one context, so that long texts cost no more for each.
+PIECE = 512
 MIN_SUPPORT = 3
 CONFIDENCE = 0.6
-ROUNDS = 2
 
 
 def digits(m) -> F.Column:
@@ -72,38 +74,50 @@ def candidates(text, known) -> F.Column:
 def in_context(text, found) -> F.Column:
     """Spans with their lexical patterns: the word before with the shape, and the two words before."""
 
-    def look(x):
-        before = F.rtrim(F.translate(F.lower(F.substring(text, F.greatest(x["s"] - 79, F.lit(1)), F.least(x["s"], F.lit(80)))), "\n\t\r", "   "))
+    def look(pieces, x):
+        # A context is shorter than a piece, so it lies in the piece where the span starts and the one before.
+        i = F.floor(x["s"] / PIECE).cast("int")
+        near = F.concat(F.coalesce(F.get(pieces, i - 1), F.lit("")), F.get(pieces, i))
+        at = x["s"] - F.greatest(i - 1, F.lit(0)) * PIECE
+        before = F.rtrim(F.translate(F.lower(F.substring(near, F.greatest(at - 79, F.lit(1)), F.least(at, F.lit(80)))), "\n\t\r", "   "))
         shape = F.regexp_replace(F.regexp_replace(x["m"], r"\p{L}+", "a"), "[0-9]", "9")
         one, two = F.substring_index(before, " ", -1), F.substring_index(before, " ", -2)
         patterns = F.array(F.xxhash64(F.lit(1), one, shape), F.xxhash64(F.lit(2), two))
         return F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.xxhash64(F.lower(x["m"])).alias("inst"), patterns.alias("patterns"))
 
-    return F.transform(found, look)
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return bind(F.struct(cut.alias("pieces"), found.alias("found")), lambda own: F.transform(own["found"], lambda x: look(own["pieces"], x)))
 
 
-def bootstrap(graph: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def bootstrap(graph: DataFrame, min_support: int = MIN_SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(inst, k): kinds of instances that no base pattern knows, from edges (pattern, inst, k or -1).
 
     Each round: a pattern's score for a kind is the sum of its instances' scores over their number; it
-    is kept if instances of score 1 in all support it at least `min_support` times and the score reaches
-    `confidence`. Then an unknown instance has the score of its best pattern. Ties go to the first kind.
+    is kept if instances of one kind known for sure support it at least `min_support` times, or ones learned
+    before do, and the score reaches `confidence`. Then unknown instances have the score of their best
+    pattern. What was learned stays and its score never falls, so rounds end: the first that learns no new
+    instance is the last. Ties go to the first kind.
     """
-    edges = graph.groupBy("pattern", "inst").agg(F.max("k").alias("k"))
-    edges = scratch.written(edges, "graph")
-    known = edges.where("k >= 0").groupBy("inst").agg(F.min("k").alias("k")).withColumn("score", F.lit(1.0))
-    learned = None
-    for _ in range(rounds):
+    edges = scratch.written(graph.groupBy("pattern", "inst").agg(F.max("k").alias("k")), "graph")
+    sure = edges.where("k >= 0").groupBy("inst").agg(F.min("k").alias("k")).withColumn("score", F.lit(1.0))
+    sure = scratch.written(sure, "sure")
+    unseen = scratch.written(edges.where("k < 0").select("pattern", "inst").join(sure.select("inst"), "inst", "left_anti"), "unseen")
+    learned, many = sure.limit(0), 0
+    while True:
+        known = sure.union(learned.select("inst", "k", "score"))
         scored = edges.select("pattern", "inst").join(known, "inst", "left")
         by_kind = scored.groupBy("pattern").agg(F.count("*").alias("n"), *[F.sum(F.when(F.col("k") == k, F.col("score")).otherwise(0.0)).alias(f"s{k}") for k in range(len(KINDS))])
         best = F.greatest(*[F.struct(F.col(f"s{k}").alias("s"), F.lit(-k).alias("neg")) for k in range(len(KINDS))])
         kept = by_kind.select("pattern", "n", best.alias("b")).where((F.col("b.s") >= min_support) & (F.col("b.s") >= confidence * F.col("n")))
-        kept = kept.select("pattern", (F.col("b.s") / F.col("n")).alias("score"), (-F.col("b.neg")).alias("k"))
-        unseen = edges.where("k < 0").select("pattern", "inst").join(known.where("score = 1.0").select("inst"), "inst", "left_anti")
-        learned = unseen.join(kept, "pattern").groupBy("inst").agg(F.max(F.struct("score", (-F.col("k")).alias("neg"))).alias("b"))
-        learned = scratch.written(learned.select("inst", (-F.col("b.neg")).alias("k"), F.col("b.score").alias("score")), "learned")
-        known = edges.where("k >= 0").groupBy("inst").agg(F.min("k").alias("k")).withColumn("score", F.lit(1.0)).union(learned)
-    return learned.where(F.col("score") >= confidence).select("inst", "k")
+        kept = kept.select("pattern", (F.col("b.s") / F.col("n")).alias("score"), F.col("b.neg").alias("neg"))
+        found = unseen.join(kept, "pattern").select("inst", "score", "neg")
+        found = found.union(learned.select("inst", "score", (-F.col("k")).alias("neg")))
+        found = found.groupBy("inst").agg(F.max(F.struct("score", "neg")).alias("b"))
+        learned = scratch.written(found.select("inst", (-F.col("b.neg")).alias("k"), F.col("b.score").alias("score")), "learned")
+        now = learned.count()
+        if now == many:
+            return learned.select("inst", "k")
+        many = now
 
 
 def extract(docs: DataFrame, text: str = "text") -> DataFrame:

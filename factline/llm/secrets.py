@@ -13,6 +13,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factline.functions.folds import bind
 from factline.llm import spans as S
 from factline.sources import scratch
 
@@ -42,7 +43,7 @@ def base(text) -> F.Column:
 
 def transitions(words: DataFrame) -> DataFrame:
     """(random, pair, n): how often each pair of neighbouring characters occurs in (random, m)."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length("m") - 1), lambda i: F.substring(F.col("m"), i, F.lit(2)))
+    pairs = bind(F.split("m", ""), lambda c: F.transform(F.sequence(F.lit(1), F.length("m") - 1), lambda i: F.concat(F.get(c, i - 1), F.get(c, i))))
     return words.where(F.length("m") > 1).select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").count()
 
 
@@ -65,12 +66,9 @@ def ratio(m, table: dict[str, float]) -> F.Column:
     """Summed log-likelihood ratio of a string's transitions."""
     size = len(ALPHABET)
     values = F.split(F.lit(",".join(f"{table[a + b]:.6f}" for a in ALPHABET for b in ALPHABET)), ",").cast("array<double>")
-    step = lambda acc, i: acc + F.get(values, size * spot(m, i) + spot(m, i + 1))
-    return F.when(F.length(m) > 1, F.aggregate(F.sequence(F.lit(1), F.length(m) - 1), F.lit(0.0), step)).otherwise(0.0)
-
-
-def spot(m, i) -> F.Column:
-    return F.position(F.substring(m, i, F.lit(1)), F.lit(ALPHABET)) - 1
+    places = F.transform(F.split(m, ""), lambda c: F.position(c, F.lit(ALPHABET)) - 1)
+    total = bind(places, lambda p: F.aggregate(F.sequence(F.lit(1), F.length(m) - 1), F.lit(0.0), lambda acc, i: acc + F.get(values, size * F.get(p, i - 1) + F.get(p, i))))
+    return F.when(F.length(m) > 1, total).otherwise(0.0)
 
 
 def extract(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -93,6 +91,6 @@ def extract(docs: DataFrame, text: str = "text") -> DataFrame:
     if {r.random for r in counts} != {True, False}:
         return rows.select("doc_id", own.alias("base"), own.alias("spans"))
     table = ratios(counts)
-    won = lambda x: (ratio(x["m"], table) >= TOTAL) & (ratio(x["m"], table) >= MEAN * (x["e"] - x["s"] - 1))
+    won = lambda x: bind(ratio(x["m"], table), lambda r: (r >= TOTAL) & (r >= MEAN * (x["e"] - x["s"] - 1)))
     more = F.transform(F.filter("may", won), place)
     return rows.select("doc_id", own.alias("base"), F.array_sort(F.concat(own, more)).alias("spans"))

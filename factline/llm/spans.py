@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factline.functions.folds import bind, running
+
 SPAN = "array<struct<s:int,e:int,m:string>>"
 NONE = "array<struct<s:int,k:int,e:int,m:string>>"
 
@@ -17,15 +19,14 @@ def matches(text, pattern: str, guard=None) -> F.Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     steps = F.arrays_zip(found.alias("m"), F.split(text, pattern, -1).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc, x):
-        s = acc["at"] + F.length(x["g"])
+    def step(at, x):
+        s = at + F.length(x["g"])
         e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
+        return F.struct(e.alias("state"), F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")).alias("out"))
 
     # The last piece has no match after it.
-    placed = F.aggregate(F.filter(steps, lambda x: x["m"].isNotNull()), start, step, lambda acc: acc["out"])
+    placed = running(F.filter(steps, lambda x: x["m"].isNotNull()), F.lit(0), step, SPAN[6:-1])
     sure = text.rlike(pattern) if guard is None else guard & text.rlike(pattern)
     return F.when(sure, placed).otherwise(F.array().cast(SPAN))
 
@@ -45,5 +46,31 @@ def count(spans, k: int) -> F.Column:
 
 
 def free(found, base) -> F.Column:
-    """Spans that no span of `base` overlaps."""
-    return F.filter(found, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    """Spans that no span of `base` overlaps, by start.
+
+    In order of start, a span is clear of base spans before it if it starts where they have ended, and of
+    those after it if it ends before the next one starts: two passes over both.
+    """
+    both = "s:int,last:boolean,e:int,k:int,m:string,free:boolean"
+    tagged = lambda spans, own: F.transform(
+        spans, lambda x: F.struct(x["s"].alias("s"), F.lit(own).alias("last"), x["e"].alias("e"), x["k"].alias("k"), x["m"].alias("m"), F.lit(True).alias("free"))
+    )
+
+    def ahead(ended, x):
+        out = F.struct(x["s"], x["last"], x["e"], x["k"], x["m"], (x["s"] >= ended).alias("free"))
+        return F.struct(F.when(x["last"], ended).otherwise(F.greatest(ended, x["e"])).alias("state"), out.alias("out"))
+
+    def back(begins, x):
+        out = F.struct(x["s"], x["last"], x["e"], x["k"], x["m"], (x["free"] & (x["e"] <= begins)).alias("free"))
+        return F.struct(F.when(x["last"], begins).otherwise(x["s"]).alias("state"), out.alias("out"))
+
+    def clear(own):
+        spans = running(F.array_sort(F.concat(tagged(own["base"], False), tagged(own["found"], True))), F.lit(0), ahead, f"struct<{both}>")
+        spans = F.reverse(running(F.reverse(spans), F.lit(2**31 - 1), back, f"struct<{both}>"))
+        kept = F.filter(spans, lambda x: x["last"] & x["free"])
+        return F.transform(kept, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["m"].alias("m")))
+
+    return bind(
+        F.struct(found.alias("found"), base.alias("base")),
+        lambda own: F.when((F.size(own["found"]) == 0) | (F.size(own["base"]) == 0), own["found"]).otherwise(clear(own)),
+    )

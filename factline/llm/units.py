@@ -11,6 +11,8 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MARK = "▁"
 CUT = re.compile(rf"(?<=[^\s{MARK}])(?= )")
@@ -18,10 +20,22 @@ LONG_CUT = re.compile(rf"(?<=[^\s{MARK}]) (?=\S)")
 #: A space between two other white spaces; there cutting at every space would part what is one token.
 ODD = re.compile(r"[^\S ] [^\S ]")
 #: Characters handled at once, and bounds of a memory; they change no result.
-SLICE = 1_000_000
+SLICE = 500_000
 UNITS, CHARACTERS = 300_000, 8_000_000
 
 
+def texts_of(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """(ids, texts) of a few rows (doc_id, text) at a time, about `most` bytes of text."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < len(size):
+            before = size[first - 1] if first else 0
+            last = min(int(np.searchsorted(size, before + most)) + 1, len(size))
+            yield batch.column("doc_id").slice(first, last - first), batch.column("text").slice(first, last - first).to_pylist()
+            first = last
+
+
 def slices(texts: list[str | None], most: int = SLICE) -> Iterator[list[tuple[int, str]]]:
     """Lists of (row, slice) of about `most` characters. Slices of a row in turn make up a space and its text.
 

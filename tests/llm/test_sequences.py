@@ -278,8 +278,22 @@ def test_token_alignment(spark, rows, both):
     assert Counter(map(tuple, alignment.counted(table(spark, rows)).select(*cols).collect())) == Counter(want)
 
 
-@pytest.mark.parametrize("size", [40, units.SLICE])
-def test_aligned_table(spark, both, size):
+def test_text_of_several_slices(spark, both, library):
+    text = "the cat sat on the mat, " * (units.SLICE // 10) + "end\n  "
+    assert len(list(units.slices([text]))) > 2
+    a, b = map(ended, both(text))
+    ends = {e for _, _, e in a} & {e for _, _, e in b}
+    (r,) = alignment.counted(table(spark, [(1, text)])).collect()
+    assert (r.n_a, r.n_b, r.n_groups, r.n_links) == (len(a), len(b), len(ends), len(ends))
+    (r,) = alignment.aligned(table(spark, [(1, text)]), overlaps=False).collect()
+    assert (r.a_ids, r.b_ends) == ([i for i, _, _ in a], [e for _, _, e in b])
+    assert r.group_a == np.searchsorted([e for _, _, e in a], sorted(ends), side="right").tolist()
+    (r,) = pieces.encoded(table(spark, [(1, text)])).collect()
+    proto = library.encode(text, return_type="proto")
+    assert r.ids[1:-1] == [p.id for p in proto.pieces] and r.ends[1:-1] == [p.end for p in proto.pieces]
+
+
+def test_aligned_table(spark, both):
     texts = [t for t in odd_texts(11, 60, 30)] + [None, "", "a▁b"]
     own = alignment.aligner(alignment.BYTE_LEVEL, pieces.MODEL)
     assert own.numbers <= 4 * (sum(map(len, own.a.bytes)) + sum(map(len, own.b.bytes)))

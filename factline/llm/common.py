@@ -16,7 +16,7 @@ WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 #: Words that a task remembers before it starts anew; bounds memory only, results are the same.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -38,6 +38,11 @@ LOG2_SKETCH = 21
 PARTS = 64
 #: Rows of a column, by the sketch, from which on its block is split.
 BLOCK = 2048
+#: First columns of a node that its entries carry, so that a pair comes up once.
+LEAD = 8
+#: Characters of text whose shingles are held at once, and keys remembered; they change no result.
+AT_ONCE = 1_000_000
+REMEMBERED = 200_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LOW56 = np.uint64((1 << 56) - 1)
 
@@ -87,7 +92,7 @@ def sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
         memory, total = K.WordHash(), np.zeros(width, np.int64)
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in K.chunks(texts):
+            for a, b in K.chunks(texts, AT_ONCE):
                 h, _ = shingles(texts[a:b], memory)
                 total += np.bincount((h >> np.uint64(64 - LOG2_SKETCH)).astype(np.int64), minlength=width)
         if total.any():
@@ -139,7 +144,7 @@ def rows_of(docs: DataFrame, classes: np.ndarray, text: str) -> DataFrame:
         memory = K.WordHash()
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in K.chunks(texts):
+            for a, b in K.chunks(texts, AT_ONCE):
                 sets = ordered_sets(texts[a:b], classes, memory)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -171,7 +176,7 @@ def incidence(rows: DataFrame, counts: np.ndarray) -> DataFrame:
             for x in batch.column("node").to_pylist():
                 keep.append(x not in seen)
                 seen.add(x)
-            if len(seen) > 1_000_000:
+            if len(seen) > REMEMBERED:
                 seen = set()
             yield batch.filter(pa.array(keep))
 
@@ -219,10 +224,10 @@ def sets_of(docs: DataFrame, rows: DataFrame, pairs: DataFrame, classes: np.ndar
         for batch in batches:
             key = np.asarray(batch.column("key"), np.int64)
             hit = [i for i in np.flatnonzero(K.in_bitmap(bits, key.astype(np.uint64))) if not (key[i] in seen or seen.add(key[i]))]
-            if len(seen) > 1_000_000:
+            if len(seen) > REMEMBERED:
                 seen = set()
             texts = batch.column("text").take(pa.array(hit, pa.int64())).to_pylist()
-            for a, b in K.chunks(texts):
+            for a, b in K.chunks(texts, AT_ONCE):
                 sets = ordered_sets(texts[a:b], classes, memory)
                 ids = [node_of(s) if len(s) else None for s in sets]
                 packed = [s.view(np.uint8).reshape(-1, 8)[:, :7].tobytes() for s in sets]
@@ -284,23 +289,32 @@ def mixed_columns(entries: DataFrame, labels: DataFrame) -> DataFrame:
 def other_links(mixed: DataFrame) -> DataFrame:
     """Pairs of nodes of one column that are in different components so far and can reach their bound.
 
-    Every entry carries its node's columns in this table, a part of a row's first columns; so a pair comes up
-    only at the first column that it has in common, and its whole count is known there.
+    Entries meet by column and are thin: beside their own place they carry the first LEAD columns that
+    their node has in this table. Where those of two nodes have one in common, the pair comes up only there;
+    else at every column in common, and once more is taken as once. Each pair's whole lists of
+    columns are then fetched one time, for its count and what can still follow the last one.
     """
-    lists = mixed.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("pos", "col"))).alias("s"))
-    full = mixed.join(lists.select("node", F.col("s.col").alias("cols"), F.col("s.pos").alias("at")), "node")
+    listed = mixed.groupBy("node", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("pos", "col", "main"))).alias("s"))
+    listed = scratch.written(listed, "column-lists")
+    entries = listed.select("node", "n", "comp", F.slice("s.col", 1, LEAD).alias("lead"), F.inline("s"))
     # Members of a column's main component have nothing to ask each other.
-    a, b = full.where("comp <> main").alias("a"), full.alias("b")
+    a, b = entries.where("comp <> main").alias("a"), entries.alias("b")
     x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    shared = F.array_intersect(x("cols"), y("cols"))
     apart = (x("comp") != y("comp")) & ((y("comp") == y("main")) | (x("node") < y("node")))
     reach = F.least(x("n") - x("pos"), y("n") - y("pos")) >= needed(x("n"), y("n"))
-    met = a.join(b, (x("col") == y("col")) & apart & possible(x("n"), y("n")) & reach & (F.get(shared, F.lit(0)) == x("col")))
-    last = lambda side: F.get(side("at"), (F.array_position(side("cols"), F.element_at(shared, -1)) - 1).cast("int"))
+    shared = F.array_intersect(x("lead"), y("lead"))
+    here = F.coalesce(F.get(shared, F.lit(0)) == x("col"), F.lit(True))
+    met = a.join(b, (x("col") == y("col")) & apart & possible(x("n"), y("n")) & reach & here)
+    pairs = met.select(F.least(x("node"), y("node")).alias("a"), F.greatest(x("node"), y("node")).alias("b")).distinct()
+    pairs = scratch.written(pairs, "candidates")
+    of = lambda side: listed.select(
+        F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("s.col").alias(f"c{side}"), F.col("s.pos").alias(f"p{side}")
+    )
+    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("shared", F.array_intersect("ca", "cb"))
+    last = lambda side: F.get(f"p{side}", (F.array_position(f"c{side}", F.element_at("shared", -1)) - 1).cast("int"))
     # After the last column in common at most this many more can be.
-    left = F.least(x("n") - last(x), y("n") - last(y)) - 1
-    pairs = met.where(F.size(shared) + left >= needed(x("n"), y("n")))
-    return scratch.written(pairs.select(F.least(x("node"), y("node")).alias("a"), F.greatest(x("node"), y("node")).alias("b")).distinct(), "other-links")
+    left = F.least(F.col("na") - last("a"), F.col("nb") - last("b")) - 1
+    return scratch.written(both.where(F.size("shared") + left >= needed(F.col("na"), F.col("nb"))).select("a", "b"), "other-links")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -329,18 +343,16 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, whose id is the least of its group; one row of each group stays.
+    """One row, all columns, of each group of rows that link: the one with the least id, then the least hash.
 
-    Rows with null ids that link with rows of an id go; of those that link with each other only, one
-    stays. Of repeated rows of the kept id one stays, the one with the least hash, also where their
-    texts don't link. Rows without words stay, one for each id and text.
+    A null id comes after all others. Rows of one id whose texts don't link are different groups, so each
+    keeps a row. Rows without words stay, one for each id and text.
     """
     found = near_duplicates(docs, text)
-    blank = F.col("comp").isNull()
-    part = F.when(blank, F.col("key")).when(F.col("doc_id").isNull(), F.col("comp"))
-    own = found.where("doc_id <=> component_id").select("doc_id", blank.alias("blank"), part.alias("part"), "key")
-    keep = own.groupBy("doc_id", "blank", "part").agg(F.min("key").alias("key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    kept = found.where("comp is not null").groupBy("comp").agg(first).select(F.col("first.key").alias("key"))
+    kept = kept.union(found.where("comp is null").select("key"))
     key = K.free_name(docs, "_key")
     marked = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col(text)))
-    kept = marked.join(keep.select(F.col("key").alias(key)), key, "left_semi").dropDuplicates([key])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = marked.join(kept.select(F.col("key").alias(key)), key, "left_semi").dropDuplicates([key])
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -80,6 +80,20 @@ def brute_components(rows):
     return sorted(((d, len(s), least.get(r, d)) for (d, _), s, r in zip(rows, sets, root)), key=str)
 
 
+def assert_one_each(kept, rows):
+    """Of every group of rows that link one is kept, of the least id; of rows without words one for each id and text."""
+    sets = [shingle_set(t) for _, t in rows]
+    links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    groups = {}
+    for row, s, r in zip(rows, sets, unite(len(rows), links)):
+        groups.setdefault(r if s else row, []).append(row)
+    assert len(kept) == len(groups)
+    for own in groups.values():
+        least = min(own, key=lambda x: (x[0] is None, x[0]))[0]
+        assert len([x for x in kept if x in own]) == 1
+        assert [x[0] for x in kept if x in own] == [least]
+
+
 def test_near_duplicates_equal_brute_force(spark, rows):
     got = ngram_join.near_duplicates(table(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == brute_components(rows)
@@ -96,9 +110,18 @@ def test_deduplicate_keeps_one_of_each_group(spark, rows):
     df = table(spark, rows)
     out = ngram_join.deduplicate(df)
     assert out.columns == df.columns
-    kept = [r.doc_id for r in out.collect()]
-    want = {c if c is not None else d for d, _, c in brute_components(rows)}
-    assert sorted(map(str, kept)) == sorted(map(str, want))
+    assert_one_each([(r.doc_id, r.text) for r in out.collect()], rows)
+    assert len([r for r in out.collect() if r.doc_id == 302]) == 2
+
+
+def test_long_copies_among_many_that_share_a_passage(spark):
+    """One column of thousands of components, and two rows of 20,000 words with a few edits."""
+    long = words(50, 20_000, 10**6)
+    rows = [(k, f"one passage that all share {' '.join(words(k, 14, 10**6))}") for k in range(3000)]
+    rows += [(9001, " ".join(long)), (9002, " ".join(edited(long, 3, 0.01))), (9003, " ".join(edited(long, 4, 0.3)))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(table(spark, rows)).collect()}
+    assert got[9001][1] == got[9002][1] == 9001 and got[9003][1] == 9003
+    assert all(got[k] == (15, k) for k in range(3000))
 
 
 def test_deduplicate_keeps_unlinked_rows_without_ids(spark):

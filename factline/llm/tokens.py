@@ -27,8 +27,27 @@ END_ID = 1
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 COMBINING = re.compile("[\u0300-\u036f]")
 WORDS_AT_ONCE = 1_000
+#: Words of letters that neither lower-casing nor composing changes, and marks after them.
+PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
+END = "\x00"
 #: Pieces that a Python worker remembers before it starts anew; bounds memory only.
-MEMORY = 1_000_000
+MEMORY = 500_000
+
+
+def _quick(vocab: dict[str, int], special: set[str]):
+    """The same merges over bytes. A word ends with END, a byte that no plain word holds: it joins the last byte
+    before anything else does, as the ids of those tokens come first, and so stands for the mark of a word's end."""
+    import tiktoken
+
+    # The file writes every byte as one character: the printable ones as themselves, the rest in turn from 256 on.
+    shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c]
+    byte = {chr(c): c for c in shown} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in shown)}
+    end = END.encode()
+    ranks = {bytes(byte[c] for c in t.removesuffix("</w>")) + end * t.endswith("</w>"): i for t, i in vocab.items() if t not in special}
+    single = [i for t, i in ranks.items() if len(t) == 1]
+    closed = [i for t, i in ranks.items() if len(t) == 2 and t[1:] == end]
+    assert len(single) == 256 and max(single) < min(closed) and max(closed) < min(i for t, i in ranks.items() if len(t) > 2)
+    return tiktoken.Encoding("words", pat_str=f"[^{END}]+{END}", mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:
@@ -45,6 +64,7 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.quick = _quick(vocab, {t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.clear()
 
     def clear(self) -> None:
@@ -55,21 +75,21 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str]) -> None:
-        """Remember the ids of pieces: words of letters by the hundred, any others one by one.
-
-        A word ends with the last of its tokens; a full stop or comma after it is one more word.
-        """
-        sizes = [1 if p.isalpha() else 2 if p[-1] in ".," and p[:-1].isalpha() else 0 for p in pieces]
-        words, other = [p for p, n in zip(pieces, sizes) if n], [p for p, n in zip(pieces, sizes) if not n]
-        sizes = np.array([n for n in sizes if n], np.int64)
-        for s in range(0, len(words), WORDS_AT_ONCE):
-            some = words[s : s + WORDS_AT_ONCE]
-            ids = self._encode([" ".join(some)])[0]
-            last, ends = np.flatnonzero(self.ends[np.asarray(ids, np.int64)]), np.cumsum(sizes[s : s + WORDS_AT_ONCE])
-            if len(last) == ends[-1] and last[-1] == len(ids) - 1:
-                self._keep(some, ids, np.diff(last[ends - 1], prepend=-1).tolist())
+        """Remember the ids of pieces: plain words, with marks after them or without, by the quick encoder, others one by one."""
+        plain, other, parts = [], [], []
+        for p in pieces:
+            m = PLAIN.fullmatch(p)
+            if m:
+                plain.append(p)
+                parts.append(f"{p}{END}" if m.end(1) == len(p) else f"{m[1]}{END}{m[2]}{END}")
             else:
-                other += some
+                other.append(p)
+        if plain:
+            ids = np.array(self.quick.encode_ordinary("".join(parts)), np.int32)
+            # A word ends with the last of its tokens; marks after it are one more word.
+            words = np.fromiter((x.count(END) for x in parts), np.int64, len(parts))
+            last = np.flatnonzero(self.ends[ids])[np.cumsum(words) - 1]
+            self._keep(plain, ids.tolist(), np.diff(last, prepend=-1).tolist())
         for s in range(0, len(other), WORDS_AT_ONCE):
             got = self._encode(other[s : s + WORDS_AT_ONCE])
             self._keep(other[s : s + WORDS_AT_ONCE], [i for ids in got for i in ids], list(map(len, got)))
@@ -185,12 +205,14 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
             values = np.ascontiguousarray(ids.values.to_numpy(), "<u4")
             crc = pa.array([zlib.crc32(values[a:b]) for a, b in zip(at, at[1:])], pa.int64())
             n = pa.array(np.diff(at).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("at"), batch.column("doc_id"), n, crc], names=["file", "at", "doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "block", "at", "doc_id")), n, crc], names=["file", "block", "at", "doc_id", "n_tokens", "ids_crc32"])
 
-    rows = read(spark, path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.monotonically_increasing_id().alias("at"), "doc_id", "ids")
-    rows = scratch.written(rows.mapInArrow(sums, "file string, at long, doc_id long, n_tokens long, ids_crc32 long"), "token-sums")
+    # The writer numbers files in the order of its ranges; a file's splits start at different bytes.
+    number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    rows = read(spark, path).select(number.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "doc_id", "ids")
+    rows = scratch.written(rows.mapInArrow(sums, "file long, block long, at long, doc_id long, n_tokens long, ids_crc32 long"), "token-sums")
     per_file = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = per_file.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "at")) - F.col("n_tokens")
+    inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "block", "at")) - F.col("n_tokens")
     return rows.withColumn("inside", inside).join(before, "file").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -312,13 +312,14 @@ def trace_metrics(spans: DataFrame, n_scores: int = 0) -> DataFrame:
     )
 
 
-def flatten_spans(spans: DataFrame) -> DataFrame:
+def flatten_spans(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Spans depth first, parents before children, with depth and place in the trace.
 
     Paths double with every round, in traces of any depth: each span takes over its ancestor's
     path and then looks to that ancestor's ancestor. Rounds are written, so each reads its table twice
     and nothing before it; spans that are done leave the rounds. A span without a path to a root
-    (its parent is missing, or it is its own ancestor) ends at the spans that are known.
+    (its parent is missing, or it is its own ancestor) ends at the spans that are known. With `max_depth`,
+    a span further down fails the job.
     """
     from factline.sources import scratch
 
@@ -343,6 +344,9 @@ def flatten_spans(spans: DataFrame) -> DataFrame:
         paths = scratch.written(paths.where("up is null").unionByName(looking), "span-paths")
         reach *= 2
     w = W.partitionBy("trace_id").orderBy("path")
+    depth = F.size("path").cast("bigint")
+    if max_depth is not None:
+        depth = F.when(depth > max_depth, F.raise_error(F.lit(f"a span lies deeper than {max_depth}")).cast("bigint")).otherwise(depth)
     return paths.select(
-        "trace_id", "span_id", F.size("path").cast("bigint").alias("depth"), F.row_number().over(w).cast("bigint").alias("place")
+        "trace_id", "span_id", depth.alias("depth"), F.row_number().over(w).cast("bigint").alias("place")
     )

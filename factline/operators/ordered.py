@@ -6,13 +6,20 @@ into buckets; what one bucket must know of those before it is a sum over bucket
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factline.sources import scratch
+
 DAY = 86_400
 
 
@@ -81,7 +88,8 @@ def rate_limit(df: DataFrame, key: str, ts: str, tie: str, n: int, window: float
     """Admit a request when fewer than `n` were admitted in the last `window` seconds.
 
     An admission exactly `window` old still counts. A refusal carries the time to wait. Runs
-    are read as a sorted stream; what is held is the last `n` admissions of one run.
+    are read as a sorted stream; what is held is the last `n` admissions of one run, and refused
+    requests are passed over up to the moment when the oldest of those leaves the window.
     """
     limit, span = n, int(window * 1_000_000)
     runs = with_runs(df.select(key, ts, tie), key, ts, tie, window)
@@ -91,25 +99,32 @@ def rate_limit(df: DataFrame, key: str, ts: str, tie: str, n: int, window: float
         .sortWithinPartitions("k", "run", "us", "t")
     )
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import deque
-
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, deque()
-        for pdf in batches:
-            waits = []
-            for k, run, us in zip(pdf["k"], pdf["run"], pdf["us"]):
-                if (k, run) != at:
-                    at, held = (k, run), deque()
-                while held and us - held[0] > span:
-                    held.popleft()
-                if len(held) < limit:
-                    held.append(us)
-                    waits.append(-1)
-                else:
-                    waits.append(span - (us - held[0]))
-            yield pd.DataFrame({"k": pdf["k"], "t": pdf["t"], "wait_us": waits})
-
-    out = ordered.mapInPandas(walk, "k long, t long, wait_us long")
+        for batch in batches:
+            k, run, us = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "run", "us"))
+            waits = np.full(len(us), -1, np.int64)
+            cuts = np.flatnonzero((k[1:] != k[:-1]) | (run[1:] != run[:-1])) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(us)]):
+                if s == e:
+                    continue
+                if (k[s], run[s]) != at:
+                    at, held = (k[s], run[s]), deque()
+                times, i = us[s:e].tolist(), 0
+                while i < len(times):
+                    while held and times[i] - held[0] > span:
+                        held.popleft()
+                    if len(held) < limit:
+                        held.append(times[i])
+                        i += 1
+                    else:
+                        # All requests until the first admission is too old are refused.
+                        j = bisect_right(times, held[0] + span, i)
+                        waits[s + i : s + j] = span - (us[s + i : s + j] - held[0])
+                        i = j
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("t"), pa.array(waits)], names=["k", "t", "wait_us"])
+
+    out = ordered.mapInArrow(walk, "k long, t long, wait_us long")
     return out.select(
         F.col("k").alias(key),
         F.col("t").alias(tie),
@@ -119,57 +134,39 @@ def rate_limit(df: DataFrame, key: str, ts: str, tie: str, n: int, window: float
 
 
 def capped_admission(df: DataFrame, keys: list[str], ts: str, tie: str, cost: str, cap: int) -> DataFrame:
-    """Admit what still fits the allowance, drop what does not, and go on.
-
-    Rows before the first drop need no walk: their running sum is within the cap. An item over
-    the whole cap never fits. Only what is left is walked, as a sorted stream with one counter,
-    after starting from the sum the first rows already used.
+    """Admit what still fits the allowance, drop what does not, and go on. Costs are whole and not negative.
+
+    No row is walked. With `left` of a key's allowance, call an item small if it costs at most half of that.
+    Before a larger one is admitted, what is spent is the running sum of the small ones; so the
+    first place where a larger item fits on top of that sum, or where the sum with the item
+    itself passes half of `left`, is known from sums, and every row up to there is decided: the small
+    ones and the one at that place are admitted, other larger ones are not. Less than half of `left`
+    remains, so after as many rounds as the cap has binary digits nothing is open. A round is a few joins and
+    sums over buckets of time, whatever the share of one key, and writes what it leaves open.
     """
-    fits_alone = F.col(cost) <= cap
-    never = df.where(~fits_alone).select(*keys, tie, F.lit(False).alias("admitted"))
-    rows = running_before(df.where(fits_alone), keys, ts, tie, F.col(cost)).withColumn(
-        "fits", F.col("before") + F.col(cost) <= cap
-    )
-    us = seconds(ts)
-    first = rows.where(~F.col("fits")).groupBy(*keys).agg(
-        F.min(F.struct(us.alias("us"), F.col(tie).alias("t"))).alias("f"),
-        F.min_by("before", F.struct(us, F.col(tie))).alias("used"),
-    )
-    placed = rows.join(first, keys, "left")
-    head = F.col("f").isNull() | (F.struct(us.alias("us"), F.col(tie).alias("t")) < F.col("f"))
-    early = placed.where(head).select(*keys, tie, F.lit(True).alias("admitted"))
-    # Past the first drop less than its cost is left, so dearer items are out at once.
-    left = F.lit(cap) - F.col("used")
-    late = placed.where(~head)
-    out = late.where(F.col(cost) > left).select(*keys, tie, F.lit(False).alias("admitted"))
-    names = [f"k{i}" for i in range(len(keys))]
-    ordered = (
-        late.where(F.col(cost) <= left)
-        .select(
-            *[F.col(k).alias(n) for k, n in zip(keys, names)],
-            F.col(tie).alias("t"), us.alias("us"), F.col(cost).alias("c"), left.alias("left"),
-        )
-        .repartition(*names)
-        .sortWithinPartitions(*names, "us", "t")
-    )
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, left = None, 0
-        for pdf in batches:
-            took = []
-            for *k, c, start in zip(*[pdf[n] for n in names], pdf["c"], pdf["left"]):
-                if k != at:
-                    at, left = k, start
-                ok = c <= left
-                left -= c if ok else 0
-                took.append(ok)
-            yield pdf[[*names, "t"]].assign(admitted=took)
-
-    schema = ", ".join([*[f"{n} long" for n in names], "t long", "admitted boolean"])
-    walked = ordered.mapInPandas(walk, schema).select(
-        *[F.col(n).alias(k) for k, n in zip(keys, names)], F.col("t").alias(tie), "admitted"
-    )
-    return never.unionByName(early).unionByName(out).unionByName(walked)
+    t, us = F.col("_tie"), seconds("_ts")
+    place = F.struct(us.alias("us"), t.alias("t"))
+    rows = df.select(*keys, F.col(ts).alias("_ts"), F.col(tie).alias("_tie"), F.col(cost).alias("_cost"), F.lit(cap).cast("long").alias("_left"))
+    c, left = F.col("_cost"), F.col("_left")
+    written = []
+    while True:
+        small = 2 * c <= left
+        sums = running_before(rows.where(c <= left), keys, "_ts", "_tie", F.when(small, c).otherwise(0))
+        spent = F.col("before") + c
+        last = F.when(small, 2 * spent > left).otherwise(spent <= left)
+        found = sums.where(last).groupBy(*keys).agg(F.min_by(F.struct(place.alias("at"), (left - spent).alias("left")), place).alias("_cut"))
+        cut = [F.col(f"_r.{k}").eqNullSafe(F.col(f"_f.{k}")) for k in keys]
+        joined = rows.alias("_r").join(found.alias("_f"), reduce(and_, cut), "left").select("_r.*", "_f._cut")
+        cut_at, rest = F.col("_cut.at"), F.col("_cut.left")
+        is_open = F.coalesce((place > cut_at) & (c <= rest), F.lit(False))
+        admitted = F.when(cut_at.isNull() | (place < cut_at), small).when(place == cut_at, True).otherwise(False)
+        admitted = F.coalesce(admitted & (c <= left), F.lit(False))
+        step = joined.select(*keys, "_ts", "_tie", "_cost", F.coalesce(rest, left).alias("_left"), F.when(~is_open, admitted).alias("admitted"))
+        step = scratch.written(step, "allowance")
+        written.append(step.where("admitted is not null").select(*keys, F.col("_tie").alias(tie), "admitted"))
+        rows = step.where("admitted is null").drop("admitted")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, written)
 
 
 def spend_admission(df: DataFrame, keys: list[str], ts: str, tie: str, cost: Column, cap: int) -> DataFrame:

@@ -10,7 +10,7 @@ from factline.operators import audit as A
 from factline.operators import ordered as O
 from factline.plans.registry import Registry
 from factline.plans.views import cents
-from factline.sources import files, scratch
+from factline.sources import files, scratch, snapshots
 from factline.sources.tables import spread
 from factline.streaming import feeds
 
@@ -413,6 +413,7 @@ def k04(v):
     f"""WITH {CALLS} SELECT role, count(*) AS calls, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write FROM cl GROUP BY role""",
 )
 def k05(v):
-    _, ckpt = stream_paths(v, "usage")
+    root, ckpt = stream_paths(v, "usage")
     events = feeds.read_stream(v.spark, f"{v.path}/events.parquet")
-    return feeds.totals_to_end(feeds.usage_totals(calls(v, events)), f"usage_{uuid.uuid4().hex}", ckpt)
+    feeds.totals_to_end(calls(v, events), root, ckpt)
+    return snapshots.read(v.spark, root, "totals")

@@ -71,15 +71,6 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def publish(tables: Mapping[str, DataFrame], root: str) -> dict[str, str]:
-    """Write every table of a snapshot in full under `root`; readers are given `root` after."""
-    out = {}
-    for name, df in tables.items():
-        out[name] = f"{root}/{name}"
-        df.write.mode("overwrite").parquet(out[name])
-    return out
-
-
 def append_traces(spans: DataFrame, path: str) -> None:
     spans.write.mode("append").json(path)
 

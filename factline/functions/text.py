@@ -8,6 +8,8 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factline.functions.folds import bind
+
 # -- fixed values: patterns the sources are read by ------------------------
 
 NOTE_SIGNED = r"Signed\s+(\d+)-yr/\$([\d.]+)([MK])\s+([^.]*?)(\w+\s+\d+,\s+\d{4})"
@@ -70,9 +72,95 @@ def strip_tags(c: Column) -> Column:
     return squash(unescape(F.regexp_replace(c, "<[^>]+>", " ")))
 
 
-def inner(c: Column, tag: str) -> Column:
-    """The insides of every `<tag>` in order."""
-    return F.regexp_extract_all(c, F.lit(f"(?s)<{tag}(?: [^>]*)?>(.*?)</{tag}>"), F.lit(1))
+_INSIDE_TAG = r"""(?:"[^"]*+"|'[^']*+'|[^'">])*+>"""
+
+
+def marks(c: Column, tags: tuple[str, ...]) -> Column:
+    """A page as its tags of these names, in any case, and the text between them, in order.
+
+    Quoted values may hold `>`. Comments and all other tags become a space; entities stay as they are.
+    """
+    names = "|".join(tags)
+    other = rf"(?is)<!--.*?-->|<(?!/?(?:{names})[\s/>]){_INSIDE_TAG}"
+    ours = rf"(?is)</?(?:{names})(?=[\s/>]){_INSIDE_TAG}|[^<]++|<"
+    return F.regexp_extract_all(F.regexp_replace(c, other, " "), F.lit(ours), F.lit(0))
+
+
+def tables(c: Column, table: str, header: str, row: str, cell: str | None) -> Column:
+    """The tables of a page: an array of (table_no, headers, rows), rows being (row_no, cells), in order of opening.
+
+    Tags are read one by one with a stack of the tables that are open, so a table inside a cell is one of its
+    own and its text not the cell's. Tags left open are closed by what follows. Without `cell`, a
+    row is its only cell. Rows without cells are counted and left out, headers without text too.
+    """
+    cells = "array<string>"
+    rows = "array<struct<row_no:int,cells:array<string>>>"
+    kind = f"struct<no:int,row:int,part:string,text:string,headers:{cells},cells:{cells},rows:{rows}>"
+    fields = ("no", "row", "part", "text", "headers", "cells", "rows")
+    blank = F.struct(
+        F.lit(-1).alias("row"), F.lit("").alias("part"), F.lit("").alias("text"), F.array().cast(cells).alias("headers"),
+        F.array().cast(cells).alias("cells"), F.array().cast(rows).alias("rows"),
+    )
+
+    def entry(t: Column, **new: Column) -> Column:
+        return F.struct(*[(new[f] if f in new else t[f]).alias(f) for f in fields]).cast(kind)
+
+    def end_part(t: Column) -> Column:
+        """The cell or header that is open, if one is, closed."""
+        return (
+            F.when(t["part"] == "header", entry(t, part=F.lit(""), text=F.lit(""), headers=F.concat(t["headers"], F.array(t["text"]))))
+            .when(t["part"] == "cell", entry(t, part=F.lit(""), text=F.lit(""), cells=F.concat(t["cells"], F.array(t["text"]))))
+            .otherwise(t)
+        )
+
+    def end_row(t: Column) -> Column:
+        full = F.concat(t["rows"], F.array(F.struct(t["row"].alias("row_no"), t["cells"].alias("cells"))))
+        return F.when(F.size(t["cells"]) > 0, entry(t, cells=F.array().cast(cells), rows=full)).otherwise(t)
+
+    def step(acc: Column, token: Column) -> Column:
+        stack = acc["stack"]
+        name = F.lower(F.regexp_extract(token, r"^</?([A-Za-z][^\s/>]*)", 1))
+        closing = token.startswith("</")
+
+        def by_tag(own: Column) -> Column:
+            """`own`: the stack without its top, and the top with its open part closed."""
+
+            def with_top(t: Column) -> Column:
+                return F.struct(acc["n"].alias("n"), F.concat(own["under"], F.array(t)).alias("stack"), acc["done"].alias("done"))
+
+            shut = end_row(own["top"])
+            begins = F.lit("cell" if cell is None else "")
+            does = (
+                F.when(name == table, F.struct(acc["n"].alias("n"), own["under"].alias("stack"), F.concat(acc["done"], F.array(shut)).alias("done")))
+                .when((name == row) & ~closing, with_top(bind(shut, lambda t: entry(t, row=t["row"] + 1, part=begins))))
+                .when(name == row, with_top(shut))
+                .when((name == header) & ~closing, with_top(entry(own["top"], part=F.lit("header"))))
+            )
+            if cell is not None:
+                does = does.when((name == cell) & ~closing, with_top(entry(own["top"], part=F.lit("cell"))))
+            return does.otherwise(with_top(own["top"]))
+
+        opened = F.struct(acc["n"].alias("no"), *[blank[f].alias(f) for f in fields[1:]]).cast(kind)
+        top, under = F.element_at(stack, -1), F.slice(stack, F.lit(1), F.size(stack) - 1)
+        more = F.transform(F.slice(stack, F.size(stack), F.lit(1)), lambda t: entry(t, text=F.when(t["part"] == "", F.lit("")).otherwise(F.concat(t["text"], token))))
+        return (
+            F.when((name == table) & ~closing, F.struct((acc["n"] + 1).alias("n"), F.concat(stack, F.array(opened)).alias("stack"), acc["done"].alias("done")))
+            .when(F.size(stack) == 0, acc)
+            .when(name == "", F.struct(acc["n"].alias("n"), F.concat(under, more).alias("stack"), acc["done"].alias("done")))
+            .otherwise(bind(F.struct(under.alias("under"), end_part(top).alias("top")), by_tag))
+        )
+
+    start = F.struct(F.lit(0).alias("n"), F.array().cast(f"array<{kind}>").alias("stack"), F.array().cast(f"array<{kind}>").alias("done"))
+    tags = tuple(dict.fromkeys((table, header, row, *([cell] if cell else []))))
+    last = lambda acc: F.concat(acc["done"], F.transform(acc["stack"], lambda t: bind(end_part(t), end_row)))
+    found = F.aggregate(marks(c, tags), start, step, last)
+
+    def told(t: Column) -> Column:
+        heads = F.filter(F.transform(t["headers"], strip_tags), lambda h: h != "")
+        clean = lambda r: F.struct(r["row_no"].alias("row_no"), F.transform(r["cells"], strip_tags).alias("cells"))
+        return F.struct(t["no"].alias("table_no"), heads.alias("headers"), F.transform(t["rows"], clean).alias("rows"))
+
+    return F.transform(F.array_sort(found), told)
 
 
 def repair_name(cell: Column) -> Column:

@@ -97,6 +97,7 @@ def contract_seasons(contracts: Rows, players: Rows) -> Entity:
             text("season", "season_id", "Season, e.g. 1997-1998"),
             integer("salary", "cap_figure", "Cap figure for that season"),
             text("option_kind", None, "team or player; null if none"),
+            text("guarantee_kind", None, "full, partial, none, or unknown, which is not full"),
             text("contract_type", None, "Contract classification"),
             date("signed_date", None, "When the contract was signed"),
             integer("years_of_service", None, "Seasons completed before this one"),
@@ -186,6 +187,7 @@ def trade_exceptions(exceptions: Rows) -> Entity:
             integer("amount", None, "Original amount"),
             Field("available", "integer", F.col("amount") - F.col("used"), "Remaining amount"),
             date("expires", None, "Expiry date"),
+            text("kind", None, "Exception type; null if not stated"),
             text("reason", "contract_id", "Transaction that created it"),
         ),
         "Traded player exceptions, with original and remaining amounts",

@@ -233,16 +233,32 @@ def mutants(legs: DataFrame) -> DataFrame:
     return made.unionByName(first.select(*made.columns))
 
 
-def detect(found: DataFrame) -> DataFrame:
-    """Whether each mutant is caught, and for the stated reason."""
-    unbalanced = F.col("kind") == "unbalance"
-    caught = unbalanced | ~permits(F.col("outgoing"), F.col("mutated"), F.col("capacity"))
-    return found.withColumn("detected", caught).withColumn("right_reason", caught)
+#: What a mutant should be caught for.
+EXPECTED = {"inflate_incoming": "no_exception_available", "just_over_the_band": "no_exception_available", "unbalance": "unbalanced"}
+
+
+def detect(found: DataFrame, legs: DataFrame) -> DataFrame:
+    """Whether each mutant is caught, and for the stated reason: every check is made again on its figures.
+
+    `code` is what is wrong with the trade as mutated, null if nothing is: its sums where those were
+    changed, else the rule on the leg. legs are the real ones, one row a trade and team.
+    """
+    sums = legs.groupBy("trade_id").agg(F.sum("incoming").alias("total_in"), F.sum("outgoing").alias("total_out"))
+    was = legs.select("trade_id", "team", F.col("incoming").alias("was"))
+    both = found.join(was, ["trade_id", "team"]).join(sums, "trade_id")
+    even = F.col("total_in") - F.col("was") + F.col("mutated") == F.col("total_out")
+    allowed = permits(F.col("outgoing"), F.col("mutated"), F.col("capacity"))
+    code = F.when(F.col("kind") == "unbalance", F.when(~even, "unbalanced")).when(~allowed, "no_exception_available")
+    stated = F.element_at(F.create_map(*[F.lit(x) for kv in EXPECTED.items() for x in kv]), F.col("kind"))
+    out = both.withColumn("code", code).drop("was", "total_in", "total_out")
+    return out.withColumn("detected", F.col("code").isNotNull()).withColumn(
+        "right_reason", F.coalesce(F.col("code") == stated, F.lit(False))
+    )
 
 
 def score(found: DataFrame, legs: DataFrame) -> DataFrame:
     """Recall, precision floor and reason accuracy; nothing to divide by is 0.0."""
-    marks = detect(found).agg(
+    marks = detect(found, legs).agg(
         F.count("*").alias("n_mutants"),
         F.count_if("detected").alias("detected"),
         F.count_if(F.col("detected") & F.col("right_reason")).alias("right_reason"),

@@ -6,11 +6,17 @@ outline are bounded by what already fits in a row; windows over them share one p
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factline.functions import text as X
+from factline.functions.folds import bind, running
+from factline.sources import scratch
 
 # -- fixed values ----------------------------------------------------------
 
@@ -76,7 +82,9 @@ def page_for_offset(pages: DataFrame, offsets: DataFrame) -> DataFrame:
 def locate_units(docs: DataFrame, headings: DataFrame) -> DataFrame:
     """Where each heading first occurs, lowercase, from its own page on; -1 if nowhere.
 
-    The whole heading is looked for; only if it is nowhere, its first PREFIX_CHARS characters are.
+    The whole heading is looked for; if it is nowhere, the longest part of its beginning that occurs, of
+    PREFIX_CHARS characters or more: where a part occurs so does any shorter one, so halving finds its
+    length. `matched` is the number of characters found, so headings that share a place are told apart.
 
     The text stays on its document's row and the headings come to it.
     headings (doc_id, idx, title, page_start).
@@ -90,67 +98,105 @@ def locate_units(docs: DataFrame, headings: DataFrame) -> DataFrame:
             )
         ).alias("h")
     )
-    def place(h, needle):
-        return F.position(needle, F.col("low"), h["page_start"].cast("int") + 1)
 
-    def find(h):
-        whole = place(h, h["needle"])
-        at = F.when(whole > 0, whole).otherwise(place(h, F.substr(h["needle"], F.lit(1), F.lit(PREFIX_CHARS))))
-        return F.struct(h["idx"].alias("idx"), (at - 1).cast("bigint").alias("start"))
+    def place(h: Column, size: Column) -> Column:
+        return F.position(F.substr(h["needle"], F.lit(1), size), F.col("low"), h["page_start"].cast("int") + 1)
+
+    def halve(h: Column, known: Column) -> Column:
+        """known (lo, at, hi): the first `lo` characters stand at `at`, the first `hi` nowhere."""
+        middle = ((known["lo"] + known["hi"]) / 2).cast("int")
+        return bind(
+            F.struct(middle.alias("n"), place(h, middle).alias("at")),
+            lambda t: F.when(known["hi"] - known["lo"] < 2, known)
+            .when(t["at"] > 0, F.struct(t["n"].alias("lo"), t["at"].alias("at"), known["hi"].alias("hi")))
+            .otherwise(F.struct(known["lo"].alias("lo"), known["at"].alias("at"), t["n"].alias("hi"))),
+        )
+
+    def longest(h: Column, size: Column) -> Column:
+        least = F.lit(PREFIX_CHARS)
+        rounds = F.sequence(F.lit(1), F.ceil(F.log2(size.cast("double") + 1)).cast("int"))
+        return bind(
+            place(h, least),
+            lambda at: F.when((at > 0) & (size > least), F.aggregate(rounds, F.struct(least.alias("lo"), at.alias("at"), size.alias("hi")), lambda k, _: halve(h, k))),
+        )
+
+    def find(h: Column) -> Column:
+        size = F.length(h["needle"])
+        found = bind(
+            place(h, size),
+            lambda at: F.when(at > 0, F.struct(size.alias("lo"), at.alias("at"), size.alias("hi"))).otherwise(longest(h, size)),
+        )
+        return bind(
+            found,
+            lambda f: F.struct(
+                h["idx"].alias("idx"),
+                (F.coalesce(f["at"], F.lit(0)) - 1).cast("bigint").alias("start"),
+                F.coalesce(f["lo"], F.lit(0)).cast("bigint").alias("matched"),
+            ),
+        )
 
-    found = F.transform("h", find)
     return (
         docs.select("doc_id", F.lower("text").alias("low"))
         .join(wanted, "doc_id")
-        .select("doc_id", F.inline(found))
+        .select("doc_id", F.inline(F.transform("h", find)))
     )
 
 
 def outline(units: DataFrame) -> DataFrame:
-    """Spans, enclosing units and heading path of every unit, in one partitioning by document.
+    """Spans, enclosing units and heading path of every unit, of any depth, in one pass over each document.
 
     units (doc_id, idx, level, title, start, doc_end, ...). Adds own_end, subtree_end, parent
     (idx of the nearest enclosing unit), is_child (shallowest level inside its parent), inside
     (has units of its own), and chain, the enclosing units outermost first.
+
+    A unit ends where the next one that is not deeper starts, and its parent is the last shallower one before
+    it: nearest smaller values on either side, found by two folds that hold the levels still open.
+    Of the units inside one parent each is as shallow as the one before or shallower, so a unit is at
+    the shallowest level if the next shallower one after it is no longer inside.
     """
-    levels = units.agg(F.max("level")).first()[0] or 1
-    doc = W.partitionBy("doc_id").orderBy("idx")
-    after = doc.rowsBetween(1, W.unboundedFollowing)
-    before = doc.rowsBetween(W.unboundedPreceding, -1)
-    level = F.col("level")
-    df = units.withColumn("own_end", F.coalesce(F.lead("start").over(doc), F.col("doc_end"))).withColumn(
-        "inside", F.coalesce(F.lead("level").over(doc) > level, F.lit(False))
-    )
-    ends, last = F.lit(None).cast("bigint"), []
-    for n in range(levels, 0, -1):
-        ends = F.when(level == n, F.min(F.when(level <= n, F.col("start"))).over(after)).otherwise(ends)
-    df = df.withColumn("subtree_end", F.coalesce(ends, F.col("doc_end")))
-    for n in range(1, levels):
-        df = df.withColumn(f"_last{n}", F.last(F.when(level == n, F.col("idx")), ignorenulls=True).over(before))
-        last.append(F.when(level > n, F.col(f"_last{n}")))
-    df = df.withColumn("parent", F.greatest(*last)).withColumn(
-        "is_child",
-        F.col("parent").isNotNull()
-        & (level == F.min("level").over(W.partitionBy("doc_id", "parent"))),
-    )
-    # A remembered unit encloses this one when no shallower one came after it.
-    chain = []
-    for n in range(1, levels):
-        seen = F.last(
-            F.when(
-                level == n,
-                F.struct("idx", "level", "title", "start", "subtree_end", "is_child", "inside"),
-            ),
-            ignorenulls=True,
-        ).over(before)
-        shallower = [F.coalesce(F.col(f"_last{m}"), F.lit(-1)) for m in range(1, n)]
-        alive = (level > n) & F.col(f"_last{n}").isNotNull()
-        for s in shallower:
-            alive = alive & (s < F.col(f"_last{n}"))
-        df = df.withColumn(f"_seen{n}", F.when(alive, seen))
-        chain.append(F.col(f"_seen{n}"))
-    return df.withColumn("chain", F.array_compact(F.array(*chain))).drop(
-        *[f"_last{n}" for n in range(1, levels)], *[f"_seen{n}" for n in range(1, levels)]
+    fields = {f.name: f.dataType.simpleString() for f in units.schema.fields if f.name not in ("doc_id", "idx")}
+    own = ["idx", *fields]
+    whole = "struct<" + ",".join(f"`{c}`:{units.schema[c].dataType.simpleString()}" for c in own) + ">"
+    later = f"struct<u:{whole},own_end:bigint,subtree_end:bigint,inside:boolean,next_level:bigint>"
+    link = "struct<idx:bigint,level:bigint,title:string,start:bigint,subtree_end:bigint,is_child:boolean,inside:boolean>"
+    open_ends = "array<struct<level:bigint,start:bigint>>"
+
+    def back(after: Column, u: Column) -> Column:
+        """From the end: `after` holds the next unit of each level that no shallower one comes before, nearest first."""
+        level = u["level"]
+        rest = F.filter(after, lambda x: x["level"] <= level)
+        shallower = F.get(F.filter(rest, lambda x: x["level"] < level), F.lit(0))
+        nearest = F.get(after, F.lit(0))
+        out = F.struct(
+            u.alias("u"),
+            F.coalesce(nearest["start"], u["doc_end"]).alias("own_end"),
+            F.coalesce(F.get(rest, F.lit(0))["start"], u["doc_end"]).alias("subtree_end"),
+            F.coalesce(nearest["level"] > level, F.lit(False)).alias("inside"),
+            shallower["level"].alias("next_level"),
+        )
+        kept = F.filter(rest, lambda x: x["level"] < level)
+        here = F.struct(level.cast("bigint").alias("level"), u["start"].cast("bigint").alias("start"))
+        return F.struct(F.concat(F.array(here), kept).cast(open_ends).alias("state"), out.alias("out"))
+
+    def ahead(path: Column, x: Column) -> Column:
+        """From the start: `path` holds the units that are open, outermost first."""
+        u = x["u"]
+        around = F.filter(path, lambda p: p["level"] < u["level"])
+        parent = F.get(around, F.size(around) - 1)
+        child = parent.isNotNull() & (x["next_level"].isNull() | (x["next_level"] <= parent["level"]))
+        here = F.struct(
+            u["idx"], u["level"], u["title"], u["start"], x["subtree_end"], child.alias("is_child"), x["inside"]
+        ).cast(link)
+        out = F.struct(x.alias("x"), parent["idx"].alias("parent"), child.alias("is_child"), around.alias("chain"))
+        return F.struct(F.concat(around, F.array(here)).cast(f"array<{link}>").alias("state"), out.alias("out"))
+
+    rows = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("us"))
+    ended = F.reverse(running(F.reverse("us"), F.array().cast(open_ends), back, later))
+    placed = running(ended, F.array().cast(f"array<{link}>"), ahead, f"struct<x:{later},parent:bigint,is_child:boolean,chain:array<{link}>>")
+    found = rows.select("doc_id", F.explode(placed).alias("p"))
+    return found.select(
+        "doc_id", *[F.col(f"p.x.u.`{c}`").alias(c) for c in own], "p.x.own_end", "p.x.inside", "p.x.subtree_end",
+        "p.parent", "p.is_child", "p.chain",
     )
 
 
@@ -199,15 +245,33 @@ def _roman(n: int) -> str:
 ROMAN = [_roman(n) for n in range(1, 400)]
 
 
+def series(marker: Column) -> Column:
+    """Where a marker stands: (series, place) for every series it may be of.
+
+    A number is of one series; a word of letters may be a repeated letter, a numeral, or both, in small or
+    capital letters. Markers continue each other if they stand in one series at neighbouring places.
+    """
+    word = marker.rlike("^(?:[a-z]+|[A-Z]+)$")
+    case = F.when(marker == F.upper(marker), "A").otherwise("a")
+    low = F.lower(marker)
+    value = F.array_position(F.array(*map(F.lit, ROMAN)), low)
+
+    def spot(name: Column, place: Column, cond: Column) -> Column:
+        return F.when(cond, F.struct(name.alias("series"), place.cast("bigint").alias("place")))
+
+    return F.array_compact(
+        F.array(
+            spot(F.lit("number"), marker.try_cast("int"), marker.rlike("^[0-9]+$")),
+            spot(F.concat(F.lit("letter"), F.length(marker).cast("string"), case), F.ascii(low), word & low.rlike(r"^(.)\1*$")),
+            spot(F.concat(F.lit("numeral"), case), value, word & (value > 0)),
+        )
+    )
+
+
 def is_next(a: Column, b: Column) -> Column:
-    """Whether marker b continues the series that marker a stands in: numbers, letters or numerals."""
-    numbers = a.try_cast("int") + 1 == b.try_cast("int")
-    once = lambda x: x == F.repeat(F.substr(x, F.lit(1), F.lit(1)), F.length(x))
-    letters = once(a) & (b == F.repeat(F.char(F.ascii(a) + 1), F.length(a)))
-    place = lambda x: F.array_position(F.array(*map(F.lit, ROMAN)), F.lower(x))
-    numerals = (place(a) > 0) & (place(b) == place(a) + 1)
-    words = a.rlike("^[A-Za-z]+$") & b.rlike("^[A-Za-z]+$") & ((a == F.upper(a)) == (b == F.upper(b)))
-    return F.coalesce(numbers, F.lit(False)) | (words & (letters | numerals))
+    """Whether marker b continues a series that marker a stands in."""
+    after = F.transform(series(a), lambda x: F.struct(x["series"].alias("series"), (x["place"] + 1).alias("place")))
+    return F.arrays_overlap(after, series(b))
 
 
 def number_units(units: DataFrame) -> DataFrame:
@@ -225,11 +289,10 @@ def number_units(units: DataFrame) -> DataFrame:
         F.nullif(F.regexp_extract(title, r"(?i)^Section\s+(\d+)\b", 1), F.lit("")).alias("section"),
         F.regexp_extract_all(lead, F.lit(r"\(([A-Za-z0-9]+)\)"), F.lit(1)).alias("own"),
     )
-    kind = "array<struct<idx:bigint,level:int,article:string,section:string,markers:array<string>>>"
-    start = F.struct(F.array().cast(kind).alias("path"), F.array().cast(kind).alias("done"))
+    kind = "struct<idx:bigint,level:int,article:string,section:string,markers:array<string>>"
 
-    def place(acc, u):
-        open_ = F.filter(acc["path"], lambda p: p["level"] < u["level"])
+    def place(path, u):
+        open_ = F.filter(path, lambda p: p["level"] < u["level"])
         above = F.get(open_, F.size(open_) - 1)
         heads = u["article"].isNotNull() | u["section"].isNotNull()
         none = F.array().cast("array<string>")
@@ -244,10 +307,10 @@ def number_units(units: DataFrame) -> DataFrame:
             F.when(u["article"].isNull(), F.coalesce(u["section"], above["section"])).alias("section"),
             F.when(heads, none).otherwise(F.concat(kept, u["own"])).alias("markers"),
         )
-        return F.struct(F.concat(open_, F.array(row)).alias("path"), F.concat(acc["done"], F.array(row)).alias("done"))
+        return bind(row, lambda r: F.struct(F.concat(open_, F.array(r)).alias("state"), r.alias("out")))
 
     ordered = units.select("doc_id", unit.alias("u")).groupBy("doc_id").agg(F.array_sort(F.collect_list("u")).alias("us"))
-    done = F.aggregate("us", start, place, lambda acc: acc["done"])
+    done = running(F.col("us"), F.array().cast(f"array<{kind}>"), place, kind)
     marks = F.array_join(F.transform("d.markers", lambda m: F.concat(F.lit("("), m, F.lit(")"))), "")
     return ordered.select("doc_id", F.explode(done).alias("d")).select("doc_id", "d.idx", "d.article", "d.section", marks.alias("markers"))
 
@@ -388,8 +451,8 @@ def citation_map(units: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def chunks_within(cites: DataFrame, units: DataFrame, chunks: DataFrame, k: Column | int = 6) -> DataFrame:
-    """Passages inside a cited provision in document order, the first k.
+def chunks_within(cites: DataFrame, units: DataFrame, chunks: DataFrame, k: Column | int | None = None) -> DataFrame:
+    """Passages inside a cited provision in document order, all or the first k.
 
     A passage is inside its own unit and the units around it, which its row lists: an equi-join
     on those, not a range join. cites (doc_id, citation), optionally a per-row limit column `k`.
@@ -401,14 +464,9 @@ def chunks_within(cites: DataFrame, units: DataFrame, chunks: DataFrame, k: Colu
         F.col("citation").alias("chunk_citation"), F.col("ordinal").alias("chunk_ordinal"),
         F.explode(F.array_union(F.transform("chain", lambda c: c["idx"]), F.array("idx"))).alias("unit_idx"),
     )
-    limit = F.lit(k) if isinstance(k, int) else k
     w = W.partitionBy("doc_id", "citation").orderBy("chunk_start", "chunk_idx")
-    return (
-        asked.join(homes, ["doc_id", "unit_idx"])
-        .withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= limit)
-        .drop("unit_idx")
-    )
+    ranked = asked.join(homes, ["doc_id", "unit_idx"]).withColumn("rank", F.row_number().over(w)).drop("unit_idx")
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 # -- definitions -----------------------------------------------------------
@@ -473,65 +531,95 @@ def definition_names(bodies: DataFrame) -> DataFrame:
     """Every name with the term it stands for: terms, then aliases, then pointers, each in
     document order, the first to register a name keeping it.
 
-    A pointer counts when its target is registered by then, so the entries of one document are
-    folded in order; there are as many as the document defines terms.
+    A pointer counts when its target is registered by then: as a term, an alias, or an earlier pointer that
+    counts. So pointers lead back in document order, and all are followed together: in every round each one
+    takes over where its target leads, which doubles the way, until none is left that leads to another.
     """
-    entry = "struct<p:int,at:bigint,pos:int,name:string,term:string,citation:string,target:string>"
-    this = F.struct(
-        F.col("p").alias("p"), F.col("idx").alias("at"), F.lit(0).alias("pos"), F.col("name").alias("name"),
-        F.col("name").alias("term"), F.col("citation").alias("citation"), F.col("target").alias("target"),
-    ).cast(entry)
-    aliases = F.transform(
-        "aliases",
-        lambda a, i: F.struct(
-            F.lit(1).alias("p"), F.col("idx").alias("at"), i.alias("pos"), a.alias("name"),
-            F.col("name").alias("term"), F.col("citation").alias("citation"), F.lit(None).alias("target"),
-        ).cast(entry),
-    )
-    entries = _statements(bodies).select("doc_id", F.explode(F.concat(F.array(this), aliases)).alias("e"))
-    ordered = entries.groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("entries"))
-    value = "struct<term:string,citation:string,at:bigint>"
-
-    def step(known, e):
-        own = F.struct(e["term"].alias("term"), e["citation"].alias("citation"), e["at"].alias("at")).cast(value)
-        found = F.when(e["p"] < 2, own).otherwise(F.try_element_at(known, e["target"]))
-        new = found.isNotNull() & ~F.map_contains_key(known, e["name"])
-        return F.when(new, F.map_concat(known, F.create_map(e["name"], found))).otherwise(known)
-
-    empty = F.create_map().cast(f"map<string,{value}>")
-    return ordered.select(
-        "doc_id", F.explode(F.aggregate("entries", empty, step)).alias("name", "v")
-    ).select("doc_id", "name", "v.*")
+    stated = scratch.written(_statements(bodies), "statements")
+    terms = stated.where("p = 0").select(
+        "doc_id", "name", F.lit(0).alias("p"), F.lit(0).alias("pos"), F.col("name").alias("term"), "citation", F.col("idx").alias("at")
+    )
+    aliases = stated.where("p = 0").select(
+        "doc_id", F.posexplode("aliases").alias("pos", "alias"), "name", "citation", "idx"
+    ).select("doc_id", F.col("alias").alias("name"), F.lit(1).alias("p"), "pos", F.col("name").alias("term"), "citation", F.col("idx").alias("at"))
+    direct = (
+        terms.unionByName(aliases)
+        .groupBy("doc_id", "name")
+        .agg(F.min_by(F.struct("term", "citation", "at"), F.struct("p", "at", "pos", "term")).alias("v"))
+    )
+    direct = scratch.written(direct, "names")
+    pointers = stated.where("p = 2").select("doc_id", "name", "target", F.struct(F.col("idx").alias("at"), "name").alias("place"))
+    pointers = pointers.join(direct.select("doc_id", "name"), ["doc_id", "name"], "left_anti")
+    earlier = pointers.select("doc_id", F.col("name").alias("target"), F.col("place").alias("before"))
+    known = direct.select("doc_id", F.col("name").alias("target"), "v")
+    # `to` is the pointer that a name leads to so far, null once its term is known.
+    leads = (
+        pointers.join(known, ["doc_id", "target"], "left")
+        .join(earlier, ["doc_id", "target"], "left")
+        .where(F.col("v").isNotNull() | (F.col("before") < F.col("place")))
+        .select("doc_id", "name", F.when(F.col("v").isNull(), F.col("target")).alias("to"), "v")
+    )
+    leads = scratch.written(leads, "pointers")
+    while not leads.where("to is not null").isEmpty():
+        next_ = leads.select("doc_id", F.col("name").alias("to"), F.col("to").alias("beyond"), F.col("v").alias("found"))
+        moved = leads.where("to is not null").join(next_, ["doc_id", "to"]).select(
+            "doc_id", "name", F.col("beyond").alias("to"), F.col("found").alias("v")
+        )
+        leads = scratch.written(leads.where("to is null").unionByName(moved), "pointers")
+    return direct.unionByName(leads.select("doc_id", "name", "v")).select("doc_id", "name", "v.*")
+
+
+def _word(c: str) -> bool:
+    return c.isalnum() or c == "_" or unicodedata.category(c) in ("Mn", "Mc", "Me", "Pc")
+
+
+def leftmost_longest(found: list[tuple[int, int]], text: str) -> list[str]:
+    """Of places (start, end) where names stand, the distinct names to take: whole words, the
+    longest at the first place, then on from where it ends."""
+
+    def edge(i: int) -> bool:
+        return (i > 0 and _word(text[i - 1])) != (i < len(text) and _word(text[i]))
+
+    out: dict[str, None] = {}
+    at = 0
+    for start, end in sorted(found, key=lambda p: (p[0], -p[1])):
+        if start >= at and edge(start) and edge(end):
+            out[text[start:end]] = None
+            at = end
+    return list(out)
 
 
 def terms_in(texts: DataFrame, names: DataFrame) -> DataFrame:
     """Defined names a text uses, in order: longest at each place, overlaps taken once.
 
-    The names of a document become one pattern, longest first, matched on its own texts.
-    texts (doc_id, idx, text), names (doc_id, name).
+    One automaton for each document finds all places of all its names in one pass over each text, however
+    many names there are. Names are met case and all, as whole words. A document without names
+    has no row; a text without any has an empty list. texts (doc_id, idx, text), names (doc_id, name).
     """
-    patterns = names.groupBy("doc_id").agg(
-        F.array_sort(
-            F.collect_set(F.struct((-F.length("name")).alias("n"), "name"))
-        ).alias("s")
-    ).select(
-        "doc_id",
-        F.concat(
-            F.lit("(?U)\\b("),
-            F.array_join(F.transform("s", lambda s: F.concat(F.lit("\\Q"), s["name"], F.lit("\\E"))), "|"),
-            F.lit(")\\b"),
-        ).alias("pattern"),
-    )
-    return texts.join(patterns, "doc_id").select(
-        "doc_id", "idx",
-        F.array_distinct(F.regexp_extract_all("text", F.col("pattern"), F.lit(1))).alias("names"),
-    )
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ahocorasick import Automaton
+
+        for batch in batches:
+            for doc, names, lines in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "names", "lines"))):
+                automaton = Automaton()
+                for name in names:
+                    automaton.add_word(name, len(name))
+                automaton.make_automaton()
+                used = [leftmost_longest([(end + 1 - n, end + 1) for end, n in automaton.iter(x["text"])], x["text"]) for x in lines]
+                rows = [pa.array([doc] * len(lines), pa.int64()), pa.array([x["idx"] for x in lines], pa.int64()), pa.array(used, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(rows, names=["doc_id", "idx", "names"])
+
+    own = names.where("name <> ''").groupBy("doc_id").agg(F.collect_set("name").alias("names"))
+    lines = F.collect_list(F.struct(F.col("idx").cast("bigint").alias("idx"), F.coalesce("text", F.lit("")).alias("text")))
+    both = texts.groupBy("doc_id").agg(lines.alias("lines")).join(own, "doc_id")
+    return both.select(F.col("doc_id").cast("bigint").alias("doc_id"), "names", "lines").mapInArrow(find, "doc_id bigint, idx bigint, names array<string>")
 
 
 def relevant_definitions(
-    used: DataFrame, names: DataFrame, k: int = 6, stop: tuple[str, ...] = UBIQUITOUS
+    used: DataFrame, names: DataFrame, k: int | None = None, stop: tuple[str, ...] = UBIQUITOUS
 ) -> DataFrame:
-    """The definitions worth attaching: uninformative ones dropped, longest names first."""
+    """The definitions worth attaching: uninformative ones dropped, longest names first, all or `k` of them."""
     rows = used.select("doc_id", "idx", F.posexplode("names").alias("at", "name")).join(
         names.select("doc_id", "name", "term"), ["doc_id", "name"]
     )
@@ -540,7 +628,8 @@ def relevant_definitions(
         F.min(F.struct((-F.length("name")).alias("n"), "at")).alias("key")
     )
     w = W.partitionBy("doc_id", "idx").orderBy("key")
-    return per_term.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("key")
+    ranked = per_term.withColumn("rank", F.row_number().over(w)).drop("key")
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def definition_for(asked: DataFrame, names: DataFrame) -> DataFrame:

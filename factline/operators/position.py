@@ -57,6 +57,15 @@ def team_totals(ledger: DataFrame) -> DataFrame:
     )
 
 
+def with_known_teams(ledger: DataFrame, teams: DataFrame, first: int, last: int) -> DataFrame:
+    """The ledger with an empty line for every team and season from `first` to `last`, so that a known team
+    without contracts has a position of zero."""
+    every = F.sequence(R.big(first), R.big(last))
+    blank = teams.select("team").distinct().select("team", F.explode(every).alias("season"))
+    blank = blank.withColumn("kind", F.lit("none")).withColumn("amount", R.big(0))
+    return ledger.select("team", "season", "kind", "amount", "label", "offer").unionByName(blank, allowMissingColumns=True)
+
+
 def trigger_text(category: Column, detail: Column) -> Column:
     """`category — detail`, leaving out what is empty."""
     return F.concat_ws(" — ", F.nullif(category, F.lit("")), F.nullif(detail, F.lit("")))

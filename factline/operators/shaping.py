@@ -85,22 +85,16 @@ def extract_tables(
     row: str = "tr",
     cell: str | None = "td",
 ) -> DataFrame:
-    """Rows of the tables whose headers mention every needle, wherever on the page they are."""
-    tables = df.select(
-        *[c for c in df.columns if c != html], F.posexplode(X.inner(F.col(html), table)).alias("table_no", "_t")
-    ).withColumn(
-        "headers",
-        F.filter(F.transform(X.inner(F.col("_t"), header), X.strip_tags), lambda h: h != ""),
-    )
+    """Rows of the tables whose headers mention every needle, wherever on the page they are.
+
+    Tags are told in any case and with any attributes; a table inside another one is a table of its own.
+    """
+    found = df.select(*[c for c in df.columns if c != html], F.inline(X.tables(F.col(html), table, header, row, cell)))
     joined = F.lower(F.array_join("headers", " | "))
     for n in needles:
-        tables = tables.where(F.contains(joined, F.lit(n.lower())))
-    keep = [c for c in tables.columns if c != "_t"]
-    rows = tables.select(*keep, F.posexplode(X.inner(F.col("_t"), row)).alias("row_no", "_r"))
-    cells = F.array(F.col("_r")) if cell is None else X.inner(F.col("_r"), cell)
-    return rows.select(
-        *keep, "row_no", F.transform(cells, X.strip_tags).alias("cells")
-    ).where(F.size("cells") > 0)
+        found = found.where(F.contains(joined, F.lit(n.lower())))
+    keep = [c for c in found.columns if c != "rows"]
+    return found.select(*keep, F.inline("rows"))
 
 
 def unpivot_seasons(df: DataFrame, ids: list[str], columns: list[str], value: str) -> DataFrame:

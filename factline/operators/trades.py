@@ -68,12 +68,18 @@ def leg_totals(moves: DataFrame) -> DataFrame:
 
 
 def leg_states(legs: DataFrame, positions: DataFrame, base_cap: int) -> DataFrame:
-    """Legs with everything a rule needs to know about the team, on one row."""
+    """Legs with everything a rule needs to know about the team, on one row.
+
+    `positions` has a row for every known team and season, of zeros for one without contracts; a leg
+    of any other team or season fails the job, as nothing can be said of it.
+    """
     room = F.col("salary_cap") - F.col("cap_salary")
+    who = F.concat(F.lit("no team "), F.col("team").cast("string"), F.lit(" in season "), F.col("season").cast("string"))
+    known = F.when(F.col("apron_salary").isNull(), F.raise_error(who).cast("bigint")).otherwise(F.col("apron_salary"))
     return (
-        legs.join(positions.drop("committed", "dead", "holds", "restricted"), ["team", "season"])
+        legs.join(positions.drop("committed", "dead", "holds", "restricted"), ["team", "season"], "left")
         .withColumn("base_cap", R.big(base_cap))
-        .withColumn("post_salary", F.col("apron_salary") - F.col("outgoing") + F.col("incoming"))
+        .withColumn("post_salary", known - F.col("outgoing") + F.col("incoming"))
         .withColumn("cushion", R.cushion(F.col("post_salary"), F.col("first_apron")))
         .withColumn("cap_room", F.when(room > 0, room))
     )

@@ -70,13 +70,13 @@ SELECT coalesce(p.display_name, CAST(h.player AS VARCHAR)) AS player, h.team, h.
  CASE WHEN h.offer <> 0 THEN h.offer END AS qualifying_offer, h.season
 FROM f_holds h LEFT JOIN (SELECT * FROM f_players WHERE size < 50) p ON p.player = h.player"""
 CONTRACTS = """
-SELECT p.display_name AS player, p.player_key, c.team, c.season_id AS season, c.cap_figure AS salary, c.option_kind,
+SELECT p.display_name AS player, p.player_key, c.team, c.season_id AS season, c.cap_figure AS salary, c.option_kind, c.guarantee_kind,
  c.contract_type, CAST(c.signed_date AS VARCHAR) AS signed_date, p.years_of_service
 FROM f_contract_seasons c JOIN f_players p ON p.player = c.player"""
 CEILINGS = "SELECT team, season_id AS season, level AS apron_level, category AS trigger_category, detail AS trigger_detail FROM f_ceilings"
 PICKS = """SELECT year, round, owner AS team, original_team, CAST(forfeited AS BIGINT) AS forfeited,
  CASE WHEN protected_to > 0 THEN 'protected 1-' || protected_to END AS protection_text FROM f_picks"""
-EXCEPTIONS = """SELECT team, amount, amount - used AS available, CAST(expires AS VARCHAR) AS expires,
+EXCEPTIONS = """SELECT team, amount, amount - used AS available, CAST(expires AS VARCHAR) AS expires, kind,
  contract_id AS reason FROM f_exceptions"""
 AWARDS = """SELECT coalesce(p.display_name, CAST(a.player AS VARCHAR)) AS player, season, award, tier
  FROM f_awards a LEFT JOIN f_players p ON p.player = a.player"""
@@ -115,7 +115,7 @@ def c01(v):
     "c09_describe_catalog",
     " UNION ALL ".join(
         f"SELECT '{n}' AS entity, {k}::BIGINT AS n_fields, count(*) AS n_rows FROM ({s})"
-        for (n, s), k in zip(ENTITY_SQL.values(), (9, 7, 5, 6, 5, 4, 7))
+        for (n, s), k in zip(ENTITY_SQL.values(), (10, 7, 5, 6, 6, 4, 7))
     ),
 )
 def c09(v):
@@ -307,7 +307,7 @@ def c24(v):
 
 @REG.add("c25_lookup", "SELECT * FROM f_lookup")
 def c25(v):
-    return matching.lookup(v.requests, v.named_players)
+    return matching.lookup(v.requests, v.named_players, 8)
 
 
 @REG.add(
@@ -317,7 +317,7 @@ def c25(v):
  FROM f_requests r LEFT JOIN f_lookup l ON l.request = r.request GROUP BY r.request""",
 )
 def c26(v):
-    return matching.resolve_entities(v.requests, matching.lookup(v.requests, v.named_players))
+    return matching.resolve_entities(v.requests, matching.lookup(v.requests, v.named_players, 8))
 
 
 @REG.add(

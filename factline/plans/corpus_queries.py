@@ -38,7 +38,7 @@ def legs(v):
     several branches, so each is written once."""
     built = scratch.written(cases(v), "cases")
     moved = scratch.written(sent(v, built), "sent")
-    full = G.with_capacity(built, moved, v.seasons.where("season < 2001"), BASE_CAP)
+    full = G.with_capacity(built, moved, v.seasons, BASE_CAP)
     return scratch.written(full, "corpus-legs")
 
 
@@ -111,10 +111,13 @@ def g09(v):
 
 @REG.add(
     "g10_score",
-    """WITH m AS (SELECT count(*) AS n_mutants, count(*) FILTER (kind = 'unbalance' OR outgoing <= 0 OR mutated > capacity) AS detected FROM f_mutants),
+    """WITH t AS (SELECT trade_id, sum(incoming) AS total_in, sum(outgoing) AS total_out FROM f_capacity GROUP BY 1),
+ f AS (SELECT m.kind, CASE WHEN m.kind <> 'unbalance' THEN CASE WHEN m.outgoing <= 0 OR m.mutated > m.capacity THEN 'no_exception_available' END
+   WHEN t.total_in - l.incoming + m.mutated <> t.total_out THEN 'unbalanced' END AS code FROM f_mutants m JOIN f_capacity l ON l.trade_id = m.trade_id AND l.team = m.team JOIN t ON t.trade_id = m.trade_id),
+ m AS (SELECT count(*) AS n_mutants, count(code) AS detected, count(*) FILTER (code = CASE kind WHEN 'unbalance' THEN 'unbalanced' ELSE 'no_exception_available' END) AS right_reason FROM f),
  r AS (SELECT count(*) FILTER (incoming > outgoing AND outgoing > 0 AND incoming > capacity) AS undeterminable FROM f_capacity WHERE balanced AND salary_cap IS NOT NULL)
- SELECT n_mutants, detected, detected AS right_reason, undeterminable, round(coalesce(detected / nullif(n_mutants, 0), 0), 6) AS recall,
- round(coalesce(detected / nullif(detected + undeterminable, 0), 0), 6) AS precision_floor, CASE WHEN detected > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reason_accuracy FROM m, r""",
+ SELECT n_mutants, detected, right_reason, undeterminable, round(coalesce(detected / nullif(n_mutants, 0), 0), 6) AS recall,
+ round(coalesce(detected / nullif(detected + undeterminable, 0), 0), 6) AS precision_floor, round(coalesce(right_reason / nullif(detected, 0), 0), 6) AS reason_accuracy FROM m, r""",
 )
 def g10(v):
     corpus = legs(v)

@@ -37,9 +37,10 @@ def h03(v):
 
 @REG.add(
     "h04_locate_units",
-    """SELECT l.doc_id, l.idx, CASE WHEN w > 0 THEN w - 1 + start WHEN p = 0 THEN -1 ELSE p - 1 + start END AS start FROM (
- SELECT u.doc_id, u.idx, u.start, instr(substr(lower(d.text), u.start + 1), CASE WHEN u.level = 4 THEN 'zq ' ELSE '' END || trim(regexp_replace(lower(u.line), '\\s+', ' ', 'g'))) AS w, instr(substr(lower(d.text), u.start + 1), CASE WHEN u.level = 4 THEN 'zq ' ELSE '' END || CASE WHEN u.level = 4 THEN left(lower(u.line), 37) ELSE left(lower(u.line), 40) END) AS p
- FROM f_units u JOIN f_docs d ON d.doc_id = u.doc_id) l""",
+    """WITH n AS (SELECT u.doc_id, u.idx, u.start, substr(lower(d.text), u.start + 1) AS t, CASE WHEN u.level = 4 THEN 'zq ' ELSE '' END || trim(regexp_replace(lower(u.line), '\\s+', ' ', 'g')) AS needle
+ FROM f_units u JOIN f_docs d ON d.doc_id = u.doc_id),
+ m AS (SELECT *, CASE WHEN contains(t, needle) THEN length(needle) ELSE coalesce(list_max(list_filter(range(40, length(needle)), lambda k: contains(t, left(needle, k)))), 0) END AS matched FROM n)
+ SELECT doc_id, idx, CASE WHEN matched = 0 AND needle <> '' THEN -1 ELSE instr(t, left(needle, matched)) - 1 + start END AS start, matched FROM m""",
 )
 def h04(v):
     """Headings found from their own page on; one in three is worded as the text is not."""
@@ -55,11 +56,10 @@ def h05(v):
 
 @REG.add(
     "h06_number_units",
-    "SELECT doc_id, idx, article, section, CASE WHEN level = 1 THEN '' WHEN section IS NULL THEN NULL ELSE markers END AS markers FROM f_units WHERE section IS NOT NULL OR level = 1",
+    "SELECT doc_id, idx, article, section, all_markers AS markers FROM f_units",
 )
 def h06(v):
-    n = D.number_units(v.of("units"))
-    return n.where("section is not null or idx = 0")
+    return D.number_units(v.of("units"))
 
 
 @REG.add("h07_citation", "SELECT doc_id, idx, citation FROM f_units")
@@ -128,7 +128,17 @@ def h15(v):
     return v.definition_names.select("doc_id", "name", "term")
 
 
-@REG.add("h16_terms_in")
+TERMS = """nn AS (SELECT doc_id, name, term, length(name) AS n FROM f_definition_names WHERE name <> ''),
+ wp AS (SELECT doc_id, idx, line, unnest(list_filter(range(1, length(line) + 1), lambda i: regexp_matches(substr(line, i, 1), '[A-Z]') AND (i = 1 OR NOT regexp_matches(substr(line, i - 1, 1), '[A-Za-z0-9_]')))) AS s FROM f_units),
+ oc AS (SELECT wp.doc_id, wp.idx, wp.line, wp.s, max(nn.n) AS n FROM wp JOIN nn ON nn.doc_id = wp.doc_id AND substr(wp.line, wp.s, nn.n) = nn.name
+   WHERE NOT regexp_matches(substr(wp.line, wp.s + nn.n, 1), '[A-Za-z0-9_]') GROUP BY ALL),
+ nx AS (SELECT a.doc_id, a.idx, a.s, a.n, a.line, min(b.s) AS next FROM oc a LEFT JOIN oc b ON b.doc_id = a.doc_id AND b.idx = a.idx AND b.s >= a.s + a.n GROUP BY ALL),
+ tk(doc_id, idx, s, n, line, next) AS (SELECT x.* FROM nx x JOIN (SELECT doc_id, idx, min(s) AS s FROM nx GROUP BY ALL) f ON f.doc_id = x.doc_id AND f.idx = x.idx AND f.s = x.s
+   UNION ALL SELECT x.* FROM tk JOIN nx x ON x.doc_id = tk.doc_id AND x.idx = tk.idx AND x.s = tk.next),
+ us AS (SELECT doc_id, idx, name, row_number() OVER (PARTITION BY doc_id, idx ORDER BY s) - 1 AS ord FROM (SELECT doc_id, idx, substr(line, s, n) AS name, min(s) AS s FROM tk GROUP BY ALL))"""
+
+
+@REG.add("h16_terms_in", f"WITH RECURSIVE {TERMS} SELECT doc_id, idx, string_agg(name, '|' ORDER BY ord) AS names FROM us GROUP BY ALL")
 def h16(v):
     """Names of a document's definitions in each of its lines."""
     v.keep("units")
@@ -136,12 +146,17 @@ def h16(v):
     return used.where(F.size("names") > 0).withColumn("names", F.array_join("names", "|"))
 
 
-@REG.add("h17_relevant_definitions")
+@REG.add(
+    "h17_relevant_definitions",
+    f"""WITH RECURSIVE {TERMS}, ky AS (SELECT us.doc_id, us.idx, nn.term, min((1000 - length(us.name)) * 100000 + us.ord) AS key FROM us JOIN nn ON nn.doc_id = us.doc_id AND nn.name = us.name
+  WHERE us.name NOT IN ('The', 'Of', 'And', 'In') AND nn.term NOT IN ('The', 'Of', 'And', 'In') GROUP BY ALL)
+ SELECT doc_id, idx, term, row_number() OVER (PARTITION BY doc_id, idx ORDER BY key) AS rank FROM ky""",
+)
 def h17(v):
     v.keep("units")
     names = v.definition_names
     used = D.terms_in(v.of("units").select("doc_id", "idx", C("line").alias("text")), names)
-    return D.relevant_definitions(used, names, 6, ("The", "Of", "And", "In"))
+    return D.relevant_definitions(used, names, None, ("The", "Of", "And", "In"))
 
 
 @REG.add("h18_extract_refs", "SELECT doc_id, source, wanted FROM f_raw_refs")
@@ -220,11 +235,11 @@ def h24(v):
     "h25_chunks_within",
     """SELECT * FROM (SELECT u.doc_id, u.citation, c.idx AS chunk_idx, c.citation AS chunk_citation, c.ordinal AS chunk_ordinal, c.start AS chunk_start,
  row_number() OVER (PARTITION BY u.doc_id, u.citation ORDER BY c.start, c.idx) AS rank
- FROM f_by_citation u JOIN f_chunks c ON c.doc_id = u.doc_id AND c.start >= u.start AND c.start < u.subtree_end) WHERE rank <= 6""",
+ FROM f_by_citation u JOIN f_chunks c ON c.doc_id = u.doc_id AND c.start >= u.start AND c.start < u.subtree_end)""",
 )
 def h25(v):
     v.keep("outlined", "chunks")
-    return D.chunks_within(v.of("units").select("doc_id", "citation").distinct(), v.of("outlined"), v.of("chunks"), 6)
+    return D.chunks_within(v.of("units").select("doc_id", "citation").distinct(), v.of("outlined"), v.of("chunks"))
 
 
 @REG.add(
@@ -243,7 +258,7 @@ def h26(v):
     "h27_name_candidates",
     """SELECT * FROM (SELECT name, term, row_number() OVER (PARTITION BY name ORDER BY term) AS rank FROM (
  SELECT DISTINCT r.request AS name, p.p_name AS term FROM (SELECT request, unnest(string_split(lower(request), ' ')) AS word FROM f_requests WHERE request NOT IN (SELECT p_name FROM part)) r
- JOIN (SELECT DISTINCT p_name FROM part) p ON contains(p.p_name, r.word) WHERE length(r.word) > 3)) WHERE rank <= 15""",
+ JOIN (SELECT DISTINCT p_name FROM part) p ON contains(p.p_name, r.word) WHERE length(r.word) > 3))""",
 )
 def h27(v):
     return matching.name_candidates(

@@ -10,6 +10,7 @@ from factline.operators import ingest, shaping
 from factline.plans.registry import Registry
 from factline.plans.views import cents
 from factline.sources import files, scratch
+from factline.sources import snapshots as published
 from factline.sources.tables import spread
 
 REG = Registry()
@@ -204,7 +205,7 @@ STRIP = "trim(regexp_replace(replace(replace(replace(replace(regexp_replace({x},
     f"""WITH t AS (SELECT page_id, a, h FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<article(?: [^>]*)?>(.*?)</article>', 1)) AS a FROM pages),
  LATERAL (SELECT list_transform(regexp_extract_all(a, '(?s)<h1(?: [^>]*)?>(.*?)</h1>', 1), lambda x: {STRIP.format(x='x')}) AS h)
  WHERE contains(lower(array_to_string(h, ' | ')), 'th'))
- SELECT page_id, CAST(i - 1 AS BIGINT) AS row_no, {STRIP.format(x='r[i]')} AS cell FROM (SELECT page_id, regexp_extract_all(a, '(?s)<p(?: [^>]*)?>(.*?)</p>', 1) AS r FROM t), LATERAL (SELECT unnest(range(1, len(r) + 1)) AS i)""",
+ SELECT page_id, CAST(i - 1 AS BIGINT) AS row_no, {STRIP.format(x="split_part(r[i], '</p>', 1)")} AS cell FROM (SELECT page_id, string_split_regex(a, '<p(?: [^>]*)?>')[2:] AS r FROM t), LATERAL (SELECT unnest(range(1, len(r) + 1)) AS i)""",
 )
 def a06(v):
     """Articles whose heading mentions the needle, paragraph by paragraph."""
@@ -329,9 +330,10 @@ def a15(v):
 
 @REG.add("a16_publish", "SELECT * REPLACE (CAST(c_nationkey AS BIGINT) AS c_nationkey) FROM customer")
 def a16(v):
-    """A snapshot written in full, and read back by the path handed to readers."""
-    out = files.publish({"customer": v.customer, "nation": v.nation}, scratch.fresh_path(v.spark, "snapshot"))
-    return v.spark.read.parquet(out["customer"])
+    """A snapshot written in full and committed by its manifest, and read back through that."""
+    root = scratch.fresh_path(v.spark, "snapshot")
+    published.publish({"customer": v.customer, "nation": v.nation}, root)
+    return published.read(v.spark, root, "customer")
 
 
 COUNTED = ("orders", "customer", "supplier", "part", "events")
@@ -401,32 +403,35 @@ def a20(v):
 
 @REG.add(
     "a21_unpivot_slots",
-    """WITH r AS (SELECT season, p.display_name, p.kind, row_number() OVER (PARTITION BY season ORDER BY cap_figure DESC, contract_id) AS r FROM f_contract_seasons c JOIN f_players p ON p.player = c.player)
- SELECT season || '-' || substr(CAST(season + 1 AS VARCHAR), 3, 2) AS season, 'All-NBA' AS award, CAST(r AS VARCHAR) AS slot, display_name AS player_name,
- CASE kind WHEN 'SMALL' THEN 'G' WHEN 'LARGE' THEN 'C' END AS position FROM r WHERE r <= 5 AND season >= 1997""",
+    """WITH r AS (SELECT season, team, p.display_name, p.kind, row_number() OVER (PARTITION BY season, team ORDER BY cap_figure DESC, contract_id) - 1 AS r FROM f_contract_seasons c JOIN f_players p ON p.player = c.player)
+ SELECT season || '-' || substr(CAST(season + 1 AS VARCHAR), 3, 2) AS season, 'All-NBA' AS award, team, r // 5 + 1 AS place, CAST(r % 5 + 1 AS VARCHAR) AS slot, display_name AS player_name,
+ CASE kind WHEN 'SMALL' THEN 'G' WHEN 'LARGE' THEN 'C' END AS position FROM r WHERE season >= 1997""",
 )
 def a21(v):
+    """All contracts of a team and season, five to a row as the source prints them."""
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("season").orderBy(F.desc("cap_figure"), "contract_id")
-    top = (
-        v.contract_seasons.select("season", "player", "cap_figure", "contract_id")
-        .withColumn("r", F.row_number().over(w))
-        .where("r <= 5")
+    w = W.partitionBy("season", "team").orderBy(F.desc("cap_figure"), "contract_id")
+    rows = (
+        v.contract_seasons.select("season", "team", "player", "cap_figure", "contract_id")
         .join(v.players.select("player", "display_name", "kind"), "player")
+        .withColumn("r", F.row_number().over(w) - 1)
     )
     tagged = F.concat(
         C("display_name"), F.when(C("kind") == "SMALL", " G").when(C("kind") == "LARGE", " C").otherwise("")
     )
     wide = (
-        top.groupBy(
+        rows.withColumn("slot", C("r") % 5 + 1)
+        .groupBy(
             F.concat(C("season").cast("string"), F.lit("-"), F.substr((C("season") + 1).cast("string"), F.lit(3))).alias("season"),
             F.lit("All-NBA").alias("award"),
+            "team",
+            (F.floor(C("r") / 5) + 1).alias("place"),
         )
-        .pivot("r", [1, 2, 3, 4, 5])
+        .pivot("slot", [1, 2, 3, 4, 5])
         .agg(F.first(tagged))
     )
-    return shaping.unpivot_slots(wide, ["season", "award"], 1997)
+    return shaping.unpivot_slots(wide, ["season", "award", "team", "place"], 1997)
 
 
 @REG.add(

@@ -145,6 +145,13 @@ class Views(Tables):
                 .when((F.col("flag") == "R") & (F.col("status") == "O"), "known")
                 .otherwise("absent"),
             )
+            .withColumn(
+                "guarantee_kind",
+                F.when(F.col("tax") == 0, "full")
+                .when(F.col("flag") == "A", "partial")
+                .when(F.col("flag") == "R", "none")
+                .otherwise("unknown"),
+            )
             .withColumn(
                 "contract_type",
                 F.when(F.col("line_no") == 1, "rookie_first_round")
@@ -265,6 +272,7 @@ class Views(Tables):
             R.floor_div(F.col("cap_figure") * F.col("disc"), F.lit(10)).alias("used"),
             F.col("signed_date").alias("created"),
             F.when(F.col("tax") > 0, F.add_months(F.col("signed_date"), 12)).alias("expires"),
+            F.when(F.col("line_no") <= 4, "trade").when(F.col("line_no") == 5, "disabled_player").alias("kind"),
         )
 
     @property
@@ -385,7 +393,9 @@ class Views(Tables):
     @property
     def legs(self) -> DataFrame:
         """One row per (trade, team) of well-formed trades, with the team's position."""
-        return trades.leg_states(trades.leg_totals(self.of("valid_moves")), self.of("positions"), BASE_CAP)
+        known = position.with_known_teams(self.of("ledger"), self.teams, FIRST_SEASON, LAST_SEASON - 1)
+        states = position.team_state(known, self.seasons, self.ceilings)
+        return trades.leg_states(trades.leg_totals(self.of("valid_moves")), states, BASE_CAP)
 
     @property
     def asked(self) -> DataFrame:
@@ -518,11 +528,11 @@ class Views(Tables):
 
     @property
     def definitions(self) -> DataFrame:
-        return documents.extract_definitions(self.of("units").where("level > 2 and section is not null"))
+        return documents.extract_definitions(self.of("units"))
 
     @property
     def definition_names(self) -> DataFrame:
-        return documents.definition_names(self.of("units").where("level > 2 and section is not null"))
+        return documents.definition_names(self.of("units"))
 
     @property
     def refs(self) -> DataFrame:

@@ -39,6 +39,7 @@ SELECT l.*, o.season, o.as_of, o.source, o.season || '-' || (o.season + 1) AS se
        CASE WHEN tax = 0 THEN 'absent' WHEN disc = 0 THEN 'unknown' ELSE 'known' END AS kicker_state,
        CASE WHEN flag = 'A' THEN 'unknown' WHEN flag = 'R' AND status = 'O' THEN 'known'
             ELSE 'absent' END AS ntc_state,
+       CASE WHEN tax = 0 THEN 'full' WHEN flag = 'A' THEN 'partial' WHEN flag = 'R' THEN 'none' ELSE 'unknown' END AS guarantee_kind,
        CASE line_no WHEN 1 THEN 'rookie_first_round' WHEN 2 THEN 'rookie_second_round'
             WHEN 3 THEN 'sign_and_trade' ELSE 'unknown' END AS contract_type
 FROM f_lines l JOIN (
@@ -79,7 +80,8 @@ JOIN f_seasons s ON (c.team + s.season + length(c.level)) % 3 <> 0
     "f_exceptions": """
 SELECT contract_id, team, cap_figure AS amount, cap_figure * disc // 10 AS used,
        signed_date AS created,
-       CASE WHEN tax > 0 THEN CAST(signed_date + INTERVAL 12 MONTH AS DATE) END AS expires
+       CASE WHEN tax > 0 THEN CAST(signed_date + INTERVAL 12 MONTH AS DATE) END AS expires,
+       CASE WHEN line_no <= 4 THEN 'trade' WHEN line_no = 5 THEN 'disabled_player' END AS kind
 FROM f_lines WHERE flag = 'R'
 """,
     "f_picks": """
@@ -319,6 +321,7 @@ SELECT *, CASE WHEN section IS NULL THEN 'Art. VII' ELSE 'Art. VII §' || sectio
 SELECT doc_id, idx, level, line, start, doc_end, 'VII' AS article, is_section, section_level,
  CASE WHEN sec > 0 AND level > 1 THEN CAST(sec AS VARCHAR) END AS section,
  CASE WHEN sec > 0 AND level > 1 THEN CASE WHEN level = 4 AND m3 > 0 THEN letter || number WHEN level = 3 THEN letter WHEN level = 4 THEN number ELSE '' END ELSE '' END AS markers,
+ CASE WHEN level = 4 AND m3 > 0 THEN letter || number WHEN level = 3 THEN letter WHEN level = 4 THEN number ELSE '' END AS all_markers,
  CASE level WHEN 1 THEN 'Article VII ' || line WHEN 2 THEN 'Section ' || sec || '. ' || first2 || '. ' || line WHEN 3 THEN letter || ' ' || first2 || ': ' || line ELSE number || ' ' || line END AS title,
  CASE WHEN level = 3 AND length(line) % 2 = 0 THEN letter || ' “' || first2 || '” means ' || line
   WHEN level = 3 THEN letter || ' The term “' || first2 || '” or “' || first1 || '” shall mean ' || line
@@ -390,12 +393,12 @@ VIEWS["f_definitions"] = """
 SELECT doc_id, first2 AS term, min(idx) AS idx, arg_min(citation, idx) AS citation,
  arg_min(CASE WHEN length(line) % 2 = 0 THEN NULL ELSE first1 END, idx) AS raw_alias,
  arg_min(CASE WHEN length(line) % 2 = 0 THEN [] ELSE [first1] END, idx) AS aliases
-FROM f_units WHERE level = 3 AND section IS NOT NULL AND first2 <> '' GROUP BY ALL
+FROM f_units WHERE level = 3 AND first2 <> '' GROUP BY ALL
 """
 VIEWS["f_definition_names"] = """
 WITH d AS (SELECT doc_id, term AS name, term, 0 AS p, idx FROM f_definitions UNION ALL SELECT doc_id, unnest(aliases), term, 1, idx FROM f_definitions),
  direct AS (SELECT doc_id, name, arg_min(term, p * 1000000 + idx) AS term FROM d GROUP BY ALL),
- ptr AS (SELECT doc_id, first2 AS name, arg_max(first1, idx) AS target, min(idx) AS idx FROM f_units WHERE level = 4 AND length(line) % 4 = 0 AND section IS NOT NULL AND first2 <> '' GROUP BY ALL),
+ ptr AS (SELECT doc_id, first2 AS name, arg_max(first1, idx) AS target, min(idx) AS idx FROM f_units WHERE level = 4 AND length(line) % 4 = 0 AND first2 <> '' GROUP BY ALL),
  one AS (SELECT p.doc_id, p.name, t.term, p.idx FROM ptr p JOIN direct t ON t.doc_id = p.doc_id AND t.name = p.target
    WHERE NOT EXISTS (SELECT 1 FROM direct x WHERE x.doc_id = p.doc_id AND x.name = p.name)),
  two AS (SELECT p.doc_id, p.name, o.term FROM ptr p JOIN one o ON o.doc_id = p.doc_id AND o.name = p.target AND o.idx < p.idx
@@ -433,7 +436,7 @@ VIEWS["f_case_splits"] = """
 SELECT s.*, p.masks FROM (SELECT trade_id, team, list(amount) AS vals, count(*) AS n, sum(amount)::BIGINT AS total FROM f_sent GROUP BY ALL) s LEFT JOIN f_parts p ON p.n = s.n
 """
 VIEWS["f_capacity"] = """
-WITH k AS (SELECT c.*, s.salary_cap, coalesce(x.total = c.outgoing, false) AS reconstructed FROM f_cases c LEFT JOIN (SELECT * FROM f_seasons WHERE season < 2001) s ON s.season_id = c.season_id
+WITH k AS (SELECT c.*, s.salary_cap, coalesce(x.total = c.outgoing, false) AS reconstructed FROM f_cases c LEFT JOIN f_seasons s ON s.season_id = c.season_id
   LEFT JOIN (SELECT trade_id, team, sum(amount) AS total FROM f_sent GROUP BY ALL) x ON x.trade_id = c.trade_id AND x.team = c.team),
  b AS (SELECT k.trade_id, k.team, max(CASE WHEN s.n <= 8 THEN list_sum(list_transform(s.masks, lambda m: {each})) ELSE greatest({whole}, list_sum(list_transform(s.vals, lambda x: {single}))) END)::BIGINT AS best
   FROM k JOIN f_case_splits s ON s.trade_id = k.trade_id AND s.team = k.team WHERE k.reconstructed AND k.salary_cap IS NOT NULL GROUP BY ALL)

@@ -72,3 +72,21 @@ def test_surrogate_ids_are_dense(spark):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("v"))
     rows = ingest.with_surrogate_id(df, ["v"], partitions=7).orderBy("v").collect()
     assert [r.id for r in rows] == list(range(1, 1001))
+
+
+def test_tables_inside_tables_in_any_case(spark):
+    page = (
+        "<!-- <table> --><TABLE class='a>b'><Tr><TH>Name</TH><th>A &amp; B</th></tr>"
+        "<tr><td title=\"x > y\">one<br>two</td><TD>out<table><tr><th>Inner</th></tr><tr><td>deep</td></table>side</td></tr>"
+        "<tr><td>open<td>next<tr></tr><tr><td>last</td></TABLE> tail <table><tr><th>Name</th></tr><tr><td>never closed"
+    )
+    df = spark.createDataFrame([(1, page), (2, None), (3, "no table"), (4, "")], "page long, html string")
+    got = [(r.page, r.table_no, r.headers, r.row_no, r.cells) for r in shaping.extract_tables(df, "html", ["name"]).collect()]
+    assert got == [
+        (1, 0, ["Name", "A & B"], 1, ["one two", "outside"]),
+        (1, 0, ["Name", "A & B"], 2, ["open", "next"]),
+        (1, 0, ["Name", "A & B"], 4, ["last"]),
+        (1, 2, ["Name"], 1, ["never closed"]),
+    ]
+    inner = shaping.extract_tables(df, "html", ["inner"]).collect()
+    assert [(r.table_no, r.row_no, r.cells) for r in inner] == [(1, 1, ["deep"])]

@@ -134,13 +134,17 @@ def overlaps(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
     places = hits.select("h", F.explode(F.arrays_zip("hashes", "places")).alias("p")).select("h", F.col("p.hashes").alias("hash"), F.col("p.places").alias("place"))
     aligned = places.join(seeds.select("hash", "item", "at"), "hash").select("h", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
     words = seeds.groupBy("item").agg(F.first("words").alias("item_words"))
-    both = aligned.join(hits.select("h", "words"), "h").join(words, "item")
-    from_doc, from_item = F.greatest("shift", F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
-    both = both.select(
-        "h", "item", from_doc.alias("d"), from_item.alias("i"), F.size("item_words").alias("n_item"),
-        F.slice("words", from_doc + 1, F.size("item_words") - from_item).alias("x"),
-        F.slice("item_words", from_item + 1, F.size("item_words")).alias("y"),
-    )
+    # A document's words are read once for all its alignments, and only the part beside an item goes on.
+    sized = aligned.join(words.select("item", F.size("item_words").alias("n_item")), "item")
+    asked = sized.groupBy("h").agg(F.collect_list(F.struct("item", "shift", "n_item")).alias("asked"))
+
+    def cut(a):
+        d, i = F.greatest(a["shift"], F.lit(0)), F.greatest(-a["shift"], F.lit(0))
+        part = F.slice("words", d + 1, a["n_item"] - i)
+        return F.struct(a["item"].alias("item"), d.alias("d"), i.alias("i"), a["n_item"].alias("n_item"), part.alias("x"))
+
+    cuts = hits.select("h", "words").join(asked, "h").select("h", F.inline(F.transform("asked", cut)))
+    both = cuts.join(words, "item").select("h", "item", "d", "i", "n_item", "x", F.slice("item_words", F.col("i") + 1, F.col("n_item")).alias("y"))
 
     @F.pandas_udf("at int, words int, equal int")
     def verified(x, y, n):

@@ -7,8 +7,7 @@ the template so generalised, others their own. Templates that recur across docum
 
 Supports are counts of documents: of each distinct masked line the number of documents that hold it, of
 a leaf or a place the sum over its distinct lines, of a template the number of documents that hold any of
-its lines. (The SQL beside the query sums for templates too; the two differ only where lines of one
-template share documents and no line alone is in enough.)
+its lines.
 """
 
 from __future__ import annotations
@@ -22,6 +21,9 @@ from factline.sources import scratch
 LEADING = 3
 MIN_WORDS = 4
 MIN_DOCS = 3
+#: Lines of more words than this are passages: they recur as soon as they stand in two documents.
+LONG_WORDS = 50
+LONG_DOCS = 2
 CONSTANT = 0.5
 SIMILAR = 0.6
 VARIABLE = "<*>"
@@ -51,34 +53,40 @@ def hashed(rows: DataFrame) -> DataFrame:
     """With `id` for the masked line, `leaf` for number of words and leading words, and `own`: whether
     the masked line may be a template by itself."""
     own = F.when(F.contains("m", F.lit(VARIABLE)), 2 * occurrences(F.col("m"), VARIABLE) <= F.col("words")).otherwise(True)
-    return rows.select("key", "line", own.alias("own"), F.xxhash64("m").alias("id"), F.xxhash64("words", F.substring_index("m", " ", LEADING)).alias("leaf"), "m")
+    long = F.col("words") > LONG_WORDS
+    return rows.select("key", "line", own.alias("own"), long.alias("long"), F.xxhash64("m").alias("id"), F.xxhash64("words", F.substring_index("m", " ", LEADING)).alias("leaf"), "m")
 
 
 def recurring(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(lines (key, line, id), ids of masked lines whose template recurs in `min_docs` documents or more)."""
+    """(lines (key, line, id), ids of masked lines whose template recurs in `min_docs` documents or more).
+
+    Of lines of more than LONG_WORDS words, which hardly meet by chance, LONG_DOCS documents are enough.
+    All lines of a leaf have one number of words, so one bound holds for a leaf.
+    """
+    enough = F.when(F.col("long"), LONG_DOCS).otherwise(min_docs)
     every = hashed(lines(docs, text))
     thin = scratch.written(every.drop("m"), "lines")
     # A document counts once for a line, however often and in whatever rows it holds it.
-    support = scratch.written(thin.select("key", "id", "leaf", "own").distinct().groupBy("id", "leaf", "own").agg(F.count("*").alias("docs")), "support")
-    leaves = support.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("kinds"))
+    support = scratch.written(thin.select("key", "id", "leaf", "own", "long").distinct().groupBy("id", "leaf", "own", "long").agg(F.count("*").alias("docs")), "support")
+    leaves = support.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("kinds"), F.max("long").alias("long"))
     # Only leaves that hold several lines in enough documents can generalise further; their words are counted.
     # Written first, so that where they are few no text has to move to meet them.
-    wide = scratch.written(leaves.where((F.col("kinds") > 1) & (F.col("all") >= min_docs)).select("leaf", "all"), "leaves")
+    wide = scratch.written(leaves.where((F.col("kinds") > 1) & (F.col("all") >= enough)).select("leaf", "all"), "leaves")
     texts = every.select("id", "leaf", "m").join(wide.select("leaf"), "leaf", "left_semi").groupBy("id", "leaf").agg(F.first("m").alias("m"))
     kinds = scratch.written(texts.join(support, ["id", "leaf"]), "kinds")
-    words = kinds.select("id", "leaf", "docs", F.posexplode(F.split("m", " ")).alias("at", "word"))
+    words = kinds.select("id", "leaf", "docs", "long", F.posexplode(F.split("m", " ")).alias("at", "word"))
     common = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("n")).join(wide, "leaf").where(F.col("n") >= CONSTANT * F.col("all"))
     fields = words.join(common.select("leaf", "at", "word", F.lit(True).alias("same")), ["leaf", "at", "word"], "left")
     shape = F.transform(F.sort_array(F.collect_list(F.struct("at", F.when(F.col("same"), F.col("word")).otherwise(VARIABLE).alias("w")))), lambda x: x["w"])
-    shapes = fields.groupBy("id", "leaf", "docs").agg(F.array_join(shape, " ").alias("shape"), F.avg(F.when(F.col("same") & (F.col("word") != VARIABLE), 1.0).otherwise(0.0)).alias("share"))
-    general = scratch.written(shapes.where(F.col("share") >= SIMILAR).select("leaf", "id", F.xxhash64("shape").alias("template"), "docs"), "general")
-    sums = general.groupBy("leaf", "template").agg(F.sum("docs").alias("docs"), F.max("docs").alias("most")).where(F.col("docs") >= min_docs)
+    shapes = fields.groupBy("id", "leaf", "docs", "long").agg(F.array_join(shape, " ").alias("shape"), F.avg(F.when(F.col("same") & (F.col("word") != VARIABLE), 1.0).otherwise(0.0)).alias("share"))
+    general = scratch.written(shapes.where(F.col("share") >= SIMILAR).select("leaf", "id", F.xxhash64("shape").alias("template"), "docs", "long"), "general")
+    sums = general.groupBy("leaf", "template").agg(F.sum("docs").alias("docs"), F.max("docs").alias("most"), F.max("long").alias("long")).where(F.col("docs") >= enough)
     # Lines of a template may be of the same documents: unless one line alone is in enough, distinct documents are counted.
-    open_ids = general.join(sums.where(F.col("most") < min_docs), ["leaf", "template"], "left_semi").select("id", "leaf", "template")
-    held = thin.select("key", "id").join(open_ids, "id").select("leaf", "template", "key").distinct()
-    counted = held.groupBy("leaf", "template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    again = sums.where(F.col("most") >= min_docs).select("leaf", "template").union(counted.select("leaf", "template"))
-    ids = support.where(F.col("own") & (F.col("docs") >= min_docs)).select("id").union(general.join(again, ["leaf", "template"], "left_semi").select("id"))
+    open_ids = general.join(sums.where(F.col("most") < enough), ["leaf", "template"], "left_semi").select("id", "leaf", "template", "long")
+    held = thin.select("key", "id").join(open_ids, "id").select("leaf", "template", "long", "key").distinct()
+    counted = held.groupBy("leaf", "template", "long").agg(F.count("*").alias("docs")).where(F.col("docs") >= enough)
+    again = sums.where(F.col("most") >= enough).select("leaf", "template").union(counted.select("leaf", "template"))
+    ids = support.where(F.col("own") & (F.col("docs") >= enough)).select("id").union(general.join(again, ["leaf", "template"], "left_semi").select("id"))
     return thin.select("key", "line", "id"), ids.distinct()
 
 

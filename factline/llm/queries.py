@@ -121,14 +121,15 @@ s AS (SELECT doc_id, text, line, raw, trim(regexp_replace(raw, '[ \t\r\f\x0B]+',
 m AS (SELECT *, array_to_string(list_transform(string_split(sp, ' '), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END), ' ') AS m FROM s),
 k AS (SELECT *, string_split(m, ' ') AS w FROM m),
 u AS (SELECT m, w, len(w) AS n, w[1:3] AS lead, count(DISTINCT (doc_id, text)) AS docs FROM k WHERE len(w) >= 4 GROUP BY 1, 2, 3, 4),
-leaf AS (SELECT n, lead, sum(docs) AS total FROM u GROUP BY 1, 2 HAVING count(*) > 1 AND sum(docs) >= 3),
+leaf AS (SELECT n, lead, sum(docs) AS total FROM u GROUP BY 1, 2 HAVING count(*) > 1 AND sum(docs) >= CASE WHEN n > 50 THEN 2 ELSE 3 END),
 x AS (SELECT u.m, u.n, u.lead, u.docs, i, u.w[i] AS word, leaf.total FROM u JOIN leaf USING (n, lead), unnest(range(1, u.n + 1)) AS t(i)),
 c AS (SELECT n, lead, i, word FROM x GROUP BY n, lead, i, word, total HAVING sum(docs) >= 0.5 * total),
 f AS (SELECT x.m, x.n, x.lead, x.docs, string_agg(CASE WHEN c.word IS NULL THEN '<*>' ELSE x.word END, ' ' ORDER BY x.i) AS shape,
         avg(CASE WHEN c.word IS NOT NULL AND c.word <> '<*>' THEN 1.0 ELSE 0.0 END) AS share
       FROM x LEFT JOIN c ON x.n = c.n AND x.lead = c.lead AND x.i = c.i AND x.word = c.word GROUP BY 1, 2, 3, 4),
-g AS (SELECT *, sum(docs) OVER (PARTITION BY n, lead, shape) AS shape_docs FROM f WHERE share >= 0.6),
-drops AS (SELECT m FROM u WHERE docs >= 3 AND 2 * (length(m) - length(replace(m, '<*>', ''))) / 3 <= n UNION SELECT m FROM g WHERE shape_docs >= 3),
+h AS (SELECT f.n, f.lead, f.shape, count(DISTINCT (k.doc_id, k.text)) AS shape_docs FROM f JOIN k ON k.m = f.m WHERE f.share >= 0.6 GROUP BY 1, 2, 3),
+g AS (SELECT f.m, h.n, h.shape_docs FROM f JOIN h ON h.n = f.n AND h.lead = f.lead AND h.shape = f.shape WHERE f.share >= 0.6),
+drops AS (SELECT m FROM u WHERE docs >= CASE WHEN n > 50 THEN 2 ELSE 3 END AND 2 * (length(m) - length(replace(m, '<*>', ''))) / 3 <= n UNION SELECT m FROM g WHERE shape_docs >= CASE WHEN n > 50 THEN 2 ELSE 3 END),
 o AS (SELECT k.doc_id, k.text, count(d.m) AS dropped, string_agg(CASE WHEN d.m IS NULL THEN k.raw END, chr(10) ORDER BY k.line) AS kept
       FROM k LEFT JOIN drops d ON d.m = k.m AND len(k.w) >= 4 GROUP BY 1, 2)
 SELECT doc_id, dropped AS dropped_lines, length(coalesce(kept, '')) AS kept_chars, sha256(coalesce(kept, '')) AS kept_sha256 FROM o

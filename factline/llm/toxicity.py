@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, max_train: int = 20_000
         for pdf in batches:
             for text, y in zip(pdf["text"], pdf["y"]):
                 words = set(WORD.findall(text.lower()))
-                found = {w for w in words if len(w) <= 40}
+                found = set(words)
                 found.update(f"{w[:n]}*" for w in words for n in STEMS if len(w) >= n)
                 for f in found:
                     seen.setdefault(f, [0, 0])[0 if y == 1 else 1] += 1

@@ -317,6 +317,39 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity(table(spark, []), none).count() == 0
 
 
+def brute_cover(words, template):
+    """The largest share of a template that matches of MIN_MATCH words or more, in order on both sides, cover, gaps at most MAX_GAP."""
+    same = [(i, j) for i in range(len(words)) for j in range(len(template)) if words[i] == template[j]]
+    run = {}
+    for i, j in same:
+        run[i, j] = run.get((i - 1, j - 1), 0) + 1
+    spans = [(i + 1 - n, i + 1, j + 1 - n, j + 1) for (i, j), n in run.items() if n >= licenses.MIN_MATCH and (i + 1, j + 1) not in run]
+    best = 0
+    cover = {}
+    for a, b, s, e in sorted(spans):
+        before = [n for (x, t), n in cover.items() if x <= a <= x + licenses.MAX_GAP and t <= s <= t + licenses.MAX_GAP]
+        cover[b, e] = max(cover.get((b, e), 0), max(before, default=0) + b - a)
+        best = max(best, cover[b, e])
+    return best / len(template)
+
+
+@pytest.mark.parametrize("label,text", licenses.LICENCES)
+def test_whole_licences_in_edited_texts(label, text):
+    a = licenses.Automaton()
+    which = [k for k, (x, _) in enumerate(licenses.TEMPLATES) if x == label and licenses.TEMPLATES[k][1] == text][0]
+    template = K.alnum_words(text)
+    rnd = random.Random(len(text))
+    for share in (0, 0.02, 0.06, 0.15, 0.3):
+        words = [b"zz" if rnd.random() < share else w for w in template]
+        whole = b" ".join([b"some words before", *words, b"and after"]).decode()
+        covered = [x for k, *_, x in licenses.find(whole, a)[2] if k == which]
+        want = brute_cover(K.alnum_words(whole), template)
+        assert bool(covered) == (want >= licenses.COVERED)
+        assert not covered or max(covered) == pytest.approx(want)
+    half = b" ".join(template[: len(template) // 2]).decode()
+    assert all(k != which for k, *_ in licenses.find(half, a)[2])
+
+
 # --- line templates ----------------------------------------------------------------------------
 
 

@@ -290,7 +290,7 @@ def prices(v):
  round(sum((input * a + output * b + cache_read * c + cache_write * d) / 1000000), 6) AS cost FROM cl LEFT JOIN pr ON pr.model = cl.model GROUP BY ROLLUP (role)""",
 )
 def j12(v):
-    return A.usage_report(calls(v), F.broadcast(prices(v)))
+    return A.usage_report(calls(v), prices(v))
 
 
 @REG.add(

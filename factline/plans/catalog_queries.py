@@ -125,7 +125,7 @@ def c09(v):
         e.frame.agg(F.count("*").alias("n_rows")).withColumn("entity", F.lit(e.name)) for e in ents
     ]
     fields = catalog(v).describe(v.spark).groupBy("entity").agg(F.count("*").alias("n_fields"))
-    return reduce(DataFrame.unionByName, counts).join(F.broadcast(fields), "entity")
+    return reduce(DataFrame.unionByName, counts).join(fields, "entity")
 
 
 def planned(name: str, q: Query, sql: str):

@@ -69,9 +69,9 @@ def publish(tables: Mapping[str, DataFrame], root: str, note: Mapping[str, Any]
     spark = next(iter(tables.values())).sparkSession
     known = current(spark, root)
     version = known["version"] + 1 if known else 1
-    out = {}
+    folder = f"{root}/{DATA}/{version:010d}-{uuid.uuid4().hex}"
+    out = {name: f"{folder}/{name}" for name in tables}
     for name, df in tables.items():
-        out[name] = f"{root}/{DATA}/{version:010d}-{uuid.uuid4().hex}/{name}"
         df.write.parquet(out[name])
     manifest = {"version": version, "tables": out, "note": dict(note or {})}
     Files(spark, root).create(f"{root}/{MANIFESTS}/{version:010d}.json", json.dumps(manifest))

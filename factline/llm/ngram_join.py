@@ -14,8 +14,9 @@ has a row for each distinct set and a column for each shingle; an entry of the p
   same bounds and once a pair, so no link between components is lost, while a group of thousands of
   near copies costs about one pair a row instead of all its pairs.
 
-Shingles are 64-bit hashes (56 bits where sets are compared); a collision inside one pair is the only
-thing that could change a result.
+Shingles are 64-bit hashes, columns 56 of their bits, and sets are compared by 48, so within a pair a chance
+match of two shingles is one in some million pairs of long texts. A row of the matrix goes by a 64-bit hash of its
+set over the whole corpus: by the birthday bound one in 10**9 sets or so may share it by chance.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factline.llm import common as K
@@ -43,6 +44,8 @@ LEAD = 8
 #: Characters of text whose shingles are held at once, and keys remembered; they change no result.
 AT_ONCE = 1_000_000
 REMEMBERED = 200_000
+#: Bytes of a shingle's hash that sets are compared by.
+KEPT = 6
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LOW56 = np.uint64((1 << 56) - 1)
 
@@ -83,8 +86,8 @@ def shingles(texts: list[str | None], memory: K.WordHash) -> tuple[np.ndarray, n
 def sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
     """How often shingles of each of 2**LOG2_SKETCH classes occur in all texts.
 
-    Every task counts its own texts and sends PARTS packed pieces; pieces are added up in two steps.
-    The table that comes to the driver has the same size for any input.
+    Every task counts its own texts and sends PARTS packed pieces; pieces are added up by sixteen tasks, then
+    by sixteen of those, then all. The table that comes to the driver has the same size for any input.
     """
     width = 1 << LOG2_SKETCH
 
@@ -96,21 +99,32 @@ def sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
                 h, _ = shingles(texts[a:b], memory)
                 total += np.bincount((h >> np.uint64(64 - LOG2_SKETCH)).astype(np.int64), minlength=width)
         if total.any():
-            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(total, PARTS)]
+            parts = [packed(x) for x in np.split(total, PARTS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["counts"])
-        return pd.DataFrame({"part": pdf["part"][:1], "counts": [zlib.compress(total.tobytes(), 1)]})
+        return pd.DataFrame({"part": pdf["part"][:1], "step": pdf["step"][:1], "counts": [packed(sum(map(unpacked, pdf["counts"])))]})
 
-    pieces = docs.select(text).mapInArrow(count, "part int, counts binary").withColumn("step", F.spark_partition_id() % 32)
-    some = pieces.groupBy("part", "step").applyInPandas(lambda pdf: add(pdf[["part", "counts"]]), "part int, counts binary")
+    kind = "part int, step int, counts binary"
+    pieces = docs.select(text).mapInArrow(count, "part int, counts binary").withColumn("step", F.spark_partition_id())
+    for by in (16, 16):
+        pieces = pieces.withColumn("step", F.floor(F.col("step") / by).cast("int")).groupBy("part", "step").applyInPandas(add, kind)
     out = np.zeros(width, np.int64)
-    for r in some.groupBy("part").applyInPandas(add, "part int, counts binary").toLocalIterator():
-        out[r.part * (width // PARTS) : (r.part + 1) * (width // PARTS)] = np.frombuffer(zlib.decompress(r.counts), np.int64)
+    for r in pieces.groupBy("part").applyInPandas(add, kind).toLocalIterator():
+        out[r.part * (width // PARTS) : (r.part + 1) * (width // PARTS)] = unpacked(r.counts)
     return out
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest type that holds them, the type's width first."""
+    narrow = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+    return bytes([narrow.itemsize]) + zlib.compress(narrow.tobytes(), 3)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), f"u{data[0]}").astype(np.int64)
+
+
 def frequency_class(counts: np.ndarray) -> np.ndarray:
     """One of 256 classes of a frequency; higher is more frequent."""
     return np.minimum(8 * np.log2(np.maximum(counts, 1)), 255).astype(np.uint8)
@@ -161,9 +175,11 @@ def rows_of(docs: DataFrame, classes: np.ndarray, text: str) -> DataFrame:
 
 
 def incidence(rows: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(col, salt, node, n, pos) of entries among the first columns, in blocks that more than one node shares.
+    """(col, salt, node, n, pos, head, head_pos, parted) of entries in blocks that more than one node shares.
 
-    Copies within a task are left out before the shuffle, those of other tasks after it.
+    A block's head is the node that has fewest rarer columns than the block's: of near copies of a text,
+    the one with the fewest changes. `parted` says that the column is split over several blocks. Copies
+    within a task are left out before the one shuffle, those of other tasks after it.
     """
     # By class: into how many parts a column of that class is split. 256 numbers.
     splits = [max(1, int(2 ** (c / 8) // BLOCK)) for c in range(256)]
@@ -183,9 +199,11 @@ def incidence(rows: DataFrame, counts: np.ndarray) -> DataFrame:
     entries = rows.where("n > 0").select("node", "n", "prefix").mapInArrow(once, "node long, n long, prefix array<long>")
     entries = entries.select("node", "n", F.posexplode("prefix").alias("pos", "col"))
     entries = entries.withColumn("salt", F.pmod("node", split))
-    block = F.expr("min(node) over (partition by col, salt)"), F.expr("max(node) over (partition by col, salt)")
-    entries = entries.select("col", "salt", "node", F.col("n").cast("int").alias("n"), "pos", block[0].alias("lo"), block[1].alias("hi"), split.alias("split"))
-    return entries.where("lo < hi or split > 1").select("col", "salt", "node", "n", "pos").distinct()
+    block = Window.partitionBy("col", "salt")
+    entries = entries.select("col", "salt", "node", F.col("n").cast("int").alias("n"), "pos", (split > 1).alias("parted"))
+    entries = entries.withColumn("lo", F.min("node").over(block)).withColumn("hi", F.max("node").over(block)).withColumn("first", F.min(F.struct("pos", "node")).over(block))
+    shared = entries.where("lo < hi or parted")
+    return shared.select("col", "salt", "node", "n", "pos", F.col("first.node").alias("head"), F.col("first.pos").alias("head_pos"), "parted").distinct()
 
 
 def needed(na, nb) -> F.Column:
@@ -198,15 +216,25 @@ def possible(na, nb) -> F.Column:
     return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb))
 
 
-def kept_pairs(pairs: DataFrame) -> DataFrame:
-    """(a, b, na, nb, common) of pairs whose size-derived bound can still be reached.
+def lists_of(entries: DataFrame, *more: str) -> DataFrame:
+    """(node, n, s): each node's entries in order, s an array of (pos, col and `more`)."""
+    return entries.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "col", *more))).alias("s"))
+
 
-    `pairs` has a, b, na, nb, pa, pb for each common entry. After the last of them at most
-    min(na - pa, nb - pb) - 1 more columns can be common.
+def kept_pairs(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those that can reach the bound given by their sizes.
+
+    The entries that both lists have in common count; after the last of them at most as many more columns
+    can be common as either row has left.
     """
-    sums = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    return sums.where(F.col("common") + left >= needed(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb", "common")
+    of = lambda side: lists.select(
+        F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("s.col").alias(f"c{side}"), F.col("s.pos").alias(f"p{side}")
+    )
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where(possible(F.col("na"), F.col("nb"))).withColumn("shared", F.array_intersect("ca", "cb"))
+    last = lambda side: F.get(f"p{side}", (F.array_position(f"c{side}", F.element_at("shared", -1)) - 1).cast("int"))
+    left = F.least(F.col("na") - last("a"), F.col("nb") - last("b")) - 1
+    enough = F.size("shared") + left >= needed(F.col("na"), F.col("nb"))
+    return both.where((F.size("shared") > 0) & enough).select("a", "b")
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, pairs: DataFrame, classes: np.ndarray, text: str) -> DataFrame:
@@ -230,7 +258,7 @@ def sets_of(docs: DataFrame, rows: DataFrame, pairs: DataFrame, classes: np.ndar
             for a, b in K.chunks(texts, AT_ONCE):
                 sets = ordered_sets(texts[a:b], classes, memory)
                 ids = [node_of(s) if len(s) else None for s in sets]
-                packed = [s.view(np.uint8).reshape(-1, 8)[:, :7].tobytes() for s in sets]
+                packed = [s.view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["node", "set"])
 
     again = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col(text)).alias("key"), F.col(text).alias("text")).where("text is not null")
@@ -243,10 +271,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     @F.pandas_udf("boolean")
     def links(x: pd.Series, y: pd.Series) -> pd.Series:
         def one(p: bytes, q: bytes) -> bool:
-            na, nb = len(p) // 7, len(q) // 7
+            na, nb = len(p) // KEPT, len(q) // KEPT
             u = np.zeros((na + nb, 8), np.uint8)
-            u[:na, :7] = np.frombuffer(p, np.uint8).reshape(-1, 7)
-            u[na:, :7] = np.frombuffer(q, np.uint8).reshape(-1, 7)
+            u[:na, :KEPT] = np.frombuffer(p, np.uint8).reshape(-1, KEPT)
+            u[na:, :KEPT] = np.frombuffer(q, np.uint8).reshape(-1, KEPT)
             v = np.sort(u.view(np.uint64).ravel())
             common = int((v[1:] == v[:-1]).sum())
             return 100 * common >= 75 * (na + nb - common)
@@ -260,28 +288,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def star_links(entries: DataFrame) -> DataFrame:
     """Each node with the one partner, among the heads of its blocks, that shares most entries.
 
-    A block's head is the node that has fewest rarer columns than the block's: of near copies of a text,
-    the one with the fewest changes. Nodes of the head's component have nothing to ask it. Of
-    these pairs, those that can reach their bound.
+    Of these pairs, those that can reach their bound.
     """
-    head = entries.groupBy("col", "salt").agg(F.min(F.struct("pos", "node", "comp")).alias("h"))
-    head = head.select("col", "salt", "h", F.col("h.node").alias("head"), F.col("h.comp").alias("head_comp"))
     # A split column's parts are tied by the head of the whole column.
-    parts = head.groupBy("col").agg(F.min("h").alias("w"), F.count("*").alias("parts")).where("parts > 1")
-    tied = head.join(parts, "col").where("head_comp <> w.comp").select(F.col("head").alias("a"), F.col("w.node").alias("b"))
-    met = entries.select("col", "salt", "node", "comp").join(head.drop("h"), ["col", "salt"]).where("comp <> head_comp")
-    counts = met.select(F.col("node").alias("a"), F.col("head").alias("b")).union(tied).groupBy("a", "b").agg(F.count("*").alias("common"))
+    heads = entries.where("parted").select("col", "salt", F.struct("head_pos", "head").alias("h")).distinct()
+    whole = heads.groupBy("col").agg(F.min("h").alias("w"))
+    tied = heads.join(whole, "col").where("h.head <> w.head").select(F.col("h.head").alias("a"), F.col("w.head").alias("b"))
+    met = entries.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    counts = met.union(tied).groupBy("a", "b").agg(F.count("*").alias("common"))
     best = scratch.written(counts.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b")), "partners")
-    # The entries that partners have in common, in whatever block.
-    own = entries.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "col").join(best, "a")
-    other = entries.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "col")
-    pairs = own.join(other, ["b", "col"]).where(possible(F.col("na"), F.col("nb")))
-    return scratch.written(kept_pairs(pairs).select("a", "b"), "star-links")
+    return scratch.written(kept_pairs(best, scratch.written(lists_of(entries), "lists")), "star-links")
 
 
 def mixed_columns(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries of columns that several components share, with `comp` and the head's component `main`."""
-    own = entries.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    own = entries.select("col", "node", "n", "pos").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     main = own.groupBy("col").agg(F.min_by("comp", F.struct("pos", "node")).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     return scratch.written(own.join(main.where("lo < hi").select("col", "main"), "col"), "mixed-columns")
 
@@ -294,9 +315,8 @@ def other_links(mixed: DataFrame) -> DataFrame:
     else at every column in common, and once more is taken as once. Each pair's whole lists of
     columns are then fetched one time, for its count and what can still follow the last one.
     """
-    listed = mixed.groupBy("node", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("pos", "col", "main"))).alias("s"))
-    listed = scratch.written(listed, "column-lists")
-    entries = listed.select("node", "n", "comp", F.slice("s.col", 1, LEAD).alias("lead"), F.inline("s"))
+    listed = scratch.written(lists_of(mixed, "comp", "main"), "column-lists")
+    entries = listed.select("node", "n", F.slice("s.col", 1, LEAD).alias("lead"), F.inline("s"))
     # Members of a column's main component have nothing to ask each other.
     a, b = entries.where("comp <> main").alias("a"), entries.alias("b")
     x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
@@ -307,14 +327,7 @@ def other_links(mixed: DataFrame) -> DataFrame:
     met = a.join(b, (x("col") == y("col")) & apart & possible(x("n"), y("n")) & reach & here)
     pairs = met.select(F.least(x("node"), y("node")).alias("a"), F.greatest(x("node"), y("node")).alias("b")).distinct()
     pairs = scratch.written(pairs, "candidates")
-    of = lambda side: listed.select(
-        F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("s.col").alias(f"c{side}"), F.col("s.pos").alias(f"p{side}")
-    )
-    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("shared", F.array_intersect("ca", "cb"))
-    last = lambda side: F.get(f"p{side}", (F.array_position(f"c{side}", F.element_at("shared", -1)) - 1).cast("int"))
-    # After the last column in common at most this many more can be.
-    left = F.least(F.col("na") - last("a"), F.col("nb") - last("b")) - 1
-    return scratch.written(both.where(F.size("shared") + left >= needed(F.col("na"), F.col("nb"))).select("a", "b"), "other-links")
+    return scratch.written(kept_pairs(pairs, listed), "other-links")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -330,7 +343,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = scratch.written(rows_of(docs, classes, text), "shingle-rows")
     entries = scratch.written(incidence(rows, classes), "incidence")
     check = lambda pairs: scratch.written(verified(pairs, sets_of(docs, rows, pairs, classes, text)), "links")
-    links = check(star_links(entries.withColumn("comp", F.col("node"))))
+    links = check(star_links(entries))
     labels = K.components(links)
     more = check(other_links(mixed_columns(entries, labels)))
     if not more.isEmpty():

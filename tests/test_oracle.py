@@ -16,7 +16,8 @@ SOME = [
     "d14_team_state", "d23_money_text", "e06_best_allowance", "e16_trade_eligibility",
     "f02_trade_errors", "f19_tradeable_years", "g01_parse_legs", "h05_unit_spans", "h11_chunk",
     "i03_bm25", "j01_audit_figures", "j12_usage_report", "j16_flatten_spans", "k01_rate_limit",
-    "k02_capped_admission", "k05_usage_stream",
+    "k02_capped_admission", "k05_usage_stream", "a06_extract_tables", "a16_publish", "f04_post_salary", "g10_score", "h04_locate_units",
+    "h06_number_units", "h15_definition_names", "h16_terms_in", "h17_relevant_definitions", "i04_search", "i07_retrieve", "i14_named_lookup",
 ]
 
 

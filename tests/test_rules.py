@@ -132,3 +132,36 @@ def test_gap_rule_on_every_pattern(spark):
             if held:
                 q = [*p[:y], False, *p[y + 1 :]]
                 assert got[(t, 2027 + y)] == all(q[i] or q[i + 1] for i in range(len(q) - 1))
+
+
+def test_known_team_without_contracts_stands_at_zero(spark):
+    """A team that is known but holds nothing has a position; a leg of any other team fails the job."""
+    from factline.operators import position, trades
+
+    season = [(1999, "1999-2000", 100, 120, 130, 140)]
+    seasons = spark.createDataFrame(season, "season long, season_id string, salary_cap long, tax_level long, first_apron long, second_apron long")
+    ledger = spark.createDataFrame([(1, 1999, "contract", 70, None, None)], "team long, season long, kind string, amount long, label string, offer long")
+    ceilings = spark.createDataFrame([], "team long, season long, level string, category string, detail string")
+    teams = spark.createDataFrame([(1,), (2,)], "team long")
+    states = position.team_state(position.with_known_teams(ledger, teams, 1999, 1999), seasons, ceilings)
+    assert {r.team: (r.apron_salary, r.standard_count, r.status) for r in states.collect()} == {1: (70, 1, "room"), 2: (0, 0, "room")}
+    legs = "trade_id long, team long, season long, outgoing long, incoming long"
+    found = trades.leg_states(spark.createDataFrame([(7, 1, 1999, 10, 5), (7, 2, 1999, 5, 10)], legs), states, 1)
+    assert {r.team: r.post_salary for r in found.collect()} == {1: 65, 2: 5}
+    with pytest.raises(Exception, match="no team 3"):
+        trades.leg_states(spark.createDataFrame([(8, 3, 1999, 1, 1)], legs), states, 1).collect()
+
+
+def test_a_mutant_that_is_still_legal_is_missed(spark):
+    from factline.operators import corpus
+
+    legs = spark.createDataFrame([(1, 1, 100, 90, 150), (1, 2, 90, 100, 150)], "trade_id long, team long, outgoing long, incoming long, capacity long")
+    made = [(1, 1, 100, 150, "inflate_incoming", 999), (1, 1, 100, 150, "just_over_the_band", 150), (1, 2, 90, 150, "unbalance", 100), (1, 2, 90, 150, "unbalance", 107)]
+    mutants = spark.createDataFrame(made, "trade_id long, team long, outgoing long, capacity long, kind string, mutated long")
+    got = {(r.kind, r.mutated): (r.code, r.detected, r.right_reason) for r in corpus.detect(mutants, legs).collect()}
+    assert got == {
+        ("inflate_incoming", 999): ("no_exception_available", True, True),
+        ("just_over_the_band", 150): (None, False, False),
+        ("unbalance", 100): (None, False, False),
+        ("unbalance", 107): ("unbalanced", True, True),
+    }

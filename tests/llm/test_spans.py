@@ -100,3 +100,30 @@ def test_matches_are_placed_in_code_points(spark):
 
     df = spark.createDataFrame([("😀 a1 é b22",)], ["x"]).select(spans.matches(F.col("x"), "[a-z][0-9]+").alias("m"))
     assert [(r.s, r.e, r.m) for r in df.first().m] == [(2, 4, "a1"), (7, 10, "b22")]
+
+
+def test_bootstrapping_goes_on_while_it_learns(spark):
+    """Seeds teach a first context, what stands there a second, and so a third; one round each."""
+    texts = [f"write to mail user{c}@host{c}.org" for c in range(300)]
+    texts += [t for c in range(30) for t in (f"write to mail q{c:02d}x77", f"ticket opened by q{c:02d}x77")]
+    texts += [t for c in range(8) for t in (f"ticket opened by 88-{c}-zz9", f"parcel signed for 88-{c}-zz9")]
+    texts += ["parcel signed for K1K1K1", "something else K2K2K2"]
+    rows = [(i, t, "", "", "") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.spans for r in span_report(pii.extract(spark.createDataFrame(rows, DOCS)), pii.KINDS, 4).collect()}
+    assert got[300] == "email:14:20" and got[361].startswith("email:18:")
+    assert got[len(texts) - 2] == "email:18:24" and got[len(texts) - 1] == ""
+
+
+def test_many_matches_and_spans_of_one_text(spark):
+    from factline.llm import spans
+
+    n = 20_000
+    text = " ".join(f"{k:05d}{'@' if k % 3 == 0 else ''}" for k in range(n))
+    df = spark.createDataFrame([(text,)], ["x"]).select(
+        spans.matches(F.col("x"), "[0-9]+@?").alias("m"),
+        spans.free(spans.of_kind(spans.matches(F.col("x"), "[0-9]+"), 1), spans.of_kind(spans.matches(F.col("x"), "[0-9]@"), 0)).alias("f"),
+    )
+    r = df.first()
+    want = [(m.start(), m.end()) for m in re.finditer("[0-9]+@?", text)]
+    assert [(x.s, x.e) for x in r.m] == want
+    assert [(x.s, x.e) for x in r.f] == [p for k, p in enumerate(want) if k % 3]

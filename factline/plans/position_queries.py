@@ -206,8 +206,10 @@ def d17(v):
  LEFT JOIN (SELECT team, season, CAST(sum(total) AS BIGINT) AS total FROM ({LATER}) WHERE "column" <= 4 GROUP BY ALL) l ON l.team = p.team AND l.season = p.season""",
 )
 def d18(v):
+    # Everything here is summed by team: figures move once a branch, and sums and joins stay where they are.
+    contracts = v.contracts("team")
     return pos.cap_sheet(
-        v.positions, pos.cap_sheet_lines(v.ledger), v.exceptions, pos.later_totals(v.years)
+        v.positions, pos.cap_sheet_lines(v.ledger_of(contracts)), v.exceptions, pos.later_totals(v.years_of(contracts))
     ).select(
         "team", "season", "status", "cap_salary", "apron_salary", "ceiling_room", "n_contract",
         "n_dead", "n_hold", "n_exceptions", "later_total", "warnings",

@@ -2,6 +2,8 @@
 
 import re
 
+from factline.operators import ingest
+
 
 def moved(df):
     """The columns below every exchange of a plan."""
@@ -9,6 +11,11 @@ def moved(df):
     return [lines[i + 1] for i, x in enumerate(lines) if re.search(r"\bExchange (hash|range)", x)]
 
 
+def reads(df, column):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return len(re.findall(rf"LogicalRDD \[[^\]]*{column}#", plan)) + len(re.findall(rf"LocalRelation \[[^\]]*{column}#", plan))
+
+
 def test_contracts_move_without_their_ids(spark, views):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -23,3 +30,37 @@ def test_contracts_move_without_their_ids(spark, views):
 def test_positions_are_summed_where_figures_are_dealt(views):
     plan = views.positions._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"hashpartitioning\(team#\d+L, \d+\), REPARTITION_BY_COL", plan)) == 1
+
+
+def plain_merge(listed, payroll, season):
+    out = []
+    for p, t, s, x in listed:
+        own = [y for q, u, y in payroll if (q, u) == (p, t) and p is not None]
+        now = [z for q, u, r, z in listed if (q, u) == (p, t) and r == season and z not in (0, None)]
+        for paid in own or [None]:
+            if now and paid is None:
+                what = "dropped"
+            elif s != season or paid is None:
+                what = "kept"
+            else:
+                what = "confirmed" if x == paid else "overruled"
+            out.append((p, t, s, paid if s == season and paid is not None else x, x, what))
+    for p, t, y in payroll:
+        years = [r for q, u, r, _ in listed if (q, u) == (p, t) and p is not None]
+        if season not in years:
+            out.append((p, t, season, y, None, "added" if years else "payroll_only"))
+    return out
+
+
+def test_merge_of_odd_rows_reads_years_once(spark):
+    listed = [
+        (1, 1, 5, 10), (1, 1, 6, 11), (2, 1, 5, 0), (2, 1, 4, 3), (3, 1, 4, 7), (3, 1, 4, 7), (3, 2, 5, 9), (4, 1, 5, 8), (None, 1, 5, 4), (None, 1, 6, 4),
+        (5, 1, 3, 2), (5, 1, 7, 2), (6, 1, 5, None),
+    ]
+    payroll = [(1, 1, 10), (2, 1, 6), (3, 1, 5), (3, 1, 6), (4, 1, 9), (7, 1, 1), (None, 1, 4), (5, 1, None)]
+    a = spark.createDataFrame(listed, "player long, team long, season long, salary long")
+    b = spark.createDataFrame(payroll, "player long, team long, amount long")
+    got = ingest.merge_payroll(a, b, 5)
+    order = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(plain_merge(listed, payroll, 5), key=order)
+    assert reads(got, "season") == 1

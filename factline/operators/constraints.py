@@ -150,8 +150,18 @@ def pick_conveys(picks: DataFrame, slots: DataFrame, protections: DataFrame) ->
 # -- players ---------------------------------------------------------------
 
 
-def _under_contract(asked: DataFrame, held: DataFrame) -> DataFrame:
-    return asked.join(held, ["team", "season", "player"], "left")
+def under_contract(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """Questions with the contract each is about, and whether there is one: what the reports below have in common."""
+    return asked.join(held, ["team", "season", "player"], "left").withColumn("known", F.col("contract_id").isNotNull())
+
+
+def _all_of(asked: DataFrame, held: DataFrame | None) -> DataFrame:
+    """Every question; without `held`, `asked` is what `under_contract` gives."""
+    return asked if held is None else under_contract(asked, held)
+
+
+def _known_of(asked: DataFrame, held: DataFrame | None) -> DataFrame:
+    return asked.where("known") if held is None else asked.join(held, ["team", "season", "player"])
 
 
 def restrictions(asked: DataFrame, limits: DataFrame, on: Column) -> DataFrame:
@@ -167,28 +177,28 @@ def restrictions(asked: DataFrame, limits: DataFrame, on: Column) -> DataFrame:
     )
 
 
-def player_terms(asked: DataFrame, held: DataFrame) -> DataFrame:
+def player_terms(asked: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """Unknown player, unknown kicker or known kicker."""
-    q = _under_contract(asked, held)
+    q = _all_of(asked, held)
     kind = (
-        F.when(F.col("contract_id").isNull(), "unknown_player")
+        F.when(~F.col("known"), "unknown_player")
         .when(F.col("kicker_state") == "unknown", "unknown_trade_kicker")
         .when(F.col("kicker_state") == "known", "trade_kicker")
     )
-    return _rows(q.where(kind.isNotNull()), kind, None, F.col("contract_id").isNull(), True)
+    return _rows(q.where(kind.isNotNull()), kind, None, ~F.col("known"), True)
 
 
-def no_trade_clause(asked: DataFrame, held: DataFrame) -> DataFrame:
-    q = asked.join(held, ["team", "season", "player"]).where("ntc_state <> 'absent'")
+def no_trade_clause(asked: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    q = _known_of(asked, held).where("ntc_state <> 'absent'")
     known = F.col("ntc_state") == "known"
     return _rows(
         q, F.when(known, "no_trade_clause").otherwise("unknown_no_trade_clause"), None, known, True
     )
 
 
-def trade_window(asked: DataFrame, held: DataFrame, on: Column) -> DataFrame:
+def trade_window(asked: DataFrame, held: DataFrame | None, on: Column) -> DataFrame:
     """Whether a waiting period is still running; no signing date means it cannot be told."""
-    q = _under_contract(asked, held).withColumn("when", on)
+    q = _all_of(asked, held).withColumn("when", on)
     rookie = F.col("contract_type").isin("rookie_first_round", "rookie_second_round")
     e = R.trade_eligibility(
         F.col("when"), F.col("signed_date"), F.lit(False), F.lit(False), rookie,
@@ -203,9 +213,9 @@ def trade_window(asked: DataFrame, held: DataFrame, on: Column) -> DataFrame:
     return _rows(q.withColumn("e", e), kind, None, ~undated & ~F.col("e.tradeable"), True)
 
 
-def capacity(asked: DataFrame, held: DataFrame, positions: DataFrame, base_cap: int) -> DataFrame:
+def capacity(asked: DataFrame, held: DataFrame | None, positions: DataFrame, base_cap: int) -> DataFrame:
     """How much the team could take back for this player alone."""
-    q = asked.join(held, ["team", "season", "player"]).join(positions, ["team", "season"])
+    q = _known_of(asked, held).join(positions, ["team", "season"])
     cush = R.cushion(F.col("apron_salary"), F.col("first_apron"))
     value = F.greatest(
         R.allow_standard(F.col("cap_figure"), cush),

@@ -9,6 +9,7 @@ from factline.operators import constraints as con
 from factline.operators import trades
 from factline.plans.registry import Registry
 from factline.plans.views import BASE_CAP, RULES
+from factline.sources import scratch
 
 REG = Registry()
 C = F.col
@@ -275,19 +276,21 @@ def f24(v):
     + ") GROUP BY team, season",
 )
 def f25(v):
-    v.keep("positions", "asked", "held")
-    asked, held, positions = v.of("asked"), v.of("held"), v.of("positions")
+    v.keep("positions")
+    positions = v.of("positions")
+    # Questions meet contracts once; the reports read that, where only whether there is a contract counts, not its id.
+    asked = scratch.written(con.under_contract(v.asked, v.held).drop("contract_id"), "asked")
     return con.summary(
         con.report(
             [
                 con.hard_cap(positions, v.ceilings),
                 con.restrictions(asked, v.restrictions, december()),
-                con.player_terms(asked, held),
+                con.player_terms(asked),
                 con.apron_rows(positions, RULES),
                 con.roster(positions, RULES),
-                con.trade_window(asked, held, december()),
-                con.no_trade_clause(asked, held),
-                con.capacity(asked, held, positions, BASE_CAP),
+                con.trade_window(asked, None, december()),
+                con.no_trade_clause(asked),
+                con.capacity(asked, None, positions, BASE_CAP),
             ]
         )
     )

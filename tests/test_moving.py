@@ -2,6 +2,9 @@
 
 import re
 
+from pyspark.sql import functions as F
+
+from factline.operators import constraints as con
 from factline.operators import ingest
 
 
@@ -64,3 +67,20 @@ def test_merge_of_odd_rows_reads_years_once(spark):
     order = lambda r: tuple((x is not None, x) for x in r)
     assert sorted(map(tuple, got.collect()), key=order) == sorted(plain_merge(listed, payroll, 5), key=order)
     assert reads(got, "season") == 1
+
+
+def test_reports_read_questions_and_contracts_joined_once(spark):
+    asked = spark.createDataFrame([(1, 1, 1), (1, 1, 2), (2, 1, 3)], "team long, season long, player long")
+    held = spark.createDataFrame(
+        [(1, 1, 1, "a", 5, "unknown", "known", "sign_and_trade"), (2, 1, 3, "b", 6, "known", "unknown", "unknown")],
+        "team long, season long, player long, contract_id string, cap_figure long, kicker_state string, ntc_state string, contract_type string",
+    ).withColumn("signed_date", F.when(F.col("team") == 1, F.lit("2000-01-01").cast("date")))
+    positions = spark.createDataFrame([(1, 1, 5, 9, 7), (2, 1, 9, 5, 7)], "team long, season long, apron_salary long, first_apron long, salary_cap long")
+    on, joined = F.lit("2000-12-01").cast("date"), con.under_contract(asked, held).drop("contract_id")
+    for two, one in (
+        (con.player_terms(asked, held), con.player_terms(joined)),
+        (con.no_trade_clause(asked, held), con.no_trade_clause(joined)),
+        (con.trade_window(asked, held, on), con.trade_window(joined, None, on)),
+        (con.capacity(asked, held, positions, 7), con.capacity(joined, None, positions, 7)),
+    ):
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.count() > 0

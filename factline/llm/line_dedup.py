@@ -44,8 +44,9 @@ def occurrences(m, part: str) -> F.Column:
 
 def lines(docs: DataFrame, text: str) -> DataFrame:
     """(key, line, m, words): the lines that may be templates; `key` stands for id and text, `m` is masked."""
-    rows = docs.select(F.xxhash64(F.col("doc_id"), F.col(text)).alias("key"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "raw"))
-    rows = rows.select("key", "line", masked(F.col("raw")).alias("m"))
+    # Masked before they become rows: a filter on a column of rows would mask them once more.
+    every = F.transform(F.split(F.col(text), "\n"), masked)
+    rows = docs.select(F.xxhash64(F.col("doc_id"), F.col(text)).alias("key"), F.posexplode(every).alias("line", "m"))
     return rows.withColumn("words", (occurrences(F.col("m"), " ") + 1).cast("int")).where(F.col("words") >= MIN_WORDS)
 
 

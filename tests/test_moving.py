@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from factline.operators import constraints as con
-from factline.operators import ingest
+from factline.operators import documents, ingest
 
 
 def moved(df):
@@ -84,3 +84,17 @@ def test_reports_read_questions_and_contracts_joined_once(spark):
         (con.capacity(asked, held, positions, 7), con.capacity(joined, None, positions, 7)),
     ):
         assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.count() > 0
+
+
+def test_preambles_end_where_the_fold_says(spark):
+    levels = [1, 2, 4, 3, 3, 4, 2, 3, 5, 5, 4, 2, 2, 4, 4, 3]
+    rows = [(1, i, n, f"h{i}", 10 * i, 1000) for i, n in enumerate(levels)] + [(2, 0, 1, "x", 0, 9)]
+    units = documents.outline(spark.createDataFrame(rows, "doc_id long, idx long, level int, title string, start long, doc_end long"))
+    got = units.collect()
+    for u in got:
+        inner = [x.start for x in got if x.doc_id == u.doc_id and x.is_child and x.parent == u.idx]
+        assert u.first_child == (min(inner) if inner else None)
+    marked = units.withColumn("is_section", F.col("level") == 2).withColumn("section_level", F.when(F.col("idx") > 0, 2))
+    spans = documents.chunk_spans(marked, 25)
+    assert "Join" not in spans._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.idx, r.end) for r in spans.orderBy("idx").collect()][:3] == [(1, 30), (3, 40), (4, 60)]

@@ -29,13 +29,15 @@ SIMILAR = 0.6
 VARIABLE = "<*>"
 
 
-def masked(line) -> F.Column:
-    """A line's words with one space between them, those with a digit as the variable."""
-    odd = F.contains(line, F.lit("  "))
+def masked(text) -> F.Column:
+    """A text's lines, each of words with one space between them, those with a digit as the variable."""
+    odd = F.contains(text, F.lit("  "))
     for c in "\t\r\f\x0b":
-        odd = odd | F.contains(line, F.lit(c))
-    spaced = F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\r\f\x0B]+", " ")).otherwise(line))
-    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", VARIABLE)).otherwise(spaced)
+        odd = odd | F.contains(text, F.lit(c))
+    spaced = F.when(odd, F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")).otherwise(text)
+    # Functions of a line are evaluated as often as they are named, so white space is settled before, on the whole text.
+    digits = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", VARIABLE)).otherwise(x)
+    return F.transform(F.split(spaced, "\n"), lambda x: F.trim(digits(x)))
 
 
 def occurrences(m, part: str) -> F.Column:
@@ -45,8 +47,7 @@ def occurrences(m, part: str) -> F.Column:
 def lines(docs: DataFrame, text: str) -> DataFrame:
     """(key, line, m, words): the lines that may be templates; `key` stands for id and text, `m` is masked."""
     # Masked before they become rows: a filter on a column of rows would mask them once more.
-    every = F.transform(F.split(F.col(text), "\n"), masked)
-    rows = docs.select(F.xxhash64(F.col("doc_id"), F.col(text)).alias("key"), F.posexplode(every).alias("line", "m"))
+    rows = docs.select(F.xxhash64(F.col("doc_id"), F.col(text)).alias("key"), F.posexplode(masked(F.col(text))).alias("line", "m"))
     return rows.withColumn("words", (occurrences(F.col("m"), " ") + 1).cast("int")).where(F.col("words") >= MIN_WORDS)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factline.functions import constants as K
@@ -96,14 +97,15 @@ def build_cases(parsed: DataFrame, min_season: str) -> DataFrame:
     dated = parsed.where("date is not null").withColumn(
         "season_id", R.season_id_of(start.cast("bigint"))
     ).where(F.col("season_id") >= min_season)
-    cases = dated.groupBy("trade_id").agg(
-        F.count("*").alias("n_legs"),
-        F.sum("incoming").cast("bigint").alias("total_in"),
-        F.sum("outgoing").cast("bigint").alias("total_out"),
-    )
-    return dated.join(cases, "trade_id").withColumn(
-        "balanced", F.col("total_in") == F.col("total_out")
-    )
+    # Sums stand beside the legs, which move once.
+    trade = W.partitionBy("trade_id")
+    return dated.where("trade_id is not null").withColumns(
+        {
+            "n_legs": F.count("*").over(trade),
+            "total_in": F.sum("incoming").over(trade).cast("bigint"),
+            "total_out": F.sum("outgoing").over(trade).cast("bigint"),
+        }
+    ).withColumn("balanced", F.col("total_in") == F.col("total_out"))
 
 
 def reconstruct_outgoing(cases: DataFrame, blocks: DataFrame, code_of: Column) -> DataFrame:

@@ -17,7 +17,7 @@ CODE = r"T\d+"
 
 def text(v):
     """The corpus as it would be read from files: written once, then parsed."""
-    v.keep("valid_moves", "leg_text")
+    v.keep("leg_text")
     return v.of("leg_text")
 
 

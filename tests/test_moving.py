@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from factline.operators import constraints as con
-from factline.operators import documents, ingest
+from factline.operators import documents, ingest, trades
 
 
 def moved(df):
@@ -98,3 +98,44 @@ def test_preambles_end_where_the_fold_says(spark):
     spans = documents.chunk_spans(marked, 25)
     assert "Join" not in spans._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.idx, r.end) for r in spans.orderBy("idx").collect()][:3] == [(1, 30), (3, 40), (4, 60)]
+
+
+def test_trades_move_once_as_figures(spark, views):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = views.leg_text._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2  # lines and orders
+        assert "concat_ws" not in plan.split("Exchange hashpartitioning", 1)[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_errors_beside_moves_equal_those_of_trades(spark):
+    rows = [
+        (1, 1, 2, 7), (1, 2, 1, 8), (2, 1, 1, 7), (3, 1, 1, 7), (3, 1, 2, 8), (4, 1, 2, 7), (4, 2, 1, 7), (5, None, 2, 1), (5, 2, None, None),
+        (None, 1, 2, 3), (6, None, None, 1),
+    ]
+    moves = spark.createDataFrame(rows, "trade_id long, from_team long, to_team long, player long")
+    for most in (None, 1):
+        want = {r.trade_id: r.error for r in trades.trade_errors(moves, most).collect()}
+        got = trades.with_trade_errors(moves, most).collect()
+        assert len(got) == 10 and all(r.error == want[r.trade_id] for r in got)
+    assert {e for e in want.values()} >= {"too_many_moves", "one_team"}
+
+
+def test_texts_of_a_trade_with_two_dates(spark):
+    from factline.plans.views import Views
+
+    rows = [
+        (1, "c2", 11, 1, 2, 2000), (1, "c1", 10, 1, 2, 1000), (1, "c3", 12, 2, 1, 1500), (1, "c4", 13, 3, 2, 9),
+    ]
+    moves = spark.createDataFrame(rows, "trade_id long, contract_id string, player long, from_team long, to_team long, amount long")
+    dates = spark.createDataFrame([(1, 1995, "1995-11-01"), (1, 1997, "1997-11-01")], "trade_id long, season long, d string")
+    dated = moves.join(dates, "trade_id").withColumn("trade_date", F.col("d").cast("date")).withColumn("kicker_state", F.lit("absent")).withColumn("pct", F.lit(0.0))
+    v = Views(spark, "unused")
+    v._kept["valid_moves"] = dated
+    got = {(r.team, str(r.date)): r.detail for r in v.leg_text.collect()}
+    head = "From T1: · $1,000 · $1,000 · $2,000 · $2,000 From T3: · $9 · $9 2027 1st round pick Cap Hit Sum: $3,009 Cap Hit Change: +$1,509 Cash: $600"
+    assert got[2, "1995-11-01"] == got[2, "1997-11-01"] == head
+    assert got[3, "1995-11-01"] == "Cap Hit Sum: $0 Cap Hit Change: -$9 Cash: $109 Trade Exceptions Generated: 1"
+    assert len(got) == 6

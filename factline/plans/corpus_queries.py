@@ -33,10 +33,14 @@ def sent(v, built=None):
     )
 
 
+#: What checks, mutants and scores read of a case; other facts of a text don't move with it.
+READ = ("trade_id", "team", "season_id", "incoming", "outgoing", "n_legs", "balanced")
+
+
 def legs(v):
     """Every leg with its capacity. Cases, what was sent, and the result are each read by
     several branches, so each is written once."""
-    built = scratch.written(cases(v), "cases")
+    built = scratch.written(cases(v).select(*READ), "cases")
     moved = scratch.written(sent(v, built), "sent")
     full = G.with_capacity(built, moved, v.seasons, BASE_CAP)
     return scratch.written(full, "corpus-legs")

@@ -68,31 +68,17 @@ def audit_figures(answers: DataFrame, known: DataFrame) -> DataFrame:
     """Figures of an answer that nothing it had contains, by digits alone; counts and spans of
     one or two digits aside.
 
-    Equality settles most. What is left is looked up by its first three digits among the known
-    figures of the same answer that contain them.
+    Known figures and stated ones move once, by answer, and are compared there: an answer is one text, so what it
+    states is bounded by a row, however much is known.
     """
     stated = (
         answers.select("aid", F.posexplode(X.figures_in(F.col("text"))).alias("pos", "figure"))
         .withColumn("digits", digits(F.col("figure")))
         .where(F.length("digits") > 2)
     )
-    have = known.select("aid", "digits").distinct()
-    rest = stated.join(have, ["aid", "digits"], "left_anti").withColumn("gram", F.substr("digits", F.lit(1), F.lit(3)))
-    grams = have.where(F.length("digits") >= 3).select(
-        "aid",
-        F.col("digits").alias("candidate"),
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.length("digits") - 2),
-                    lambda i: F.substr(F.col("digits"), i, F.lit(3)),
-                )
-            )
-        ).alias("gram"),
-    )
-    g = grams.withColumnRenamed("aid", "g_aid").withColumnRenamed("gram", "g_gram")
-    inside = (rest["aid"] == g["g_aid"]) & (rest["gram"] == g["g_gram"]) & F.contains(g["candidate"], rest["digits"])
-    return rest.join(g, inside, "left_anti").select("aid", "pos", "figure")
+    have = known.where(F.length("digits") > 2).select(F.col("aid").alias("k_aid"), F.col("digits").alias("known"))
+    inside = (stated["aid"] == have["k_aid"]) & F.contains(have["known"], stated["digits"])
+    return stated.join(have, inside, "left_anti").select("aid", "pos", "figure")
 
 
 def figure_links(answers: DataFrame, results: DataFrame) -> DataFrame:

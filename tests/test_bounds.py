@@ -86,3 +86,11 @@ def test_values_are_compared_by_sort(spark):
     assert not matching.results_equal(a, spark.createDataFrame([("∅", 1)], "x string, y long")).first().equal
     assert matching.results_equal(a, spark.createDataFrame([(1.0, None)], "p double, q string")).first().equal
     assert not matching.results_equal(a, spark.createDataFrame([("1", None)], "p string, q string")).first().equal
+
+
+def test_figures_move_once_to_their_answer(spark):
+    answers = spark.createDataFrame([(1, "it is $1,234 or 55,000 or 12% or 777.5%"), (2, "$1,234"), (None, "$9,999")], "aid long, text string")
+    known = spark.createDataFrame([(1, "912349"), (1, "912349"), (1, "5500"), (1, "12"), (3, "1234"), (None, "9999")], "aid long, digits string")
+    out = audit.audit_figures(answers, known)
+    assert "gram" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.aid or 0, r.pos, r.figure) for r in out.collect()) == [(0, 0, "$9,999"), (1, 1, "55,000"), (1, 3, "777.5%"), (2, 0, "$1,234")]

@@ -4,8 +4,10 @@ Vectors of one label and dimension are dealt to cells around pivots, the top lev
 cell has a covering radius. Cells, cut into blocks of bounded size, get nested levels of centres
 with halving radii. Pairs of cells, then pairs of nodes, are pruned when their centres are farther
 apart than both covering radii and the distance of the threshold together, so pairs found are exactly
-those with cosine >= 0.93. Links are counted where they are found; only sums by vector and one
-edge a vector leave a task, never the pairs of a group.
+those with cosine >= 0.93. Vectors move twice, to their equals and to their block. Pairs of blocks are
+read from the written blocks, a partition beside a partition, so nothing that is made grows with their
+number. Links are counted where they are found; only sums by vector and one edge a vector leave a
+task, never the pairs of a group.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factline.llm import common as K
 from factline.sources import scratch
@@ -25,6 +28,8 @@ BLOCK = 512
 PIVOTS = 64
 #: Rounding of double distances; far above it, and without effect on results (cosines are checked exactly).
 SLACK = 1e-7
+#: Blocks whose trees a task remembers, by their bytes, and sums by vector that it gathers before it adds them up.
+TREE_BYTES, SUMS = 64_000_000, 1_000_000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -115,8 +120,13 @@ def joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def matrix(blobs, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.float64).reshape(-1, dim)
+def summed(node: np.ndarray, links: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row a node: its links together, and one node of its component by the edges (node, root)."""
+    ids, at = np.unique(np.concatenate([node, root]), return_inverse=True)
+    count = np.bincount(at[: len(node)], links, len(ids))
+    label = joined(len(ids), at[: len(node)], at[len(node) :])
+    hit = np.flatnonzero(count)
+    return ids[hit], count[hit].astype(np.int64), ids[label[hit]]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -129,47 +139,62 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """
     # Equal vectors get one node; ids of the input are kept by node.
     e = F.transform("embedding", lambda x: x.cast("double"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), e.alias("e"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").alias("own"), e.alias("e"))
     fine = F.col("label").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0)
     fine = fine & ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("e", lambda x: x != 0)
     rows = rows.withColumn("node", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64("label", "e")))
-    rows = scratch.written(rows, "vectors")
-    ids = rows.select("vec_id", "node")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("e").alias("e"), F.count("*").alias("weight"))
+    ids = scratch.written(rows.select("vec_id", "node"), "ids")
+    # Floats move as floats: as doubles they are the same numbers in twice the bytes.
+    floats = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    kind = np.float32 if floats else np.float64
+    nodes = rows.where("node is not null").groupBy("node").agg(
+        F.first("label").alias("label"), F.first("own" if floats else "e").alias("e"), F.count("*").alias("weight")
+    )
+    nodes = nodes.select("node", F.concat_ws(":", "label", F.size("e")).alias("grp"), F.size("e").alias("dim"), "weight", "e")
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(e=[np.asarray(x, np.float64).tobytes() for x in pdf["e"]])
-
-    nodes = nodes.select("node", F.concat_ws(":", "label", F.size("e")).alias("grp"), F.size("e").alias("dim"), "weight", "e")
-    nodes = scratch.written(nodes.mapInPandas(pack, "node long, grp string, dim int, weight long, e binary"), "nodes")
-
-    cells = scratch.written(dealt(nodes), "cells")
-    blocks = cells.groupBy("grp", "cell").agg(F.max("far").alias("radius"), F.count("*").alias("n"), F.first("pivot").alias("pivot"), F.first("dim").alias("dim"))
-    pairs = block_pairs(scratch.written(blocks, "cell-sizes"), threshold)
-
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        one = {"grp": pdf["grp"].iloc[0], "cell": pdf["cell"].iloc[0], "part": pdf["part"].iloc[0], "dim": pdf["dim"].iloc[0]}
-        return pd.DataFrame([one | {"nodes": pdf["node"].to_numpy(np.int64).tobytes(), "weights": pdf["weight"].to_numpy(np.int64).tobytes(), "x": b"".join(pdf["e"])}])
-
-    sizes = cells.groupBy("grp", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    by_block = cells.join(sizes, ["grp", "cell"]).select("grp", "cell", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", "dim", "weight", "e")
-    packed = by_block.groupBy("grp", "cell", "part").applyInPandas(gather, "grp string, cell int, part long, dim int, nodes binary, weights binary, x binary")
-    packed = scratch.written(packed, "blocks")
-    a = packed.select("grp", F.col("cell").alias("cell_a"), F.col("part").alias("part_a"), "dim", F.col("nodes").alias("nodes_a"), F.col("weights").alias("weights_a"), F.col("x").alias("x_a"))
-    b = packed.select("grp", F.col("cell").alias("cell_b"), F.col("part").alias("part_b"), F.col("nodes").alias("nodes_b"), F.col("weights").alias("weights_b"), F.col("x").alias("x_b"))
-    work = pairs.join(a, ["grp", "cell_a", "part_a"]).join(b, ["grp", "cell_b", "part_b"])
-    work = work.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grp", "cell_a", "part_a", "cell_b", "part_b")
+            out = []
+            for (grp, dim), part in pdf.groupby(["grp", "dim"]):
+                at, weight = part["node"].to_numpy(np.int64), part["weight"].to_numpy(np.int64)
+                x = np.concatenate(part["e"].to_list()).astype(kind)
+                out.append((grp, dim, len(part), at.min(), at.tobytes(), weight.tobytes(), x.tobytes()))
+            yield pd.DataFrame(out, columns=["grp", "dim", "n", "least", "nodes", "weights", "x"])
+
+    bundles = nodes.mapInPandas(bundle, "grp string, dim int, n long, least long, nodes binary, weights binary, x binary")
+    bundles = scratch.written(bundles, "bundles")
+    pivots = scratch.written(chosen(bundles, kind), "pivots")
+    groups = scratch.written(grouped(bundles, pivots, kind, threshold), "groups")
+    blocks = scratch.written(blocked(bundles, groups, kind), "blocks")
+
+    own = ["grp", "cell", "part", "nodes", "weights", "x"]
+    a = blocks.join(groups.select("grp", "near"), "grp").select("dim", F.get("near", F.col("cell")).alias("near"), *[F.col(c).alias(f"{c}_a") for c in own])
+    # Every partition of blocks is read beside every other: neither side moves, however many pairs there are.
+    b = blocks.select(*[F.col(c).alias(f"{c}_b") for c in own]).hint("shuffle_replicate_nl")
+    once = (F.col("cell_a") < F.col("cell_b")) | ((F.col("cell_a") == F.col("cell_b")) & (F.col("part_a") <= F.col("part_b")))
+    work = a.join(b, (F.col("grp_a") == F.col("grp_b")) & F.array_contains("near", F.col("cell_b")) & once).drop("near", "grp_b")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees: dict[tuple, tuple] = {}
+        found, size = [], 0
+
+        def block(key: tuple, nodes: bytes, weights: bytes, x: bytes, dim: int) -> tuple:
+            """Its nodes, weights, vectors and tree; the last ones asked for are remembered."""
+            known = trees.pop(key, None)
+            if known is None:
+                raw = matrix([x], dim, kind)
+                known = np.frombuffer(nodes, np.int64), np.frombuffer(weights, np.int64), raw, Tree(unit(raw)).done()
+            trees[key] = known
+            while len(trees) > 2 and sum(2 * t[2].nbytes for t in trees.values()) > TREE_BYTES:
+                trees.pop(next(iter(trees)))
+            return known
+
         for pdf in batches:
             for r in pdf.itertuples():
-                same = (r.cell_a, r.part_a) == (r.cell_b, r.part_b)
-                na, wa, xa = np.frombuffer(r.nodes_a, np.int64), np.frombuffer(r.weights_a, np.int64), matrix([r.x_a], r.dim)
-                nb, wb, xb = (na, wa, xa) if same else (np.frombuffer(r.nodes_b, np.int64), np.frombuffer(r.weights_b, np.int64), matrix([r.x_b], r.dim))
-                ta = Tree(unit(xa)).done()
-                tb = ta if same else Tree(unit(xb)).done()
+                key_a, key_b = (r.grp_a, r.cell_a, r.part_a), (r.grp_a, r.cell_b, r.part_b)
+                na, wa, xa, ta = block(key_a, r.nodes_a, r.weights_a, r.x_a, r.dim)
+                nb, wb, xb, tb = block(key_b, r.nodes_b, r.weights_b, r.x_b, r.dim)
+                same = key_a == key_b
                 i, j = dual(ta, tb, threshold)
                 if same:
                     i, j = i[i < j], j[i < j]
@@ -181,12 +206,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                 count = np.bincount(i, wb[j], len(ids_)) + np.bincount(at, wa[i], len(ids_))
                 root = joined(len(ids_), i, at)
                 hit = np.flatnonzero(count)
-                yield pd.DataFrame({"node": ids_[hit], "links": count[hit].astype(np.int64), "root": ids_[root[hit]]})
+                found.append((ids_[hit], count[hit], ids_[root[hit]]))
+                size += len(hit)
+                if size > SUMS:
+                    # A task meets the nodes of two partitions, so this bounds what it holds.
+                    found = [summed(*map(np.concatenate, zip(*found)))]
+                    size = 0
+        if found:
+            node, links, root = summed(*map(np.concatenate, zip(*found)))
+            yield pd.DataFrame({"node": node, "links": links, "root": root})
 
     found = scratch.written(work.mapInPandas(search, "node long, links long, root long"), "links")
     labels = K.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    weight = nodes.select("node", "weight")
+    weight = ids.where("node is not null").groupBy("node").agg(F.count("*").alias("weight"))
     per_node = weight.join(links, "node", "left").join(labels, "node", "left")
     per_node = per_node.select("node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("comp", "node").alias("comp"))
     own = ids.join(per_node, "node", "left")
@@ -195,61 +228,95 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def dealt(nodes: DataFrame) -> DataFrame:
-    """Every node with the nearest of its group's pivots, and how far that is.
+def matrix(blobs, dim: int, kind: type = np.float64) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind).reshape(-1, dim).astype(np.float64, copy=False)
+
+
+def placed(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of every vector, and how far it is."""
+    d = distances(unit(x), pivots)
+    cell = d.argmin(axis=1)
+    return cell, d[np.arange(len(x)), cell]
+
+
+def chosen(bundles: DataFrame, kind: type) -> DataFrame:
+    """The pivots of every group (grp, pivots).
 
     A group has a pivot for every 2 * BLOCK nodes, PIVOTS at most: those of a farthest-first walk
-    over about 4 * PIVOTS of its nodes, chosen by hash, that meet in one task. Which pivots are chosen
+    over about 4 * PIVOTS of its nodes, chosen by their hash, that meet in one task. Which pivots are chosen
     affects speed only.
     """
-    few = nodes.groupBy("grp").agg(F.least(F.lit(PIVOTS), F.ceil(F.count("*") / (2 * BLOCK))).alias("k"))
-    hashed = nodes.withColumn("h", F.xxhash64("node"))
-    count = nodes.groupBy("grp").agg(F.count("*").alias("n"))
-    least = hashed.groupBy("grp").agg(F.min("h").alias("least"))
-    some = F.pmod("h", F.greatest(F.floor(F.col("n") / (4 * PIVOTS)), F.lit(1))) == 0
-    share = hashed.join(count, "grp").join(least, "grp").where(some | (F.col("h") == F.col("least")))
+    counts = scratch.written(bundles.groupBy("grp").agg(F.sum("n").alias("total"), F.min("least").alias("first")), "counts")
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                at = np.frombuffer(r.nodes, np.int64)
+                some = np.flatnonzero((at % max(r.total // (4 * PIVOTS), 1) == 0) | (at == r.first))
+                if len(some):
+                    out.append((r.grp, r.dim, min(PIVOTS, -(-r.total // (2 * BLOCK))), matrix([r.x], r.dim, kind)[some].tobytes()))
+            yield pd.DataFrame(out, columns=["grp", "dim", "k", "x"])
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = matrix(pdf["e"], int(pdf["dim"].iloc[0]))
-        u, k = unit(x), int(pdf["k"].iloc[0])
-        chosen, far = [0], distances(u, u[:1])[:, 0]
-        while len(chosen) < min(k, len(u)):
-            chosen.append(int(far.argmax()))
-            far = np.minimum(far, distances(u, u[chosen[-1:]])[:, 0])
-        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "pivots": [u[chosen].tobytes()]})
+        u, k = unit(matrix(pdf["x"], int(pdf["dim"].iloc[0]))), int(pdf["k"].iloc[0])
+        taken, far = [0], distances(u, u[:1])[:, 0]
+        while len(taken) < min(k, len(u)):
+            taken.append(int(far.argmax()))
+            far = np.minimum(far, distances(u, u[taken[-1:]])[:, 0])
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "pivots": [u[taken].tobytes()]})
 
-    pivots = share.select("grp", "dim", "e", "node").join(few, "grp").groupBy("grp").applyInPandas(walk, "grp string, pivots binary")
+    share = bundles.join(counts, "grp").mapInPandas(pick, "grp string, dim int, k long, x binary")
+    return share.groupBy("grp").applyInPandas(walk, "grp string, pivots binary")
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def grouped(bundles: DataFrame, pivots: DataFrame, kind: type, threshold: float) -> DataFrame:
+    """A row a group (grp, pivots, parts, near): into how many blocks each cell is cut, and the cells from its own
+    on that the covering radii don't rule out. A group has PIVOTS cells at most."""
+    reach = float(np.sqrt(max(2 - 2 * threshold, 0)) + SLACK)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for (_, blob), part in pdf.groupby(["grp", "pivots"]):
-                dim = int(part["dim"].iloc[0])
-                p = matrix([blob], dim)
-                d = distances(unit(matrix(part["e"], dim)), p)
-                cell = d.argmin(axis=1)
-                out.append(part.assign(cell=cell, far=d[np.arange(len(part)), cell], pivot=[p[c].tobytes() for c in cell]))
-            if out:
-                yield pd.concat(out)[["grp", "cell", "far", "pivot", "node", "dim", "weight", "e"]]
-
-    joined_ = nodes.join(pivots, "grp", "left").where("pivots is not null")
-    return joined_.mapInPandas(assign, "grp string, cell int, far double, pivot binary, node long, dim int, weight long, e binary")
+            for r in pdf.itertuples():
+                cell, far = placed(matrix([r.x], r.dim, kind), matrix([r.pivots], r.dim))
+                one = pd.DataFrame({"cell": cell, "far": far}).groupby("cell")["far"].agg(["size", "max"])
+                out += [(r.grp, r.dim, c, n, m) for c, n, m in one.itertuples()]
+            yield pd.DataFrame(out, columns=["grp", "dim", "cell", "n", "radius"])
 
+    def near(key: tuple, sizes: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        p = matrix(own["pivots"], int(sizes["dim"].iloc[0]))
+        parts, radius = np.zeros(len(p), np.int64), np.full(len(p), -np.inf)
+        parts[sizes["cell"]], radius[sizes["cell"]] = -(-sizes["n"] // BLOCK), sizes["radius"]
+        ok = (distances(p, p) <= reach + radius[:, None] + radius[None, :]) & (parts > 0)
+        some = [np.flatnonzero(row[c:]) + c for c, row in enumerate(ok)]
+        return pd.DataFrame({"grp": [key[0]], "pivots": [own["pivots"].iloc[0]], "parts": [parts], "near": [some]})
 
-def block_pairs(blocks: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of blocks (grp, cell_a, part_a, cell_b, part_b) that the covering radii don't rule out.
+    sizes = bundles.join(pivots, "grp").mapInPandas(measure, "grp string, dim int, cell int, n long, radius double")
+    sizes = sizes.groupBy("grp", "dim", "cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"))
+    return sizes.groupBy("grp").cogroup(pivots.groupBy("grp")).applyInPandas(near, "grp string, pivots binary, parts array<long>, near array<array<int>>")
 
-    A group has PIVOTS cells at most, so one task lists its pairs of cells; parts follow by exploding.
-    """
-    reach = float(np.sqrt(max(2 - 2 * threshold, 0)) + SLACK)
 
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = matrix(pdf["pivot"], int(pdf["dim"].iloc[0]))
-        r, c = pdf["radius"].to_numpy(), pdf["cell"].to_numpy()
-        parts = -(-pdf["n"].to_numpy() // BLOCK)
-        i, j = np.nonzero((distances(p, p) <= reach + r[:, None] + r[None, :]) & (c[:, None] <= c[None, :]))
-        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "cell_a": c[i], "cell_b": c[j], "parts_a": parts[i], "parts_b": parts[j]})
+def blocked(bundles: DataFrame, groups: DataFrame, kind: type) -> DataFrame:
+    """Every node in a block of its cell: (grp, cell, part, dim, nodes, weights, x), a row a block of about BLOCK nodes."""
 
-    cells = blocks.groupBy("grp").applyInPandas(near, "grp string, cell_a int, cell_b int, parts_a long, parts_b long")
-    pairs = cells.withColumn("part_a", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1))).withColumn("part_b", F.explode(F.sequence(F.lit(0), F.col("parts_b") - 1)))
-    return pairs.where("cell_a < cell_b or part_a <= part_b").select("grp", "cell_a", "part_a", "cell_b", "part_b")
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                nodes, weights, x = np.frombuffer(r.nodes, np.int64), np.frombuffer(r.weights, np.int64), matrix([r.x], r.dim, kind)
+                cell, _ = placed(x, matrix([r.pivots], r.dim))
+                part = (K.mix(nodes.view(np.uint64)) % np.asarray(r.parts)[cell].astype(np.uint64)).astype(np.int64)
+                order = np.lexsort((part, cell))
+                cuts = np.flatnonzero(np.diff(cell[order]) | np.diff(part[order])) + 1
+                for at in np.split(order, cuts):
+                    out.append((r.grp, cell[at[0]], part[at[0]], r.dim, nodes[at].tobytes(), weights[at].tobytes(), x[at].astype(kind).tobytes()))
+            yield pd.DataFrame(out, columns=["grp", "cell", "part", "dim", "nodes", "weights", "x"])
+
+    def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        one = {c: [b"".join(pdf[c])] for c in ("nodes", "weights", "x")}
+        return pd.DataFrame({"grp": key[0], "cell": key[1], "part": key[2], "dim": pdf["dim"].iloc[:1].to_list()} | one)
+
+    schema = "grp string, cell int, part long, dim int, nodes binary, weights binary, x binary"
+    laid = bundles.join(groups, "grp").mapInPandas(assign, schema)
+    return laid.groupBy("grp", "cell", "part").applyInPandas(gather, schema)

@@ -420,6 +420,26 @@ def test_cover_tree_equals_brute_force(spark, monkeypatch, block):
     assert got == brute_vectors(rows)
 
 
+def test_pairs_of_blocks_do_not_move(spark, monkeypatch):
+    """Blocks are read beside each other; vectors given as floats, and sums added up after every pair."""
+    monkeypatch.setattr(cover_tree, "BLOCK", 16)
+    monkeypatch.setattr(cover_tree, "SUMS", 1, raising=False)
+    monkeypatch.setattr(cover_tree, "TREE_BYTES", 1, raising=False)
+    plans, written = {}, cover_tree.scratch.written
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(cover_tree.scratch, "written", noted)
+    rows = vectors(5)
+    df = spark.createDataFrame([r[:3] for r in rows], "vec_id long, embedding array<float>, label int")
+    got = sorted(map(tuple, cover_tree.near_duplicates(df).collect()), key=str)
+    as_float = lambda e: None if e is None else [None if v is None else float(np.float32(v)) for v in e]
+    assert got == brute_vectors([(i, as_float(e), lab) for i, e, lab in rows])
+    assert "Exchange hashpartitioning" not in plans["links"]
+
+
 def test_no_vectors(spark):
     assert cover_tree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 

@@ -168,11 +168,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     blocks = scratch.written(blocked(bundles, groups, kind), "blocks")
 
     own = ["grp", "cell", "part", "nodes", "weights", "x"]
-    a = blocks.join(groups.select("grp", "near"), "grp").select("dim", F.get("near", F.col("cell")).alias("near"), *[F.col(c).alias(f"{c}_a") for c in own])
-    # Every partition of blocks is read beside every other: neither side moves, however many pairs there are.
-    b = blocks.select(*[F.col(c).alias(f"{c}_b") for c in own]).hint("shuffle_replicate_nl")
-    once = (F.col("cell_a") < F.col("cell_b")) | ((F.col("cell_a") == F.col("cell_b")) & (F.col("part_a") <= F.col("part_b")))
-    work = a.join(b, (F.col("grp_a") == F.col("grp_b")) & F.array_contains("near", F.col("cell_b")) & once).drop("near", "grp_b")
+    alone = blocks.select("dim", *[F.col(c).alias(f"{c}_{side}") for side in "ab" for c in own])
+    many = blocks.where("not only")
+    a = many.join(groups.select("grp", "near"), "grp").select("dim", F.get("near", F.col("cell")).alias("near"), *[F.col(c).alias(f"{c}_a") for c in own])
+    # Every partition of blocks is read beside every other: neither side moves, however many pairs there are. Of groups that
+    # are one block each only that block is looked at, so many small groups make no pairs to pass over.
+    b = many.select(*[F.col(c).alias(f"{c}_b") for c in own]).hint("shuffle_replicate_nl")
+    once = (F.col("cell_a") < F.col("cell_b")) | ((F.col("cell_a") == F.col("cell_b")) & (F.col("part_a") < F.col("part_b")))
+    pairs = a.join(b, (F.col("grp_a") == F.col("grp_b")) & F.array_contains("near", F.col("cell_b")) & once).drop("near")
+    work = alone.unionByName(pairs).drop("grp_b")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees: dict[tuple, tuple] = {}
@@ -298,7 +302,8 @@ def grouped(bundles: DataFrame, pivots: DataFrame, kind: type, threshold: float)
 
 
 def blocked(bundles: DataFrame, groups: DataFrame, kind: type) -> DataFrame:
-    """Every node in a block of its cell: (grp, cell, part, dim, nodes, weights, x), a row a block of about BLOCK nodes."""
+    """Every node in a block of its cell: (grp, cell, part, dim, only, nodes, weights, x), a row a block of about BLOCK nodes;
+    `only` if its group has no other."""
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -310,13 +315,13 @@ def blocked(bundles: DataFrame, groups: DataFrame, kind: type) -> DataFrame:
                 order = np.lexsort((part, cell))
                 cuts = np.flatnonzero(np.diff(cell[order]) | np.diff(part[order])) + 1
                 for at in np.split(order, cuts):
-                    out.append((r.grp, cell[at[0]], part[at[0]], r.dim, nodes[at].tobytes(), weights[at].tobytes(), x[at].astype(kind).tobytes()))
-            yield pd.DataFrame(out, columns=["grp", "cell", "part", "dim", "nodes", "weights", "x"])
+                    out.append((r.grp, cell[at[0]], part[at[0]], r.dim, sum(r.parts) == 1, nodes[at].tobytes(), weights[at].tobytes(), x[at].astype(kind).tobytes()))
+            yield pd.DataFrame(out, columns=["grp", "cell", "part", "dim", "only", "nodes", "weights", "x"])
 
     def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         one = {c: [b"".join(pdf[c])] for c in ("nodes", "weights", "x")}
-        return pd.DataFrame({"grp": key[0], "cell": key[1], "part": key[2], "dim": pdf["dim"].iloc[:1].to_list()} | one)
+        return pd.DataFrame({"grp": key[0], "cell": key[1], "part": key[2], "dim": pdf["dim"].iloc[:1].to_list(), "only": pdf["only"].iloc[:1].to_list()} | one)
 
-    schema = "grp string, cell int, part long, dim int, nodes binary, weights binary, x binary"
+    schema = "grp string, cell int, part long, dim int, only boolean, nodes binary, weights binary, x binary"
     laid = bundles.join(groups, "grp").mapInPandas(assign, schema)
     return laid.groupBy("grp", "cell", "part").applyInPandas(gather, schema)

@@ -440,6 +440,14 @@ def test_pairs_of_blocks_do_not_move(spark, monkeypatch):
     assert "Exchange hashpartitioning" not in plans["links"]
 
 
+def test_labels_of_one_block_each(spark, monkeypatch):
+    rows = [(i, [1.0, 0.1 * (i % 2), 0.0] if i % 3 else [0.0, 1.0, 0.0], i // 5) for i in range(200)] + [(500 + i, [1.0, 0.001 * i, 0.01 * (i % 9)], 99) for i in range(40)]
+    monkeypatch.setattr(cover_tree, "BLOCK", 16)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, cover_tree.near_duplicates(df).collect()), key=str)
+    assert got == brute_vectors(rows)
+
+
 def test_no_vectors(spark):
     assert cover_tree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
